@@ -113,6 +113,7 @@ def write_silver(
         raise ValueError(f"mode must be one of {MODES}")
     spark = bronze.sparkSession
     rows = to_silver(bronze)
+    tables.create_batches(spark, layers.silver, SILVER)
     # The batch's own earlier attempt does not count as stored, since it is replaced.
     stored = tables.read_batches(spark, layers.silver, SILVER)
     rows = unseen(rows, stored.filter(F.col("batch_id") != batch_id))

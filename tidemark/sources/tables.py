@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +18,22 @@ from tidemark.sources.schemas import with_batch
 
 DATE = "snapshot_date"
 
+# Quotes are doubled, as most CSV writers do; times keep their microseconds.
+_CSV = {
+    "header": "true",
+    "escape": '"',
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def _lenient_cast(c: Column, to: T.DataType) -> Column:
+    direct = c.try_cast(to)
+    if isinstance(to, T.IntegralType):
+        # Writers without nullable integers store them as text like "1027.0".
+        return F.coalesce(direct, c.try_cast("double").try_cast(to))
+    return direct
+
 
 def conform(df: DataFrame, schema: T.StructType, lenient: bool = False) -> DataFrame:
     """Exactly the schema's columns, matched by name, missing ones NULL.
@@ -30,19 +45,23 @@ def conform(df: DataFrame, schema: T.StructType, lenient: bool = False) -> DataF
     for field in schema.fields:
         name = present.get(field.name.lower())
         c = F.lit(None) if name is None else F.col(f"`{name}`")
-        cast = c.try_cast(field.dataType) if lenient else c.cast(field.dataType)
+        cast = _lenient_cast(c, field.dataType) if lenient else c.cast(field.dataType)
         columns.append(cast.alias(field.name))
     return df.select(*columns)
 
 
+def create_layer(spark: SparkSession, path: str, schema: T.StructType, by: Sequence[str]) -> None:
+    """An empty table at ``path``, unless there is one."""
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("ignore").partitionBy(*by).parquet(path)
+
+
+def create_batches(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    create_layer(spark, path, with_batch(schema), ["batch_id", DATE])
+
+
 def read_layer(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table; one that was never written reads as empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -74,7 +93,7 @@ def overwrite(df: DataFrame, path: str, by_date: bool = True) -> None:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV parts with headers; nested arrays become JSON text."""
-    arrays_to_json(df).write.mode("overwrite").option("header", True).csv(path)
+    arrays_to_json(df).write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def import_csv(
@@ -87,7 +106,7 @@ def import_csv(
     """
     result = None
     for path in paths:
-        text = spark.read.option("header", True).csv(path)
+        text = spark.read.options(**_CSV).csv(path)
         rows = conform(text, schema, lenient)
         result = rows if result is None else result.unionByName(rows)
     if result is None:

@@ -108,6 +108,8 @@ def advance_gold(
     its predecessor wrote and replaces the other, so it can be run again."""
     spark = silver.sparkSession
     silver = silver.select(*SILVER.names)
+    for slot in (0, 1):
+        tables.create_layer(spark, layers.state(slot), _STATE, [])
     carried = tables.read_layer(spark, layers.state((batch + 1) % 2), _STATE)
     # Batch numbers follow each other; anything else in the slot is from an older run.
     carried = carried.filter(F.col("batch_id") == _label(batch - 1)).drop("batch_id")
