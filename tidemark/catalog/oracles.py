@@ -319,11 +319,12 @@ SQL: dict[str, str] = {
         where collected_at = (select max(collected_at) from featured)""",
     "cycle_counts": f"""
         with {_SILVER_CTES}, counted as (
-            select 'bronze' as layer, count(*) as n, count(distinct collected_at) as snapshots
-            from listings
-            union all select 'silver', count(*), count(distinct collected_at) from silver
-            union all select 'gold', count(*), count(distinct collected_at) from silver)
-        select layer, n as new_rows, n as total_rows, snapshots from counted""",
+            select 'bronze' as layer, count(*) as n from listings
+            union all select 'silver', count(*) from silver
+            union all select 'gold', count(*) from silver)
+        select layer, n as new_rows, n as total_rows,
+            (select count(distinct day) from daily) as snapshots
+        from counted""",
     "silver_idempotent": _SILVER,
     "layer_roundtrip": "select *, (ts::date)::varchar as snapshot_date from events",
     "csv_by_name": "select * from events",

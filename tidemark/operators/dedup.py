@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_RANK = "_copy_rank"
+_RANK, _NEW = "_copy_rank", "_is_new"
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -45,11 +45,14 @@ def keep_first_streaming(
     return df.withWatermark(time, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def only_new(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key is not in ``existing`` yet, NULL keys being equal."""
-    seen = existing.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
-    condition = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_seen_{k}"))
-        condition = same if condition is None else condition & same
-    return df.join(seen, condition, "left_anti")
+def keep_first_new(
+    df: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """The first row of each key that ``stored`` does not hold, NULL keys being equal.
+
+    Stored keys take part as the earliest arrivals, so this costs the one shuffle of
+    ``keep_first`` and no join.
+    """
+    seen = stored.select(*keys).withColumn(_NEW, F.lit(False))
+    both = df.withColumn(_NEW, F.lit(True)).unionByName(seen, allowMissingColumns=True)
+    return keep_first(both, keys, [_NEW, *order]).filter(_NEW).drop(_NEW)

@@ -29,13 +29,30 @@ def flatten_structs(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*columns)
 
 
-def explode_records(df: DataFrame, array: str, position: str | None = None) -> DataFrame:
-    """One row per array element, its fields beside the other columns; empty arrays give none."""
-    others = [F.col(c) for c in df.columns if c != array]
-    if position is None:
-        return df.select(*others, F.inline(array))
-    return df.select(*others, F.posexplode(array).alias(position, "_record")).select(
-        *others, position, "_record.*"
+def explode_records(
+    df: DataFrame,
+    array: str,
+    position: str | None = None,
+    schema: T.StructType | None = None,
+    text: str | None = None,
+) -> DataFrame:
+    """One row per array element, its fields beside the other columns; empty arrays give none.
+
+    ``position`` adds the element's place. Elements that are JSON text are parsed with
+    ``schema``; ``text`` then keeps that text in a column of this name.
+    """
+    others = [c for c in df.columns if c != array]
+    element = F.col("_element") if schema is None else F.from_json("_element", schema)
+    return (
+        df.select(*others, F.posexplode(array).alias("_place", "_element"))
+        .select(
+            *others,
+            *([] if position is None else [F.col("_place").alias(position)]),
+            *([] if text is None else [F.col("_element").alias(text)]),
+            element.alias("_record"),
+        )
+        .select("*", "_record.*")
+        .drop("_record")
     )
 
 

@@ -8,13 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.dedup import only_new
 from tidemark.operators.history import ROWS_PER_PART, Timeline, find_cut_points
 from tidemark.operators.quality import enforce, snapshot_checks, split_rows
-from tidemark.plans.layers import to_audit, to_bronze, to_gold, to_silver
+from tidemark.plans.layers import clean, silver_increment, to_audit, to_bronze, to_gold
 from tidemark.sources import tables
 from tidemark.sources.landing import read_payloads
-from tidemark.sources.schemas import AUDIT, BRONZE, GOLD, SILVER, SILVER_KEY
+from tidemark.sources.schemas import AUDIT, BRONZE, GOLD, SILVER
 
 MODES = ("fail", "quarantine", "report")
 
@@ -89,16 +88,11 @@ def write_bronze(payloads: DataFrame, layers: Layers, batch_id: str, endpoint: s
     return seen.get["rows"]
 
 
-def unseen(silver: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose key is not stored; only the stored dates of the new rows are read."""
+def _same_dates(stored: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Stored rows of the dates that occur in the new ones, so no other date is read."""
     # One value per calendar day at most.
-    days = [r[0] for r in silver.select("snapshot_date").distinct().collect() if r[0] is not None]
-    touched = stored.filter(
-        F.col("snapshot_date").isin(days) | F.col("snapshot_date").isNull()
-        if days
-        else F.col("snapshot_date").isNull()
-    )
-    return only_new(silver, touched, SILVER_KEY)
+    days = [r[0] for r in cleaned.select(tables.DATE).distinct().collect() if r[0] is not None]
+    return stored.filter(F.col(tables.DATE).isin(days) | F.col(tables.DATE).isNull())
 
 
 def write_silver(
@@ -106,23 +100,24 @@ def write_silver(
 ) -> int:
     """Appends the batch's clean rows that Silver does not have; returns their number.
 
-    ``fail`` stops before anything is committed if a row fails a check, ``quarantine``
-    writes failing rows to their own table, ``report`` lets them pass.
+    ``fail`` stops before anything is committed if a row to be added fails a check,
+    ``quarantine`` sets failing rows apart first, ``report`` lets them pass.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = bronze.sparkSession
-    rows = to_silver(bronze)
+    checks = snapshot_checks(max_rank)
+    rows = clean(bronze)
     tables.create_batches(spark, layers.silver, SILVER)
     # The batch's own earlier attempt does not count as stored, since it is replaced.
     stored = tables.read_batches(spark, layers.silver, SILVER)
-    rows = unseen(rows, stored.filter(F.col("batch_id") != batch_id))
-    checks = snapshot_checks(max_rank)
+    stored = _same_dates(stored.filter(F.col("batch_id") != batch_id), rows)
+    if mode == "quarantine":
+        rows, failing = split_rows(rows, checks)
+        tables.write_batch(failing, layers.quarantine, batch_id)
+    rows = silver_increment(rows, stored)
     if mode == "fail":
         rows = enforce(rows, checks)
-    elif mode == "quarantine":
-        rows, failing = split_rows(rows, checks)
-        tables.write_batch(failing, layers.quarantine, batch_id, rebalance=True)
     rows, seen = _counted(rows, "silver")
     tables.write_batch(rows, layers.silver, batch_id, rebalance=True)
     return seen.get["rows"]
@@ -163,6 +158,8 @@ def run_cycle(
 
 
 def cycle_summary(spark: SparkSession, layers: Layers, new: dict[str, int]) -> DataFrame:
+    """Totals come from file footers, snapshots from the audit table of one row per payload."""
+    times = layers.read_audit(spark).filter("coins_returned > 0").select("collected_at")
     stored = {
         "bronze": layers.read_bronze(spark),
         "silver": layers.read_silver(spark),
@@ -174,7 +171,7 @@ def cycle_summary(spark: SparkSession, layers: Layers, new: dict[str, int]) -> D
             F.lit(layer).alias("layer"),
             F.lit(new[layer]).cast("bigint").alias("new_rows"),
             F.count("*").alias("total_rows"),
-            F.count_distinct("collected_at").alias("snapshots"),
         )
         result = row if result is None else result.unionByName(row)
-    return result
+    snapshots = times.agg(F.count_distinct("collected_at")).scalar()
+    return result.withColumn("snapshots", snapshots)

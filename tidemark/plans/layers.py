@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import scalar, series
-from tidemark.operators.dedup import keep_first
+from tidemark.operators.dedup import keep_first, keep_first_new
 from tidemark.operators.history import CutPoints, Timeline, first_value, over_history
 from tidemark.operators.nested import array_length, explode_records, flatten_structs
-from tidemark.sources.schemas import AUDIT, BRONZE, SILVER, SILVER_KEY, TIME_COLUMNS
+from tidemark.sources.schemas import AUDIT, BRONZE, COIN, SILVER, SILVER_KEY, TIME_COLUMNS
 from tidemark.sources.tables import conform
 
 # Symbols that are flagged as stablecoins.
@@ -34,10 +35,14 @@ def _date_of(time: str):
     return F.to_date(scalar.parse_time(time))
 
 
-def to_bronze(payloads: DataFrame) -> DataFrame:
-    """Flat rows of the records in ``data``; fields beyond the declared ones come last."""
+def to_bronze(
+    payloads: DataFrame, coin: T.StructType = COIN, raw: str | None = None
+) -> DataFrame:
+    """Flat rows of the records in ``data``. A wider ``coin`` schema adds columns after the
+    declared ones, and ``raw`` names a column for each record's own JSON text."""
     records = explode_records(
-        payloads.select("collected_at", "source_file", "data"), "data", "listing_position"
+        payloads.select("collected_at", "source_file", "data"),
+        "data", "listing_position", coin, raw,
     )
     flat = flatten_structs(records).withColumn("snapshot_date", _date_of("collected_at"))
     extra = [c for c in flat.columns if c not in BRONZE.names]
@@ -87,11 +92,18 @@ def clean(bronze: DataFrame) -> DataFrame:
     )
 
 
+# Where a row came from decides which copy is first; the rest settles equal origins.
+ARRIVAL = ["source_file", "listing_position", "quote_USD_price", "quote_USD_market_cap"]
+
+
 def to_silver(bronze: DataFrame) -> DataFrame:
     """Clean rows, the first arrival of each (symbol, collected_at)."""
-    # Everything after where a row came from only makes the choice the same every time.
-    arrival = ["source_file", "listing_position", "quote_USD_price", "quote_USD_market_cap"]
-    return conform(keep_first(clean(bronze), SILVER_KEY, arrival), SILVER)
+    return conform(keep_first(clean(bronze), SILVER_KEY, ARRIVAL), SILVER)
+
+
+def silver_increment(cleaned: DataFrame, stored: DataFrame) -> DataFrame:
+    """First arrivals among clean rows whose key ``stored`` does not hold."""
+    return conform(keep_first_new(cleaned, stored, SILVER_KEY, ARRIVAL), SILVER)
 
 
 def add_features(

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.schemas import COIN, STATUS
+from tidemark.sources.schemas import STATUS
 
 _CORRUPT = "_corrupt_record"
 
 
-def payload_schema(coin: T.StructType = COIN, status: T.StructType = STATUS) -> T.StructType:
-    """Schema of a landing file. Records stay JSON text here, so no field is lost."""
+def payload_schema(status: T.StructType = STATUS) -> T.StructType:
+    """Schema of a landing file. Records stay JSON text, so counting them parses none
+    and no field of theirs is lost before Bronze."""
     return T.StructType([
         T.StructField("status", status),
         T.StructField("data", T.ArrayType(T.StringType())),
@@ -25,15 +26,11 @@ def payload_schema(coin: T.StructType = COIN, status: T.StructType = STATUS) ->
     ])
 
 
-def _payloads(raw: DataFrame, coin: T.StructType, keep_raw: bool) -> DataFrame:
-    def record(text):
-        parsed = F.from_json(text, coin)
-        return parsed.withField("raw_json", text) if keep_raw else parsed
-
+def _payloads(raw: DataFrame) -> DataFrame:
     arrived = F.date_format("_metadata.file_modification_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     return raw.select(
         "status",
-        F.transform("data", record).alias("data"),
+        "data",
         F.coalesce("collected_at", arrived).alias("collected_at"),
         F.col("_metadata.file_path").alias("source_file"),
         F.col(_CORRUPT).isNotNull().alias("malformed"),
@@ -44,20 +41,17 @@ def read_payloads(
     spark: SparkSession,
     path: str | list[str],
     multi_line: bool = True,
-    coin: T.StructType = COIN,
     status: T.StructType = STATUS,
-    keep_raw: bool = False,
 ) -> DataFrame:
     """Payload rows: status, data, collected_at, source_file, malformed.
 
     ``collected_at`` is the payload's own stamp, else the time its file arrived, so the
     listings and the audit row of one payload always agree. A file that is no valid
-    payload gives a row with ``malformed`` set. ``keep_raw`` adds each record's JSON
-    text as ``raw_json``; a wider ``coin`` schema adds columns to Bronze.
+    payload gives a row with ``malformed`` set.
     """
-    reader = spark.read.schema(payload_schema(coin, status))
+    reader = spark.read.schema(payload_schema(status))
     raw = reader.option("multiLine", multi_line).option("columnNameOfCorruptRecord", _CORRUPT)
-    return _payloads(raw.json(path), coin, keep_raw)
+    return _payloads(raw.json(path))
 
 
 def stream_payloads(
@@ -65,13 +59,11 @@ def stream_payloads(
     path: str,
     multi_line: bool = True,
     files_per_batch: int | None = None,
-    coin: T.StructType = COIN,
     status: T.StructType = STATUS,
-    keep_raw: bool = False,
 ) -> DataFrame:
     """Streaming form of ``read_payloads``: each landing file is taken once."""
-    reader = spark.readStream.schema(payload_schema(coin, status))
+    reader = spark.readStream.schema(payload_schema(status))
     reader = reader.option("multiLine", multi_line).option("columnNameOfCorruptRecord", _CORRUPT)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return _payloads(reader.json(path), coin, keep_raw)
+    return _payloads(reader.json(path))

@@ -19,7 +19,7 @@ from tidemark.sources.landing import stream_payloads
 from tidemark.sources.schemas import BRONZE, GOLD, SILVER, with_batch
 
 _STATE = with_batch(SILVER)
-_CARRIED, _LAST = "_carried", "_last_time"
+_CARRIED, _LAST, _LATE = "_carried", "_last_time", "_late"
 
 
 def _label(batch: int) -> str:
@@ -114,31 +114,43 @@ def advance_gold(
     # Batch numbers follow each other; anything else in the slot is from an older run.
     carried = carried.filter(F.col("batch_id") == _label(batch - 1)).drop("batch_id")
     last = carried.groupBy(timeline.key).agg(F.max(timeline.time).alias(_LAST))
-    joined = silver.join(last, timeline.key, "left").select(*SILVER.names, _LAST)
     is_late = F.coalesce(F.col(timeline.time) <= F.col(_LAST), F.lit(False))
-    late = joined.filter(is_late).drop(_LAST)
-    fresh = joined.filter(~is_late).drop(_LAST)
-    history = fresh.withColumn(_CARRIED, F.lit(False)).unionByName(
-        carried.withColumn(_CARRIED, F.lit(True))
+    # Four jobs below read the batch; Spark rebuilds lost pieces of it from its files.
+    marked = (
+        silver.join(last, timeline.key, "left")
+        .withColumn(_LATE, is_late)
+        .select(*SILVER.names, _LATE)
+        .persist()
     )
-
-    cuts = find_cut_points(history, timeline, rows_per_part)
-    gold = to_gold(history, timeline, cuts=cuts).filter(~F.col(_CARRIED)).drop(_CARRIED).select(*GOLD.names)
-    tables.write_batch(gold, layers.live_gold, _label(batch), rebalance=True)
-    tables.write_batch(late, layers.late, _label(batch))
-
-    newest = Window.partitionBy(timeline.key).orderBy(
+    try:
+        late = marked.filter(_LATE).drop(_LATE)
+        fresh = marked.filter(~F.col(_LATE)).drop(_LATE)
+        history = fresh.withColumn(_CARRIED, F.lit(False)).unionByName(
+            carried.withColumn(_CARRIED, F.lit(True))
+        )
+        cuts = find_cut_points(history, timeline, rows_per_part)
+        gold = to_gold(history, timeline, cuts=cuts).filter(~F.col(_CARRIED))
+        gold = gold.select(*GOLD.names)
+        tables.write_batch(gold, layers.live_gold, _label(batch), rebalance=True)
+        tables.write_batch(late, layers.late, _label(batch))
+        state = _newest(history.drop(_CARRIED), timeline)
+        state = state.withColumn("batch_id", F.lit(_label(batch)))
+        tables.overwrite(state, layers.state(batch % 2), by_date=False)
+    finally:
+        marked.unpersist()
+
+
+def _newest(history: DataFrame, timeline: Timeline) -> DataFrame:
+    """The rows of each key that later features will read, and one more."""
+    latest_first = Window.partitionBy(timeline.key).orderBy(
         *[F.col(c).desc_nulls_first() for c in timeline.order]
     )
-    state = (
-        history.drop(_CARRIED)
-        .filter(F.col(timeline.key).isNotNull())
-        .withColumn("_newest", F.row_number().over(newest))
+    return (
+        history.filter(F.col(timeline.key).isNotNull())
+        .withColumn("_newest", F.row_number().over(latest_first))
         .filter(F.col("_newest") <= GOLD_LOOK_BACK + 1)
         .drop("_newest")
-        .withColumn("batch_id", F.lit(_label(batch)))
     )
-    tables.overwrite(state, layers.state(batch % 2), by_date=False)
 
 
 def read_live_gold(spark: SparkSession, layers: Layers) -> DataFrame:
