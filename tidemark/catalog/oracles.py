@@ -284,9 +284,10 @@ SQL: dict[str, str] = {
             partition by o_orderdate order by o_totalprice desc, o_orderkey) as rank
         from orders qualify rank between 1 and 3""",
     "ranks_beyond_limit": """
-        select event_id, event_type, value, row_number() over (
-            partition by event_type order by value desc, event_id) as rank
-        from events qualify rank between 1001 and 3000""",
+        select l_returnflag, l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+            row_number() over (partition by l_returnflag order by l_extendedprice desc,
+                l_orderkey, l_linenumber, l_partkey, l_suppkey) as rank
+        from lineitem qualify rank between 1001 and 3000""",
     "first_row": """select event_id, user_id, event_type, value, ts from events
         order by ts, event_id limit 1""",
     "table_profile": " union all ".join(

@@ -389,10 +389,11 @@ def top_n_per_snapshot(spark, sf_dir):
 
 @query
 def ranks_beyond_limit(spark, sf_dir):
-    """A deep slice: ranks 1001 to 3000 of each event type by value."""
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    order = [F.col("value").desc_nulls_last(), F.col("event_id").asc()]
-    top = reports.top_per_snapshot(events, "event_type", order, start=1001, limit=2000)
+    """A deep slice: ranks 1001 to 3000 of each return flag by price."""
+    ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", *ties)
+    order = [F.col("l_extendedprice").desc_nulls_last(), *[F.col(c).asc() for c in ties]]
+    top = reports.top_per_snapshot(lines, "l_returnflag", order, start=1001, limit=2000)
     return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 

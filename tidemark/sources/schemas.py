@@ -5,58 +5,64 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TEXT, _NUMBER, _FLAG = T.StringType(), T.DoubleType(), T.BooleanType()
+_INT, _LONG = T.IntegerType(), T.LongType()
+_TIME, _DATE = T.TimestampType(), T.DateType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 # Field and column names of the listings payload and the layers.
-COIN = _struct("""
-    symbol STRING, name STRING, cmc_rank INT,
-    circulating_supply DOUBLE, max_supply DOUBLE, tvl_ratio DOUBLE,
-    date_added STRING, last_updated STRING,
-    platform STRUCT<id: BIGINT>,
-    quote STRUCT<USD: STRUCT<
-        price: DOUBLE, percent_change_1h: DOUBLE, percent_change_24h: DOUBLE,
-        percent_change_7d: DOUBLE, market_cap: DOUBLE, volume_24h: DOUBLE,
-        market_cap_dominance: DOUBLE, last_updated: STRING>>
-""")
-
-STATUS = _struct("credit_count INT, total_count BIGINT, elapsed INT")
-
-BRONZE = _struct("""
-    symbol STRING, name STRING, cmc_rank INT,
-    circulating_supply DOUBLE, max_supply DOUBLE, tvl_ratio DOUBLE,
-    date_added STRING, last_updated STRING, platform_id BIGINT,
-    quote_USD_price DOUBLE, quote_USD_percent_change_1h DOUBLE,
-    quote_USD_percent_change_24h DOUBLE, quote_USD_percent_change_7d DOUBLE,
-    quote_USD_market_cap DOUBLE, quote_USD_volume_24h DOUBLE,
-    quote_USD_market_cap_dominance DOUBLE, quote_USD_last_updated STRING,
-    collected_at STRING, source_file STRING, listing_position INT,
-    snapshot_date DATE
-""")
-
-AUDIT = _struct("""
-    credit_count INT, total_count BIGINT, elapsed INT,
-    collected_at STRING, endpoint STRING, coins_returned INT,
-    source_file STRING, malformed BOOLEAN, snapshot_date DATE
-""")
+QUOTE = _struct(
+    price=_NUMBER, percent_change_1h=_NUMBER, percent_change_24h=_NUMBER,
+    percent_change_7d=_NUMBER, market_cap=_NUMBER, volume_24h=_NUMBER,
+    market_cap_dominance=_NUMBER, last_updated=_TEXT,
+)
 
-TIME_COLUMNS = ["collected_at", "last_updated", "quote_USD_last_updated", "date_added"]
+COIN = _struct(
+    symbol=_TEXT, name=_TEXT, cmc_rank=_INT,
+    circulating_supply=_NUMBER, max_supply=_NUMBER, tvl_ratio=_NUMBER,
+    date_added=_TEXT, last_updated=_TEXT,
+    platform=_struct(id=_LONG), quote=_struct(USD=QUOTE),
+)
+
+STATUS = _struct(credit_count=_INT, total_count=_LONG, elapsed=_INT)
+
+
+def _listing(time: T.DataType) -> dict[str, T.DataType]:
+    return {
+        "symbol": _TEXT, "name": _TEXT, "cmc_rank": _INT,
+        "circulating_supply": _NUMBER, "max_supply": _NUMBER, "tvl_ratio": _NUMBER,
+        "date_added": time, "last_updated": time, "platform_id": _LONG,
+        "quote_USD_price": _NUMBER, "quote_USD_percent_change_1h": _NUMBER,
+        "quote_USD_percent_change_24h": _NUMBER, "quote_USD_percent_change_7d": _NUMBER,
+        "quote_USD_market_cap": _NUMBER, "quote_USD_volume_24h": _NUMBER,
+        "quote_USD_market_cap_dominance": _NUMBER, "quote_USD_last_updated": time,
+        "collected_at": time,
+    }
 
-SILVER = _struct("""
-    symbol STRING, name STRING, cmc_rank INT,
-    circulating_supply DOUBLE, max_supply DOUBLE, tvl_ratio DOUBLE,
-    date_added TIMESTAMP, last_updated TIMESTAMP, platform_id BIGINT,
-    quote_USD_price DOUBLE, quote_USD_percent_change_1h DOUBLE,
-    quote_USD_percent_change_24h DOUBLE, quote_USD_percent_change_7d DOUBLE,
-    quote_USD_market_cap DOUBLE, quote_USD_volume_24h DOUBLE,
-    quote_USD_market_cap_dominance DOUBLE, quote_USD_last_updated TIMESTAMP,
-    collected_at TIMESTAMP,
-    is_stablecoin BOOLEAN, is_token BOOLEAN,
-    log_return_1h DOUBLE, log_return_24h DOUBLE, log_return_7d DOUBLE,
-    volume_to_mcap DOUBLE, supply_utilization DOUBLE,
-    snapshot_date DATE
-""")
+
+BRONZE = _struct(
+    **_listing(_TEXT), source_file=_TEXT, listing_position=_INT, snapshot_date=_DATE
+)
+
+AUDIT = _struct(
+    credit_count=_INT, total_count=_LONG, elapsed=_INT,
+    collected_at=_TEXT, endpoint=_TEXT, coins_returned=_INT,
+    source_file=_TEXT, malformed=_FLAG, snapshot_date=_DATE,
+)
+
+SILVER = _struct(
+    **_listing(_TIME),
+    is_stablecoin=_FLAG, is_token=_FLAG,
+    log_return_1h=_NUMBER, log_return_24h=_NUMBER, log_return_7d=_NUMBER,
+    volume_to_mcap=_NUMBER, supply_utilization=_NUMBER,
+    snapshot_date=_DATE,
+)
+
+TIME_COLUMNS = ["collected_at", "last_updated", "quote_USD_last_updated", "date_added"]
 
 GOLD_FEATURES = [
     "price_delta_pct", "minutes_since_last", "observed_log_return",
@@ -64,7 +70,7 @@ GOLD_FEATURES = [
 ]
 
 GOLD = T.StructType(
-    SILVER.fields + [T.StructField(name, T.DoubleType()) for name in GOLD_FEATURES]
+    SILVER.fields + [T.StructField(name, _NUMBER) for name in GOLD_FEATURES]
 )
 
 SILVER_KEY = ["symbol", "collected_at"]
@@ -72,4 +78,4 @@ SILVER_KEY = ["symbol", "collected_at"]
 
 def with_batch(schema: T.StructType) -> T.StructType:
     """The schema as stored, where each batch has its own directory."""
-    return T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())])
+    return T.StructType([*schema.fields, T.StructField("batch_id", _TEXT)])
