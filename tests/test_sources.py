@@ -57,7 +57,7 @@ def test_a_batch_written_again_replaces_itself(spark, tmp_path):
     schema = df.schema
     tables.create_batches(spark, path, schema)
     assert tables.read_batches(spark, path, schema).count() == 0
-    tables.write_batch(df, path, "x", rebalance=True)
+    tables.write_batch(df, path, "x")
     tables.write_batch(df, path, "y")
     tables.write_batch(df.filter("s = 'a'"), path, "y")
     tables.create_batches(spark, path, schema)

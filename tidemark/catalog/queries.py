@@ -595,7 +595,9 @@ def csv_export(spark, sf_dir):
 def _streamed(spark: SparkSession, sf_dir: str, last: str, replay: bool) -> Layers:
     """Lands the days in three stretches and lets the streams catch up after each."""
     landing, layers = scratch_path(spark, "landing"), Layers(scratch_path(spark, "layers"))
-    stretches = day_thirds(daily(spark, sf_dir))
+    snapshots = scratch_path(spark, "daily")
+    daily(spark, sf_dir).write.parquet(snapshots)
+    stretches = day_thirds(spark.read.parquet(snapshots))
     for i, stretch in enumerate(stretches):
         land(stretch, landing)
         if replay and i == 1:

@@ -83,12 +83,18 @@ def top_per_snapshot(
     return ranked.filter((F.col(rank) >= start) & (F.col(rank) <= last))
 
 
-def data_overview(df: DataFrame, key: str = "symbol", time: str = "collected_at") -> DataFrame:
-    """Distinct keys and snapshots, first and last time, and whole minutes between them."""
+def data_overview(
+    df: DataFrame, key: str = "symbol", time: str = "collected_at", approximate: bool = False
+) -> DataFrame:
+    """Distinct keys and snapshots, first and last time, and whole minutes between them.
+
+    ``approximate`` counts distinct values by sketch, without shuffling them.
+    """
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     span = micros(F.col("last_time")) - micros(F.col("first_time"))
     return df.agg(
-        F.count_distinct(key).alias("keys"),
-        F.count_distinct(time).alias("snapshots"),
+        distinct(key).alias("keys"),
+        distinct(time).alias("snapshots"),
         F.min(time).alias("first_time"),
         F.max(time).alias("last_time"),
     ).withColumn("span_minutes", F.floor(span / 60e6))

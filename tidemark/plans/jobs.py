@@ -74,16 +74,10 @@ class Layers:
         return tables.read_layer(spark, self.gold, GOLD)
 
 
-def _rows_of(stored: DataFrame, batch_id: str) -> int:
-    # The footers of the batch's own files; no column is read.
-    return stored.filter(F.col("batch_id") == batch_id).count()
-
-
-def write_bronze(payloads: DataFrame, layers: Layers, batch_id: str, endpoint: str) -> int:
-    """Appends the batch's listings, then its audit rows; returns the listing count."""
+def write_bronze(payloads: DataFrame, layers: Layers, batch_id: str, endpoint: str) -> None:
+    """Appends the batch's listings, then one audit row per payload."""
     tables.write_batch(to_bronze(payloads), layers.bronze, batch_id)
     tables.write_batch(to_audit(payloads, endpoint), layers.audit, batch_id)
-    return _rows_of(layers.read_bronze(payloads.sparkSession), batch_id)
 
 
 def _same_dates(stored: DataFrame, cleaned: DataFrame) -> DataFrame:
@@ -95,8 +89,8 @@ def _same_dates(stored: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 def write_silver(
     bronze: DataFrame, layers: Layers, batch_id: str, mode: str = "fail", max_rank: int = 10
-) -> int:
-    """Appends the batch's clean rows that Silver does not have; returns their number.
+) -> None:
+    """Appends the batch's clean rows that Silver does not have.
 
     ``fail`` stops before anything is committed if a row to be added fails a check,
     ``quarantine`` sets failing rows apart first, ``report`` lets them pass.
@@ -116,18 +110,16 @@ def write_silver(
     rows = silver_increment(rows, stored)
     if mode == "fail":
         rows = enforce(rows, checks)
-    tables.write_batch(rows, layers.silver, batch_id, rebalance=True)
-    return _rows_of(tables.read_batches(spark, layers.silver, SILVER), batch_id)
+    tables.write_batch(rows, layers.silver, batch_id)
 
 
 def rebuild_gold(
     spark: SparkSession, layers: Layers, rows_per_part: int = ROWS_PER_PART
-) -> int:
-    """Recomputes Gold from all of Silver and replaces it; returns its row count."""
+) -> None:
+    """Recomputes Gold from all of Silver and replaces it."""
     silver = layers.read_silver(spark)
     cuts = find_cut_points(silver, Timeline(), rows_per_part)
     tables.overwrite(to_gold(silver, cuts=cuts), layers.gold)
-    return layers.read_gold(spark).count()
 
 
 def run_cycle(
@@ -145,29 +137,29 @@ def run_cycle(
     Returns (layer, new_rows, total_rows, snapshots). Any failure propagates; layers
     that were written before it stay, and running the same batch again completes it.
     """
-    payloads = read_payloads(spark, landing, multi_line)
-    new = {"bronze": write_bronze(payloads, layers, batch_id, endpoint)}
-    written = layers.read_bronze(spark).filter(F.col("batch_id") == batch_id)
-    new["silver"] = write_silver(written, layers, batch_id, mode, max_rank)
-    new["gold"] = rebuild_gold(spark, layers)
-    return cycle_summary(spark, layers, new)
+    write_bronze(read_payloads(spark, landing, multi_line), layers, batch_id, endpoint)
+    bronze = layers.read_bronze(spark).filter(F.col("batch_id") == batch_id)
+    write_silver(bronze, layers, batch_id, mode, max_rank)
+    rebuild_gold(spark, layers)
+    return cycle_summary(spark, layers, batch_id)
 
 
-def cycle_summary(spark: SparkSession, layers: Layers, new: dict[str, int]) -> DataFrame:
-    """Totals come from file footers, snapshots from the audit table of one row per payload."""
-    times = layers.read_audit(spark).filter("coins_returned > 0").select("collected_at")
+def cycle_summary(spark: SparkSession, layers: Layers, batch_id: str) -> DataFrame:
+    """Row counts come from file footers, snapshots from the audit table of one row per
+    payload. Gold is rebuilt whole, so all its rows are new."""
     stored = {
         "bronze": layers.read_bronze(spark),
-        "silver": layers.read_silver(spark),
-        "gold": layers.read_gold(spark),
+        "silver": tables.read_batches(spark, layers.silver, SILVER),
+        "gold": layers.read_gold(spark).withColumn("batch_id", F.lit(batch_id)),
     }
     result = None
     for layer, df in stored.items():
         row = df.agg(
             F.lit(layer).alias("layer"),
-            F.lit(new[layer]).cast("bigint").alias("new_rows"),
+            F.count_if(F.col("batch_id") == batch_id).alias("new_rows"),
             F.count("*").alias("total_rows"),
         )
         result = row if result is None else result.unionByName(row)
+    times = layers.read_audit(spark).filter("coins_returned > 0").select("collected_at")
     snapshots = times.agg(F.count_distinct("collected_at")).scalar()
     return result.withColumn("snapshots", snapshots)

@@ -77,5 +77,10 @@ SILVER_KEY = ["symbol", "collected_at"]
 
 
 def with_batch(schema: T.StructType) -> T.StructType:
-    """The schema as stored, where each batch has its own directory."""
-    return T.StructType([*schema.fields, T.StructField("batch_id", _TEXT)])
+    """The schema as stored: each batch has its own directory, with one per date below.
+
+    Directory columns come last and in directory order. A stream that starts on an
+    empty table finds them by their place.
+    """
+    data = [f for f in schema.fields if f.name != "snapshot_date"]
+    return T.StructType([*data, T.StructField("batch_id", _TEXT), schema["snapshot_date"]])

@@ -69,7 +69,8 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def _by_date(df: DataFrame) -> DataFrame:
-    # AQE sizes the write tasks: it merges small dates and splits a date that is too big.
+    # Without this every task would write a file for every date it holds. AQE sizes the
+    # write tasks: it merges small dates and splits a date that is too big for one.
     return df.hint("rebalance", DATE)
 
 
@@ -77,10 +78,9 @@ def append(df: DataFrame, path: str, partitions: Sequence[str] = (DATE,)) -> Non
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: str, rebalance: bool = False) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: str) -> None:
     """Writes or replaces one batch of an append-only layer."""
-    rows = _by_date(df) if rebalance else df
-    rows.write.mode("overwrite").partitionBy(DATE).parquet(f"{path}/batch_id={batch_id}")
+    _by_date(df).write.mode("overwrite").partitionBy(DATE).parquet(f"{path}/batch_id={batch_id}")
 
 
 def overwrite(df: DataFrame, path: str, by_date: bool = True) -> None:

@@ -101,6 +101,27 @@ def gold_stream(
     return _start(silver, write, layers.checkpoint("gold"), every)
 
 
+def start_all(
+    spark: SparkSession,
+    landing: str,
+    layers: Layers,
+    endpoint: str,
+    every: str,
+    mode: str = "quarantine",
+    multi_line: bool = True,
+    max_rank: int = 10,
+) -> list[StreamingQuery]:
+    """All three streams, each looking for new files at the interval ``every``."""
+    # A stream cannot start on a folder that does not exist yet.
+    tables.create_batches(spark, layers.bronze, BRONZE)
+    tables.create_batches(spark, layers.silver, SILVER)
+    return [
+        bronze_stream(spark, landing, layers, endpoint, every, multi_line),
+        silver_stream(spark, layers, mode, every, max_rank=max_rank),
+        gold_stream(spark, layers, every=every),
+    ]
+
+
 def advance_gold(
     silver: DataFrame, layers: Layers, batch: int, timeline: Timeline, rows_per_part: int
 ) -> None:
@@ -131,7 +152,7 @@ def advance_gold(
         cuts = find_cut_points(history, timeline, rows_per_part)
         gold = to_gold(history, timeline, cuts=cuts).filter(~F.col(_CARRIED))
         gold = gold.select(*GOLD.names)
-        tables.write_batch(gold, layers.live_gold, _label(batch), rebalance=True)
+        tables.write_batch(gold, layers.live_gold, _label(batch))
         tables.write_batch(late, layers.late, _label(batch))
         state = _newest(history.drop(_CARRIED), timeline)
         state = state.withColumn("batch_id", F.lit(_label(batch)))
