@@ -118,13 +118,14 @@ def add_features(
     columns = {
         "price_delta_pct": masked(series.pct_change(price, w)),
         "minutes_since_last": masked(series.minutes_since_last(F.col(timeline.time), w)),
-        "observed_log_return": masked(series.observed_log_return(price, w)),
         "price_sma_3": masked(series.rolling(price, 3, w)),
         "price_sma_7": masked(series.rolling(price, 7, w)),
     }
     if share is not None:
         columns["dominance_delta"] = masked(series.difference(F.col(share), w))
-    features = df.withColumns(columns)
+    features = df.withColumns(columns).withColumn(
+        "observed_log_return", scalar.log_return("price_delta_pct")
+    )
     spread = series.volatility(F.col("observed_log_return"), 3, w)
     return features.withColumn("volatility_3", masked(spread))
 
