@@ -1,7 +1,9 @@
 import json
 import math
 from datetime import date, datetime
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,3 +220,16 @@ def test_gold_with_a_cut_symbol_equals_uncut_gold(spark, landing, layers):
     jobs.rebuild_gold(spark, layers, rows_per_part=5)
     assert layers.read_gold(spark).count() == 48
     assert sorted(whole, key=str) == sorted(layers.read_gold(spark).collect(), key=str)
+
+
+def test_gold_files_are_sorted_by_key_within_a_date(spark, landing, layers):
+    for hour in (5, 3):
+        put(landing, f"{hour}.json", payload(hour, coin("ETH", 2.0), coin("BTC", 1.0 + hour)))
+    put(landing, "next.json", payload(1, coin("BTC", 9.0), day=23))
+    cycle(spark, landing, layers, "one")
+    for folder in Path(layers.gold).glob("snapshot_date=*"):
+        for part in folder.glob("*.parquet"):
+            keys = pq.read_table(part, columns=["symbol", "collected_at"]).to_pylist()
+            assert keys == sorted(keys, key=lambda r: (r["symbol"], r["collected_at"]))
+    history = reports.key_history(layers.read_gold(spark), "BTC", ["quote_USD_price"])
+    assert [r[0] for r in history.collect()] == [4.0, 6.0, 9.0]

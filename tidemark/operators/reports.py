@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.series import micros
 
 _RANK, _SALT = "_rank", "_salt"
-# Up to this rank Spark filters ranks before the shuffle by itself
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_EARLY_RANK_LIMIT = 1_000
+# Spark filters small ranks before the shuffle by itself, which leaves up to one slice per
+# map task for the task that ranks a huge snapshot. Deeper slices are cut down twice.
+_ONE_PASS_RANKS = 100
 _SALTS = 512
 
 
@@ -69,12 +69,10 @@ def top_per_snapshot(
 ) -> DataFrame:
     """Ranks ``start`` to ``start + limit - 1`` of each snapshot, with the rank."""
     last = start + limit - 1
-    if last > _EARLY_RANK_LIMIT:
-        # Rank within hashed shares first, so a huge snapshot is cut down in many tasks.
+    if last > _ONE_PASS_RANKS:
         shares = Window.partitionBy(snapshot, _SALT).orderBy(*order)
-        salted = df.withColumn(_SALT, F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
         df = (
-            salted.repartition(snapshot, _SALT)
+            df.withColumn(_SALT, F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
             .withColumn(_RANK, F.row_number().over(shares))
             .filter(F.col(_RANK) <= last)
             .drop(_RANK, _SALT)

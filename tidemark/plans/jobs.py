@@ -13,7 +13,7 @@ from tidemark.operators.quality import enforce, snapshot_checks, split_rows
 from tidemark.plans.layers import clean, silver_increment, to_audit, to_bronze, to_gold
 from tidemark.sources import tables
 from tidemark.sources.landing import read_payloads
-from tidemark.sources.schemas import AUDIT, BRONZE, GOLD, SILVER
+from tidemark.sources.schemas import AUDIT, BRONZE, GOLD, SILVER, SILVER_KEY
 
 MODES = ("fail", "quarantine", "report")
 
@@ -110,7 +110,7 @@ def write_silver(
     rows = silver_increment(rows, stored)
     if mode == "fail":
         rows = enforce(rows, checks)
-    tables.write_batch(rows, layers.silver, batch_id)
+    tables.write_batch(rows, layers.silver, batch_id, SILVER_KEY)
 
 
 def rebuild_gold(
@@ -119,7 +119,7 @@ def rebuild_gold(
     """Recomputes Gold from all of Silver and replaces it."""
     silver = layers.read_silver(spark)
     cuts = find_cut_points(silver, Timeline(), rows_per_part)
-    tables.overwrite(to_gold(silver, cuts=cuts), layers.gold)
+    tables.overwrite(to_gold(silver, cuts=cuts), layers.gold, order=SILVER_KEY)
 
 
 def run_cycle(

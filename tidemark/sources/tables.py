@@ -68,25 +68,30 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return read_layer(spark, path, with_batch(schema))
 
 
-def _by_date(df: DataFrame) -> DataFrame:
+def _by_date(df: DataFrame, order: Sequence[str]) -> DataFrame:
     # Without this every task would write a file for every date it holds. AQE sizes the
     # write tasks: it merges small dates and splits a date that is too big for one.
-    return df.hint("rebalance", DATE)
+    rows = df.hint("rebalance", DATE)
+    # Writing by date sorts by date anyway; the rest of the order lets a filter on the key
+    # skip row groups.
+    return rows.sortWithinPartitions(DATE, *order) if order else rows
 
 
 def append(df: DataFrame, path: str, partitions: Sequence[str] = (DATE,)) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: str) -> None:
-    """Writes or replaces one batch of an append-only layer."""
-    _by_date(df).write.mode("overwrite").partitionBy(DATE).parquet(f"{path}/batch_id={batch_id}")
+def write_batch(df: DataFrame, path: str, batch_id: str, order: Sequence[str] = ()) -> None:
+    """Writes or replaces one batch of an append-only layer, its files sorted by ``order``."""
+    _by_date(df, order).write.mode("overwrite").partitionBy(DATE).parquet(f"{path}/batch_id={batch_id}")
 
 
-def overwrite(df: DataFrame, path: str, by_date: bool = True) -> None:
+def overwrite(
+    df: DataFrame, path: str, by_date: bool = True, order: Sequence[str] = ()
+) -> None:
     """Replaces a whole layer; ``path`` must not be one that ``df`` reads."""
     if by_date:
-        _by_date(df).write.mode("overwrite").partitionBy(DATE).parquet(path)
+        _by_date(df, order).write.mode("overwrite").partitionBy(DATE).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 

@@ -152,7 +152,9 @@ def advance_gold(
         cuts = find_cut_points(history, timeline, rows_per_part)
         gold = to_gold(history, timeline, cuts=cuts).filter(~F.col(_CARRIED))
         gold = gold.select(*GOLD.names)
-        tables.write_batch(gold, layers.live_gold, _label(batch))
+        tables.write_batch(
+            gold, layers.live_gold, _label(batch), [timeline.key, *timeline.order]
+        )
         tables.write_batch(late, layers.late, _label(batch))
         state = _newest(history.drop(_CARRIED), timeline)
         state = state.withColumn("batch_id", F.lit(_label(batch)))
