@@ -77,10 +77,11 @@ def brute_force(rows):
         if change is not None and 1 + change / 100 > 0:
             log = math.log(1 + change / 100)
         logs.append(log)
-        mean = lambda n: (
-            sum(x) / len(x) if (x := [r[3] for r in rows[max(0, i - n + 1): i + 1] if r[3] is not None])
-            else None
-        )
+
+        def mean(n, i=i):
+            seen = [r[3] for r in rows[max(0, i - n + 1): i + 1] if r[3] is not None]
+            return sum(seen) / len(seen) if seen else None
+
         recent = [x for x in logs[-3:] if x is not None]
         out[rid] = (change, minutes, log, mean(3), mean(7),
                     stdev(recent) if len(recent) > 1 else None, shift)

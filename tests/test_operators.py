@@ -42,7 +42,8 @@ def test_explode_keeps_place_and_text(spark):
     df = spark.createDataFrame(
         [(1, ['{"a": 1, "z": 9}', '{"a": 2}']), (2, []), (3, None)], "id INT, data ARRAY<STRING>"
     )
-    got = nested.explode_records(df, "data", "place", T.StructType([T.StructField("a", T.IntegerType())]), "raw")
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    got = nested.explode_records(df, "data", "place", schema, "raw")
     assert got.columns == ["id", "place", "raw", "a"]
     assert rows(got, "place") == [(1, 0, '{"a": 1, "z": 9}', 1), (1, 1, '{"a": 2}', 2)]
     counts = df.select("id", nested.array_length("data"))

@@ -40,7 +40,8 @@ def test_export_keeps_microseconds_and_arrays_as_json(spark, tmp_path):
     path = str(tmp_path / "out")
     when = datetime(2026, 5, 22, 14, 17, 13, 123456)
     df = spark.createDataFrame(
-        [(1, when, ["a", "b"], 'say "x", y')], "i INT, t TIMESTAMP_NTZ, tags ARRAY<STRING>, s STRING"
+        [(1, when, ["a", "b"], 'say "x", y')],
+        "i INT, t TIMESTAMP_NTZ, tags ARRAY<STRING>, s STRING",
     )
     tables.export_csv(df, path)
     schema = T.StructType([*df.schema.fields[:2], T.StructField("tags", T.StringType()),

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from tidemark.operators import reports
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
-from tidemark.session import AT_SCALE, apply_semantics
+from tidemark.session import AT_SCALE, apply_semantics, shuffle_partitions
 from tidemark.streaming.jobs import start_all
 
 REPORTS = {
@@ -30,6 +30,7 @@ def arguments() -> argparse.ArgumentParser:
     def command(name: str, text: str) -> argparse.ArgumentParser:
         added = commands.add_parser(name, help=text)
         added.add_argument("--root", required=True, help="folder of the layers")
+        added.add_argument("--shuffle-gb", type=int, help="size of the largest shuffle")
         return added
 
     cycle = command("cycle", "landing files through Bronze and Silver to a new Gold")
@@ -55,6 +56,10 @@ def main() -> None:
     for name, value in AT_SCALE.items():
         builder = builder.config(name, value)
     spark = apply_semantics(builder.getOrCreate())
+    if args.shuffle_gb is not None:
+        cores = spark.sparkContext.defaultParallelism
+        partitions = shuffle_partitions(args.shuffle_gb << 30, cores)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     layers = Layers(args.root)
     if args.command == "cycle":
         jobs.run_cycle(

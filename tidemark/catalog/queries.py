@@ -17,7 +17,7 @@ from tidemark.catalog.derived import (
 )
 from tidemark.functions import scalar, series
 from tidemark.operators import dedup, nested, quality, reports
-from tidemark.operators.history import Timeline, find_cut_points, over_history
+from tidemark.operators.history import find_cut_points, over_history
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.plans.layers import rebased, to_gold
@@ -73,7 +73,9 @@ def _along(
 
 @query
 def price_delta(spark, sf_dir):
-    return _along(spark, sf_dir, "price_delta_pct", lambda w: series.pct_change(F.col("value"), w), 1)
+    return _along(
+        spark, sf_dir, "price_delta_pct", lambda w: series.pct_change(F.col("value"), w), 1
+    )
 
 
 @query
@@ -400,8 +402,9 @@ def ranks_beyond_limit(spark, sf_dir):
 @query
 def first_row(spark, sf_dir):
     """The one-row sample: the earliest event."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
-    return events.orderBy("ts", "event_id").limit(1)
+    events = table(spark, sf_dir, "events")
+    earliest = events.orderBy("ts", "event_id").limit(1)
+    return earliest.select("event_id", "user_id", "event_type", "value", "ts")
 
 
 @query

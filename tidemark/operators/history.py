@@ -30,7 +30,11 @@ Compute = Callable[[DataFrame, WindowSpec], DataFrame]
 
 @dataclass(frozen=True)
 class Timeline:
-    """Names the key, the time column and what settles the order among equal times."""
+    """Names the key, the time column and what settles the order among equal times.
+
+    Time and ties together should order a key's rows fully; rows they leave equal have
+    no order that two runs would agree on.
+    """
 
     key: str = "symbol"
     time: str = "collected_at"

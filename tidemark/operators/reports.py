@@ -16,7 +16,9 @@ _ONE_PASS_RANKS = 100
 _SALTS = 512
 
 
-def latest_snapshot(df: DataFrame, time: str = "collected_at", date: str | None = None) -> DataFrame:
+def latest_snapshot(
+    df: DataFrame, time: str = "collected_at", date: str | None = None
+) -> DataFrame:
     """Rows at the table's last time. ``date`` names a partition column to prune by."""
     if date is not None:
         df = df.filter(F.col(date) == df.select(F.max(date)).scalar())

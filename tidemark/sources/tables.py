@@ -50,7 +50,9 @@ def conform(df: DataFrame, schema: T.StructType, lenient: bool = False) -> DataF
     return df.select(*columns)
 
 
-def create_layer(spark: SparkSession, path: str, schema: T.StructType, by: Sequence[str]) -> None:
+def create_layer(
+    spark: SparkSession, path: str, schema: T.StructType, by: Sequence[str]
+) -> None:
     """An empty table at ``path``, unless there is one."""
     empty = spark.createDataFrame([], schema)
     empty.write.mode("ignore").partitionBy(*by).parquet(path)
