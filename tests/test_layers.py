@@ -76,10 +76,26 @@ def test_payloads_of_native_coins_only_still_have_the_platform_column(spark, lan
 def test_unlisted_fields_can_be_kept(spark, landing):
     put(landing, "a.json", payload(14, coin("BTC", 1.0)))
     wider = T.StructType([*COIN.fields, T.StructField("tags", T.ArrayType(T.StringType()))])
-    bronze = to_bronze(read_payloads(spark, str(landing)), wider, raw="raw_json")
-    row = bronze.first()
+    row = to_bronze(read_payloads(spark, str(landing), coin=wider)).first()
+    assert row["tags"] == ["x"]
+    as_text = read_payloads(spark, str(landing), coin=None)
+    row = to_bronze(as_text, wider, raw="raw_json").first()
     assert row["tags"] == ["x"]
     assert json.loads(row["raw_json"])["tags"] == ["x"]
+    parsed = to_bronze(read_payloads(spark, str(landing))).collect()
+    assert parsed == to_bronze(as_text).collect()
+    with pytest.raises(ValueError):
+        to_bronze(read_payloads(spark, str(landing)), raw="raw_json")
+
+
+def test_a_value_of_the_wrong_type_costs_that_value_only(spark, landing):
+    put(landing, "a.json", payload(14, coin("BTC", "n/a"), coin("ETH", 2.0, 2)))
+    payloads = read_payloads(spark, str(landing))
+    got = {r["symbol"]: r for r in to_bronze(payloads).collect()}
+    assert got["BTC"]["quote_USD_price"] is None and got["BTC"]["quote_USD_market_cap"] == 1000.0
+    assert got["ETH"]["quote_USD_price"] == 2.0
+    audit = to_audit(payloads, END).first()
+    assert audit["malformed"] and audit["coins_returned"] == 2
 
 
 def test_audit_has_a_row_for_every_payload(spark, landing):

@@ -38,11 +38,17 @@ def _date_of(time: str):
 def to_bronze(
     payloads: DataFrame, coin: T.StructType = COIN, raw: str | None = None
 ) -> DataFrame:
-    """Flat rows of the records in ``data``. A wider ``coin`` schema adds columns after the
-    declared ones, and ``raw`` names a column for each record's own JSON text."""
+    """Flat rows of the records in ``data``; fields beyond the declared ones come last.
+
+    Records that are still JSON text are parsed with ``coin``, and ``raw`` then names a
+    column that keeps each record's text.
+    """
+    is_text = isinstance(payloads.schema["data"].dataType.elementType, T.StringType)
+    if raw is not None and not is_text:
+        raise ValueError("read the payloads with coin=None to keep the records' text")
     records = explode_records(
         payloads.select("collected_at", "source_file", "data"),
-        "data", "listing_position", coin, raw,
+        "data", "listing_position", coin if is_text else None, raw,
     )
     flat = flatten_structs(records).withColumn("snapshot_date", _date_of("collected_at"))
     extra = [c for c in flat.columns if c not in BRONZE.names]

@@ -10,17 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.schemas import STATUS
+from tidemark.sources.schemas import COIN, STATUS
 
 _CORRUPT = "_corrupt_record"
 
 
-def payload_schema(status: T.StructType = STATUS) -> T.StructType:
-    """Schema of a landing file. Records stay JSON text, so counting them parses none
-    and no field of theirs is lost before Bronze."""
+def payload_schema(coin: T.StructType | None, status: T.StructType = STATUS) -> T.StructType:
+    """Schema of a landing file; without a ``coin`` schema its records stay JSON text."""
     return T.StructType([
         T.StructField("status", status),
-        T.StructField("data", T.ArrayType(T.StringType())),
+        T.StructField("data", T.ArrayType(T.StringType() if coin is None else coin)),
         T.StructField("collected_at", T.StringType()),
         T.StructField(_CORRUPT, T.StringType()),
     ])
@@ -41,15 +40,17 @@ def read_payloads(
     spark: SparkSession,
     path: str | list[str],
     multi_line: bool = True,
+    coin: T.StructType | None = COIN,
     status: T.StructType = STATUS,
 ) -> DataFrame:
     """Payload rows: status, data, collected_at, source_file, malformed.
 
     ``collected_at`` is the payload's own stamp, else the time its file arrived, so the
     listings and the audit row of one payload always agree. A file that is no valid
-    payload gives a row with ``malformed`` set.
+    payload gives a row with ``malformed`` set. A wider ``coin`` schema adds columns to
+    Bronze; None keeps the records as JSON text, which Bronze parses and can keep.
     """
-    reader = spark.read.schema(payload_schema(status))
+    reader = spark.read.schema(payload_schema(coin, status))
     raw = reader.option("multiLine", multi_line).option("columnNameOfCorruptRecord", _CORRUPT)
     return _payloads(raw.json(path))
 
@@ -59,10 +60,11 @@ def stream_payloads(
     path: str,
     multi_line: bool = True,
     files_per_batch: int | None = None,
+    coin: T.StructType | None = COIN,
     status: T.StructType = STATUS,
 ) -> DataFrame:
     """Streaming form of ``read_payloads``: each landing file is taken once."""
-    reader = spark.readStream.schema(payload_schema(status))
+    reader = spark.readStream.schema(payload_schema(coin, status))
     reader = reader.option("multiLine", multi_line).option("columnNameOfCorruptRecord", _CORRUPT)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
