@@ -130,6 +130,23 @@ def test_cut_histories_give_the_uncut_results(spark, rows_per_part):
     assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "date", "bigint"])
+def test_any_ordered_time_type_can_be_cut(spark, kind):
+    rows = [r for r in skewed_rows(11) if r[2] is not None]
+    df = spark.createDataFrame(rows, DDL)
+    as_number = F.unix_seconds("t") if kind == "bigint" else F.col("t")
+    df = df.withColumn("t", as_number.cast(kind))
+    cuts = find_cut_points(df, TL, 50)
+
+    def compute(d, w):
+        return d.withColumn("m", series.rolling(F.col("v"), 7, w))
+
+    plain = over_history(df, compute, TL, 6, ["v"]).filter("k IS NOT NULL")
+    cut = over_history(df, compute, TL, 6, ["v"], cuts).filter("k IS NOT NULL")
+    assert cut.count() == plain.count()
+    assert plain.exceptAll(cut.select(*plain.columns)).isEmpty()
+
+
 def test_small_tables_are_not_cut(spark):
     df = one_key(spark, [1.0, 2.0])
     assert find_cut_points(df, TL) is None

@@ -151,6 +151,7 @@ def test_overview_spans_whole_days(spark):
     df = spark.createDataFrame([("a", T1, 1), ("b", T2, 2), (None, T2, 3)], KEYED)
     got = reports.data_overview(df, "s", "t").first()
     assert (got["keys"], got["snapshots"], got["span_minutes"]) == (2, 2, 2885)
+    assert reports.data_overview(df, "s", "t", approximate=True).first() == got
     assert [r[0] for r in reports.snapshot_times(df, "t").collect()] == [T1, T2]
 
 

@@ -53,9 +53,10 @@ class Timeline:
         """One comparable value per row that sorts as the window does."""
         fields = []
         for i, c in enumerate(self.order):
-            is_time = isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType))
+            # As a number a timestamp reaches the driver and returns without a time zone.
+            zoned = isinstance(df.schema[c].dataType, T.TimestampType)
             fields.append(F.col(c).isNull().alias(f"n{i}"))
-            fields.append((micros(F.col(c)) if is_time else F.col(c)).alias(f"v{i}"))
+            fields.append((micros(F.col(c)) if zoned else F.col(c)).alias(f"v{i}"))
         return F.struct(*fields)
 
     def masked(self, value: Column) -> Column:

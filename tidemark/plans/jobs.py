@@ -1,5 +1,8 @@
-"""Batch jobs over the stored layers. Running a job again with the same batch id, or
-over rows that are already there, changes nothing."""
+"""Batch jobs over the stored layers.
+
+A batch that is run again under its id replaces itself. Bronze keeps whatever lands, also
+twice under two ids; Silver adds only keys it does not have, and Gold follows Silver.
+"""
 
 from __future__ import annotations
 
