@@ -12,6 +12,7 @@ from tidemark.operators import reports
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.plans.layers import clean, to_audit, to_bronze, to_silver
+from tidemark.sources import tables
 from tidemark.sources.landing import read_payloads
 from tidemark.sources.schemas import AUDIT, BRONZE, COIN, GOLD, GOLD_FEATURES, SILVER
 
@@ -249,3 +250,27 @@ def test_gold_files_are_sorted_by_key_within_a_date(spark, landing, layers):
             assert keys == sorted(keys, key=lambda r: (r["symbol"], r["collected_at"]))
     history = reports.key_history(layers.read_gold(spark), "BTC", ["quote_USD_price"])
     assert [r[0] for r in history.collect()] == [4.0, 6.0, 9.0]
+
+
+def test_history_kept_as_csv_can_be_imported_and_exported(spark, layers, tmp_path):
+    head = ("symbol,name,cmc_rank,platform_id,quote_USD_price,quote_USD_market_cap,"
+            "quote_USD_volume_24h,collected_at\n")
+    one, two = tmp_path / "one.csv", tmp_path / "two.csv"
+    one.write_text(head + "BTC,Bitcoin,1,,100.5,1000.0,5.0,2026-05-22T14:17:13+00:00\n"
+                   "USDT,Tether,3,825.0,1.0,10.0,5.0,2026-05-22T14:17:13+00:00\n")
+    columns = head.strip().split(",")
+    values = dict(zip(columns, "BTC,Bitcoin,1,,110.55,1000.0,5.0,2026-05-22T18:17:13+00:00"
+                      .split(","), strict=True))
+    two.write_text(",".join(reversed(columns)) + "\n"
+                   + ",".join(values[c] for c in reversed(columns)) + "\n")
+    jobs.import_bronze(spark, [str(one), str(two)], layers, "old")
+    jobs.write_silver(layers.read_bronze(spark), layers, "old")
+    jobs.rebuild_gold(spark, layers)
+    gold = sorted(layers.read_gold(spark).collect(), key=lambda r: (r["symbol"], r["collected_at"]))
+    assert [(r["symbol"], r["platform_id"], r["is_token"]) for r in gold] == [
+        ("BTC", None, False), ("BTC", None, False), ("USDT", 825, True)]
+    assert gold[1]["price_delta_pct"] == pytest.approx(10.0)
+    tables.export_csv(layers.read(spark, "gold"), str(tmp_path / "out"))
+    back = tables.import_csv(spark, [str(tmp_path / "out")], GOLD, lenient=False).collect()
+    assert sorted(back, key=str) == sorted(
+        layers.read_gold(spark).select(*GOLD.names).collect(), key=str)

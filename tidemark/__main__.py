@@ -8,11 +8,13 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import reports
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.session import AT_SCALE, apply_semantics, shuffle_partitions
+from tidemark.sources.tables import export_csv
 from tidemark.streaming.jobs import start_all
 
 REPORTS = {
@@ -44,6 +46,14 @@ def arguments() -> argparse.ArgumentParser:
         taker.add_argument("--lines", action="store_true", help="one payload per line")
         taker.add_argument("--max-rank", type=int, default=10)
     command("rebuild", "Gold from all of Silver")
+    load = command("import", "listings kept as CSV into Bronze and Silver")
+    load.add_argument("--batch-id", required=True)
+    load.add_argument("--csv", required=True, action="append", help="files of one layout each")
+    load.add_argument("--mode", choices=jobs.MODES, default="fail")
+    load.add_argument("--max-rank", type=int, default=10)
+    export = command("export", "a layer as a folder of CSV files")
+    export.add_argument("layer", choices=["bronze", "audit", "silver", "gold"])
+    export.add_argument("--to", required=True)
     report = command("report", "a report on stored Gold")
     report.add_argument("name", choices=sorted(REPORTS))
     report.add_argument("--rows", type=int, default=20, help="rows to print")
@@ -74,6 +84,12 @@ def main() -> None:
         spark.streams.awaitAnyTermination()
     elif args.command == "rebuild":
         jobs.rebuild_gold(spark, layers)
+    elif args.command == "import":
+        jobs.import_bronze(spark, args.csv, layers, args.batch_id)
+        bronze = layers.read_bronze(spark).filter(F.col("batch_id") == args.batch_id)
+        jobs.write_silver(bronze, layers, args.batch_id, args.mode, args.max_rank)
+    elif args.command == "export":
+        export_csv(layers.read(spark, args.layer), args.to)
     else:
         REPORTS[args.name](layers.read_gold(spark)).show(args.rows, truncate=False)
 

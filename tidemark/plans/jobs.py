@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.history import ROWS_PER_PART, Timeline, find_cut_points
 from tidemark.operators.quality import enforce, snapshot_checks, split_rows
-from tidemark.plans.layers import clean, silver_increment, to_audit, to_bronze, to_gold
+from tidemark.plans.layers import clean, date_of, silver_increment, to_audit, to_bronze, to_gold
 from tidemark.sources import tables
 from tidemark.sources.landing import read_payloads
 from tidemark.sources.schemas import AUDIT, BRONZE, GOLD, SILVER, SILVER_KEY
@@ -73,6 +73,10 @@ class Layers:
     def read_silver(self, spark: SparkSession) -> DataFrame:
         return tables.read_batches(spark, self.silver, SILVER).drop("batch_id")
 
+    def read(self, spark: SparkSession, layer: str) -> DataFrame:
+        """Any of bronze, audit, silver and gold."""
+        return getattr(self, f"read_{layer}")(spark)
+
     def read_gold(self, spark: SparkSession) -> DataFrame:
         return tables.read_layer(spark, self.gold, GOLD)
 
@@ -83,6 +87,14 @@ def write_bronze(payloads: DataFrame, layers: Layers, batch_id: str, endpoint: s
     tables.write_batch(to_audit(payloads, endpoint), layers.audit, batch_id)
 
 
+def import_bronze(spark: SparkSession, paths: list[str], layers: Layers, batch_id: str) -> None:
+    """Appends listings kept as CSV so far; a path holds files of one column layout."""
+    rows = tables.import_csv(spark, paths, BRONZE)
+    rows = rows.withColumn("source_file", F.coalesce("source_file", F.lit(batch_id)))
+    rows = rows.withColumn(tables.DATE, date_of("collected_at"))
+    tables.write_batch(rows, layers.bronze, batch_id)
+
+
 def _same_dates(stored: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Stored rows of the dates that occur in the new ones, so no other date is read."""
     # One value per calendar day at most.

@@ -6,7 +6,7 @@ one row per (symbol, collected_at). gold: silver with features along each symbol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ LOG_RETURNS = {
 GOLD_LOOK_BACK = 6
 
 
-def _date_of(time: str):
+def date_of(time: str) -> Column:
     return F.to_date(scalar.parse_time(time))
 
 
@@ -50,7 +50,7 @@ def to_bronze(
         payloads.select("collected_at", "source_file", "data"),
         "data", "listing_position", coin if is_text else None, raw,
     )
-    flat = flatten_structs(records).withColumn("snapshot_date", _date_of("collected_at"))
+    flat = flatten_structs(records).withColumn("snapshot_date", date_of("collected_at"))
     extra = [c for c in flat.columns if c not in BRONZE.names]
     declared = [F.col(f.name).cast(f.dataType) for f in BRONZE.fields if f.name in flat.columns]
     absent = [
@@ -70,7 +70,7 @@ def to_audit(payloads: DataFrame, endpoint: str) -> DataFrame:
         array_length("data").alias("coins_returned"),
         "source_file",
         "malformed",
-        _date_of("collected_at").alias("snapshot_date"),
+        date_of("collected_at").alias("snapshot_date"),
     )
     flat = flatten_structs(rows)
     extra = [c for c in flat.columns if c not in AUDIT.names]
