@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
-from tidemark.operators.history import Timeline, find_cut_points, first_value, over_history
+from tidemark.operators.history import (
+    Timeline, find_cut_points, first_value, key_aggregate, over_history,
+)
 from tidemark.plans.layers import GOLD_LOOK_BACK, rebased, to_gold
 from tidemark.sources.schemas import GOLD_FEATURES
 
@@ -235,4 +237,15 @@ def test_properties_of_the_features(spark):
 
 def test_first_value_takes_the_first_row_even_if_null(spark):
     df = one_key(spark, [None, 2.0])
-    assert column(first_value(df, "v", TL, "f"), "f") == [None, None]
+    assert column(key_aggregate(df, first_value("v", TL, df), TL, "f"), "f") == [None, None]
+
+
+@pytest.mark.parametrize("rows_per_part", [7, 400])
+def test_aggregates_of_cut_keys_cover_the_whole_key(spark, rows_per_part):
+    df = spark.createDataFrame(skewed_rows(5), DDL)
+    cuts = find_cut_points(df, TL, rows_per_part)
+    plain = key_aggregate(df, F.max("s"), TL, "m")
+    cut = key_aggregate(df, F.max("s"), TL, "m", cuts)
+    assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
+    plan = plan_of(cut)
+    assert "SortMergeJoin" not in plan and "partial_max" in plan

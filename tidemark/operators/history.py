@@ -185,26 +185,34 @@ def over_history(
     return compute(every, timeline.window(_PART)).filter(~F.col(_LEAD)).drop(_LEAD, _PART)
 
 
-def first_value(
-    df: DataFrame, value: str, timeline: Timeline, out: str, cuts: CutPoints | None = None
+def key_aggregate(
+    df: DataFrame,
+    aggregate: Column,
+    timeline: Timeline,
+    out: str,
+    cuts: CutPoints | None = None,
 ) -> DataFrame:
-    """Adds each key's earliest ``value``, NULL if that row's value is NULL."""
+    """Adds an aggregate over all rows of a key to each of them.
+
+    Cut keys are aggregated on their own, partly before the shuffle, and the result, no
+    more rows than there are cut points, is broadcast. All other keys take a window.
+    """
     if cuts is None:
-        frame = timeline.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, timeline.masked(F.first(value).over(frame)))
-    # Cut keys: one pre-aggregated row each, no more rows than there are cut points.
+        whole = Window.partitionBy(timeline.key)
+        return df.withColumn(out, timeline.masked(aggregate.over(whole)))
+    key = F.col(timeline.key)
     hot = F.broadcast(cuts.table.select(F.col(_KEY)))
-    base = (
-        df.join(hot, F.col(timeline.key) == F.col(_KEY), "inner")
-        .groupBy(_KEY)
-        .agg(F.min_by(F.col(value), timeline.position(df)).alias("_base"))
-    )
-    tagged = _with_part(df, timeline, cuts).repartition(timeline.key, _PART)
-    frame = timeline.window(_PART).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cold = F.when(F.col(_PART) < 0, F.first(value).over(frame))
+    of_hot = df.join(hot, key == F.col(_KEY), "inner").groupBy(_KEY).agg(aggregate.alias("_hot"))
+    parts = _with_part(df, timeline, cuts).repartition(timeline.key, _PART)
+    whole = Window.partitionBy(timeline.key, _PART)
     return (
-        tagged.withColumn("_cold", cold)
-        .join(F.broadcast(base), F.col(timeline.key) == F.col(_KEY), "left")
-        .withColumn(out, F.coalesce(F.col("_base"), F.col("_cold")))
-        .drop("_cold", "_base", _KEY, _PART)
+        parts.withColumn("_cold", F.when(F.col(_PART) < 0, aggregate.over(whole)))
+        .join(F.broadcast(of_hot), key == F.col(_KEY), "left")
+        .withColumn(out, F.coalesce(F.col("_hot"), F.col("_cold")))
+        .drop("_hot", "_cold", _KEY, _PART)
     )
+
+
+def first_value(value: str, timeline: Timeline, df: DataFrame) -> Column:
+    """Aggregate: ``value`` of a key's earliest row, NULL if it is NULL there."""
+    return F.min_by(F.col(value), timeline.position(df))

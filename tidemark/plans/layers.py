@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions import scalar, series
 from tidemark.operators.dedup import keep_first, keep_first_new
-from tidemark.operators.history import CutPoints, Timeline, first_value, over_history
+from tidemark.operators.history import (
+    CutPoints, Timeline, first_value, key_aggregate, over_history,
+)
 from tidemark.operators.nested import array_length, explode_records, flatten_structs
 from tidemark.sources.schemas import AUDIT, BRONZE, COIN, SILVER, SILVER_KEY, TIME_COLUMNS
 from tidemark.sources.tables import conform
@@ -164,5 +166,6 @@ def rebased(
 ) -> DataFrame:
     """``value`` as percent of the key's first one, without the flagged rows."""
     rows = silver if flag is None else silver.filter(~F.col(flag))
-    based = first_value(rows, value, timeline, "_first", cuts)
+    base = first_value(value, timeline, rows)
+    based = key_aggregate(rows, base, timeline, "_first", cuts)
     return based.withColumn(out, scalar.ratio(value, "_first") * 100).drop("_first")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.history import ROWS_PER_PART, Timeline, find_cut_points
+from tidemark.operators.history import ROWS_PER_PART, Timeline, find_cut_points, key_aggregate
 from tidemark.plans.jobs import Layers, write_bronze, write_silver
 from tidemark.plans.layers import GOLD_LOOK_BACK, to_gold
 from tidemark.sources import tables
@@ -134,22 +134,22 @@ def advance_gold(
     carried = tables.read_layer(spark, layers.state((batch + 1) % 2), _STATE)
     # Batch numbers follow each other; anything else in the slot is from an older run.
     carried = carried.filter(F.col("batch_id") == _label(batch - 1)).drop("batch_id")
-    last = carried.groupBy(timeline.key).agg(F.max(timeline.time).alias(_LAST))
-    is_late = F.coalesce(F.col(timeline.time) <= F.col(_LAST), F.lit(False))
-    # Four jobs below read the batch; Spark rebuilds lost pieces of it from its files.
+    history = silver.withColumn(_CARRIED, F.lit(False)).unionByName(
+        carried.withColumn(_CARRIED, F.lit(True))
+    )
+    cuts = find_cut_points(history, timeline, rows_per_part)
+    last = F.max(F.when(F.col(_CARRIED), F.col(timeline.time)))
+    is_late = ~F.col(_CARRIED) & F.coalesce(F.col(timeline.time) <= F.col(_LAST), F.lit(False))
+    # Three jobs below read the batch; Spark rebuilds lost pieces of it from its files.
     marked = (
-        silver.join(last, timeline.key, "left")
+        key_aggregate(history, last, timeline, _LAST, cuts)
         .withColumn(_LATE, is_late)
-        .select(*SILVER.names, _LATE)
+        .select(*SILVER.names, _CARRIED, _LATE)
         .persist()
     )
     try:
-        late = marked.filter(_LATE).drop(_LATE)
-        fresh = marked.filter(~F.col(_LATE)).drop(_LATE)
-        history = fresh.withColumn(_CARRIED, F.lit(False)).unionByName(
-            carried.withColumn(_CARRIED, F.lit(True))
-        )
-        cuts = find_cut_points(history, timeline, rows_per_part)
+        late = marked.filter(_LATE).drop(_LATE, _CARRIED)
+        history = marked.filter(~F.col(_LATE)).drop(_LATE)
         gold = to_gold(history, timeline, cuts=cuts).filter(~F.col(_CARRIED))
         gold = gold.select(*GOLD.names)
         tables.write_batch(
