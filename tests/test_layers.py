@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark.operators import reports
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
-from tidemark.plans.layers import clean, to_audit, to_bronze, to_silver
+from tidemark.plans.layers import clean, silver_increment, to_audit, to_bronze, to_silver
 from tidemark.sources import tables
 from tidemark.sources.landing import read_payloads
 from tidemark.sources.schemas import AUDIT, BRONZE, COIN, GOLD, GOLD_FEATURES, SILVER
@@ -274,3 +274,27 @@ def test_history_kept_as_csv_can_be_imported_and_exported(spark, layers, tmp_pat
     back = tables.import_csv(spark, [str(tmp_path / "out")], GOLD, lenient=False).collect()
     assert sorted(back, key=str) == sorted(
         layers.read_gold(spark).select(*GOLD.names).collect(), key=str)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_new_silver_rows_take_one_exchange_and_no_join(spark, landing, layers):
+    put(landing, "a.json", payload(14, coin("BTC", 1.0)))
+    cycle(spark, landing, layers, "one")
+    cleaned = clean(layers.read_bronze(spark))
+    plan = plan_of(silver_increment(cleaned, layers.read_silver(spark)))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert "Partial" in plan.split("Exchange")[1]
+    stored = plan.split("FileScan")[2].split("ReadSchema: ")[1]
+    assert stored.startswith("struct<symbol:string,collected_at:timestamp>")
+
+
+def test_latest_reports_prune_to_the_last_date(spark, landing, layers):
+    put(landing, "a.json", payload(14, coin("BTC", 1.0)))
+    cycle(spark, landing, layers, "one")
+    plan = plan_of(reports.latest_dominance(layers.read_gold(spark), date="snapshot_date"))
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "dominance" in x)
+    assert "Subquery" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "quote_USD_price" not in scan.split("ReadSchema")[1]

@@ -117,13 +117,15 @@ def test_state_keeps_a_bounded_number_of_rows(spark, landing, layers):
     assert state.groupBy("symbol").count().agg(F.max("count")).first()[0] == 7
 
 
-def test_replays_within_the_lateness_are_dropped(spark, tmp_path):
+@pytest.mark.parametrize("shares", [1, 4])
+def test_replays_within_the_lateness_are_dropped(spark, tmp_path, shares):
     src, out = tmp_path / "in", str(tmp_path / "out")
-    for name in ("a", "b"):
-        put(src, f"{name}.json", "\n".join(
-            json.dumps({"k": k, "t": f"2026-01-01T00:{k:02d}:00Z"}) for k in range(30)))
+    for name in ("a", "b", "c"):
+        copies = [json.dumps({"k": 7, "t": "2026-01-01T00:07:00Z"})] * 50
+        put(src, f"{name}.json", "\n".join(copies + [
+            json.dumps({"k": k, "t": f"2026-01-01T00:{k:02d}:00Z"}) for k in range(30)]))
     stream = spark.readStream.schema("k INT, t TIMESTAMP").option("maxFilesPerTrigger", 1)
-    kept = dedup.keep_first_streaming(stream.json(str(src)), ["k", "t"], "t", "1 hour")
+    kept = dedup.keep_first_streaming(stream.json(str(src)), ["k", "t"], "t", "1 hour", shares)
     (kept.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
         .trigger(availableNow=True).start(out).awaitTermination())
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == list(range(30))

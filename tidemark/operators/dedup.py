@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_RANK, _NEW = "_copy_rank", "_is_new"
+_RANK, _NEW, _SHARE = "_copy_rank", "_is_new", "_share"
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -39,10 +39,23 @@ def dedup_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def keep_first_streaming(
-    df: DataFrame, keys: Sequence[str], time: str, lateness: str
+    df: DataFrame, keys: Sequence[str], time: str, lateness: str, shares: int = 32
 ) -> DataFrame:
-    """Streaming form: drops replays that arrive within ``lateness`` of the first copy."""
-    return df.withWatermark(time, lateness).dropDuplicatesWithinWatermark(list(keys))
+    """Streaming form: drops replays that arrive within ``lateness`` of the first copy.
+
+    A stream cannot cut copies down before its shuffle, so they are first dropped within
+    random shares; a row with very many copies thus meets many tasks, and at most one copy
+    per share goes on to the second pass. ``shares=1`` leaves the first pass out.
+    """
+    marked = df.withWatermark(time, lateness)
+    if shares > 1:
+        share = F.floor(F.rand() * shares).cast("int")
+        marked = (
+            marked.withColumn(_SHARE, share)
+            .dropDuplicatesWithinWatermark([*keys, _SHARE])
+            .drop(_SHARE)
+        )
+    return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
 def keep_first_new(
