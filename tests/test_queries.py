@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tidemark.catalog.oracles import SQL
+from tidemark.catalog.queries import REGISTRY
 
 TABLES = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="no test tables here")
@@ -31,10 +33,12 @@ def sorted_rows(names, rows):
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(REGISTRY) == set(SQL)
+    assert set(REGISTRY) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     got = contract.queries()[name](spark, str(TABLES))
     cursor = duck.execute(contract.oracle_sql()[name])
