@@ -318,8 +318,8 @@ def scored(
                 "held_out": batch.column("held_out"),
                 "n_tokens": pa.array(np.bincount(text, minlength=rows)),
                 "n_common": pa.array(np.bincount(text[met], minlength=rows)),
-                "common_sum": pa.array(base),
-                "gain": pa.array(gain),
+                "common_sum": pa.array(base.astype(np.float64)),
+                "gain": pa.array(gain.astype(np.float64)),
                 "rare": pa.ListArray.from_arrays(cuts, pa.array(rare[first])),
                 "times": pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
             })

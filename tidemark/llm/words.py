@@ -98,14 +98,15 @@ def shingles(text: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np
     size = np.bincount(text)
     first = np.cumsum(size) - size
     short = np.flatnonzero((size > 0) & (size < n))
+    places = np.arange(1, n + 1, dtype=np.uint64) * _GOLD
     run = np.zeros(max(0, len(word) - n + 1), np.uint64)
     for k in range(n):
-        run = mix(run + word[k : k + len(run)] + np.uint64(k + 1) * _GOLD)
+        run = mix(run + word[k : k + len(run)] + places[k])
     whole = text[: len(run)] == text[n - 1 :] if len(run) else np.zeros(0, bool)
     extra = np.zeros(len(short), np.uint64)
     for k in range(n - 1):
         more = size[short] > k
-        extra[more] = mix(extra[more] + word[first[short[more]] + k] + np.uint64(k + 1) * _GOLD)
+        extra[more] = mix(extra[more] + word[first[short[more]] + k] + places[k])
     owner = np.concatenate([text[: len(run)][whole], short])
     value = np.concatenate([run[whole], extra])
     order = np.argsort(owner, kind="stable")
