@@ -4,8 +4,9 @@ The text view is the set of a document's hashed terms. The metadata view is what
 without reading: language, source, size, and layout figures (shares of letters, capitals,
 digits, signs; lengths of words and lines; repeated words and lines), cut at sample quantiles.
 In every round each classifier labels the unlabelled documents that it is surest of, and the
-other one learns from them. Both are then calibrated on labelled rows that neither has seen,
-and their log odds are added with weights fitted there. Samples are bounded by parameters;
+other one learns from them. How sure a classifier is, and when its training ends, is measured
+on labelled rows of a fold of their own; there both are calibrated in the end, and the weights
+fitted that join their log odds. Samples are bounded by parameters;
 the model has a fixed size, so all documents are scored where they lie, without a shuffle.
 """
 
@@ -21,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.features import (
-    FOLDS, Machine, Sparse, from_lists, labelled_rows, scaled, sigmoid, telling, terms, trained,
+    BITS, FOLDS, Machine, Sparse, from_lists, labelled_rows, scaled, sigmoid, telling, terms, trained,
 )
 from tidemark.llm.rows import layout, remainder, ship, slices, texts
 from tidemark.llm.words import PUNCTUATION, SPACE, hashes, spans
 
-BITS = 18
 BINS = 10
 _NAMES = 64
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,7 +47,8 @@ class Training:
     rounds: int = 3
     growth: float = 0.1
     sure: float = 0.95
-    epochs: int = 8
+    least_z: float = 3.0
+    steps: int = 1500
     seed: int = 13
 
 
@@ -135,7 +136,7 @@ class Model:
         return meta_features(self.cuts, measured, names)
 
     def scores(self, rows: int, owner, bucket, measured, names) -> tuple[np.ndarray, ...]:
-        feature = self.place[bucket]
+        feature = self.place[bucket].astype(np.int64)
         used = feature >= 0
         by_words = self.words.logits(Sparse(rows, owner[used], feature[used]))
         by_meta = self.meta.logits(self.meta_features(measured, names))
@@ -154,7 +155,7 @@ def _sample(rows: DataFrame) -> pa.Table:
     """label, fold, terms, measured and names of bounded rows, one per doc_id."""
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            owner, bucket = terms(texts(batch.column("text")), BITS)
+            owner, bucket = terms(texts(batch.column("text")))
             ends = np.cumsum(np.bincount(owner, minlength=batch.num_rows))
             cuts = pa.array(np.insert(ends, 0, 0).astype(np.int32))
             yield pa.RecordBatch.from_pydict({
@@ -183,7 +184,7 @@ def _stacked(table: pa.Table, name: str) -> np.ndarray:
 
 def _learned(labelled: pa.Table, pool: pa.Table, s: Training) -> Model:
     y = labelled["label"].to_numpy().astype(np.int64)
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int16)
     if not len(y) or y.min() == y.max():
         bias = 0.0 if not len(y) else float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         kinds = 14
@@ -197,12 +198,12 @@ def _learned(labelled: pa.Table, pool: pa.Table, s: Training) -> Model:
         check = np.zeros(len(y), bool)
     learn, held = np.flatnonzero(~check), np.flatnonzero(check)
     words, pool_words = from_lists(labelled["terms"]), from_lists(pool["terms"])
-    used = telling(words.take(learn), y[learn], 1 << BITS, s.features, s.least_docs)
+    used = telling(words.take(learn), y[learn], 1 << BITS, s.features, s.least_docs, s.least_z)
     place[used] = np.arange(len(used))
 
     def kept(data: Sparse) -> Sparse:
         some = place[data.feature] >= 0
-        return Sparse(data.rows, data.owner[some], place[data.feature[some]])
+        return Sparse(data.rows, data.owner[some], place[data.feature[some]].astype(np.int64))
 
     measured = _stacked(labelled, "measured")
     cuts = np.quantile(measured[learn], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
@@ -222,21 +223,32 @@ def _learned(labelled: pa.Table, pool: pa.Table, s: Training) -> Model:
         if len(which):
             data = data.plus(pools[view].take(which))
             label = np.append(label, [extra[i] for i in which.tolist()])
-        return trained(data, label, sizes[view], 0, s.seed + view, None, s.epochs)
+        stop = (views[view].take(held), y[held]) if len(held) else None
+        return trained(data, label, sizes[view], 0, s.seed + view, stop, s.steps)
+
+    on = held if len(held) else learn
+
+    def calibrated(view: int) -> np.ndarray:
+        """Slope and shift that make the view's log odds right on rows it has not learned."""
+        return scaled(machines[view].logits(views[view].take(on))[:, None], y[on])
 
     given: list[dict[int, int]] = [{}, {}]
     machines = [fit(0, given[0]), fit(1, given[1])]
     share = y[learn].mean()
     for _ in range(s.rounds if pool.num_rows else 0):
         for view in (0, 1):
-            p = sigmoid(machines[view].logits(pools[view]))
+            slope, shift = calibrated(view)
+            p = sigmoid(slope * machines[view].logits(pools[view]) + shift)
             other = given[1 - view]
             for label, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
                 most = int(s.growth * len(learn) * part) + 1
                 best = [i for i in np.argsort(-sure, kind="stable").tolist() if i not in other]
                 other.update({i: label for i in best[:most] if sure[i] >= s.sure})
         machines = [fit(0, given[0]), fit(1, given[1])]
-    on = held if len(held) else learn
+    for view in (0, 1):
+        slope, shift = calibrated(view)
+        m = machines[view]
+        machines[view] = Machine(slope * m.bias + shift, slope * m.weight, m.factor)
     logits = np.column_stack([m.logits(v.take(on)) for m, v in zip(machines, views, strict=True)])
     return Model(place, machines[0], cuts, machines[1], scaled(logits, y[on]))
 
@@ -249,7 +261,7 @@ def quality_scores(
 
     Columns: doc_id, held_out, score, text_score, meta_score, predicted (1 if score >= 0.5),
     or those of ``carried`` in place of doc_id. Labels are learned from rows whose
-    crc32(doc_id as text) modulo 5 is not 0; of these, remainder 1 serves calibration alone.
+    crc32(doc_id as text) modulo 5 is not 0; of these, remainder 1 serves to end training and to calibrate.
     Nulls in text count as empty, in lang or source as a value of their own, in n_chars as
     unknown. Without labels every score is 0.5; with labels of one class, a constant. Rows
     that repeat score alike; an empty table gives an empty result. Of ``docs`` only doc_id,
@@ -285,7 +297,7 @@ def quality_scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            owner, bucket = terms(texts(batch.column("text")), BITS)
+            owner, bucket = terms(texts(batch.column("text")))
             both, by_words, by_meta = model.value.scores(
                 batch.num_rows, owner, bucket, _measured(batch), _names(batch)
             )

@@ -9,18 +9,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import remainder
-from tidemark.llm.words import PUNCTUATION, words
+from tidemark.llm.rows import layout, remainder
+from tidemark.llm.words import PUNCTUATION, hashes, mix, spans
 
 FOLDS = 5
 
 
-def terms(column: pa.LargeBinaryArray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hashed term, each pair once: runs of letters and digits, lower-cased."""
-    text, word = words(column, PUNCTUATION, lower=True)
-    bucket = (word >> np.uint64(64 - bits)).astype(np.int64)
-    pair = np.unique((text << bits) | bucket)
-    return pair >> bits, pair & ((1 << bits) - 1)
+#: Hashed terms have so many bits; a term's stems are its first bytes, if it is longer.
+BITS = 22
+STEMS = (4, 6, 8)
+#: A term that occurs so often in a text adds one more term each.
+LEVELS = (2, 4, 8)
+
+
+def terms(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hashed term, each pair once.
+
+    Terms are runs of letters and digits, lower-cased, and the stems of longer ones, so that
+    a stem counts whatever its ending; and the same again for each of ``LEVELS`` that their
+    count in the text reaches.
+    """
+    values, offsets = layout(column)
+    text, begin, end = spans(values, offsets, PUNCTUATION)
+    owners, found = [text], [hashes(values, begin, end, lower=True)]
+    for size in STEMS:
+        longer = end - begin > size
+        stem = hashes(values, begin[longer], begin[longer] + size, lower=True)
+        owners.append(text[longer])
+        found.append(mix(stem + np.uint64(size)))
+    drop = np.uint64(64 - BITS)
+    bucket = (np.concatenate(found) >> drop).astype(np.int64)
+    pair, count = np.unique((np.concatenate(owners) << BITS) | bucket, return_counts=True)
+    owner, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
+    owners, found = [owner], [bucket]
+    for level in LEVELS:
+        often = count >= level
+        again = mix(bucket[often].astype(np.uint64) + (np.uint64(level) << np.uint64(BITS)))
+        owners.append(owner[often])
+        found.append((again >> drop).astype(np.int64))
+    pair = np.unique((np.concatenate(owners) << BITS) | np.concatenate(found))
+    return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
 def labelled_rows(
@@ -76,7 +104,9 @@ def from_lists(column: pa.ChunkedArray) -> Sparse:
     return Sparse(len(lists), np.repeat(np.arange(len(lists)), sizes), values)
 
 
-def telling(data: Sparse, label: np.ndarray, size: int, most: int, least_docs: int) -> np.ndarray:
+def telling(
+    data: Sparse, label: np.ndarray, size: int, most: int, least_docs: int, least_z: float
+) -> np.ndarray:
     """The ``most`` features that tell the classes apart best, by the z score of log odds."""
     ones = np.bincount(data.feature[label[data.owner] == 1], minlength=size) + 0.5
     zeros = np.bincount(data.feature[label[data.owner] == 0], minlength=size) + 0.5
@@ -85,7 +115,7 @@ def telling(data: Sparse, label: np.ndarray, size: int, most: int, least_docs: i
     z = np.abs(odds) / np.sqrt(1 / ones + 1 / zeros)
     z[ones + zeros - 1 < least_docs] = 0
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] > 0])
+    return np.sort(best[z[best] >= least_z])
 
 
 @dataclass
@@ -115,10 +145,10 @@ def log_loss(logit: np.ndarray, label: np.ndarray) -> float:
 
 def trained(
     data: Sparse, label: np.ndarray, size: int, factors: int, seed: int,
-    check: tuple[Sparse, np.ndarray] | None = None, epochs: int = 30, rate: float = 0.1,
-    decay: float = 1e-3, batch: int = 256,
+    check: tuple[Sparse, np.ndarray] | None = None, steps: int = 3000, rate: float = 0.1,
+    decay: float = 1e-3, batch: int = 256, every: int = 100,
 ) -> Machine:
-    """Mini-batch AdaGrad on log loss; with ``check``, the epoch that does best on it."""
+    """AdaGrad on log loss over small batches; with ``check``, the step that does best on it."""
     rng = np.random.default_rng(seed)
     share = (label.sum() + 1.0) / (len(label) + 2.0)
     machine = Machine(
@@ -129,32 +159,33 @@ def trained(
     squares = [1e-6, np.full(size, 1e-6), np.full((size, factors), 1e-6)]
     begins = np.searchsorted(data.owner, np.arange(data.rows + 1))
     best, best_loss = None, np.inf
-    for _ in range(epochs):
-        order = rng.permutation(data.rows)
-        for at in range(0, data.rows, batch):
-            which = order[at : at + batch]
-            sizes = begins[which + 1] - begins[which]
-            owner = np.repeat(np.arange(len(which)), sizes)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            part = Sparse(len(which), owner, data.feature[begins[which][owner] + step])
-            error = (sigmoid(machine.logits(part)) - label[which]) / len(which)
-            used = np.bincount(part.feature, minlength=size) > 0
-            grad = np.bincount(part.feature, error[owner], size) + decay * machine.weight * used
-            grads = np.empty_like(machine.factor)
-            for f in range(factors):
-                v = machine.factor[part.feature, f]
-                sums = np.bincount(owner, v, part.rows)
-                slope = error[owner] * (sums[owner] - v)
-                grads[:, f] = np.bincount(part.feature, slope, size)
-            grads += decay * machine.factor * used[:, None]
-            gradient = (float(error.sum()), grad, grads)
-            for i, g in enumerate(gradient):
-                squares[i] = squares[i] + np.square(g)
-            steps = [rate * g / np.sqrt(s) for g, s in zip(gradient, squares, strict=True)]
-            machine.bias -= float(steps[0])
-            machine.weight -= steps[1]
-            machine.factor -= steps[2]
-        if check is not None:
+    order = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(order) < min(batch, data.rows):
+            order = rng.permutation(data.rows)
+        which, order = order[:batch], order[batch:]
+        sizes = begins[which + 1] - begins[which]
+        owner = np.repeat(np.arange(len(which)), sizes)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        part = Sparse(len(which), owner, data.feature[begins[which][owner] + nth])
+        error = (sigmoid(machine.logits(part)) - label[which]) / len(which)
+        used = np.bincount(part.feature, minlength=size) > 0
+        grad = np.bincount(part.feature, error[owner], size) + decay * machine.weight * used
+        grads = np.empty_like(machine.factor)
+        for f in range(factors):
+            v = machine.factor[part.feature, f]
+            sums = np.bincount(owner, v, part.rows)
+            slope = error[owner] * (sums[owner] - v)
+            grads[:, f] = np.bincount(part.feature, slope, size)
+        grads += decay * machine.factor * used[:, None]
+        gradient = (float(error.sum()), grad, grads)
+        for i, g in enumerate(gradient):
+            squares[i] = squares[i] + np.square(g)
+        moves = [rate * g / np.sqrt(s) for g, s in zip(gradient, squares, strict=True)]
+        machine.bias -= float(moves[0])
+        machine.weight -= moves[1]
+        machine.factor -= moves[2]
+        if check is not None and step % every == 0:
             loss = log_loss(machine.logits(check[0]), check[1])
             if loss < best_loss:
                 best_loss = loss

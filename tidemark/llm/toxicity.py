@@ -1,10 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its terms, hashed into ``2 ** bits`` buckets. Of these the machine uses
-the ones that tell labelled texts apart best; each has a weight and a short vector, and two
-terms that occur together add the product of their vectors. So an insult may weigh more next
+A text is the set of its terms (words, their stems, and whether they occur often), hashed into
+a fixed number of buckets. Of these the machine uses the ones that tell labelled texts apart
+best; each has a weight and a short vector, and two terms that occur together add the product of their vectors. So an insult may weigh more next
 to a mention of a group, which additive weights cannot express. The model is fitted on a
-bounded sample of labelled rows; rows of remainder 1 choose its epoch, scale its log
+bounded sample of labelled rows; rows of remainder 1 choose when training ends, scale its log
 odds, and place the score of one half where it errs least. Its size is fixed by parameters, so all texts are scored where they lie, in one pass
 without a shuffle.
 """
@@ -20,22 +20,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.features import (
-    FOLDS, Machine, Sparse, from_lists, labelled_rows, scaled, sigmoid, telling, terms, trained,
+    BITS, FOLDS, Machine, Sparse, from_lists, labelled_rows, scaled, sigmoid, telling, terms, trained,
 )
 from tidemark.llm.rows import remainder, ship, slices, texts
 
-BITS = 18
 
 
 @dataclass(frozen=True)
 class Training:
-    """At most ``sample`` labelled rows are learned from, ``features`` buckets used."""
+    """At most ``sample`` labelled rows are learned from, ``features`` buckets used.
+
+    A bucket is used if ``least_docs`` of them have it and its log odds lie ``least_z``
+    standard errors from zero.
+    """
 
     sample: int = 20_000
     features: int = 2048
     least_docs: int = 5
+    least_z: float = 3.0
     factors: int = 6
-    epochs: int = 20
+    steps: int = 3000
     seed: int = 11
 
 
@@ -45,7 +49,7 @@ def term_sets(docs: DataFrame, carried: str) -> DataFrame:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            text, bucket = terms(texts(batch.column("text")), BITS)
+            text, bucket = terms(texts(batch.column("text")))
             ends = np.cumsum(np.bincount(text, minlength=batch.num_rows))
             cuts = pa.array(np.insert(ends, 0, 0).astype(np.int32))
             found = pa.ListArray.from_arrays(cuts, pa.array(bucket.astype(np.int32)))
@@ -66,7 +70,7 @@ class Model:
     shift: float = 0.0
 
     def scores(self, rows: int, owner: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        feature = self.place[bucket]
+        feature = self.place[bucket].astype(np.int64)
         used = feature >= 0
         logits = self.machine.logits(Sparse(rows, owner[used], feature[used]))
         return sigmoid(self.slope * logits + self.shift)
@@ -95,7 +99,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, settings: Training) -
     )
     table = once.orderBy("doc_id").select("row.label", "row.fold", "row.terms").toArrow()
     y = table["label"].to_numpy().astype(np.int64)
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int16)
     if not len(y) or y.min() == y.max():
         bias = 0.0 if not len(y) else float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return Model(place, Machine(bias, np.zeros(1), np.zeros((1, 0))))
@@ -103,15 +107,16 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, settings: Training) -
     check = table["fold"].to_numpy() == 1
     learn = np.flatnonzero(~check) if 0 < check.sum() < len(y) else np.arange(len(y))
     used = telling(
-        data.take(learn), y[learn], 1 << BITS, settings.features, settings.least_docs
+        data.take(learn), y[learn], 1 << BITS, settings.features, settings.least_docs,
+        settings.least_z,
     )
     place[used] = np.arange(len(used))
     kept = place[data.feature] >= 0
-    data = Sparse(data.rows, data.owner[kept], place[data.feature[kept]])
+    data = Sparse(data.rows, data.owner[kept], place[data.feature[kept]].astype(np.int64))
     held = np.flatnonzero(check)
     machine = trained(
         data.take(learn), y[learn], max(1, len(used)), settings.factors, settings.seed,
-        (data.take(held), y[held]) if len(held) else None, settings.epochs,
+        (data.take(held), y[held]) if len(held) else None, settings.steps,
     )
     if not len(held):
         return Model(place, machine)
@@ -139,7 +144,7 @@ def toxicity_scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            owner, bucket = terms(texts(batch.column("text")), BITS)
+            owner, bucket = terms(texts(batch.column("text")))
             scores = model.value.scores(batch.num_rows, owner, bucket)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),

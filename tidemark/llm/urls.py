@@ -199,7 +199,8 @@ def judged(
     """Host, path, deciding rule, verdict, host words and score of every page.
 
     A rule decides where one fits, the longest if several do. Elsewhere the page is blocked
-    if its log odds for block exceed zero; a tie allows. A null url, or one without ``://``,
+    if its log odds for block, ``score``, exceed zero; a tie allows. Where a rule decides there
+    is no score. A null url, or one without ``://``,
     has an empty host and path and is judged by the class sizes alone. Null markup adds no
     words. Repeated pages are judged alike, row by row; columns of other names are dropped.
     An empty table gives an empty result.
@@ -254,6 +255,6 @@ def judged(
             "rule",
             F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"),
             F.coalesce("host_words", F.lit("")).alias("host_words"),
-            score.alias("score"),
+            F.when(F.col("ruled").isNull(), score).alias("score"),
         )
     )
