@@ -6,7 +6,9 @@ import pytest
 
 from tests.llm.conftest import odd, prose
 from tidemark.llm.cotraining import good_documents, quality_scores
-from tidemark.llm.features import Machine, Sparse, scaled, sigmoid, telling, trained
+from tidemark.llm.features import (
+    BITS, Machine, Sparse, scaled, sigmoid, telling_terms, trained, with_features,
+)
 from tidemark.llm.toxicity import least_errors, toxicity_scores
 
 FOLDER = "/root/testdata/sf0.1"
@@ -47,11 +49,18 @@ def test_factors_learn_a_pair_that_weights_cannot():
     assert accuracy[4] > 0.95 > 0.7 > accuracy[0]
 
 
-def test_telling_features_are_found():
+def test_telling_terms_are_found(spark):
     rng = np.random.default_rng(3)
-    label = rng.integers(0, 2, 500)
-    rows = [np.unique(np.r_[rng.integers(0, 90, 5), [95] if y else [96]]) for y in label]
-    assert set(telling(sparse(rows), label, 100, 2, 5, 3.0)) == {95, 96}
+    label = rng.integers(0, 2, 500).tolist()
+    rows = [
+        (i, y, 1 + i % 4, np.unique(np.r_[rng.integers(0, 90, 5), [95] if y else [96]]).tolist())
+        for i, y in enumerate(label)
+    ]
+    sample = spark.createDataFrame(rows, "doc_id long, label int, fold int, terms array<int>")
+    place = telling_terms(sample, 100, 5, 4.0)
+    assert len(place) == 1 << BITS and np.flatnonzero(place >= 0).tolist() == [95, 96]
+    got = {r["doc_id"]: r["features"] for r in with_features(sample, place).collect()}
+    assert got == {i: [0] if y else [1] for i, y, _, _ in rows}
 
 
 def test_calibration_recovers_the_slope():

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.features import (
-    BITS, FOLDS, Machine, Sparse, from_lists, labelled_rows, scaled, sigmoid, telling, terms, trained,
+    BITS, FOLDS, Machine, Sparse, class_counts, from_lists, labelled_rows, scaled, sigmoid,
+    telling_terms, terms, trained, with_features,
 )
-from tidemark.llm.rows import layout, remainder, ship, slices, texts
+from tidemark.llm.rows import layout, remainder, ship, slices, texts, written
 from tidemark.llm.words import PUNCTUATION, SPACE, hashes, spans
 
 BINS = 10
+FIGURES = 14
 _NAMES = 64
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -151,8 +153,8 @@ def meta_features(cuts: np.ndarray, measured: np.ndarray, names: np.ndarray) ->
     return Sparse(rows, np.repeat(np.arange(rows), feature.shape[1]), feature.reshape(-1))
 
 
-def _sample(rows: DataFrame) -> pa.Table:
-    """label, fold, terms, measured and names of bounded rows, one per doc_id."""
+def _sample(rows: DataFrame) -> DataFrame:
+    """label, fold, terms, measured and names of bounded rows, one per doc_id, written."""
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             owner, bucket = terms(texts(batch.column("text")))
@@ -171,10 +173,8 @@ def _sample(rows: DataFrame) -> pa.Table:
         "names array<long>",
     )
     row = F.struct("label", "fold", F.array_sort("terms").alias("terms"), "measured", "names")
-    return (
-        found.groupBy("doc_id").agg(F.min(row).alias("row")).orderBy("doc_id")
-        .select("row.*").toArrow()
-    )
+    once = found.groupBy("doc_id").agg(F.min(row).alias("row"))
+    return written(once.select("doc_id", "row.*"), "sampled-terms")
 
 
 def _stacked(table: pa.Table, name: str) -> np.ndarray:
@@ -182,39 +182,33 @@ def _stacked(table: pa.Table, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _learned(labelled: pa.Table, pool: pa.Table, s: Training) -> Model:
-    y = labelled["label"].to_numpy().astype(np.int64)
-    place = np.full(1 << BITS, -1, np.int16)
-    if not len(y) or y.min() == y.max():
-        bias = 0.0 if not len(y) else float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        kinds = 14
-        size = kinds * BINS + 2 * _NAMES
+def _learned(labelled_rows_: DataFrame, pool_rows: DataFrame, s: Training) -> Model:
+    spare, classes = class_counts(labelled_rows_)
+    if not min(classes):
+        size = FIGURES * BINS + 2 * _NAMES
         return Model(
-            place, Machine(0.0, np.zeros(1), np.zeros((1, 0))), np.zeros((kinds, BINS - 1)),
-            Machine(0.0, np.zeros(size), np.zeros((size, 0))), np.array([0.0, 0.0, bias]),
+            np.full(1 << BITS, -1, np.int16), Machine(0.0, np.zeros(1), np.zeros((1, 0))),
+            np.zeros((FIGURES, BINS - 1)), Machine(0.0, np.zeros(size), np.zeros((size, 0))),
+            np.array([0.0, 0.0, np.log((classes[1] + 1) / (classes[0] + 1))]),
         )
-    check = labelled["fold"].to_numpy() == 1
-    if not 0 < check.sum() < len(y) or y[~check].min() == y[~check].max():
-        check = np.zeros(len(y), bool)
+    place = telling_terms(labelled_rows_, s.features, s.least_docs, s.least_z)
+    labelled, pool = (
+        with_features(rows, place).orderBy("doc_id").toArrow()
+        for rows in (labelled_rows_, pool_rows)
+    )
+    y = labelled["label"].to_numpy().astype(np.int64)
+    check = (labelled["fold"].to_numpy() == 1) & spare
     learn, held = np.flatnonzero(~check), np.flatnonzero(check)
-    words, pool_words = from_lists(labelled["terms"]), from_lists(pool["terms"])
-    used = telling(words.take(learn), y[learn], 1 << BITS, s.features, s.least_docs, s.least_z)
-    place[used] = np.arange(len(used))
-
-    def kept(data: Sparse) -> Sparse:
-        some = place[data.feature] >= 0
-        return Sparse(data.rows, data.owner[some], place[data.feature[some]].astype(np.int64))
-
     measured = _stacked(labelled, "measured")
     cuts = np.quantile(measured[learn], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     size = measured.shape[1] * BINS + 2 * _NAMES
-    views = [kept(words), meta_features(cuts, measured, _stacked(labelled, "names"))]
-    pools = [kept(pool_words)]
+    views = [from_lists(labelled["features"]), meta_features(cuts, measured, _stacked(labelled, "names"))]
+    pools = [from_lists(pool["features"])]
     if pool.num_rows:
         pools.append(meta_features(cuts, _stacked(pool, "measured"), _stacked(pool, "names")))
     else:
         pools.append(Sparse(0, np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    sizes = [max(1, len(used)), size]
+    sizes = [max(1, int(place.max()) + 1), size]
 
     def fit(view: int, extra: dict[int, int]) -> Machine:
         which = np.array(sorted(extra), np.int64)

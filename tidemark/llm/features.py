@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,18 +105,64 @@ def from_lists(column: pa.ChunkedArray) -> Sparse:
     return Sparse(len(lists), np.repeat(np.arange(len(lists)), sizes), values)
 
 
-def telling(
-    data: Sparse, label: np.ndarray, size: int, most: int, least_docs: int, least_z: float
+def class_counts(sample: DataFrame) -> tuple[bool, list[int]]:
+    """Whether the sample can spare its rows of fold 1, and the classes of what is learned."""
+    rows = sample.groupBy((F.col("fold") == 1).alias("held"), "label").count().collect()
+    counts = {True: [0, 0], False: [0, 0]}
+    for row in rows:
+        counts[row["held"]][row["label"]] += row["count"]
+    if sum(counts[True]) and min(counts[False]):
+        return True, counts[False]
+    return False, [a + b for a, b in zip(counts[True], counts[False], strict=True)]
+
+
+def telling_terms(
+    sample: DataFrame, most: int, least_docs: int, least_z: float
 ) -> np.ndarray:
-    """The ``most`` features that tell the classes apart best, by the z score of log odds."""
-    ones = np.bincount(data.feature[label[data.owner] == 1], minlength=size) + 0.5
-    zeros = np.bincount(data.feature[label[data.owner] == 0], minlength=size) + 0.5
-    n_ones, n_zeros = label.sum() + 1.0, len(label) - label.sum() + 1.0
-    odds = np.log(ones / (n_ones - ones + 0.5)) - np.log(zeros / (n_zeros - zeros + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / ones + 1 / zeros)
-    z[ones + zeros - 1 < least_docs] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] >= least_z])
+    """Feature number of every bucket, -1 for those not used.
+
+    Of the buckets of ``terms`` that ``least_docs`` learned rows have, those whose log odds
+    between the classes lie ``least_z`` standard errors from zero, ``most`` at most.
+    """
+    spare, (zeros, ones) = class_counts(sample)
+    learned = sample.filter("fold <> 1") if spare else sample
+    counts = learned.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.sum("label").alias("ones"), F.count("*").alias("docs")
+    ).filter(F.col("docs") >= least_docs)
+    a, b = F.col("ones") + 0.5, F.col("docs") - F.col("ones") + 0.5
+    odds = F.log(a / (F.lit(ones + 1.5) - a)) - F.log(b / (F.lit(zeros + 1.5) - b))
+    z = F.round(F.abs(odds) / F.sqrt(1 / a + 1 / b), 9)
+    best = (
+        counts.select("term", z.alias("z")).filter(F.col("z") >= least_z)
+        .orderBy(F.desc("z"), "term").limit(most).toArrow()
+    )
+    place = np.full(1 << BITS, -1, np.int16)
+    used = np.sort(best["term"].to_numpy())
+    place[used] = np.arange(len(used))
+    return place
+
+
+def with_features(sample: DataFrame, place: np.ndarray) -> DataFrame:
+    """``terms`` replaced by the feature numbers of those in use, as ``features``."""
+    others = [f for f in sample.schema.fields if f.name != "terms"]
+    kept = sample.sparkSession.sparkContext.broadcast(place)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = from_lists(batch.column("terms"))
+            feature = kept.value[data.feature]
+            used = feature >= 0
+            ends = np.cumsum(np.bincount(data.owner[used], minlength=data.rows))
+            cuts = pa.array(np.insert(ends, 0, 0).astype(np.int32))
+            yield pa.RecordBatch.from_pydict({
+                **{f.name: batch.column(f.name) for f in others},
+                "features": pa.ListArray.from_arrays(
+                    cuts, pa.array(feature[used].astype(np.int32))
+                ),
+            })
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return sample.mapInArrow(number, f"{schema}, features array<int>")
 
 
 @dataclass

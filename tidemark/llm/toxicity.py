@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.features import (
-    BITS, FOLDS, Machine, Sparse, from_lists, labelled_rows, scaled, sigmoid, telling, terms, trained,
+    BITS, FOLDS, Machine, Sparse, class_counts, from_lists, labelled_rows, scaled, sigmoid,
+    telling_terms, terms, trained, with_features,
 )
-from tidemark.llm.rows import remainder, ship, slices, texts
+from tidemark.llm.rows import remainder, ship, slices, texts, written
 
 
 
@@ -94,31 +95,29 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, settings: Training) -
         docs, labels, label, settings.sample, settings.seed, ["doc_id", "text"]
     )
     sets = term_sets(sample, "doc_id long, label int, fold int")
-    once = sets.groupBy("doc_id").agg(
-        F.min(F.struct("label", "fold", F.array_sort("terms").alias("terms"))).alias("row")
+    once = written(
+        sets.groupBy("doc_id").agg(
+            F.min(F.struct("label", "fold", F.array_sort("terms").alias("terms"))).alias("row")
+        ).select("doc_id", "row.*"),
+        "labelled-terms",
     )
-    table = once.orderBy("doc_id").select("row.label", "row.fold", "row.terms").toArrow()
+    spare, classes = class_counts(once)
+    if not min(classes):
+        bias = float(np.log((classes[1] + 1) / (classes[0] + 1)))
+        return Model(
+            np.full(1 << BITS, -1, np.int16), Machine(bias, np.zeros(1), np.zeros((1, 0)))
+        )
+    place = telling_terms(once, settings.features, settings.least_docs, settings.least_z)
+    table = with_features(once, place).orderBy("doc_id").toArrow()
     y = table["label"].to_numpy().astype(np.int64)
-    place = np.full(1 << BITS, -1, np.int16)
-    if not len(y) or y.min() == y.max():
-        bias = 0.0 if not len(y) else float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        return Model(place, Machine(bias, np.zeros(1), np.zeros((1, 0))))
-    data = from_lists(table["terms"])
-    check = table["fold"].to_numpy() == 1
-    learn = np.flatnonzero(~check) if 0 < check.sum() < len(y) else np.arange(len(y))
-    used = telling(
-        data.take(learn), y[learn], 1 << BITS, settings.features, settings.least_docs,
-        settings.least_z,
-    )
-    place[used] = np.arange(len(used))
-    kept = place[data.feature] >= 0
-    data = Sparse(data.rows, data.owner[kept], place[data.feature[kept]].astype(np.int64))
-    held = np.flatnonzero(check)
+    data, size = from_lists(table["features"]), max(1, int(place.max()) + 1)
+    check = (table["fold"].to_numpy() == 1) & spare
+    learn, held = np.flatnonzero(~check), np.flatnonzero(check)
     machine = trained(
-        data.take(learn), y[learn], max(1, len(used)), settings.factors, settings.seed,
-        (data.take(held), y[held]) if len(held) else None, settings.steps,
+        data.take(learn), y[learn], size, settings.factors, settings.seed,
+        (data.take(held), y[held]) if spare else None, settings.steps,
     )
-    if not len(held):
+    if not spare:
         return Model(place, machine)
     logits = machine.logits(data.take(held))
     slope = max(float(scaled(logits[:, None], y[held])[0]), 1e-3)
