@@ -218,10 +218,10 @@ def _scored(probes: DataFrame, indexed: DataFrame, k: int, query_blocks: int) ->
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
         names = ("query_row", "row_id", "vec_id", "score")
         found: dict[str, list] = {c: [] for c in names}
+        in_order = held.sort_by([("vec_id", "ascending"), ("row_id", "ascending")])
         if asked.num_rows and held.num_rows:
-            held = held.sort_by(
-                [("bucket", "ascending"), ("vec_id", "ascending"), ("row_id", "ascending")]
-            )
+            place = np.argsort(in_order["bucket"].to_numpy(), kind="stable")
+            held = in_order.take(pa.array(place))
             vectors, queries = matrix(held["vec"]), matrix(asked["query"])
             units, asking = unit(vectors), unit(queries)
             bucket, row = held["bucket"].to_numpy(), held["row_id"].to_numpy()
@@ -246,10 +246,15 @@ def _scored(probes: DataFrame, indexed: DataFrame, k: int, query_blocks: int) ->
                 cosine[wide] = (asking[who[q]] * units[s + v]).sum(1)[wide]
                 found["query_row"].append(query_row[who[q]])
                 found["row_id"].append(row[s + v])
-                found["vec_id"].append(s + v)
+                found["vec_id"].append(place[s + v])
                 found["score"].append(cosine)
         flat = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in found.items()}
-        ids = held["vec_id"].combine_chunks().take(pa.array(flat["vec_id"].astype(np.int64)))
+        # A query may have met k vectors in each bucket here; the best k of all stay.
+        order = np.lexsort((flat["vec_id"], -np.round(flat["score"], 12), flat["query_row"]))
+        asked_by = flat["query_row"][order]
+        nth = np.arange(len(order)) - np.searchsorted(asked_by, asked_by)
+        flat = {c: v[order[nth < k]] for c, v in flat.items()}
+        ids = in_order["vec_id"].combine_chunks().take(pa.array(flat["vec_id"].astype(np.int64)))
         return pa.table({
             "query_row": pa.array(flat["query_row"].astype(np.int64)),
             "row_id": pa.array(flat["row_id"].astype(np.int64)),
