@@ -1,3 +1,4 @@
+import bisect
 import math
 import random
 from datetime import datetime, timedelta
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series
 from tidemark.operators.history import (
-    Timeline, find_cut_points, first_value, key_aggregate, over_history,
+    Timeline, _with_part, find_cut_points, first_value, key_aggregate, over_history,
 )
 from tidemark.plans.layers import GOLD_LOOK_BACK, rebased, to_gold
 from tidemark.sources.schemas import GOLD_FEATURES
@@ -111,7 +112,7 @@ def test_cut_histories_give_the_uncut_results(spark, rows_per_part):
     rows = skewed_rows(rows_per_part)
     df = spark.createDataFrame(rows, DDL)
     cuts = find_cut_points(df, TL, rows_per_part)
-    assert cuts is not None and cuts.longest >= 1
+    assert cuts is not None and cuts.most_cuts >= 1
     got = to_gold(df, TL, "v", "s", cuts).collect()
     assert sorted(r["id"] for r in got) == list(range(len(rows)))
 
@@ -149,6 +150,38 @@ def test_any_ordered_time_type_can_be_cut(spark, kind):
     assert plain.exceptAll(cut.select(*plain.columns)).isEmpty()
 
 
+def test_rows_look_into_short_lists_only(spark):
+    """Two levels: with m cuts of a key no row meets more than about the root of m of them."""
+    df = spark.range(40_000).select(
+        F.col("id").cast("int"), F.lit("hot").alias("k"),
+        (F.lit(START) + F.make_interval(secs=F.col("id"))).alias("t"),
+        F.lit(1.0).alias("v"), F.lit(1.0).alias("s"),
+    )
+    cuts = find_cut_points(df, TL, 10)
+    many = cuts.chunks.agg(F.sum(F.size("_cuts"))).first()[0]
+    assert many > 1000
+    assert max(cuts.most_heads, cuts.most_cuts) < 2 * math.isqrt(many) + 2
+    parts = _with_part(df, TL, cuts)
+    assert set(parts.columns) == {*df.columns, "_part"}
+    of_id = dict(parts.select("id", "_part").collect())
+    starts = sorted(
+        r["p"]["v0"] for r in cuts.chunks.select(F.explode("_cuts").alias("p")).collect())
+    for i in range(0, 40_000, 997):
+        at = int((START + timedelta(seconds=i) - datetime(1970, 1, 1)).total_seconds() * 1e6)
+        assert of_id[i] == bisect.bisect_right(starts, at)
+
+
+def test_rows_without_a_key_are_spread_even_if_of_one_time(spark):
+    df = spark.range(5000).select(
+        F.col("id").cast("int"), F.lit(None).cast("string").alias("k"),
+        F.lit(START).alias("t"), F.lit(1.0).alias("v"), F.lit(1.0).alias("s"),
+    )
+    hot = df.withColumn("k", F.lit("hot"))
+    cuts = find_cut_points(hot.unionByName(df), TL, 100)
+    parts = _with_part(df, TL, cuts)
+    assert parts.select("_part").distinct().count() > 500
+
+
 def test_small_tables_are_not_cut(spark):
     df = one_key(spark, [1.0, 2.0])
     assert find_cut_points(df, TL) is None

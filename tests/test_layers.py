@@ -1,5 +1,6 @@
 import json
 import math
+import os
 from datetime import date, datetime
 from pathlib import Path
 
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import reports
+from tidemark.operators.quality import QualityError, snapshot_checks
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.plans.layers import clean, silver_increment, to_audit, to_bronze, to_silver
 from tidemark.sources import tables
 from tidemark.sources.landing import read_payloads
-from tidemark.sources.schemas import AUDIT, BRONZE, COIN, GOLD, GOLD_FEATURES, SILVER
+from tidemark.sources.schemas import AUDIT, BRONZE, COIN, GOLD, GOLD_FEATURES, ORIGIN, SILVER
 
 END = "landing/listings"
 
@@ -77,16 +79,52 @@ def test_payloads_of_native_coins_only_still_have_the_platform_column(spark, lan
 def test_unlisted_fields_can_be_kept(spark, landing):
     put(landing, "a.json", payload(14, coin("BTC", 1.0)))
     wider = T.StructType([*COIN.fields, T.StructField("tags", T.ArrayType(T.StringType()))])
-    row = to_bronze(read_payloads(spark, str(landing), coin=wider)).first()
-    assert row["tags"] == ["x"]
-    as_text = read_payloads(spark, str(landing), coin=None)
-    row = to_bronze(as_text, wider, raw="raw_json").first()
+    typed = to_bronze(read_payloads(spark, str(landing), coin=wider)).first()
+    assert typed["tags"] == ["x"] and typed["raw_json"] is None
+    row = to_bronze(read_payloads(spark, str(landing)), wider).first()
     assert row["tags"] == ["x"]
     assert json.loads(row["raw_json"])["tags"] == ["x"]
-    parsed = to_bronze(read_payloads(spark, str(landing))).collect()
-    assert parsed == to_bronze(as_text).collect()
-    with pytest.raises(ValueError):
-        to_bronze(read_payloads(spark, str(landing)), raw="raw_json")
+    assert {**row.asDict(), "raw_json": None} == typed.asDict()
+
+
+def test_no_field_of_the_payload_is_lost_in_a_cycle(spark, landing, layers):
+    listing = {**coin("BTC", 1.0), "slug": "bitcoin", "num_market_pairs": 7}
+    status = {"credit_count": 1, "error_code": 1008, "error_message": "too many calls"}
+    put(landing, "a.json", {**payload(14, listing), "status": status})
+    cycle(spark, landing, layers, "one")
+    bronze = layers.read_bronze(spark).first()
+    assert json.loads(bronze["raw_json"]) == listing
+    assert json.loads(layers.read_audit(spark).first()["raw_status"]) == status
+    more = T.StructType.fromDDL("slug STRING, num_market_pairs INT")
+    wider = T.StructType([*COIN.fields, *more.fields])
+    cycle(spark, landing, layers, "two", coin=wider)
+    rows = {r["batch_id"]: r for r in layers.read_bronze(spark, more).collect()}
+    assert rows["two"]["slug"] == "bitcoin" and rows["two"]["num_market_pairs"] == 7
+    assert rows["one"]["slug"] is None
+
+
+@pytest.mark.parametrize("form", ["lines", "payloads", "files", "csv"])
+def test_the_first_arrival_stays_whatever_its_price(spark, landing, layers, tmp_path, form):
+    first, second = payload(14, coin("BTC", 200.0)), payload(14, coin("BTC", 100.0))
+    if form == "lines":
+        put(landing, "a.json", json.dumps(first) + "\n" + json.dumps(second) + "\n")
+    elif form == "payloads":
+        put(landing, "a.json", payload(14, coin("BTC", 200.0), coin("BTC", 100.0)))
+    elif form == "files":
+        put(landing, "z.json", first)
+        put(landing, "a.json", second)
+        for name, at in (("z.json", 1_700_000_000), ("a.json", 1_700_000_100)):
+            os.utime(landing / name, (at, at))
+    else:
+        head = "symbol,cmc_rank,quote_USD_price,quote_USD_market_cap,quote_USD_volume_24h,collected_at"
+        line = "BTC,1,{},9.0,5.0,2026-05-22T14:17:13+00:00"
+        path = tmp_path / "old.csv"
+        path.write_text("\n".join([head, line.format(200.0), line.format(100.0), ""]))
+        jobs.import_bronze(spark, [str(path)], layers, "old")
+        jobs.write_silver(layers.read_bronze(spark), layers, "old")
+    if form != "csv":
+        cycle(spark, landing, layers, "one", multi_line=form != "lines")
+    assert [r["quote_USD_price"] for r in layers.read_silver(spark).collect()] == [200.0]
 
 
 def test_a_value_of_the_wrong_type_costs_that_value_only(spark, landing):
@@ -119,8 +157,9 @@ def test_one_payload_per_line_reads_the_same(spark, landing, tmp_path):
     put(landing, "b.json", two)
     lines = tmp_path / "lines"
     put(lines, "all.json", json.dumps(one) + "\n" + json.dumps(two) + "\n")
-    several = to_bronze(read_payloads(spark, str(landing))).drop("source_file")
-    single = to_bronze(read_payloads(spark, str(lines), multi_line=False)).drop("source_file")
+    hidden = [*ORIGIN.names, "raw_json"]
+    several = to_bronze(read_payloads(spark, str(landing))).drop(*hidden)
+    single = to_bronze(read_payloads(spark, str(lines), multi_line=False)).drop(*hidden)
     assert sorted(several.collect()) == sorted(single.collect())
 
 
@@ -185,22 +224,65 @@ def test_a_cycle_fills_every_layer_and_can_be_repeated(spark, landing, layers):
 
 def test_fail_mode_commits_nothing(spark, landing, layers):
     put(landing, "a.json", payload(14, coin("BTC", 100.0), coin("ETH", -1.0)))
-    with pytest.raises(Exception, match="check failed: price_positive"):
+    with pytest.raises(QualityError, match="price_positive: 1 rows"):
         cycle(spark, landing, layers, "one", mode="fail")
+    assert not Path(layers.silver, "batch_id=one").exists()
     assert layers.read_silver(spark).count() == 0
     assert layers.read_bronze(spark).count() == 2
 
 
 def test_quarantine_sets_failing_rows_apart(spark, landing, layers):
     put(landing, "a.json", payload(14, coin("BTC", 100.0), coin("ETH", -1.0, 11)))
-    got = cycle(spark, landing, layers, "one", mode="quarantine")
+    got = cycle(spark, landing, layers, "one", mode="quarantine", max_rank=10)
     assert got["silver"]["total_rows"] == 1
+    counts = layers.read_notes(spark, "counts").first()
+    assert (counts["rows_before"], counts["set_apart"], counts["removed"],
+            counts["rows_after"]) == (2, 1, 0, 1)
+    failing = {r["check"]: r["failing_rows"] for r in layers.read_notes(spark, "checks").collect()}
+    assert {c for c, n in failing.items() if n} == {"price_positive", "rank_in_range"}
+    assert len(failing) == 6
+    nulls = {r["column"]: r["nulls"] for r in layers.read_notes(spark, "nulls").collect()}
+    assert nulls["platform_id"] == 1 and "symbol" not in nulls
     apart = spark.read.parquet(layers.quarantine).collect()
     assert [(r["symbol"], r["failed_checks"]) for r in apart] == [
         ("ETH", ["price_positive", "rank_in_range"])
     ]
 
 
+def test_ranks_have_no_bound_unless_given(spark, landing, layers):
+    put(landing, "a.json", payload(14, *[coin(f"C{i}", 1.0, i) for i in range(1, 26)]))
+    assert cycle(spark, landing, layers, "one")["silver"]["total_rows"] == 25
+
+
+def test_an_empty_payload_goes_through(spark, landing, layers):
+    put(landing, "a.json", payload(14))
+    for mode in jobs.MODES:
+        got = cycle(spark, landing, layers, mode, mode=mode)
+        assert [got[x]["total_rows"] for x in ("bronze", "silver", "gold")] == [0, 0, 0]
+
+
+def test_a_failed_rebuild_leaves_the_old_gold(spark, landing, layers):
+    put(landing, "a.json", payload(14, coin("BTC", 100.0)))
+    cycle(spark, landing, layers, "one")
+    before = layers.read_gold(spark).collect()
+    broken = layers.read_gold(spark).withColumn(
+        "price_sma_3", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        tables.replace_layer(broken, layers.gold)
+    assert layers.read_gold(spark).collect() == before
+    for _ in range(3):
+        jobs.rebuild_gold(spark, layers)
+    versions = [p.name for p in Path(layers.gold).iterdir() if p.name.startswith("v-")]
+    assert len(versions) == 2 and layers.read_gold(spark).collect() == before
+
+
+def test_batch_ids_are_names(spark, landing, layers):
+    put(landing, "a.json", payload(14, coin("BTC", 100.0)))
+    for bad in ("a/b", "a=b", "a:b", "", "..", "a b", "50%"):
+        with pytest.raises(ValueError, match="letters, digits"):
+            cycle(spark, landing, layers, bad)
+
+
 def test_report_mode_lets_rows_pass(spark, landing, layers):
     put(landing, "a.json", payload(14, coin("BTC", 100.0), coin("ETH", -1.0)))
     got = cycle(spark, landing, layers, "one", mode="report")
@@ -220,13 +302,15 @@ def test_only_dates_of_the_batch_are_read_from_silver(spark, landing, layers):
     put(landing, "a.json", payload(14, coin("BTC", 1.0)))
     put(landing, "b.json", payload(14, coin("BTC", 2.0), day=23))
     cycle(spark, landing, layers, "one")
-    new = to_bronze(read_payloads(spark, str(landing / "b.json")))
-    kept = jobs._same_dates(layers.read_silver(spark), clean(new))
+    new = clean(to_bronze(read_payloads(spark, str(landing / "b.json"))))
+    kept = jobs._same_times(layers.read_silver(spark), jobs._counted(new, snapshot_checks()))
     times = kept.select(F.col("collected_at").cast("timestamp_ntz")).collect()
     assert [r[0] for r in times] == [datetime(2026, 5, 23, 14, 17, 13)]
     scan = next(x for x in kept._jdf.queryExecution().executedPlan().toString().splitlines()
                 if "FileScan" in x)
-    assert "snapshot_date" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    filters = scan.split("PartitionFilters")[1]
+    assert "snapshot_date" in filters.split("PushedFilters")[0]
+    assert "GreaterThanOrEqual(collected_at" in filters.split("PushedFilters")[1]
 
 
 def test_gold_with_a_cut_symbol_equals_uncut_gold(spark, landing, layers):
@@ -244,7 +328,9 @@ def test_gold_files_are_sorted_by_key_within_a_date(spark, landing, layers):
         put(landing, f"{hour}.json", payload(hour, coin("ETH", 2.0), coin("BTC", 1.0 + hour)))
     put(landing, "next.json", payload(1, coin("BTC", 9.0), day=23))
     cycle(spark, landing, layers, "one")
-    for folder in Path(layers.gold).glob("snapshot_date=*"):
+    version = tables.current_version(spark, layers.gold)
+    assert str(tables.last_date(spark, version)) == "2026-05-23"
+    for folder in Path(version).glob("snapshot_date=*"):
         for part in folder.glob("*.parquet"):
             keys = pq.read_table(part, columns=["symbol", "collected_at"]).to_pylist()
             assert keys == sorted(keys, key=lambda r: (r["symbol"], r["collected_at"]))

@@ -138,7 +138,11 @@ def test_null_profile_lists_only_columns_with_nulls(spark):
 def test_latest_snapshot_is_the_global_last_time(spark):
     df = spark.createDataFrame([("a", T1, 1), ("a", T2, 2), ("b", T2, 3), ("c", None, 4)], KEYED)
     assert sorted(r["n"] for r in reports.latest_snapshot(df, "t").collect()) == [2, 3]
+    timed = reports.latest_snapshot(df, "t", times=spark.createDataFrame([(T1,)], "t TIMESTAMP"))
+    assert [r["n"] for r in timed.collect()] == [1]
     dated = df.withColumn("d", F.to_date("t"))
+    known = reports.latest_snapshot(dated, "t", "d", on=T2.date())
+    assert sorted(r["n"] for r in known.collect()) == [2, 3]
     assert sorted(r["n"] for r in reports.latest_snapshot(dated, "t", "d").collect()) == [2, 3]
 
 
@@ -170,7 +174,11 @@ def test_top_slice_is_exact(spark, start, limit):
 def test_profiles_and_new_columns(spark):
     before = spark.createDataFrame([(1, "a")], "x INT, y STRING")
     after = before.withColumns({"b": F.lit(1), "a": F.lit(None).cast("int")})
-    assert rows(reports.new_columns(after, before)) == [("a", 0, 1, 4), ("b", 1, 1, 4)]
+    assert rows(reports.new_columns(after, before)) == [("a", 4), ("b", 4)]
+    assert "Aggregate" not in plan_of(reports.new_columns(after, before))
+    assert rows(reports.new_columns(after, before, counts=True)) == [("a", 0, 1, 4), ("b", 1, 1, 4)]
+    for counts in (False, True):
+        assert reports.new_columns(before, after, counts).count() == 0
     assert [tuple(r) for r in reports.table_profile(before).orderBy("position").collect()] == [
         (0, "x", "int", 1, 2), (1, "y", "string", 1, 2),
     ]

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from tidemark.session import scratch_path, shuffle_partitions
-from tidemark.sources import tables
+from tidemark.sources import files, tables
 from tidemark.sources.schemas import _struct
 from pyspark.sql import types as T
 
@@ -73,6 +73,29 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert one.startswith(shared) and one != two
 
 
+def test_small_files_are_whole_or_absent(spark, tmp_path):
+    path = str(tmp_path / "folder" / "note")
+    assert files.read_text(spark, path) is None and files.names(spark, str(tmp_path / "no")) == []
+    files.write_text(spark, path, "one é")
+    files.write_text(spark, path, "two é")
+    assert files.read_text(spark, path) == "two é"
+    tables.commit(spark, str(tmp_path / "c"), "b1", ["x"])
+    tables.commit(spark, str(tmp_path / "c"), "b1", ["y"])
+    assert [tuple(r) for r in tables.read_commits(spark, str(tmp_path / "c")).collect()] == [
+        ("b1", ["x"])]
+
+
+def test_only_the_named_batches_are_listed(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    df = spark.sql("SELECT 'a' AS s, DATE'2026-01-01' AS snapshot_date")
+    for n in range(5):
+        tables.write_batch(df, path, f"b{n}")
+    some = tables.read_some(spark, path, df.schema, ["b1", "b3", "none"])
+    assert sorted(r["batch_id"] for r in some.collect()) == ["b1", "b3"]
+    assert len(some.inputFiles()) == 2
+    assert tables.read_some(spark, path, df.schema, []).count() == 0
+
+
 def test_shuffle_partitions_follow_the_data():
     assert shuffle_partitions(1 << 20, 8) == 16
     assert shuffle_partitions(100 << 40, 8000) == 409_600

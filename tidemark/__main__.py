@@ -9,19 +9,50 @@ import argparse
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators import reports
+from tidemark.operators import dedup, quality, reports
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
+from tidemark.plans.layers import rebased
 from tidemark.session import AT_SCALE, apply_semantics, shuffle_partitions
+from tidemark.sources.schemas import COIN, GOLD, SILVER_KEY, STATUS
 from tidemark.sources.tables import export_csv
-from tidemark.streaming.jobs import start_all
+from tidemark.streaming.jobs import latest_gold, start_all
+
+def _latest(report):
+    return lambda spark, layers, args: report(latest_gold(spark, layers), date="snapshot_date")
+
+
+def _of_gold(report):
+    return lambda spark, layers, args: report(latest_gold(spark, layers))
+
+
+def _history(spark, layers, args):
+    if args.symbol is None:
+        raise SystemExit("name a --symbol")
+    return reports.key_history(latest_gold(spark, layers), args.symbol, GOLD.names)
+
 
 REPORTS = {
-    "movers": lambda gold: reports.latest_movers(gold, date="snapshot_date"),
-    "volatility": lambda gold: reports.latest_volatility(gold, date="snapshot_date"),
-    "dominance": lambda gold: reports.latest_dominance(gold, date="snapshot_date"),
-    "overview": reports.data_overview,
+    "movers": _latest(reports.latest_movers),
+    "volatility": _latest(reports.latest_volatility),
+    "dominance": _latest(reports.latest_dominance),
+    "overview": _of_gold(reports.data_overview),
+    "times": _of_gold(reports.snapshot_times),
+    "history": _history,
+    "rebased": lambda spark, layers, args: rebased(layers.read_silver(spark)).select(
+        "symbol", "collected_at", "rebased"),
+    "profile": lambda spark, layers, args: reports.table_profile(layers.read(spark, args.layer)),
+    "nulls": lambda spark, layers, args: quality.null_profile(layers.read(spark, args.layer)),
+    "new-columns": lambda spark, layers, args: reports.new_columns(
+        latest_gold(spark, layers), layers.read_silver(spark)),
+    "duplicates": lambda spark, layers, args: dedup.duplicate_keys(
+        layers.read(spark, args.layer), SILVER_KEY),
+    **{
+        f"silver-{table}": lambda spark, layers, args, table=table: layers.read_notes(spark, table)
+        for table in jobs.NOTES
+    },
 }
 
 
@@ -44,22 +75,33 @@ def arguments() -> argparse.ArgumentParser:
         taker.add_argument("--endpoint", required=True, help="origin to note in the audit")
         taker.add_argument("--mode", choices=jobs.MODES, default=mode)
         taker.add_argument("--lines", action="store_true", help="one payload per line")
-        taker.add_argument("--max-rank", type=int, default=10)
+        taker.add_argument("--max-rank", type=int, help="fail greater ranks; no bound if absent")
+        taker.add_argument("--more-coin", help="further listing fields, as 'name TYPE, ...'")
+        taker.add_argument("--more-status", help="further status fields, as 'name TYPE, ...'")
     command("rebuild", "Gold from all of Silver")
     load = command("import", "listings kept as CSV into Bronze and Silver")
     load.add_argument("--batch-id", required=True)
     load.add_argument("--csv", required=True, action="append", help="files of one layout each")
     load.add_argument("--mode", choices=jobs.MODES, default="fail")
-    load.add_argument("--max-rank", type=int, default=10)
+    load.add_argument("--max-rank", type=int, help="fail greater ranks; no bound if absent")
     export = command("export", "a layer as a folder of CSV files")
     export.add_argument("layer", choices=["bronze", "audit", "silver", "gold"])
     export.add_argument("--to", required=True)
-    report = command("report", "a report on stored Gold")
+    report = command("report", "a report on the stored layers")
     report.add_argument("name", choices=sorted(REPORTS))
-    report.add_argument("--rows", type=int, default=20, help="rows to print")
+    report.add_argument("--layer", choices=["bronze", "audit", "silver", "gold"], default="silver",
+                        help="what profile, nulls and duplicates are of")
+    report.add_argument("--symbol", help="whose history")
+    out = report.add_mutually_exclusive_group(required=True)
+    out.add_argument("--rows", type=int, help="print the first so many rows")
+    out.add_argument("--to", help="write the whole report as a folder of CSV files")
     return parser
 
 
+def _wider(schema: T.StructType, more: str | None) -> T.StructType:
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields]) if more else schema
+
+
 def main() -> None:
     args = arguments().parse_args()
     builder = SparkSession.builder.appName(f"tidemark {args.command}")
@@ -74,12 +116,14 @@ def main() -> None:
     if args.command == "cycle":
         jobs.run_cycle(
             spark, args.landing, layers, args.batch_id, args.endpoint, args.mode,
-            not args.lines, args.max_rank,
+            not args.lines, args.max_rank, _wider(COIN, args.more_coin),
+            _wider(STATUS, args.more_status),
         ).show(truncate=False)
     elif args.command == "stream":
         start_all(
             spark, args.landing, layers, args.endpoint, args.every, args.mode,
-            not args.lines, args.max_rank,
+            not args.lines, args.max_rank, _wider(COIN, args.more_coin),
+            _wider(STATUS, args.more_status),
         )
         spark.streams.awaitAnyTermination()
     elif args.command == "rebuild":
@@ -91,7 +135,11 @@ def main() -> None:
     elif args.command == "export":
         export_csv(layers.read(spark, args.layer), args.to)
     else:
-        REPORTS[args.name](layers.read_gold(spark)).show(args.rows, truncate=False)
+        rows = REPORTS[args.name](spark, layers, args)
+        if args.to:
+            export_csv(rows, args.to)
+        else:
+            rows.show(args.rows, truncate=False)
 
 
 if __name__ == "__main__":

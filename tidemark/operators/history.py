@@ -9,10 +9,11 @@ the input is left out and every result equals that of the uncut window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +21,11 @@ from tidemark.functions.series import micros
 
 ROWS_PER_PART = 5_000_000
 MAX_PARTS = 100_000  # bounds the broadcast list of cut points, whatever the table's size
+NULL_KEY_PARTS = 1_024
 _SAMPLES_PER_PART = 100
-_NULL_KEY_PARTS = 1_024
 
 _KEY, _CUTS, _PART, _LEAD, _RANK = "_cut_key", "_cuts", "_part", "_lead_in", "_part_rank"
+_HEADS, _CHUNK, _CHUNK_KEY, _BEFORE = "_heads", "_chunk", "_chunk_key", "_before_chunk"
 
 Compute = Callable[[DataFrame, WindowSpec], DataFrame]
 
@@ -66,26 +68,34 @@ class Timeline:
 
 @dataclass(frozen=True)
 class CutPoints:
-    """Where hot keys are cut: one row per hot key with its sorted positions."""
+    """Where hot keys are cut, in two levels.
 
-    table: DataFrame
-    longest: int
+    ``chunks`` has the sorted positions of a key in chunks of about the square root of their
+    number; ``heads`` has the first position of each chunk, one row per hot key. A row thus
+    looks into two short lists, however many cuts its key has.
+    """
+
+    heads: DataFrame
+    chunks: DataFrame
+    most_heads: int
+    most_cuts: int
 
 
 def find_cut_points(
-    df: DataFrame, timeline: Timeline, rows_per_part: int = ROWS_PER_PART
+    df: DataFrame, timeline: Timeline, rows_per_part: int = ROWS_PER_PART,
+    max_parts: int = MAX_PARTS,
 ) -> CutPoints | None:
     """Cut points about every ``rows_per_part`` rows of a key, or None if no key needs any.
 
     Runs a count, and for tables above one part a scan of the key and order columns.
     The sample only places the cuts, as range partitioning does; it never decides which
-    rows are computed. The spacing widens with the table, so at most about ``MAX_PARTS``
+    rows are computed. The spacing widens with the table, so at most about ``max_parts``
     positions reach the driver.
     """
     rows = df.count()
     if rows <= rows_per_part:
         return None
-    spacing = max(rows_per_part, -(-rows // MAX_PARTS))
+    spacing = max(rows_per_part, -(-rows // max_parts))
     fraction = min(1.0, _SAMPLES_PER_PART / spacing)
     every = max(1, round(spacing * fraction))
     by_key = Window.partitionBy(_KEY).orderBy("position")
@@ -101,33 +111,71 @@ def find_cut_points(
     found = cuts.collect()
     if not found:
         return None
-    table = df.sparkSession.createDataFrame(found, cuts.schema)
-    return CutPoints(table, max(len(row[_CUTS]) for row in found))
+    return _two_levels(df.sparkSession, found, cuts.schema)
+
+
+def _two_levels(spark: SparkSession, found: list, schema: T.StructType) -> CutPoints:
+    heads, chunks = [], []
+    for row in found:
+        positions = row[_CUTS]
+        size = max(1, math.isqrt(len(positions)))
+        begins = range(0, len(positions), size)
+        heads.append((row[_KEY], [positions[b] for b in begins]))
+        chunks += [(row[_KEY], n + 1, b, positions[b : b + size]) for n, b in enumerate(begins)]
+    key, positions = schema[_KEY], schema[_CUTS].dataType
+    named = T.StructField(_CHUNK_KEY, key.dataType)
+    numbers = [T.StructField(c, T.IntegerType()) for c in (_CHUNK, _BEFORE)]
+    of_chunk = [named, *numbers, T.StructField(_CUTS, positions)]
+    return CutPoints(
+        spark.createDataFrame(heads, T.StructType([key, T.StructField(_HEADS, positions)])),
+        spark.createDataFrame(chunks, T.StructType(of_chunk)),
+        max(len(h) for _, h in heads),
+        max(len(c) for *_, c in chunks),
+    )
 
 
-def _with_part(df: DataFrame, timeline: Timeline, cuts: CutPoints) -> DataFrame:
-    """Adds each row's part: the number of its key's cut points at or before it."""
-    step_sizes = [1 << bit for bit in reversed(range(cuts.longest.bit_length()))]
-    position = timeline.position(df)
-    # A binary search: the cut list of a hot key is long and every row looks into it.
-    searched = F.aggregate(
+def _search(positions: str, most: int) -> Column:
+    """How many of the sorted positions lie at or before the row's own, by halving."""
+    step_sizes = [1 << bit for bit in reversed(range(most.bit_length()))]
+    return F.aggregate(
         F.array(*[F.lit(s) for s in step_sizes]),
         F.lit(0),
         lambda found, step: F.when(
-            F.get(F.col(_CUTS), found + step - 1) <= F.col("_position"), found + step
+            F.get(F.col(positions), found + step - 1) <= F.col("_position"), found + step
         ).otherwise(found),
     )
+
+
+def _with_part(df: DataFrame, timeline: Timeline, cuts: CutPoints) -> DataFrame:
+    """Adds each row's part: the number of its key's cut points at or before it.
+
+    Rows without a key are spread by all their values.
+    """
     key = F.col(timeline.key)
-    return (
-        df.withColumn("_position", position)
-        .join(F.broadcast(cuts.table), key.eqNullSafe(F.col(_KEY)), "left")
-        .withColumn(
-            _PART,
-            F.when(key.isNull(), F.pmod(F.hash("_position"), F.lit(_NULL_KEY_PARTS)))
-            .when(F.col(_CUTS).isNotNull(), searched)
-            .otherwise(F.lit(-1)),
+    values = [
+        f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in values]), F.lit(NULL_KEY_PARTS))
+    chunk = F.when(F.col(_HEADS).isNotNull(), _search(_HEADS, cuts.most_heads))
+    found = (
+        df.withColumn("_position", timeline.position(df))
+        .join(F.broadcast(cuts.heads), key == F.col(_KEY), "left")
+        .withColumn("_in_chunk", chunk)
+        .drop(_HEADS)
+        .join(
+            F.broadcast(cuts.chunks),
+            (F.col(_KEY) == F.col(_CHUNK_KEY)) & (F.col("_in_chunk") == F.col(_CHUNK)),
+            "left",
         )
-        .drop(_KEY, _CUTS, "_position")
+    )
+    part = (
+        F.when(key.isNull(), spread.cast("int"))
+        .when(F.col("_in_chunk") == 0, F.lit(0))
+        .when(F.col(_CUTS).isNotNull(), F.col(_BEFORE) + _search(_CUTS, cuts.most_cuts))
+        .otherwise(F.lit(-1))
+    )
+    return found.withColumn(_PART, part).drop(
+        _KEY, _CHUNK_KEY, _CHUNK, _CUTS, _BEFORE, "_in_chunk", "_position"
     )
 
 
@@ -195,22 +243,20 @@ def key_aggregate(
     """Adds an aggregate over all rows of a key to each of them.
 
     Cut keys are aggregated on their own, partly before the shuffle, and the result, no
-    more rows than there are cut points, is broadcast. All other keys take a window.
+    more rows than there are cut points, is broadcast to their rows, which are not shuffled.
+    All other keys take a window.
     """
     if cuts is None:
         whole = Window.partitionBy(timeline.key)
         return df.withColumn(out, timeline.masked(aggregate.over(whole)))
     key = F.col(timeline.key)
-    hot = F.broadcast(cuts.table.select(F.col(_KEY)))
-    of_hot = df.join(hot, key == F.col(_KEY), "inner").groupBy(_KEY).agg(aggregate.alias("_hot"))
-    parts = _with_part(df, timeline, cuts).repartition(timeline.key, _PART)
-    whole = Window.partitionBy(timeline.key, _PART)
-    return (
-        parts.withColumn("_cold", F.when(F.col(_PART) < 0, aggregate.over(whole)))
-        .join(F.broadcast(of_hot), key == F.col(_KEY), "left")
-        .withColumn(out, F.coalesce(F.col("_hot"), F.col("_cold")))
-        .drop("_hot", "_cold", _KEY, _PART)
-    )
+    hot = F.broadcast(cuts.heads.select(F.col(_KEY)))
+    of_hot = df.join(hot, key == F.col(_KEY), "inner").groupBy(_KEY).agg(aggregate.alias(out))
+    without = F.col(_KEY).isNotNull() | key.isNull()
+    looked_up = df.join(F.broadcast(of_hot), key == F.col(_KEY), "left").filter(without).drop(_KEY)
+    cold = df.filter(key.isNotNull()).join(hot, key == F.col(_KEY), "left_anti")
+    whole = Window.partitionBy(timeline.key)
+    return cold.withColumn(out, aggregate.over(whole)).unionByName(looked_up)
 
 
 def first_value(value: str, timeline: Timeline, df: DataFrame) -> Column:

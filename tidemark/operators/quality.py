@@ -28,12 +28,14 @@ class QualityError(RuntimeError):
     pass
 
 
-def snapshot_checks(max_rank: int = 10) -> list[Check]:
+def snapshot_checks(max_rank: int | None = None) -> list[Check]:
+    """Checks of a listings table; without ``max_rank`` a rank only has to be positive."""
+    rank = positive("cmc_rank") if max_rank is None else in_range("cmc_rank", 1, max_rank)
     return [
         Check("price_positive", positive("quote_USD_price")),
         Check("market_cap_positive", positive("quote_USD_market_cap")),
         Check("volume_non_negative", non_negative("quote_USD_volume_24h")),
-        Check("rank_in_range", in_range("cmc_rank", 1, max_rank)),
+        Check("rank_in_range", rank),
         Check("collected_at_present", F.col("collected_at").isNotNull()),
     ]
 
@@ -46,9 +48,7 @@ def check_report(
     With ``unique``, the rows are first counted per key, so key uniqueness costs one
     shuffle of the key and the counters, and copies of a hot key merge before it.
     """
-    failing = [
-        F.count_if(~F.coalesce(c.holds, F.lit(False))).alias(f"f{i}") for i, c in enumerate(checks)
-    ]
+    failing = [F.count_if(_fails(c)).alias(f"f{i}") for i, c in enumerate(checks)]
     names = [c.name for c in checks]
     if unique:
         per_key = df.groupBy(*unique).agg(F.count("*").alias("n"), *failing)
@@ -70,6 +70,19 @@ def check_report(
     return totals.select(F.inline(F.array(*entries)))
 
 
+def _fails(check: Check) -> Column:
+    return ~F.coalesce(check.holds, F.lit(False))
+
+
+def failing_counters(checks: Sequence[Check]) -> list[Column]:
+    """Aggregates failing_0, failing_1, ... and any_failing."""
+    any_failing = F.lit(False)
+    for check in checks:
+        any_failing = any_failing | _fails(check)
+    each = [F.count_if(_fails(c)).alias(f"failing_{i}") for i, c in enumerate(checks)]
+    return [*each, F.count_if(any_failing).alias("any_failing")]
+
+
 def gate(report: DataFrame) -> None:
     """Raises if any check of a report failed; the report has one row per check."""
     failed = report.filter(~F.col("passed")).collect()
@@ -79,7 +92,7 @@ def gate(report: DataFrame) -> None:
 
 def failed_checks(checks: Sequence[Check]) -> Column:
     """Names of the checks a row fails, as an array."""
-    named = [F.when(~F.coalesce(c.holds, F.lit(False)), F.lit(c.name)) for c in checks]
+    named = [F.when(_fails(c), F.lit(c.name)) for c in checks]
     return F.array_compact(F.array(*named))
 
 
@@ -96,7 +109,7 @@ def enforce(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """The same rows; running the result raises at the first row that fails a check."""
     stop = None
     for c in checks:
-        bad = ~F.coalesce(c.holds, F.lit(False))
+        bad = _fails(c)
         message = F.raise_error(F.lit(f"check failed: {c.name}")).cast("boolean")
         stop = F.when(bad, message) if stop is None else stop.when(bad, message)
     return df if stop is None else df.filter(stop.otherwise(F.lit(True)))
@@ -109,6 +122,11 @@ def _missing(field: T.StructField) -> Column:
     return c.isNull()
 
 
+def null_counters(schema: T.StructType) -> list[Column]:
+    """Aggregates nulls_0, nulls_1, ...: missing values by column."""
+    return [F.count_if(_missing(f)).alias(f"nulls_{i}") for i, f in enumerate(schema.fields)]
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """(column, nulls, pct) of the columns that have any, most nulls first."""
     fields = df.schema.fields

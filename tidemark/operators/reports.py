@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,19 +11,22 @@ from pyspark.sql import functions as F
 from tidemark.functions.series import micros
 
 _RANK, _SALT = "_rank", "_salt"
-# Spark filters small ranks before the shuffle by itself, which leaves up to one slice per
-# map task for the task that ranks a huge snapshot. Deeper slices are cut down twice.
-_ONE_PASS_RANKS = 100
-_SALTS = 512
 
 
 def latest_snapshot(
-    df: DataFrame, time: str = "collected_at", date: str | None = None
+    df: DataFrame, time: str = "collected_at", date: str | None = None,
+    on: datetime.date | None = None, times: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows at the table's last time. ``date`` names a partition column to prune by."""
+    """Rows at the table's last time.
+
+    ``date`` names a partition column to prune by; ``on`` is its last value, where known from
+    the listing of the table. ``times`` is what the last time is read from, if that is
+    cheaper than the table: the source of a table that is computed.
+    """
     if date is not None:
-        df = df.filter(F.col(date) == df.select(F.max(date)).scalar())
-    return df.filter(F.col(time) == df.select(F.max(time)).scalar())
+        last = df.select(F.max(date)).scalar() if on is None else F.lit(on)
+        df = df.filter(F.col(date) == last)
+    return df.filter(F.col(time) == (df if times is None else times).select(F.max(time)).scalar())
 
 
 def ranked_report(
@@ -35,26 +39,27 @@ def ranked_report(
 
 def latest_movers(
     gold: DataFrame, key: str = "symbol", time: str = "collected_at",
-    value: str = "quote_USD_price", date: str | None = None,
+    value: str = "quote_USD_price", **latest,
 ) -> DataFrame:
+    """``latest`` are the settings of ``latest_snapshot``, here and below."""
     columns = [key, value, "price_delta_pct", "minutes_since_last"]
-    return ranked_report(latest_snapshot(gold, time, date), columns, "price_delta_pct", [key])
+    return ranked_report(latest_snapshot(gold, time, **latest), columns, "price_delta_pct", [key])
 
 
 def latest_volatility(
     gold: DataFrame, key: str = "symbol", time: str = "collected_at",
-    value: str = "quote_USD_price", flag: str = "is_stablecoin", date: str | None = None,
+    value: str = "quote_USD_price", flag: str = "is_stablecoin", **latest,
 ) -> DataFrame:
-    rows = latest_snapshot(gold, time, date).filter(~F.col(flag))
+    rows = latest_snapshot(gold, time, **latest).filter(~F.col(flag))
     return ranked_report(rows, [key, value, "volatility_3"], "volatility_3", [key])
 
 
 def latest_dominance(
     gold: DataFrame, key: str = "symbol", time: str = "collected_at",
-    share: str = "quote_USD_market_cap_dominance", date: str | None = None,
+    share: str = "quote_USD_market_cap_dominance", **latest,
 ) -> DataFrame:
     columns = [key, share, "dominance_delta"]
-    return ranked_report(latest_snapshot(gold, time, date), columns, share, [key])
+    return ranked_report(latest_snapshot(gold, time, **latest), columns, share, [key])
 
 
 def key_history(
@@ -67,14 +72,19 @@ def key_history(
 
 def top_per_snapshot(
     df: DataFrame, snapshot: str, order: Sequence[Column], start: int = 1, limit: int = 10,
-    rank: str = "rank",
+    rank: str = "rank", one_pass: int = 100, salts: int = 512,
 ) -> DataFrame:
-    """Ranks ``start`` to ``start + limit - 1`` of each snapshot, with the rank."""
+    """Ranks ``start`` to ``start + limit - 1`` of each snapshot, with the rank.
+
+    Spark filters small ranks before the shuffle by itself, which leaves up to one slice per
+    map task for the task that ranks a huge snapshot. Slices that end beyond ``one_pass`` are
+    cut down twice: within ``salts`` shares of a snapshot, then over what is left of them.
+    """
     last = start + limit - 1
-    if last > _ONE_PASS_RANKS:
+    if last > one_pass:
         shares = Window.partitionBy(snapshot, _SALT).orderBy(*order)
         df = (
-            df.withColumn(_SALT, F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
+            df.withColumn(_SALT, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
             .withColumn(_RANK, F.row_number().over(shares))
             .filter(F.col(_RANK) <= last)
             .drop(_RANK, _SALT)
@@ -117,20 +127,26 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def new_columns(after: DataFrame, before: DataFrame) -> DataFrame:
-    """Columns of ``after`` that ``before`` lacks, by name, with row and value counts."""
+def new_columns(after: DataFrame, before: DataFrame, counts: bool = False) -> DataFrame:
+    """Columns of ``after`` that ``before`` lacks, by name; no rows if there are none.
+
+    Schemas say that. Only with ``counts`` are the rows read, to count them and the values.
+    """
     added = sorted(set(after.columns) - set(before.columns))
-    if not added:
-        raise ValueError("no column was added")
-    counts = after.agg(
+    width = F.lit(len(after.columns)).alias("column_count")
+    if not counts or not added:
+        named = after.sparkSession.createDataFrame([(c,) for c in added], "column STRING")
+        none = [F.lit(0).cast("bigint").alias(c) for c in ("values", "row_count") if counts]
+        return named.select("column", *none, width).orderBy("column")
+    totals = after.agg(
         F.count("*").alias("row_count"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(added)]
     )
     entries = [
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("values"))
         for i, c in enumerate(added)
     ]
-    return counts.select(
+    return totals.select(
         F.inline(F.array(*entries)),
         "row_count",
-        F.lit(len(after.columns)).alias("column_count"),
+        width,
     ).orderBy("column")

@@ -10,13 +10,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.history import ROWS_PER_PART, Timeline, find_cut_points
-from tidemark.operators.quality import enforce, snapshot_checks, split_rows
-from tidemark.plans.layers import clean, date_of, silver_increment, to_audit, to_bronze, to_gold
-from tidemark.sources import tables
+from tidemark.operators.quality import (
+    Check, QualityError, check_report, failing_counters, gate, null_counters, snapshot_checks, split_rows,
+)
+from tidemark.plans.layers import (
+    clean, date_of, parsed, silver_increment, to_audit, to_bronze, to_gold,
+)
+from tidemark.sources import files, tables
+from tidemark.sources.files import checked_name
 from tidemark.sources.landing import read_payloads
-from tidemark.sources.schemas import AUDIT, BRONZE, GOLD, SILVER, SILVER_KEY
+from tidemark.sources.schemas import AUDIT, BRONZE, COIN, GOLD, SILVER, SILVER_KEY, STATUS
 
 MODES = ("fail", "quarantine", "report")
 
@@ -58,17 +64,29 @@ class Layers:
     def late(self) -> str:
         return self._at("late")
 
+    @property
+    def folded(self) -> str:
+        return self._at("folded")
+
     def state(self, slot: int) -> str:
         return self._at(f"live_state/slot={slot}")
 
     def checkpoint(self, stream: str) -> str:
         return self._at(f"checkpoints/{stream}")
 
-    def read_bronze(self, spark: SparkSession) -> DataFrame:
-        return tables.read_batches(spark, self.bronze, BRONZE)
+    def commits(self, layer: str) -> str:
+        """Records of the layer's complete batches."""
+        return self._at(f"commits/{layer}")
+
+    def staging(self, layer: str, batch_id: str) -> str:
+        return self._at(f"staging/{layer}/{checked_name(batch_id)}")
 
-    def read_audit(self, spark: SparkSession) -> DataFrame:
-        return tables.read_batches(spark, self.audit, AUDIT)
+    def read_bronze(self, spark: SparkSession, more: T.StructType | None = None) -> DataFrame:
+        """``more`` names fields that a wider ``coin`` schema has added."""
+        return tables.read_batches(spark, self.bronze, _with(BRONZE, more))
+
+    def read_audit(self, spark: SparkSession, more: T.StructType | None = None) -> DataFrame:
+        return tables.read_batches(spark, self.audit, _with(AUDIT, more))
 
     def read_silver(self, spark: SparkSession) -> DataFrame:
         return tables.read_batches(spark, self.silver, SILVER).drop("batch_id")
@@ -78,37 +96,97 @@ class Layers:
         return getattr(self, f"read_{layer}")(spark)
 
     def read_gold(self, spark: SparkSession) -> DataFrame:
-        return tables.read_layer(spark, self.gold, GOLD)
+        return tables.read_current(spark, self.gold, GOLD)
+
+    def read_notes(self, spark: SparkSession, table: str) -> DataFrame:
+        """What building Silver has noted: checks, counts or nulls, by batch."""
+        schema = T.StructType.fromDDL(f"{NOTES[table]}, batch_id STRING")
+        return tables.read_layer(spark, self.notes(table), schema)
+
+    def notes(self, table: str) -> str:
+        return self._at(f"silver_{table}")
 
 
-def write_bronze(payloads: DataFrame, layers: Layers, batch_id: str, endpoint: str) -> None:
-    """Appends the batch's listings, then one audit row per payload."""
-    tables.write_batch(to_bronze(payloads), layers.bronze, batch_id)
-    tables.write_batch(to_audit(payloads, endpoint), layers.audit, batch_id)
+NOTES = {
+    "checks": "`check` STRING, passed BOOLEAN, failing_rows BIGINT",
+    "counts": "rows_before BIGINT, set_apart BIGINT, removed BIGINT, rows_after BIGINT",
+    "nulls": "`column` STRING, nulls BIGINT, pct DOUBLE",
+}
+
+
+def _with(schema: T.StructType, more: T.StructType | None) -> T.StructType:
+    return schema if more is None else T.StructType([*schema.fields, *more.fields])
+
+
+def write_bronze(
+    payloads: DataFrame,
+    layers: Layers,
+    batch_id: str,
+    endpoint: str,
+    coin: T.StructType = COIN,
+    status: T.StructType = STATUS,
+) -> None:
+    """Appends the batch's listings, then one audit row per payload.
+
+    The payloads are parsed once, into a table that both are taken from. ``coin`` and
+    ``status`` may be wider than the declared schemas; their further fields become columns.
+    """
+    spark = payloads.sparkSession
+    staging = layers.staging("bronze", batch_id)
+    rows = parsed(payloads, coin, status)
+    rows.write.mode("overwrite").parquet(staging)
+    rows = spark.read.schema(rows.schema).parquet(staging)
+    tables.write_batch(to_bronze(rows), layers.bronze, batch_id)
+    tables.write_batch(to_audit(rows, endpoint), layers.audit, batch_id)
+    files.delete(spark, staging)
+    tables.commit(spark, layers.commits("bronze"), batch_id)
 
 
 def import_bronze(spark: SparkSession, paths: list[str], layers: Layers, batch_id: str) -> None:
-    """Appends listings kept as CSV so far; a path holds files of one column layout."""
+    """Appends listings kept as CSV so far; a path holds files of one column layout.
+
+    Rows that were exported from Bronze keep their origin; others come in file order.
+    """
     rows = tables.import_csv(spark, paths, BRONZE)
-    rows = rows.withColumn("source_file", F.coalesce("source_file", F.lit(batch_id)))
     rows = rows.withColumn(tables.DATE, date_of("collected_at"))
     tables.write_batch(rows, layers.bronze, batch_id)
+    tables.commit(spark, layers.commits("bronze"), batch_id)
 
 
-def _same_dates(stored: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Stored rows of the dates that occur in the new ones, so no other date is read."""
-    # One value per calendar day at most.
-    days = [r[0] for r in cleaned.select(tables.DATE).distinct().collect() if r[0] is not None]
-    return stored.filter(F.col(tables.DATE).isin(days) | F.col(tables.DATE).isNull())
+def _counted(cleaned: DataFrame, checks: list[Check]) -> dict:
+    """Rows, failing rows, and the stretch of time they span, in one pass over the checked
+    columns."""
+    time = F.col("collected_at")
+    return cleaned.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(time.cast("timestamp_ntz")).alias("first"),
+        F.max(time.cast("timestamp_ntz")).alias("last"),
+        F.count_if(time.isNull()).alias("without_time"),
+        *failing_counters(checks),
+    ).first().asDict()
+
+
+def _same_times(stored: DataFrame, seen: dict) -> DataFrame:
+    """Stored rows of the stretch of time that the new ones span; other dates are not read."""
+    time, day, kept = F.col("collected_at"), F.col(tables.DATE), F.lit(False)
+    if seen["first"] is not None:
+        low, high = (F.lit(seen[c]).cast("timestamp") for c in ("first", "last"))
+        kept = (day >= F.lit(seen["first"].date())) & (day <= F.lit(seen["last"].date()))
+        kept = kept & (time >= low) & (time <= high)
+    return stored.filter(kept | day.isNull() if seen["without_time"] else kept)
 
 
 def write_silver(
-    bronze: DataFrame, layers: Layers, batch_id: str, mode: str = "fail", max_rank: int = 10
+    bronze: DataFrame, layers: Layers, batch_id: str, mode: str = "fail",
+    max_rank: int | None = None,
 ) -> None:
-    """Appends the batch's clean rows that Silver does not have.
+    """Appends the batch's clean rows that Silver does not have, and notes what it did.
 
-    ``fail`` stops before anything is committed if a row to be added fails a check,
-    ``quarantine`` sets failing rows apart first, ``report`` lets them pass.
+    ``fail`` commits nothing if a row to be added fails a check, ``quarantine`` sets failing
+    rows apart first, ``report`` lets them pass. Ranks have no upper bound unless given.
+    The notes count the batch's rows, not the layer's: those that came, were set apart, removed as
+    copies, and added; failing rows by check (of the rows that came in quarantine mode, else
+    of those to be added); and NULLs by column of the added rows.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -118,23 +196,62 @@ def write_silver(
     tables.create_batches(spark, layers.silver, SILVER)
     # The batch's own earlier attempt does not count as stored, since it is replaced.
     stored = tables.read_batches(spark, layers.silver, SILVER)
-    stored = _same_dates(stored.filter(F.col("batch_id") != batch_id), rows)
+    seen = _counted(rows, checks)
+    stored = _same_times(stored.filter(F.col("batch_id") != batch_id), seen)
     if mode == "quarantine":
         rows, failing = split_rows(rows, checks)
         tables.write_batch(failing, layers.quarantine, batch_id)
     rows = silver_increment(rows, stored)
+    staging = layers.staging("silver", batch_id)
+    tables.write_batch(rows, staging, batch_id, SILVER_KEY)
+    added = tables.read_batches(spark, staging, SILVER)
+    kept = added.agg(
+        F.count(F.lit(1)).alias("n"), *failing_counters(checks), *null_counters(SILVER)
+    ).first().asDict()
+    report = _noted_checks(spark, checks, seen if mode == "quarantine" else kept, added)
     if mode == "fail":
-        rows = enforce(rows, checks)
-    tables.write_batch(rows, layers.silver, batch_id, SILVER_KEY)
+        try:
+            gate(report)
+        except QualityError:
+            files.delete(spark, staging)
+            raise
+    _note(report, layers, "checks", batch_id)
+    set_apart = seen["any_failing"] if mode == "quarantine" else 0
+    counts = [(seen["n"], set_apart, seen["n"] - set_apart - kept["n"], kept["n"])]
+    _note(spark.createDataFrame(counts, NOTES["counts"]), layers, "counts", batch_id)
+    nulls = [
+        (name, kept[f"nulls_{i}"], 100.0 * kept[f"nulls_{i}"] / kept["n"])
+        for i, name in enumerate(SILVER.names) if kept[f"nulls_{i}"]
+    ]
+    _note(spark.createDataFrame(nulls, NOTES["nulls"]), layers, "nulls", batch_id)
+    name = f"batch_id={batch_id}"
+    files.move(spark, f"{staging}/{name}", f"{layers.silver}/{name}")
+    files.delete(spark, staging)
+    tables.commit(spark, layers.commits("silver"), batch_id)
+
+
+def _noted_checks(
+    spark: SparkSession, checks: list[Check], counted: dict, added: DataFrame
+) -> DataFrame:
+    """The report of the row checks from their counters, and of the key over the new rows."""
+    rows = [(c.name, counted[f"failing_{i}"] == 0, counted[f"failing_{i}"])
+            for i, c in enumerate(checks)]
+    unique = check_report(added.select(*SILVER_KEY), [], SILVER_KEY)
+    return spark.createDataFrame(rows, NOTES["checks"]).unionByName(unique)
+
+
+def _note(rows: DataFrame, layers: Layers, table: str, batch_id: str) -> None:
+    path = f"{layers.notes(table)}/batch_id={batch_id}"
+    rows.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def rebuild_gold(
     spark: SparkSession, layers: Layers, rows_per_part: int = ROWS_PER_PART
 ) -> None:
-    """Recomputes Gold from all of Silver and replaces it."""
+    """Recomputes Gold from all of Silver and replaces it, whole or not at all."""
     silver = layers.read_silver(spark)
     cuts = find_cut_points(silver, Timeline(), rows_per_part)
-    tables.overwrite(to_gold(silver, cuts=cuts), layers.gold, order=SILVER_KEY)
+    tables.replace_layer(to_gold(silver, cuts=cuts), layers.gold, order=SILVER_KEY)
 
 
 def run_cycle(
@@ -145,15 +262,18 @@ def run_cycle(
     endpoint: str,
     mode: str = "fail",
     multi_line: bool = True,
-    max_rank: int = 10,
+    max_rank: int | None = None,
+    coin: T.StructType = COIN,
+    status: T.StructType = STATUS,
 ) -> DataFrame:
     """One collection cycle over new landing files, from payloads to Gold.
 
     Returns (layer, new_rows, total_rows, snapshots). Any failure propagates; layers
     that were written before it stay, and running the same batch again completes it.
     """
-    write_bronze(read_payloads(spark, landing, multi_line), layers, batch_id, endpoint)
-    bronze = layers.read_bronze(spark).filter(F.col("batch_id") == batch_id)
+    payloads = read_payloads(spark, landing, multi_line)
+    write_bronze(payloads, layers, batch_id, endpoint, coin, status)
+    bronze = tables.read_some(spark, layers.bronze, BRONZE, [batch_id])
     write_silver(bronze, layers, batch_id, mode, max_rank)
     rebuild_gold(spark, layers)
     return cycle_summary(spark, layers, batch_id)

@@ -16,7 +16,9 @@ from tidemark.operators.history import (
     CutPoints, Timeline, first_value, key_aggregate, over_history,
 )
 from tidemark.operators.nested import array_length, explode_records, flatten_structs
-from tidemark.sources.schemas import AUDIT, BRONZE, COIN, SILVER, SILVER_KEY, TIME_COLUMNS
+from tidemark.sources.schemas import (
+    AUDIT, BRONZE, COIN, ORIGIN, SILVER, SILVER_KEY, STATUS, TIME_COLUMNS,
+)
 from tidemark.sources.tables import conform
 
 # Symbols that are flagged as stablecoins.
@@ -37,36 +39,72 @@ def date_of(time: str) -> Column:
     return F.to_date(scalar.parse_time(time))
 
 
-def to_bronze(
-    payloads: DataFrame, coin: T.StructType = COIN, raw: str | None = None
+_MISFIT = "_misfit"
+
+
+def _is_text(payloads: DataFrame, column: str) -> bool:
+    kind = payloads.schema[column].dataType
+    return isinstance(getattr(kind, "elementType", kind), T.StringType)
+
+
+def parsed(
+    payloads: DataFrame, coin: T.StructType = COIN, status: T.StructType = STATUS
 ) -> DataFrame:
-    """Flat rows of the records in ``data``; fields beyond the declared ones come last.
+    """Payloads with their status and records typed, and the text of both kept beside.
 
-    Records that are still JSON text are parsed with ``coin``, and ``raw`` then names a
-    column that keeps each record's text.
+    A value that does not fit its type is NULL, and its payload counts as malformed.
+    """
+    out = payloads
+    if _is_text(out, "status"):
+        out = out.withColumns({"raw_status": F.col("status"), "status": F.from_json("status", status)})
+    if _is_text(out, "data"):
+        fields = T.StructType([*coin.fields, T.StructField(_MISFIT, T.StringType())])
+        options = {"columnNameOfCorruptRecord": _MISFIT}
+        records = F.transform(
+            "data",
+            lambda text: F.struct(F.from_json(text, fields, options).alias("r"), text.alias("t")),
+        )
+        typed = F.transform(
+            "data",
+            lambda x: F.struct(
+                *[x["r"][f.name].alias(f.name) for f in coin.fields], x["t"].alias("raw_json")
+            ),
+        )
+        misfit = F.exists("data", lambda x: x["r"][_MISFIT].isNotNull())
+        out = out.withColumn("data", records).withColumns({
+            "malformed": F.col("malformed") | F.coalesce(misfit, F.lit(False)),
+            "data": typed,
+        })
+    return out
+
+
+def to_bronze(payloads: DataFrame, coin: T.StructType = COIN) -> DataFrame:
+    """Flat rows of the records in ``data``; typed fields beyond the declared ones come last.
+
+    Every record's text is kept in ``raw_json``, unless the reader has parsed it already.
     """
-    is_text = isinstance(payloads.schema["data"].dataType.elementType, T.StringType)
-    if raw is not None and not is_text:
-        raise ValueError("read the payloads with coin=None to keep the records' text")
+    origin = [c for c in ORIGIN.names if c in payloads.columns]
+    typed = parsed(payloads.select("status", "data", "collected_at", "malformed", *origin), coin)
     records = explode_records(
-        payloads.select("collected_at", "source_file", "data"),
-        "data", "listing_position", coin if is_text else None, raw,
+        typed.select("collected_at", *origin, "data"), "data", "listing_position"
     )
     flat = flatten_structs(records).withColumn("snapshot_date", date_of("collected_at"))
     extra = [c for c in flat.columns if c not in BRONZE.names]
-    declared = [F.col(f.name).cast(f.dataType) for f in BRONZE.fields if f.name in flat.columns]
-    absent = [
-        F.lit(None).cast(f.dataType).alias(f.name)
+    declared = [
+        (F.col(f.name) if f.name in flat.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in BRONZE.fields
-        if f.name not in flat.columns
     ]
-    return flat.select(*declared, *absent, *extra)
+    return flat.select(*declared, *extra)
 
 
-def to_audit(payloads: DataFrame, endpoint: str) -> DataFrame:
+def to_audit(payloads: DataFrame, endpoint: str, status: T.StructType = STATUS) -> DataFrame:
     """One row per payload, also for one that is malformed or without records."""
-    rows = payloads.select(
+    typed = parsed(payloads, status=status)
+    if "raw_status" not in typed.columns:
+        typed = typed.withColumn("raw_status", F.lit(None).cast("string"))
+    rows = typed.select(
         "status.*",
+        "raw_status",
         "collected_at",
         F.lit(endpoint).alias("endpoint"),
         array_length("data").alias("coins_returned"),
@@ -100,8 +138,8 @@ def clean(bronze: DataFrame) -> DataFrame:
     )
 
 
-# Where a row came from decides which copy is first; the rest settles equal origins.
-ARRIVAL = ["source_file", "listing_position", "quote_USD_price", "quote_USD_market_cap"]
+# Where a row came from decides which copy is first.
+ARRIVAL = ORIGIN.names
 
 
 def to_silver(bronze: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -32,15 +35,23 @@ def shuffle_partitions(shuffle_bytes: int, cores: int, target_bytes: int = 256 <
     return max(2 * cores, -(-shuffle_bytes // target_bytes))
 
 
+@cache
+def _local_scratch() -> str:
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for written intermediate tables, in the cluster's shared folder.
 
     The folder is the session's ``spark.checkpoint.dir``. Only a local session may go
-    without one, since no other machine has to see its files.
+    without one, since no other machine has to see its files; it has one folder, which
+    goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{label}-{uuid4().hex}"

@@ -44,13 +44,21 @@ def _listing(time: T.DataType) -> dict[str, T.DataType]:
     }
 
 
-BRONZE = _struct(
-    **_listing(_TEXT), source_file=_TEXT, listing_position=_INT, snapshot_date=_DATE
+# Where a row came from, in the order of arrival; every row has a place of its own.
+ORIGIN = _struct(
+    file_time=_TIME, source_file=_TEXT, block_start=_LONG, payload_place=_LONG,
+    listing_position=_INT,
 )
 
+# ``raw_json`` and ``raw_status`` hold all fields as they came, also those not declared here.
+BRONZE = T.StructType([
+    *_struct(**_listing(_TEXT), raw_json=_TEXT).fields, *ORIGIN.fields,
+    T.StructField("snapshot_date", _DATE),
+])
+
 AUDIT = _struct(
     credit_count=_INT, total_count=_LONG, elapsed=_INT,
-    collected_at=_TEXT, endpoint=_TEXT, coins_returned=_INT,
+    raw_status=_TEXT, collected_at=_TEXT, endpoint=_TEXT, coins_returned=_INT,
     source_file=_TEXT, malformed=_FLAG, snapshot_date=_DATE,
 )
 
@@ -62,6 +70,7 @@ SILVER = _struct(
     snapshot_date=_DATE,
 )
 
+# Names of time columns and of the features.
 TIME_COLUMNS = ["collected_at", "last_updated", "quote_USD_last_updated", "date_added"]
 
 GOLD_FEATURES = [

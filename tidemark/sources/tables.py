@@ -2,18 +2,28 @@
 
 Append-only layers hold one directory per batch, partitioned by date below it. Writing
 a batch replaces only its own directory, so a batch that is run again, after a lost
-driver for example, leaves the same rows as one that ran once.
+driver for example, leaves the same rows as one that ran once. A batch that is complete has a
+record in a folder of commits, by which streams hand it on, once.
+
+A layer that is rebuilt whole gets a new version next to the old one; a small file says which
+one counts. Readers thus see the old rows or the new ones, never a part.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Sequence
+from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.nested import arrays_to_json
+from tidemark.sources import files
+from tidemark.sources.landing import origin_columns
 from tidemark.sources.schemas import with_batch
 
 DATE = "snapshot_date"
@@ -70,6 +80,46 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return read_layer(spark, path, with_batch(schema))
 
 
+def read_some(
+    spark: SparkSession, path: str, schema: T.StructType, batch_ids: Sequence[str]
+) -> DataFrame:
+    """The rows of these batches; no other directory is listed."""
+    found = [f"{path}/batch_id={files.checked_name(b)}" for b in sorted(set(batch_ids))]
+    found = [f for f in found if files.exists(spark, f)]
+    if not found:
+        return spark.createDataFrame([], with_batch(schema))
+    return spark.read.schema(with_batch(schema)).option("basePath", path).parquet(*found)
+
+
+def commit(spark: SparkSession, folder: str, batch_id: str, took: Sequence[str] = ()) -> None:
+    """Notes that a batch is complete, and which batches it took in. The first note stays."""
+    path = f"{folder}/{files.checked_name(batch_id)}.json"
+    if not files.exists(spark, path):
+        note = json.dumps({"batch_id": batch_id, "took": list(took)})
+        files.write_text(spark, path, note + "\n")
+
+
+def is_committed(spark: SparkSession, folder: str, batch_id: str) -> bool:
+    return files.exists(spark, f"{folder}/{files.checked_name(batch_id)}.json")
+
+
+_COMMIT = "batch_id STRING, took ARRAY<STRING>"
+
+
+def read_commits(spark: SparkSession, folder: str) -> DataFrame:
+    files.make_folder(spark, folder)
+    return spark.read.schema(_COMMIT).json(folder)
+
+
+def stream_commits(spark: SparkSession, folder: str, per_trigger: int | None) -> DataFrame:
+    """Batches as they become complete; a batch that is written again does not come again."""
+    files.make_folder(spark, folder)
+    reader = spark.readStream.schema(_COMMIT)
+    if per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return reader.json(folder)
+
+
 def _by_date(df: DataFrame, order: Sequence[str]) -> DataFrame:
     # Without this every task would write a file for every date it holds. AQE sizes the
     # write tasks: it merges small dates and splits a date that is too big for one.
@@ -85,7 +135,45 @@ def append(df: DataFrame, path: str, partitions: Sequence[str] = (DATE,)) -> Non
 
 def write_batch(df: DataFrame, path: str, batch_id: str, order: Sequence[str] = ()) -> None:
     """Writes or replaces one batch of an append-only layer, its files sorted by ``order``."""
-    _by_date(df, order).write.mode("overwrite").partitionBy(DATE).parquet(f"{path}/batch_id={batch_id}")
+    target = f"{path}/batch_id={files.checked_name(batch_id)}"
+    _by_date(df, order).write.mode("overwrite").partitionBy(DATE).parquet(target)
+
+
+_CURRENT = "_current"
+
+
+def replace_layer(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """Replaces a whole layer by a new version; ``df`` may read the old one.
+
+    The version before it stays for readers that have begun; older ones are deleted.
+    """
+    spark = df.sparkSession
+    version = f"v-{time.time_ns():020d}-{uuid4().hex[:8]}"
+    _by_date(df, order).write.partitionBy(DATE).parquet(f"{path}/{version}")
+    before = files.read_text(spark, f"{path}/{_CURRENT}")
+    files.write_text(spark, f"{path}/{_CURRENT}", version)
+    for name in files.names(spark, path):
+        if name.startswith("v-") and name not in (version, before):
+            files.delete(spark, f"{path}/{name}")
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that counts, or None if the layer was never written."""
+    version = files.read_text(spark, f"{path}/{_CURRENT}")
+    return None if version is None else f"{path}/{version}"
+
+
+def read_current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    version = current_version(spark, path)
+    return spark.createDataFrame([], schema) if version is None else read_layer(
+        spark, version, schema)
+
+
+def last_date(spark: SparkSession, folder: str) -> date | None:
+    """The last date of a table partitioned by it, from the names of its folders."""
+    days = [n.split("=", 1)[1] for n in files.names(spark, folder) if n.startswith(f"{DATE}=")]
+    found = [d for d in days if d[:1].isdigit()]
+    return date.fromisoformat(max(found)) if found else None
 
 
 def overwrite(
@@ -109,11 +197,16 @@ def import_csv(
     """CSV files of differing column orders as one table, every column found by its name.
 
     Each path may hold files of one layout. Values are read as text and cast, so a
-    layout without a column gives NULLs there.
+    layout without a column gives NULLs there, but for the columns of ``origin_columns``:
+    these then say where the row stands in the files.
     """
     result = None
     for path in paths:
         text = spark.read.options(**_CSV).csv(path)
+        given = {c.lower() for c in text.columns}
+        text = text.select(
+            "*", *[c.alias(n) for n, c in origin_columns().items() if n not in given]
+        )
         rows = conform(text, schema, lenient)
         result = rows if result is None else result.unionByName(rows)
     if result is None:

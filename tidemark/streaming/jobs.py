@@ -1,11 +1,16 @@
 """Landing to Bronze, Bronze to Silver, Silver to live Gold as checkpointed streams.
 
 Each query hands its micro-batches to the same transforms the batch jobs use, and
-writes every micro-batch to its own directory, so one that is retried replaces itself.
+writes every micro-batch to its own directory. When that is complete it leaves a commit
+record; the next stream reads those records, not the directories. A micro-batch that is
+retried before its record is written replaces itself, one that is retried later does nothing,
+and either way the next stream takes it once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +19,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.history import ROWS_PER_PART, Timeline, find_cut_points, key_aggregate
 from tidemark.plans.jobs import Layers, write_bronze, write_silver
 from tidemark.plans.layers import GOLD_LOOK_BACK, to_gold
-from tidemark.sources import tables
-from tidemark.sources.landing import stream_payloads
-from tidemark.sources.schemas import BRONZE, GOLD, SILVER, with_batch
+from tidemark.sources import files, tables
+from tidemark.sources.landing import stream_payloads, with_place
+from tidemark.sources.schemas import BRONZE, COIN, GOLD, SILVER, STATUS, with_batch
 
 _STATE = with_batch(SILVER)
 _CARRIED, _LAST, _LATE = "_carried", "_last_time", "_late"
@@ -40,24 +45,23 @@ def bronze_stream(
     every: str | None = None,
     multi_line: bool = True,
     files_per_batch: int | None = None,
+    coin: T.StructType = COIN,
+    status: T.StructType = STATUS,
 ) -> StreamingQuery:
     """Landing files to Bronze and audit. ``every`` is a polling interval such as
     ``"4 hours"``; without one the query takes what is there and stops."""
 
     def write(payloads: DataFrame, batch: int) -> None:
-        write_bronze(payloads, layers, _label(batch), endpoint)
+        if not tables.is_committed(spark, layers.commits("bronze"), _label(batch)):
+            write_bronze(with_place(payloads), layers, _label(batch), endpoint, coin, status)
 
     payloads = stream_payloads(spark, landing, multi_line, files_per_batch)
     return _start(payloads, write, layers.checkpoint("bronze"), every)
 
 
-def _stored_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None
-) -> DataFrame:
-    reader = spark.readStream.schema(with_batch(schema))
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+def _taken(commits: DataFrame) -> list[str]:
+    # One short name per batch of the layer above since the last trigger.
+    return sorted({row["batch_id"] for row in commits.select("batch_id").collect()})
 
 
 def silver_stream(
@@ -65,17 +69,28 @@ def silver_stream(
     layers: Layers,
     mode: str = "quarantine",
     every: str | None = None,
-    files_per_batch: int | None = None,
-    max_rank: int = 10,
+    batches_per_trigger: int | None = None,
+    max_rank: int | None = None,
 ) -> StreamingQuery:
-    """Bronze to Silver. Replayed rows are matched against the stored dates they fall on,
-    so they add nothing however late they come."""
+    """Bronze to Silver, batch by batch as they become complete. Replayed rows are matched
+    against the stored rows of their times, so they add nothing however late they come."""
 
-    def write(bronze: DataFrame, batch: int) -> None:
-        write_silver(bronze, layers, _label(batch), mode, max_rank)
+    def write(commits: DataFrame, batch: int) -> None:
+        advance_silver(spark, layers, batch, _taken(commits), mode, max_rank)
 
-    bronze = _stored_stream(spark, layers.bronze, BRONZE, files_per_batch)
-    return _start(bronze, write, layers.checkpoint("silver"), every)
+    commits = tables.stream_commits(spark, layers.commits("bronze"), batches_per_trigger)
+    return _start(commits, write, layers.checkpoint("silver"), every)
+
+
+def advance_silver(
+    spark: SparkSession, layers: Layers, batch: int, taken: list[str], mode: str = "quarantine",
+    max_rank: int | None = None,
+) -> None:
+    """One micro-batch of Silver; nothing if it is complete already."""
+    if tables.is_committed(spark, layers.commits("silver"), _label(batch)):
+        return
+    bronze = tables.read_some(spark, layers.bronze, BRONZE, taken)
+    write_silver(bronze, layers, _label(batch), mode, max_rank)
 
 
 def gold_stream(
@@ -83,22 +98,24 @@ def gold_stream(
     layers: Layers,
     timeline: Timeline = Timeline(),
     every: str | None = None,
-    files_per_batch: int | None = None,
+    batches_per_trigger: int | None = None,
     rows_per_part: int = ROWS_PER_PART,
 ) -> StreamingQuery:
-    """Silver to live Gold, appending the features of each new row.
+    """Silver to live Gold, adding the features of each new row.
 
     A key's features need its last few rows only; these are kept between batches, so a
     batch costs the keys and the new rows, not the history. A row no later than its
-    key's last one would change features already written: it goes to the late table,
-    and the next rebuild of Gold from Silver takes it in.
+    key's last one changes features already written: it is noted in the late table, and
+    its key's rows are computed anew from Silver and take the place of the old ones.
     """
 
-    def write(silver: DataFrame, batch: int) -> None:
-        advance_gold(silver.drop("batch_id"), layers, batch, timeline, rows_per_part)
+    def write(commits: DataFrame, batch: int) -> None:
+        taken = _taken(commits)
+        silver = tables.read_some(spark, layers.silver, SILVER, taken).drop("batch_id")
+        advance_gold(silver, layers, batch, timeline, rows_per_part, taken)
 
-    silver = _stored_stream(spark, layers.silver, SILVER, files_per_batch)
-    return _start(silver, write, layers.checkpoint("gold"), every)
+    commits = tables.stream_commits(spark, layers.commits("silver"), batches_per_trigger)
+    return _start(commits, write, layers.checkpoint("gold"), every)
 
 
 def start_all(
@@ -109,25 +126,30 @@ def start_all(
     every: str,
     mode: str = "quarantine",
     multi_line: bool = True,
-    max_rank: int = 10,
+    max_rank: int | None = None,
+    coin: T.StructType = COIN,
+    status: T.StructType = STATUS,
 ) -> list[StreamingQuery]:
-    """All three streams, each looking for new files at the interval ``every``."""
-    # A stream cannot start on a folder that does not exist yet.
-    tables.create_batches(spark, layers.bronze, BRONZE)
-    tables.create_batches(spark, layers.silver, SILVER)
+    """All three streams, each looking for new work at the interval ``every``."""
     return [
-        bronze_stream(spark, landing, layers, endpoint, every, multi_line),
+        bronze_stream(spark, landing, layers, endpoint, every, multi_line, None, coin, status),
         silver_stream(spark, layers, mode, every, max_rank=max_rank),
         gold_stream(spark, layers, every=every),
     ]
 
 
 def advance_gold(
-    silver: DataFrame, layers: Layers, batch: int, timeline: Timeline, rows_per_part: int
+    silver: DataFrame, layers: Layers, batch: int, timeline: Timeline, rows_per_part: int,
+    taken: Sequence[str] = (),
 ) -> None:
-    """One micro-batch of live Gold. Two state slots take turns: a batch reads the one
-    its predecessor wrote and replaces the other, so it can be run again."""
+    """One micro-batch of live Gold; nothing if it is complete already.
+
+    Two state slots take turns: a batch reads the one its predecessor wrote and replaces the
+    other, so it can be run again. ``taken`` are the Silver batches that ``silver`` is.
+    """
     spark = silver.sparkSession
+    if tables.is_committed(spark, layers.commits("gold"), _label(batch)):
+        return
     silver = silver.select(*SILVER.names)
     for slot in (0, 1):
         tables.create_layer(spark, layers.state(slot), _STATE, [])
@@ -140,7 +162,7 @@ def advance_gold(
     cuts = find_cut_points(history, timeline, rows_per_part)
     last = F.max(F.when(F.col(_CARRIED), F.col(timeline.time)))
     is_late = ~F.col(_CARRIED) & F.coalesce(F.col(timeline.time) <= F.col(_LAST), F.lit(False))
-    # Three jobs below read the batch; Spark rebuilds lost pieces of it from its files.
+    # The jobs below read the batch; Spark rebuilds lost pieces of it from its files.
     marked = (
         key_aggregate(history, last, timeline, _LAST, cuts)
         .withColumn(_LATE, is_late)
@@ -148,17 +170,36 @@ def advance_gold(
         .persist()
     )
     try:
+        order = [timeline.key, *timeline.order]
         late = marked.filter(_LATE).drop(_LATE, _CARRIED)
-        history = marked.filter(~F.col(_LATE)).drop(_LATE)
-        gold = to_gold(history, timeline, cuts=cuts).filter(~F.col(_CARRIED))
-        gold = gold.select(*GOLD.names)
-        tables.write_batch(
-            gold, layers.live_gold, _label(batch), [timeline.key, *timeline.order]
-        )
-        tables.write_batch(late, layers.late, _label(batch))
+        some_late = not late.isEmpty()
+        history, anew = marked.filter(~F.col(_LATE)).drop(_LATE), None
+        if some_late:
+            tables.write_batch(late, layers.late, _label(batch))
+        if some_late and taken:
+            # All rows of keys with late rows come from Silver, as far as it has been taken.
+            keys = late.select(timeline.key).distinct()
+            done = tables.read_commits(spark, layers.commits("gold"))
+            now = spark.createDataFrame([(b,) for b in taken], "batch_id STRING")
+            done = done.select(F.explode("took").alias("batch_id")).unionByName(now)
+            stored = tables.read_batches(spark, layers.silver, SILVER)
+            anew = (
+                stored.join(done, "batch_id", "left_semi")
+                .join(keys, timeline.key, "left_semi")
+                .select(*SILVER.names)
+            )
+            history = history.join(keys, timeline.key, "left_anti")
+            keys.write.mode("overwrite").parquet(f"{layers.folded}/batch_id={_label(batch)}")
+        gold = to_gold(history, timeline, cuts=cuts).filter(~F.col(_CARRIED)).select(*GOLD.names)
         state = _newest(history.drop(_CARRIED), timeline)
-        state = state.withColumn("batch_id", F.lit(_label(batch)))
+        if anew is not None:
+            again = to_gold(anew, timeline, cuts=find_cut_points(anew, timeline, rows_per_part))
+            gold = gold.unionByName(again.select(*GOLD.names))
+            state = state.unionByName(_newest(anew, timeline))
+        tables.write_batch(gold, layers.live_gold, _label(batch), order)
+        state = state.select(*SILVER.names).withColumn("batch_id", F.lit(_label(batch)))
         tables.overwrite(state, layers.state(batch % 2), by_date=False)
+        tables.commit(spark, layers.commits("gold"), _label(batch), taken)
     finally:
         marked.unpersist()
 
@@ -176,9 +217,28 @@ def _newest(history: DataFrame, timeline: Timeline) -> DataFrame:
     )
 
 
-def read_live_gold(spark: SparkSession, layers: Layers) -> DataFrame:
-    return tables.read_batches(spark, layers.live_gold, GOLD).drop("batch_id")
+def read_live_gold(
+    spark: SparkSession, layers: Layers, timeline: Timeline = Timeline()
+) -> DataFrame:
+    """Live Gold as of its complete batches; of a key computed anew, the rows since then."""
+    tables.create_batches(spark, layers.live_gold, GOLD)
+    complete = tables.read_commits(spark, layers.commits("gold")).select("batch_id")
+    rows = tables.read_batches(spark, layers.live_gold, GOLD).join(complete, "batch_id", "left_semi")
+    key = T.StructType([SILVER[timeline.key], T.StructField("batch_id", T.StringType())])
+    files.make_folder(spark, layers.folded)
+    anew = tables.read_layer(spark, layers.folded, key).join(complete, "batch_id", "left_semi")
+    since = anew.groupBy(timeline.key).agg(F.max("batch_id").alias("_since"))
+    valid = F.col("_since").isNull() | (F.col("batch_id") >= F.col("_since"))
+    return rows.join(since, timeline.key, "left").filter(valid).select(*GOLD.names)
 
 
 def read_late(spark: SparkSession, layers: Layers) -> DataFrame:
+    tables.create_batches(spark, layers.late, SILVER)
     return tables.read_batches(spark, layers.late, SILVER).drop("batch_id")
+
+
+def latest_gold(spark: SparkSession, layers: Layers) -> DataFrame:
+    """Live Gold where the streams have written some, else the Gold that was rebuilt."""
+    if files.names(spark, layers.commits("gold")):
+        return read_live_gold(spark, layers)
+    return layers.read_gold(spark)
