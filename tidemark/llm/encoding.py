@@ -21,7 +21,7 @@ from tidemark.llm.rows import layout
 from tidemark.llm.words import SPACE, hashes, spans
 
 # Words that a worker keeps, about 40 bytes each. The memory starts anew when it is full.
-KEPT_WORDS = 2_000_000
+KEPT_WORDS = 1_000_000
 
 # Lower-case words that such a tokenizer splits into their letters and what follows them.
 _LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")

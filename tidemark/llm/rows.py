@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch_path
 
 # Text that a task handles at once, so that its memory does not follow the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
