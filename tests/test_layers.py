@@ -14,7 +14,7 @@ from tidemark.operators.quality import QualityError, snapshot_checks
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.plans.layers import clean, silver_increment, to_audit, to_bronze, to_silver
-from tidemark.sources import tables
+from tidemark.sources import files, tables
 from tidemark.sources.landing import read_payloads
 from tidemark.sources.schemas import AUDIT, BRONZE, COIN, GOLD, GOLD_FEATURES, ORIGIN, SILVER
 
@@ -276,6 +276,58 @@ def test_a_failed_rebuild_leaves_the_old_gold(spark, landing, layers):
     assert len(versions) == 2 and layers.read_gold(spark).collect() == before
 
 
+def folders(layers):
+    return sorted(p.name for p in Path(layers.silver).glob("batch_id=*"))
+
+
+def test_compaction_keeps_every_row_and_its_batch(spark, landing, layers):
+    for hour, name in ((4, "one"), (8, "two"), (12, "three")):
+        put(landing, f"{name}.json", payload(hour, coin("BTC", 100.0 + hour), coin("ETH", 9.0)))
+        jobs.write_bronze(
+            read_payloads(spark, str(landing / f"{name}.json")), layers, name, END)
+        bronze = tables.read_some(spark, layers.bronze, BRONZE, [name])
+        jobs.write_silver(bronze, layers, name)
+        if name != "one":
+            before = sorted(layers.read_silver_batches(spark).collect(), key=str)
+            jobs.compact_silver(spark, layers)
+            after = layers.read_silver_batches(spark)
+            assert sorted(after.select(*before[0].__fields__).collect(), key=str) == before
+    # The folders merged first are gone, those merged last stay for readers that have begun.
+    assert folders(layers) == ["batch_id=three"]
+    assert layers.read_silver(spark).count() == 6
+    some = layers.read_silver_batches(spark, ["one", "three", "none"])
+    assert {r["batch_id"]: r["count"] for r in some.groupBy("batch_id").count().collect()} \
+        == {"one": 2, "three": 2}
+    jobs.compact_silver(spark, layers)
+    assert folders(layers) == [] and layers.read_silver(spark).count() == 6
+
+    all_bronze = layers.read_bronze(spark)
+    jobs.write_silver(all_bronze, layers, "replay")
+    assert layers.read_silver(spark).count() == 6
+    with pytest.raises(ValueError, match="compacted"):
+        jobs.write_silver(all_bronze, layers, "two")
+
+
+def test_a_failed_compaction_leaves_silver_as_it_was(spark, landing, layers, monkeypatch):
+    put(landing, "a.json", payload(14, coin("BTC", 100.0), coin("USDT", 1.0)))
+    cycle(spark, landing, layers, "one")
+    write = files.write_text
+
+    def lost(spark, path, text):
+        if path.endswith("_current"):
+            raise OSError("driver lost")
+        write(spark, path, text)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "write_text", lost)
+        with pytest.raises(OSError, match="driver lost"):
+            jobs.compact_silver(spark, layers)
+    assert layers.read_silver(spark).count() == 2
+    jobs.compact_silver(spark, layers)
+    jobs.compact_silver(spark, layers)
+    assert folders(layers) == [] and layers.read_silver(spark).count() == 2
+
+
 def test_batch_ids_are_names(spark, landing, layers):
     put(landing, "a.json", payload(14, coin("BTC", 100.0)))
     for bad in ("a/b", "a=b", "a:b", "", "..", "a b", "50%"):

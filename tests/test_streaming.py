@@ -139,6 +139,26 @@ def silver_frame(spark, landing, hours):
     return jobs.to_bronze(read_payloads(spark, files)).transform(jobs.clean).select(*SILVER.names)
 
 
+def test_streams_go_on_after_compaction(spark, landing, layers, tmp_path):
+    """Gold takes batches that were merged before it came, and late rows of merged keys."""
+    hours = [3, 4, 5, 8, 9]
+    for hour in hours:
+        put(landing, f"{hour:02d}.json", snapshot(hour))
+    streams.bronze_stream(spark, str(landing), layers, END).awaitTermination()
+    streams.silver_stream(spark, layers).awaitTermination()
+    for _ in range(2):
+        jobs.compact_silver(spark, layers)
+    streams.gold_stream(spark, layers).awaitTermination()
+    put(landing, "z-late.json", snapshot(7))
+    catch_up(spark, landing, layers)
+    batch = Layers(str(tmp_path / "batch"))
+    jobs.run_cycle(spark, str(landing), batch, "b", END, mode="quarantine")
+    assert rows(layers.read_silver(spark), SILVER.names) == rows(
+        batch.read_silver(spark), SILVER.names)
+    assert rows(streams.read_live_gold(spark, layers), GOLD.names) == rows(
+        batch.read_gold(spark), GOLD.names)
+
+
 def test_a_micro_batch_run_again_changes_nothing(spark, landing, layers):
     one = silver_frame(spark, landing, range(0, 9))
     two = silver_frame(spark, landing, range(9, 15))

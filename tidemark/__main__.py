@@ -79,6 +79,7 @@ def arguments() -> argparse.ArgumentParser:
         taker.add_argument("--more-coin", help="further listing fields, as 'name TYPE, ...'")
         taker.add_argument("--more-status", help="further status fields, as 'name TYPE, ...'")
     command("rebuild", "Gold from all of Silver")
+    command("compact", "merge the batches of Silver into one table by date")
     load = command("import", "listings kept as CSV into Bronze and Silver")
     load.add_argument("--batch-id", required=True)
     load.add_argument("--csv", required=True, action="append", help="files of one layout each")
@@ -128,6 +129,8 @@ def main() -> None:
         spark.streams.awaitAnyTermination()
     elif args.command == "rebuild":
         jobs.rebuild_gold(spark, layers)
+    elif args.command == "compact":
+        jobs.compact_silver(spark, layers)
     elif args.command == "import":
         jobs.import_bronze(spark, args.csv, layers, args.batch_id)
         bronze = layers.read_bronze(spark).filter(F.col("batch_id") == args.batch_id)

@@ -353,6 +353,7 @@ SQL: dict[str, str] = {
             (select count(distinct day) from daily) as snapshots
         from counted""",
     "silver_idempotent": _SILVER,
+    "silver_compacted": _SILVER,
     "bronze_raw": _RAW_COIN,
     "bronze_wider": _RAW_COIN,
     "stream_bronze_raw": _RAW_COIN,

@@ -564,6 +564,22 @@ def silver_idempotent(spark, sf_dir):
     return _silver_view(layers.read_silver(spark))
 
 
+@query
+def silver_compacted(spark, sf_dir):
+    """Silver of three batches that overlap, merged after the first and after the last."""
+    landing, layers = _landed(spark, sf_dir)
+    jobs.write_bronze(read_payloads(spark, landing, multi_line=False), layers, "b1", ENDPOINT)
+    bronze = layers.read_bronze(spark)
+    middle = bronze.select(F.percentile_approx(F.unix_date("snapshot_date"), 0.5)).scalar()
+    early = bronze.filter(F.unix_date("snapshot_date") <= middle)
+    jobs.write_silver(early, layers, "s1", "quarantine")
+    jobs.compact_silver(spark, layers)
+    jobs.write_silver(bronze, layers, "s2", "quarantine")
+    jobs.write_silver(bronze, layers, "s3", "quarantine")
+    jobs.compact_silver(spark, layers)
+    return _silver_view(layers.read_silver(spark))
+
+
 def _fields(df: DataFrame, text: str, kept: list, **fields: str) -> DataFrame:
     """Fields that no schema declares, from the text that the layer keeps."""
     return df.select(

@@ -6,6 +6,7 @@ twice under two ids; Silver adds only keys it does not have, and Gold follows Si
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from tidemark.plans.layers import (
 from tidemark.sources import files, tables
 from tidemark.sources.files import checked_name
 from tidemark.sources.landing import read_payloads
-from tidemark.sources.schemas import AUDIT, BRONZE, COIN, GOLD, SILVER, SILVER_KEY, STATUS
+from tidemark.sources.schemas import (
+    AUDIT, BRONZE, COIN, GOLD, SILVER, SILVER_KEY, STATUS, with_batch,
+)
 
 MODES = ("fail", "quarantine", "report")
 
@@ -48,6 +51,11 @@ class Layers:
     def silver(self) -> str:
         return self._at("silver")
 
+    @property
+    def silver_base(self) -> str:
+        """The batches of Silver that compaction has merged."""
+        return self._at("silver_base")
+
     @property
     def quarantine(self) -> str:
         return self._at("quarantine")
@@ -89,7 +97,31 @@ class Layers:
         return tables.read_batches(spark, self.audit, _with(AUDIT, more))
 
     def read_silver(self, spark: SparkSession) -> DataFrame:
-        return tables.read_batches(spark, self.silver, SILVER).drop("batch_id")
+        return self.read_silver_batches(spark).drop("batch_id")
+
+    def read_silver_batches(
+        self, spark: SparkSession, batch_ids: Iterable[str] | None = None
+    ) -> DataFrame:
+        """Silver with the batch of every row, from the compacted base and the batches since.
+
+        ``batch_ids`` names those wanted, if not all; folders of others are not listed.
+        """
+        base = tables.current_version(spark, self.silver_base)
+        held = tables.held_batches(spark, base)
+        if batch_ids is None:
+            since, wanted = tables.read_batches(spark, self.silver, SILVER), held
+            merged = held and held & tables.batch_ids(spark, self.silver)
+            if merged:
+                since = since.filter(~F.col("batch_id").isin(sorted(merged)))
+        else:
+            wanted = held & set(batch_ids)
+            since = tables.read_some(spark, self.silver, SILVER, set(batch_ids) - held)
+        if not wanted:
+            return since
+        rows = tables.read_layer(spark, base, with_batch(SILVER))
+        if wanted != held:
+            rows = rows.filter(F.col("batch_id").isin(sorted(wanted)))
+        return since.unionByName(rows)
 
     def read(self, spark: SparkSession, layer: str) -> DataFrame:
         """Any of bronze, audit, silver and gold."""
@@ -186,7 +218,8 @@ def write_silver(
     rows apart first, ``report`` lets them pass. Ranks have no upper bound unless given.
     The notes count the batch's rows, not the layer's: those that came, were set apart, removed as
     copies, and added; failing rows by check (of the rows that came in quarantine mode, else
-    of those to be added); and NULLs by column of the added rows.
+    of those to be added); and NULLs by column of the added rows. A batch that compaction
+    has merged cannot be written again.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -194,8 +227,10 @@ def write_silver(
     checks = snapshot_checks(max_rank)
     rows = clean(bronze)
     tables.create_batches(spark, layers.silver, SILVER)
+    if batch_id in tables.held_batches(spark, tables.current_version(spark, layers.silver_base)):
+        raise ValueError(f"batch {batch_id!r} is part of the compacted Silver")
     # The batch's own earlier attempt does not count as stored, since it is replaced.
-    stored = tables.read_batches(spark, layers.silver, SILVER)
+    stored = layers.read_silver_batches(spark)
     seen = _counted(rows, checks)
     stored = _same_times(stored.filter(F.col("batch_id") != batch_id), seen)
     if mode == "quarantine":
@@ -245,6 +280,23 @@ def _note(rows: DataFrame, layers: Layers, table: str, batch_id: str) -> None:
     rows.coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def compact_silver(spark: SparkSession, layers: Layers) -> None:
+    """Merges the complete batches of Silver into its base, one table by date.
+
+    Rows and their batches stay what they are; what shrinks is the number of folders to list.
+    The base is written anew beside the old one, and counts from the moment its pointer is
+    switched. Folders of the batches merged now stay for readers that have begun; those of
+    the batches merged before are deleted. Streams may go on meanwhile.
+    """
+    before = tables.held_batches(spark, tables.current_version(spark, layers.silver_base))
+    done = tables.committed(spark, layers.commits("silver")) | before
+    if done - before:
+        rows = layers.read_silver_batches(spark, done)
+        tables.replace_layer(rows, layers.silver_base, SILVER_KEY, sorted(done))
+    for batch_id in sorted(before & tables.batch_ids(spark, layers.silver)):
+        files.delete(spark, f"{layers.silver}/batch_id={batch_id}")
+
+
 def rebuild_gold(
     spark: SparkSession, layers: Layers, rows_per_part: int = ROWS_PER_PART
 ) -> None:
@@ -284,7 +336,7 @@ def cycle_summary(spark: SparkSession, layers: Layers, batch_id: str) -> DataFra
     payload. Gold is rebuilt whole, so all its rows are new."""
     stored = {
         "bronze": layers.read_bronze(spark),
-        "silver": tables.read_batches(spark, layers.silver, SILVER),
+        "silver": layers.read_silver_batches(spark),
         "gold": layers.read_gold(spark).withColumn("batch_id", F.lit(batch_id)),
     }
     result = None

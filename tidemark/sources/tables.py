@@ -139,17 +139,22 @@ def write_batch(df: DataFrame, path: str, batch_id: str, order: Sequence[str] =
     _by_date(df, order).write.mode("overwrite").partitionBy(DATE).parquet(target)
 
 
-_CURRENT = "_current"
+_CURRENT, _HOLDS = "_current", "_batches.json"
 
 
-def replace_layer(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+def replace_layer(
+    df: DataFrame, path: str, order: Sequence[str] = (), holds: Sequence[str] = ()
+) -> None:
     """Replaces a whole layer by a new version; ``df`` may read the old one.
 
     The version before it stays for readers that have begun; older ones are deleted.
+    ``holds`` names the batches that the version is made of.
     """
     spark = df.sparkSession
     version = f"v-{time.time_ns():020d}-{uuid4().hex[:8]}"
     _by_date(df, order).write.partitionBy(DATE).parquet(f"{path}/{version}")
+    if holds:
+        files.write_text(spark, f"{path}/{version}/{_HOLDS}", json.dumps(sorted(holds)))
     before = files.read_text(spark, f"{path}/{_CURRENT}")
     files.write_text(spark, f"{path}/{_CURRENT}", version)
     for name in files.names(spark, path):
@@ -163,6 +168,23 @@ def current_version(spark: SparkSession, path: str) -> str | None:
     return None if version is None else f"{path}/{version}"
 
 
+def held_batches(spark: SparkSession, version: str | None) -> set[str]:
+    """The batches that a version of a layer is made of; one short name each."""
+    text = None if version is None else files.read_text(spark, f"{version}/{_HOLDS}")
+    return set(json.loads(text)) if text else set()
+
+
+def batch_ids(spark: SparkSession, path: str) -> set[str]:
+    """Batches that have a folder of their own, from one listing."""
+    found = [n.split("=", 1) for n in files.names(spark, path)]
+    return {n[1] for n in found if n[0] == "batch_id" and len(n) == 2}
+
+
+def committed(spark: SparkSession, folder: str) -> set[str]:
+    names = files.names(spark, folder)
+    return {n.removesuffix(".json") for n in names if n[0] not in "._" and n.endswith(".json")}
+
+
 def read_current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     version = current_version(spark, path)
     return spark.createDataFrame([], schema) if version is None else read_layer(

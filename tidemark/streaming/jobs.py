@@ -111,7 +111,7 @@ def gold_stream(
 
     def write(commits: DataFrame, batch: int) -> None:
         taken = _taken(commits)
-        silver = tables.read_some(spark, layers.silver, SILVER, taken).drop("batch_id")
+        silver = layers.read_silver_batches(spark, taken).drop("batch_id")
         advance_gold(silver, layers, batch, timeline, rows_per_part, taken)
 
     commits = tables.stream_commits(spark, layers.commits("silver"), batches_per_trigger)
@@ -182,7 +182,7 @@ def advance_gold(
             done = tables.read_commits(spark, layers.commits("gold"))
             now = spark.createDataFrame([(b,) for b in taken], "batch_id STRING")
             done = done.select(F.explode("took").alias("batch_id")).unionByName(now)
-            stored = tables.read_batches(spark, layers.silver, SILVER)
+            stored = layers.read_silver_batches(spark)
             anew = (
                 stored.join(done, "batch_id", "left_semi")
                 .join(keys, timeline.key, "left_semi")
