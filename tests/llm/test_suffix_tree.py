@@ -124,3 +124,35 @@ def test_tokens_end_every_text():
     text, word = tokens(texts(pa.array(["A b", "", None, "c"], pa.string())))
     assert text.tolist() == [0, 0, 0, 1, 2, 3, 3]
     assert [w == END for w in word] == [False, False, True, True, True, False, True]
+
+
+def test_the_tables_score_as_the_tree_in_memory(spark, sayings):
+    """A tree in memory that has every word, with thresholds equal to the tables' minima."""
+    training = sayings.filter("NOT pmod(crc32(cast(cast(doc_id AS string) AS binary)), 10) = 0")
+    counts = written(
+        suffix_tree._counts(training, lambda c: tokens(c)[1].view(np.int64)), "counts")
+    total, kinds = sum(r["n"] for r in counts.collect()), counts.count()
+    tree = grown(training, counts, total, kinds,
+                 Settings(2, 1e-9, 4.5 / total, 1.5 / total, least_gain=2.0))
+    assert len(tree.symbols) == kinds
+    rows = scored(sayings, settings=Settings(2, common_share=1e-3, pair_share=1e-3)).collect()
+    given = {r["doc_id"]: r["text"] for r in sayings.collect()}
+    for r in rows[:100]:
+        text, word = tokens(texts(pa.array([given[r["doc_id"]]])))
+        symbol = suffix_tree.find(tree.symbols, word) + 1
+        contexts = [suffix_tree.context_keys(text, symbol, d, tree.width) for d in (1, 2)]
+        want = np.log10(suffix_tree._ratios(tree, contexts, symbol)).sum()
+        if r["n_known"] == r["n_tokens"]:
+            assert r["score"] - r["base_score"] == pytest.approx(want, abs=1e-6)
+
+
+def test_the_tree_grows_with_the_input(spark):
+    """Contexts of ten uses are states, however many other tokens there are."""
+    docs = [odd(i, " ".join(f"a{j}x b{j}x c{j}x" for j in range(i % 30, 3000, 30)))
+            for i in range(330)]
+    docs += [odd(1000 + i, prose(i, 1000, 50)) for i in range(300)]
+    rows = scored(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()
+    gained = [(r["score"] - r["base_score"]) / r["n_tokens"] for r in rows
+              if r["held_out"] and r["doc_id"] < 1000]
+    # Of ten thousand words, those two in three that follow from the last are nearly certain.
+    assert min(gained) > 2

@@ -1,16 +1,19 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-Symbols are the frequent words, a text's end, and one symbol for all other words. The tree's
-states are the contexts of one word, two words, and so on to ``depth``, that are frequent
-enough and whose next symbols diverge from those of their longest kept suffix: left out one
-by one, they must be foretold better by the context than by the suffix. A state's next
-symbols are smoothed with those of the suffix (Witten-Bell), down to the root, which is the
-smoothed word distribution. A text is scored word by word from the longest state that fits.
-
-Word counts are exact and unbounded: they stay tables. What is broadcast is bounded by
-parameters alone: at most 1 / ``symbol_share`` symbols, 1 / ``state_share`` states a depth,
-1 / ``pair_share`` next symbols a depth and 1 / ``common_share`` common words. Counts of other
-words reach the texts by a join of what each text has of them.
+The tree's states are the contexts of one word, two words, and so on to ``depth``, that are
+seen ``least_state`` times and whose next words diverge from those of their longest kept
+suffix: left out one by one, they must be foretold better by the context than by the suffix.
+A state's next words, if seen ``least_pair`` times, are smoothed with those of the suffix
+(Witten-Bell), down to the root, which is the smoothed word distribution. A text is scored
+word by word from the longest state that fits.
+
+The minima are counts, so the tree grows with the input: words, states and next words are
+tables of 64-bit hashes. A word's score is a sum: of each state that fits the logarithm of
+what it gives its suffix, and of each next word seen there what it adds. Texts meet these
+values by a join of what each text has of them. Broadcast are only values of frequent keys,
+at most 1 / ``common_share`` words, and as many of either kind a depth, and bit sets
+of 2**``_BITS`` bits at most that leave out most keys that no table has; they change no result.
+``grown`` builds a tree in memory, with thresholds that are shares of all tokens.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ from tidemark.llm.words import mix, words
 END = mix(np.array([0xE0D], np.uint64))[0]
 _ADD = 0.1
 _PENDING = 1_500_000
+#: Largest size of a bit set, as a power of two; keys of states differ from those of sequences.
+_BITS = 27
+_STATE = 0x5851F42D4C957F2D
 
 
 @dataclass(frozen=True)
@@ -40,6 +46,9 @@ class Settings:
     pair_share: float = 2e-6
     common_share: float = 5e-7
     min_gain: float = 0.002
+    least_state: int = 5
+    least_pair: int = 2
+    least_gain: float = 2.0
 
 
 @dataclass
@@ -130,7 +139,10 @@ def _counts(docs: DataFrame, keys_of) -> DataFrame:
     return counted.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _gains(pairs: DataFrame, parent: DataFrame, least_n: float, pair_n: float, gain: float):
+def _gains(
+    pairs: DataFrame, parent: DataFrame, least_n: float, pair_n: float, gain: float,
+    least_gain: float,
+):
     """States that diverge from their suffix, and their frequent next symbols.
 
     ``pairs``: state, symbol, n; ``parent``: state, symbol, p (the suffix's probability).
@@ -147,7 +159,7 @@ def _gains(pairs: DataFrame, parent: DataFrame, least_n: float, pair_n: float, g
     better = each.groupBy("state").agg(
         F.sum(F.col("n") * (F.log(without) - F.log("p"))).alias("gain")
     )
-    states = totals.join(better, "state").filter(F.col("gain") > gain * F.col("total"))
+    states = totals.join(better, "state").filter(F.col("gain") > F.greatest(F.lit(least_gain), gain * F.col("total")))
     frequent = each.filter(F.col("n") >= pair_n).join(states.select("state"), "state", "left_semi")
     return states, frequent
 
@@ -195,7 +207,7 @@ def grown(training: DataFrame, counts: DataFrame, total: int, kinds: int, s: Set
         )
         parent = _with_parent(pairs, root, known, depth)
         least_n, pair_n = max(2.0, s.state_share * total), max(1.0, s.pair_share * total)
-        kept, nexts = _gains(pairs, parent, least_n, pair_n, s.min_gain)
+        kept, nexts = _gains(pairs, parent, least_n, pair_n, s.min_gain, s.least_gain)
         level = _level(_arrays(kept), _arrays(nexts.select("state", "symbol", "n", "p", "p0")),
                        width)
         tree.levels.append(level)
@@ -254,6 +266,258 @@ def _ratios(tree: Tree, contexts: list[np.ndarray], symbol: np.ndarray) -> np.nd
     return ratio
 
 
+def sequences(text: np.ndarray, word: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, ... ``depth`` + 1 words up to each token, 0 where its text has fewer."""
+    found = [word]
+    for d in range(1, depth + 1):
+        longer = np.zeros(len(word), np.uint64)
+        if len(word) > d:
+            known = text[d:] == text[:-d]
+            shorter = found[-1][d - 1 : -1]
+            longer[d:] = np.where(known, mix(shorter * np.uint64(0x9E3779B97F4A7C15) + word[d:]), 0)
+        found.append(longer)
+    return found
+
+
+def _before(found: list[np.ndarray], depth: int) -> np.ndarray:
+    """Hash of the ``depth`` words before each token; means nothing where its text has fewer."""
+    state = np.zeros(len(found[0]), np.uint64)
+    state[1:] = found[depth - 1][:-1]
+    return state
+
+
+def _bit_set(keys: DataFrame) -> np.ndarray:
+    """A bit for the leading bits of every ``key``, in 64-bit words."""
+    place = F.shiftrightunsigned("key", 64 - _BITS)
+    return _folded((
+        keys.select(F.shiftright(place, 6).alias("at"), (place % 64).cast("int").alias("bit"))
+        .groupBy("at")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    ).toArrow())
+
+
+def _folded(table: pa.Table) -> np.ndarray:
+    """The bit set of words ``bits`` at ``at``, with some eight bits for each that is set."""
+    at = table["at"].to_numpy().astype(np.uint64)
+    bits = table["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    size = min(max(int(np.bitwise_count(bits).sum()) * 8, 1 << 12).bit_length(), _BITS)
+    out = np.zeros(1 << (size - 6), np.uint64)
+    for bit in range(64):
+        place = (at[bits >> np.uint64(bit) & np.uint64(1) > 0] << np.uint64(6)) + np.uint64(bit)
+        place >>= np.uint64(_BITS - size)
+        np.bitwise_or.at(out, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> np.uint64(64 - (len(bits).bit_length() + 5))
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _candidates(training: DataFrame, depth: int, allowed: list, repeated: list) -> np.ndarray:
+    """Bit set of the sequences of ``depth`` + 1 words that may occur twice.
+
+    Tasks send 42 bits of the hash of each sequence, sorted and dealt by the first ten; what
+    meets an equal one, or occurs twice in a task, has its bit set.
+    """
+    low = np.uint64(22)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        pending = 0
+
+        def out() -> pa.RecordBatch:
+            short = np.sort(np.concatenate(parts))
+            parts.clear()
+            ends = np.searchsorted(short, np.arange(1025, dtype=np.uint64) << np.uint64(32))
+            cells = [None, pa.py_buffer((ends * 4).astype(np.int32)),
+                     pa.py_buffer(short.astype(np.uint32))]
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array(np.arange(1024, dtype=np.int32)),
+                "keys": pa.Array.from_buffers(pa.binary(), 1024, cells),
+            })
+
+        for batch in slices(batches, "text"):
+            found, used = _followed(batch, depth, allowed, repeated)
+            short = found[depth][used] >> low
+            if not len(short):
+                continue
+            # An equal pair is enough to show that it occurs twice.
+            short = np.sort(short)
+            third = np.zeros(len(short), bool)
+            third[2:] = short[2:] == short[:-2]
+            parts.append(short[~third])
+            pending += len(parts[-1])
+            if pending > 2 * _PENDING:
+                yield out()
+                pending = 0
+        if parts:
+            yield out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blocks.setdefault(part, []).append(np.frombuffer(keys, np.uint32))
+        for part, keys in blocks.items():
+            key = np.sort(np.concatenate(keys)).astype(np.uint64)
+            twice = key[1:][key[1:] == key[:-1]]
+            place = np.unique((np.uint64(part << 32) | twice) >> np.uint64(42 - _BITS))
+            if len(place):
+                at, first = np.unique(place >> np.uint64(6), return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first)
+                yield pa.RecordBatch.from_pydict({
+                    "at": pa.array(at.view(np.int64)), "bits": pa.array(bits.view(np.int64)),
+                })
+
+    sent = training.select("text").mapInArrow(send, "part int, keys binary")
+    return _folded(sent.repartition("part").mapInArrow(meet, "at long, bits long").toArrow())
+
+
+def _followed(
+    batch: pa.RecordBatch, depth: int, allowed: list, repeated: list
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sequences of a batch's tokens, and which tokens have states that are ``allowed``."""
+    text, word = tokens(texts(batch.column("text")))
+    found = sequences(text, word, depth)
+    used = found[depth] != 0
+    for d in range(1, depth + 1):
+        used &= _in(allowed[d - 1].value, _before(found, d))
+    # What occurs twice has a parent that does.
+    for d, bits in enumerate(repeated, 1):
+        used &= _in(bits.value, found[d])
+    return found, used
+
+
+def _repeated(
+    training: DataFrame, depth: int, allowed: list, repeated: list, least: int
+) -> DataFrame:
+    """key, state, parent, n: sequences of ``depth`` + 1 words that occur ``least`` times.
+
+    ``state`` is the sequence without its last word, ``parent`` without its first.
+    """
+    names = ("key", "state", "parent")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        pending = 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            key, state, parent, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            key, first, which = np.unique(key, return_index=True, return_inverse=True)
+            return key, state[first], parent[first], np.bincount(which, n, len(key)).astype(np.int64)
+
+        def out(columns) -> pa.RecordBatch:
+            keys = [pa.array(c.view(np.int64)) for c in columns]
+            return pa.RecordBatch.from_arrays(keys, [*names, "n"])
+
+        for batch in slices(batches, "text"):
+            found, used = _followed(batch, depth, allowed, repeated)
+            key, first, n = np.unique(found[depth][used], return_index=True, return_counts=True)
+            parts.append((key, _before(found, depth)[used][first], found[depth - 1][used][first], n))
+            pending += len(key)
+            if pending > _PENDING:
+                parts[:] = [merged()]
+                pending = len(parts[0][0])
+                if pending > _PENDING // 2:
+                    yield out(parts.pop())
+                    pending = 0
+        if parts:
+            yield out(merged())
+
+    counted = training.select("text").mapInArrow(count, "key long, state long, parent long, n long")
+    return counted.groupBy("key").agg(
+        F.first("state").alias("state"), F.first("parent").alias("parent"), F.sum("n").alias("n")
+    ).filter(F.col("n") >= least)
+
+
+def _freed(df: DataFrame, label: str) -> DataFrame:
+    """``written``, and the files of its shuffles deleted once it is."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.set(name, before)
+
+
+def tree_values(
+    training: DataFrame, counts: DataFrame, total: int, kinds: int, s: Settings
+) -> DataFrame:
+    """key, n, value: what a state or a next word adds to the log10 probability of a token.
+
+    The key of a state is the hash of its words with ``_STATE`` in exclusive or, that of a
+    next word the hash of the state's words and the word. Both are tables of any size.
+    """
+    spark = training.sparkSession
+    norm = total + _ADD * (kinds + 1)
+    shorter = counts.select("key", "n", ((F.col("n") + _ADD) / norm).alias("p"))
+    allowed, repeated, out = [], [], []
+    for depth in range(1, s.depth + 1):
+        # A sequence occurs as often as a token follows it: its count is the state's total.
+        often = shorter.filter(F.col("n") >= s.least_state)
+        allowed.append(spark.sparkContext.broadcast(_bit_set(often)))
+        if s.least_pair > 1:
+            bits = _candidates(training, depth, list(allowed), list(repeated))
+            repeated.append(spark.sparkContext.broadcast(bits))
+        found = _freed(
+            _repeated(training, depth, list(allowed), list(repeated), min(2, s.least_pair))
+            .join(shorter.select(F.col("key").alias("parent"), "p"), "parent").drop("parent"),
+            f"sequences-{depth}",
+        )
+        n = F.col("n")
+        known = found.groupBy("state").agg(
+            F.sum(F.when(n > 1, n).otherwise(0)).alias("repeats"),
+            F.sum((n > 1).cast("long")).alias("repeated"),
+            F.sum(F.when(n >= s.least_pair, n).otherwise(0)).alias("kept"),
+        ).join(often.select(F.col("key").alias("state"), F.col("n").alias("total")), "state")
+        # What does not repeat occurs once each.
+        once = F.col("total") - F.col("repeats")
+        known = known.withColumn("kinds", F.col("repeated") + once)
+        each = found.join(known, "state")
+        rest = F.col("total") - 1 + F.col("kinds")
+        without = (n - 1 + F.col("kinds") * F.col("p")) / rest
+        # Left out, a word that occurs once has kinds * p / rest, whatever its p.
+        single = F.log(F.col("kinds") / rest)
+        better = (
+            each.filter(n > 1)
+            .withColumn("more", n * (F.log(without) - F.log("p")))
+            .groupBy("state").agg(F.sum("more").alias("more"))
+        )
+        states = _freed(
+            known.join(better, "state")
+            .withColumn("gain", F.col("more") + F.when(once > 0, once * single).otherwise(0.0))
+            .filter(F.col("gain") > F.greatest(F.lit(s.least_gain), s.min_gain * F.col("total")))
+            .select(
+                "state", "total", (F.col("total") + F.col("kinds")).alias("all"),
+                ((F.col("total") - F.col("kept") + F.col("kinds"))
+                 / (F.col("total") + F.col("kinds"))).alias("backoff"),
+            ),
+            f"states-{depth}",
+        )
+        suffix = F.coalesce("backoff", F.lit(1.0)) * F.col("p")
+        here = F.col("backoff").isNotNull() & (n >= s.least_pair)
+        after = suffix + F.when(here, n / F.col("all")).otherwise(0.0)
+        shorter = _freed(
+            found.join(states, "state", "left").select(
+                "key", "n", after.alias("p"), F.when(here, F.log10(after / suffix)).alias("value")
+            ),
+            f"next-{depth}",
+        )
+        out.append(states.select(
+            F.col("state").bitwiseXOR(F.lit(_STATE)).alias("key"), F.col("total").alias("n"),
+            F.log10("backoff").alias("value"),
+        ))
+        out.append(shorter.filter("value IS NOT NULL").select("key", "n", "value"))
+    for bits in (*allowed, *repeated):
+        bits.destroy()
+    values = out[0]
+    for more in out[1:]:
+        values = values.unionByName(more)
+    return values
+
+
 def scored(
     docs: DataFrame, folds: int = 10, settings: Settings | None = None
 ) -> DataFrame:
@@ -282,28 +546,42 @@ def scored(
 
     counts = written(_counts(training, all_tokens), "token-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = grown(training, counts, total, kinds, s)
+    values = tree_values(training, counts, total, kinds, s)
     least = max(1.0, s.common_share * total)
+    frequent = _arrays(values.filter(F.col("n") >= least).select("key", "value"))
+    rarer = values.filter(F.col("n") < least)
+    by_key = np.argsort(frequent["key"].view(np.uint64))
     common = _arrays(counts.filter(F.col("n") >= least))
     order = np.argsort(common["key"])
     model = spark.sparkContext.broadcast(
-        (tree, common["key"][order], np.log10(common["n"][order] + _ADD))
+        (common["key"][order], np.log10(common["n"][order] + _ADD),
+         frequent["key"].view(np.uint64)[by_key], frequent["value"][by_key], _bit_set(rarer))
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, value = model.value
+        known, value, keys, gains, rarer_bits = model.value
         for batch in slices(batches, "text"):
             rows = batch.num_rows
             text, word = tokens(texts(batch.column("text")))
-            symbol = find(tree.symbols, word) + 1
-            contexts = [
-                context_keys(text, symbol, d + 1, tree.width) for d in range(len(tree.levels))
-            ]
-            gain = np.bincount(text, np.log10(_ratios(tree, contexts, symbol)), rows)
+            found = sequences(text, word, s.depth)
+            gain = np.zeros(rows)
+            owners, asked = [], []
+            for depth in range(1, s.depth + 1):
+                there = np.flatnonzero(found[depth] != 0)
+                for key in (_before(found, depth) ^ np.uint64(_STATE), found[depth]):
+                    at = find(keys, key[there])
+                    met = at >= 0
+                    gain += np.bincount(text[there[met]], gains[at[met]], rows)
+                    maybe = ~met & _in(rarer_bits, key[there])
+                    owners.append(text[there[maybe]])
+                    asked.append(key[there[maybe]].view(np.int64))
+                    # Next words have values only in states that are in the tree.
+                    there = there[met | maybe]
             at = find(known, word.view(np.int64))
             met = at >= 0
             base = np.bincount(text[met], value[at[met]], rows)
-            rare_text, rare = text[~met], word[~met].view(np.int64)
+            rare_text = np.concatenate([text[~met], *owners])
+            rare = np.concatenate([word[~met].view(np.int64), *asked])
             order = np.lexsort((rare, rare_text))
             rare_text, rare = rare_text[order], rare[order]
             new = np.ones(len(rare), bool)
@@ -336,13 +614,21 @@ def scored(
     rare = rows.select("row_id", pair.alias("pair")).select(
         "row_id", F.col("pair.rare").alias("key"), F.col("pair.times").alias("times")
     )
-    found = (
-        rare.join(counts.filter(F.col("n") < least), "key")
+    looked_up = counts.filter(F.col("n") < least).select(
+        "key", F.lit(1).cast("long").alias("is_word"), F.log10(F.col("n") + _ADD).alias("base"),
+        F.lit(0.0).alias("value"),
+    ).unionByName(rarer.select(
+        "key", F.lit(0).cast("long").alias("is_word"), F.lit(0.0).alias("base"), "value"
+    ))
+    found = _freed(
+        rare.join(looked_up, "key")
         .groupBy("row_id")
         .agg(
-            F.sum("times").alias("n_rare"),
-            F.sum(F.col("times") * F.log10(F.col("n") + _ADD)).alias("rare_sum"),
-        )
+            F.sum(F.col("times") * F.col("is_word")).alias("n_rare"),
+            F.sum(F.col("times") * F.col("base")).alias("rare_sum"),
+            F.sum(F.col("times") * F.col("value")).alias("rare_gain"),
+        ),
+        "rare-values",
     )
     zero = F.lit(0).cast("long")
     known = F.col("n_common") + F.coalesce("n_rare", zero)
@@ -363,6 +649,6 @@ def scored(
             known.alias("n_known"),
             F.lit(int(total)).cast("long").alias("train_tokens"),
             base.alias("base_score"),
-            (base + F.col("gain")).alias("score"),
+            (base + F.col("gain") + F.coalesce("rare_gain", F.lit(0.0))).alias("score"),
         )
     )
