@@ -37,10 +37,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix takes twice has two rows. Documents of more than 8192 words are
     mixed in parts, and one document per source may be cut where its target ends; such rows
-    have the text and the length of their part.
+    have the text and the length of their part. Rows lie in the order of the mix: by shard,
+    and within it in the shard's own order.
     """
-    blocks = mixed_blocks(docs)
-    return mixed_documents(docs, blocks, COLUMNS).select(*COLUMNS)
+    mixed = mixed_documents(docs, mixed_blocks(docs), COLUMNS)
+    order = ["shard", "place"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

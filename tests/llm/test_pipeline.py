@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_minhash import bag, similarity
 from tests.llm.test_mixing import brute_targets
+from tidemark.llm.mixing import mixed_blocks, mixed_documents
 
 FOLDER = "/root/testdata/sf0.01"
 WHITE = {ord(c): None for c in " \t\n\r\x0b\x0c"}
@@ -99,3 +100,14 @@ def test_an_empty_table_passes_every_stage(spark, stages):
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 0
+
+
+def test_the_mix_lies_in_the_order_of_its_decision(spark, stages):
+    names = corpus_pipeline.COLUMNS
+    want = mixed_documents(stages[3], mixed_blocks(stages[3]), names).orderBy("shard", "place")
+    got = [tuple(r) for r in corpus_pipeline.mix(spark, stages[3], FOLDER).collect()]
+    assert got == [tuple(r[n] for n in names) for r in want.collect()]
+    draws = Counter(r[0] for r in got)
+    twice = sum(n > 1 for n in draws.values())
+    near = sum(a[0] == b[0] for a, b in zip(got, got[1:]))
+    assert twice > 100 > 20 * near
