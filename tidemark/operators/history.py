@@ -10,7 +10,7 @@ the input is left out and every result equals that of the uncut window.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -233,6 +233,79 @@ def over_history(
     return compute(every, timeline.window(_PART)).filter(~F.col(_LEAD)).drop(_LEAD, _PART)
 
 
+def over_prefix(
+    df: DataFrame,
+    compute: Compute,
+    timeline: Timeline,
+    totals: Mapping[str, Column],
+    fold: Callable[[Column, WindowSpec], Column],
+    cuts: CutPoints | None = None,
+) -> DataFrame:
+    """Runs ``compute(df, window)`` where results depend on all earlier rows of a key.
+
+    ``totals`` names aggregates of a part. In ``compute`` each name is a column with what
+    ``fold`` makes of that aggregate over all earlier parts of the key, NULL in the first part;
+    so a running sum is that of the window plus the column. What is broadcast has one row per
+    part of a cut key. Rows without a key have no history and are folded with none.
+    """
+    if cuts is None:
+        nothing = df.agg(*[c.alias(n) for n, c in totals.items()]).schema
+        named = {f.name: F.lit(None).cast(f.dataType) for f in nothing.fields}
+        return compute(df.withColumns(named), timeline.window()).drop(*totals)
+    key, at = F.col(timeline.key), "_total_part"
+    parts = _with_part(df, timeline, cuts)
+    sums = (
+        parts.filter(key.isNotNull() & (F.col(_PART) >= 0))
+        .groupBy(key.alias(_KEY), F.col(_PART).alias(at))
+        .agg(*[c.alias(n) for n, c in totals.items()])
+    )
+    earlier = Window.partitionBy(_KEY).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(_KEY, at, *[fold(F.col(n), earlier).alias(n) for n in totals])
+    rows = (
+        parts.join(F.broadcast(carried), (key == F.col(_KEY)) & (F.col(_PART) == F.col(at)), "left")
+        .drop(_KEY, at)
+        .repartition(timeline.key, _PART)
+    )
+    return compute(rows, timeline.window(_PART)).drop(_PART, *totals)
+
+
+def with_rank(
+    df: DataFrame, timeline: Timeline, out: str, cuts: CutPoints | None = None,
+    counted: Column | None = None,
+) -> DataFrame:
+    """Adds each row's number in its key's history, from 1.
+
+    With ``counted``, the number of rows up to it where that is not NULL instead.
+    """
+    before, one = "_rows_before", F.lit(1) if counted is None else counted
+
+    def number(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        here = F.row_number().over(w).cast("long")
+        if counted is not None:
+            here = F.count(counted).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn(out, here + F.coalesce(F.col(before), F.lit(0)))
+
+    return over_prefix(
+        df, number, timeline, {before: F.count(one)}, lambda c, w: F.sum(c).over(w), cuts
+    )
+
+
+def carried_forward(
+    df: DataFrame, value: str, timeline: Timeline, out: str, cuts: CutPoints | None = None
+) -> DataFrame:
+    """Adds the last value up to each row that is not NULL, over any number of rows and parts."""
+    latest = "_last_before"
+
+    def fill(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        here = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn(out, timeline.masked(F.coalesce(here, F.col(latest))))
+
+    last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), timeline.position(df)))
+    return over_prefix(
+        df, fill, timeline, {latest: last}, lambda c, w: F.last(c, ignorenulls=True).over(w), cuts
+    )
+
+
 def key_aggregate(
     df: DataFrame,
     aggregate: Column,
