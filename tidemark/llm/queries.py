@@ -9,12 +9,15 @@ from tidemark.llm.cotraining import quality_scores
 from tidemark.llm.encoding import public_vocabulary
 from tidemark.llm.exact import exact_groups
 from tidemark.llm.lengths import length_table
+from tidemark.llm.licences import licence_labels
 from tidemark.llm.minhash import near_groups
 from tidemark.llm.mixing import mixed_blocks, taken_words
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import packed
+from tidemark.llm.repair import damaged, repairs, with_all
 from tidemark.llm.suffix_tree import scored
 from tidemark.llm.toxicity import toxicity_scores
+from tidemark.llm.trie import prefix_trie
 from tidemark.llm.urls import Rule, judged
 
 VOCABULARY = "word_bpe_49k.json"
@@ -79,11 +82,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return with_all(conversations, repairs(damaged(conversations)))
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_labels(_table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_mix, op3_pack, op4_near_dedup, op5_lengths, op6_nearest,
         op7_suffix_tree, op8_toxicity, op9_quality, op10_exact_dedup,
+        op11_repair, op12_licences, op13_trie,
     )
 }
 
