@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
-from tempfile import mkdtemp
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, ship  # noqa: F401
 
 # Text that a task handles at once, so that its memory does not follow the batch size.
 SLICE_BYTES = 2 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package's code, where they do not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_tidemark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.write(path, path.relative_to(root.parent))
-    target = Path(mkdtemp(prefix="tidemark-code-")) / "tidemark.zip"
-    target.write_bytes(packed.getvalue())
-    context.addPyFile(str(target))
-    context._tidemark_shipped = True
-
-
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """The rows as a table in the shared scratch folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
