@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,10 +185,62 @@ def test_a_micro_batch_with_a_hot_key_is_cut(spark, landing, layers, tmp_path):
 
 def test_state_keeps_a_bounded_number_of_rows(spark, landing, layers):
     streams.advance_gold(silver_frame(spark, landing, range(0, 24)), layers, 0, Timeline(), 1_000)
-    state = spark.read.parquet(layers.state(0))
+    state = spark.read.parquet(f"{layers.live_state}/batch_id={streams._label(0)}")
     assert state.groupBy("symbol").count().agg(F.max("count")).first()[0] == 7
 
 
+def files_below(path):
+    return {str(p): p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+
+
+def test_a_batch_leaves_the_state_of_other_keys_alone(spark, landing, layers):
+    """Buckets without new rows keep their files; replaced ones go two batches later."""
+    def one(symbol, hour):
+        put(landing, f"{symbol}{hour}.json", payload(hour, coin(symbol, 10.0 + hour)))
+        path = str(landing / f"{symbol}{hour}.json")
+        return jobs.to_bronze(read_payloads(spark, [path])).transform(jobs.clean).select(
+            *SILVER.names)
+
+    both = one("BTC", 0).unionByName(one("ETH", 0))
+    streams.advance_gold(both, layers, 0, Timeline(), 1_000, buckets=64)
+    first = files_below(layers.live_state)
+    assert len({p.split("bucket=")[1].split("/")[0] for p in first}) == 2
+    streams.advance_gold(one("BTC", 1), layers, 1, Timeline(), 1_000, buckets=64)
+    second = files_below(layers.live_state)
+    assert {p: second[p] for p in first} == first
+    assert len(second) == len(first) + 1
+    streams.advance_gold(one("BTC", 2), layers, 2, Timeline(), 1_000, buckets=64)
+    third = files_below(layers.live_state)
+    assert len(third) == len(second)  # BTC's bucket of batch 0 is gone, ETH's is untouched
+    assert len([p for p in third if p in first]) == 1
+    streams.advance_gold(one("ETH", 3), layers, 3, Timeline(), 1_000, buckets=64)
+    live = streams.read_live_gold(spark, layers).filter("symbol = 'ETH'")
+    assert sorted(r["minutes_since_last"] or 0 for r in live.collect()) == [0, 180]
+
+
+def test_a_late_row_writes_again_only_what_looks_back_on_it(spark, landing, layers):
+    for hour in [*range(0, 5), *range(6, 20)]:
+        put(landing, f"{hour:02d}.json", snapshot(hour))
+    catch_up(spark, landing, layers)
+    put(landing, "x.json", snapshot(5))
+    catch_up(spark, landing, layers)
+    assert same_gold(spark, layers)
+    written = spark.read.parquet(layers.live_gold)
+    last = written.agg(F.max("batch_id")).first()[0]
+    again = written.filter(F.col("batch_id") == last).groupBy("symbol").count().collect()
+    # The late row and the six behind it, of one or two coins.
+    assert {r["symbol"]: r["count"] for r in again} == {"BTC": 7, "ETH": 7}
+
+
+def test_late_rows_with_few_rows_before_them_are_looked_for_in_all_dates(spark, landing, layers):
+    for day in (1, 2, 3, 25, 26, 28):
+        put(landing, f"{day}.json", snapshot(1, day=day))
+    catch_up(spark, landing, layers)
+    put(landing, "x.json", snapshot(1, day=27))
+    catch_up(spark, landing, layers)
+    assert same_gold(spark, layers)
+
+
 @pytest.mark.parametrize("shares", [1, 4])
 def test_replays_within_the_lateness_are_dropped(spark, tmp_path, shares):
     src, out = tmp_path / "in", str(tmp_path / "out")
@@ -202,6 +255,35 @@ def test_replays_within_the_lateness_are_dropped(spark, tmp_path, shares):
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == list(range(30))
 
 
+@pytest.mark.parametrize("keys", [["k", "t"], ["t", "k"]])
+def test_of_differing_copies_in_any_order_the_first_stays(spark, tmp_path, keys):
+    """Copies differ and arrive in reverse; nulls are equal as keys and last as order."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for place in (3, 2, 1, None):
+        lines = [
+            json.dumps({"k": k or None, "t": f"2026-01-01T00:{k:02d}:00Z", "n": place, "v": f"{place}"})
+            for k in range(20)
+        ]
+        put(src, f"{9 - (place or 9)}.json", "\n".join(lines * (40 if place == 2 else 1)))
+    put(src, "z.json", json.dumps({"k": 99, "t": "2026-01-02T00:00:00Z", "n": 1, "v": "later"}))
+    put(src, "zy.json", json.dumps({"k": 98, "t": "2026-01-02T00:01:00Z", "n": 1, "v": "later"}))
+    put(src, "zz.json", json.dumps({"k": 5, "t": "2026-01-01T00:05:00Z", "n": 0, "v": "too late"}))
+    stream = spark.readStream.schema("k INT, t TIMESTAMP, n INT, v STRING")
+    stream = stream.option("maxFilesPerTrigger", 1)
+    kept = dedup.first_arrivals(stream.json(str(src)), keys, ["n"], "t", "1 hour")
+    assert kept.columns == ["k", "t", "n", "v"]
+    (kept.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start(out).awaitTermination())
+    found = spark.read.parquet(out).collect()
+    assert len(found) == 20 and {r["v"] for r in found} == {"1"}
+
+
+def test_first_arrivals_need_the_time_among_the_keys(spark):
+    df = spark.createDataFrame([], "k INT, t TIMESTAMP")
+    with pytest.raises(ValueError):
+        dedup.first_arrivals(df, ["k"], ["k"], "t", "1 hour")
+
+
 def test_polling_streams_pick_up_what_lands(spark, landing, layers):
     put(landing, "00.json", snapshot(0))
     queries = streams.start_all(spark, str(landing), layers, END, "200 milliseconds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.catalog import indicator_oracles
+
 _PCT = "(value / nullif(lag(value) over w, 0) - 1) * 100"
 _LOG = "case when 1 + {0} / 100 > 0 then ln(1 + {0} / 100) end"
 
@@ -393,3 +395,17 @@ SQL: dict[str, str] = {
     "stream_gold": _GOLD,
     "stream_dedup": "select * from events",
 }
+
+SQL |= indicator_oracles.SQL | {
+    "stream_gold_stateful": f"""{_GOLD_CTES}, base as (
+            select *, case when not is_stablecoin then value / nullif(first_value(value)
+                over (partition by symbol, is_stablecoin order by collected_at), 0) * 100 end
+                as rebased
+            from featured)
+        select symbol, collected_at, price_delta_pct, minutes_since_last,
+            round(observed_log_return, 6) as observed_log_return,
+            round(price_sma_3, 6) as price_sma_3, round(price_sma_7, 6) as price_sma_7,
+            round(volatility_3, 6) as volatility_3, dominance_delta, round(rebased, 6) as rebased
+        from base""",
+    "stream_keep_first": "select * from events",
+}

@@ -17,35 +17,20 @@ from pyspark.sql import types as T
 from tidemark.catalog.derived import (
     DAILY, ENDPOINT, EVENTS, daily, day_thirds, land, land_copies, table,
 )
+from tidemark.catalog.registry import REGISTRY, query
+from tidemark.catalog.registry import r6 as _r6
 from tidemark.functions import scalar, series
 from tidemark.operators import dedup, nested, quality, reports
 from tidemark.operators.history import find_cut_points, over_history
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.plans.layers import rebased, to_gold
-from tidemark.session import apply_semantics, scratch_path
+from tidemark.session import scratch_path
 from tidemark.sources import files, tables
 from tidemark.sources.landing import read_payloads
 from tidemark.sources.schemas import COIN, GOLD_FEATURES, ORIGIN
 from tidemark.streaming import jobs as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, Query] = {}
-
-
-def query(fn: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(apply_semantics(spark), sf_dir)
-
-    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-    REGISTRY[fn.__name__] = run
-    return run
-
-
-def _r6(c: str | Column) -> Column:
-    return F.round(c, 6)
-
-
 def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
@@ -850,3 +835,7 @@ def stream_dedup(spark, sf_dir):
     )
     stored = spark.read.parquet(out)
     return stored.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*events.columns)
+
+
+# Queries of their own modules, which register themselves.
+from tidemark.catalog import indicators, live  # noqa: E402, F401

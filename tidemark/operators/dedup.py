@@ -60,6 +60,29 @@ def drop_replays(
     return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_arrivals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, lateness: str
+) -> DataFrame:
+    """A stream with one row per key, the first by ``order`` with NULLs last, NULL keys being equal.
+
+    ``time`` is one of the keys, so the copies of a row share it. Each key's first row so far is
+    kept until the watermark, ``lateness`` behind the newest time, has passed that time; then it
+    leaves, once. Copies that come later than that are dropped. Rows without a time never leave,
+    since no watermark passes them. Copies also shrink before the shuffle, to one row per map
+    task, so a row with very many copies is no hot key.
+    """
+    if time not in keys:
+        raise ValueError(f"the time column {time!r} has to be one of the keys")
+    place = F.struct(*[c for o in order for c in (F.col(o).isNull(), F.col(o))])
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    return (
+        df.withWatermark(time, lateness)
+        .groupBy(*[F.col(k).alias(f"_key_{i}") if k != time else F.col(k) for i, k in enumerate(keys)])
+        .agg(F.min_by(whole, place).alias("_first"))
+        .select("_first.*")
+    )
+
+
 def keep_first_new(
     df: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:

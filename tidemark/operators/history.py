@@ -179,6 +179,13 @@ def _with_part(df: DataFrame, timeline: Timeline, cuts: CutPoints) -> DataFrame:
     )
 
 
+def with_parts(
+    df: DataFrame, timeline: Timeline, cuts: CutPoints | None
+) -> tuple[DataFrame, str | None]:
+    """Adds the column that says which part of its key a row is in, if any key is cut."""
+    return (df, None) if cuts is None else (_with_part(df, timeline, cuts), _PART)
+
+
 def _lead_in(
     parts: DataFrame, timeline: Timeline, look_back: int, reads: Sequence[str]
 ) -> DataFrame:

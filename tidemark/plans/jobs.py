@@ -68,6 +68,10 @@ class Layers:
     def live_gold(self) -> str:
         return self._at("live_gold")
 
+    @property
+    def stateful_gold(self) -> str:
+        return self._at("stateful_gold")
+
     @property
     def late(self) -> str:
         return self._at("late")
@@ -76,8 +80,10 @@ class Layers:
     def folded(self) -> str:
         return self._at("folded")
 
-    def state(self, slot: int) -> str:
-        return self._at(f"live_state/slot={slot}")
+    @property
+    def live_state(self) -> str:
+        """The newest rows of every key, by the batch that wrote them and bucket of keys."""
+        return self._at("live_state")
 
     def checkpoint(self, stream: str) -> str:
         return self._at(f"checkpoints/{stream}")

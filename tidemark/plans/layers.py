@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions import scalar, series
 from tidemark.operators.dedup import keep_first, keep_first_new
 from tidemark.operators.history import (
-    CutPoints, Timeline, first_value, key_aggregate, over_history,
+    CutPoints, Timeline, carried_forward, first_value, key_aggregate, over_history,
 )
 from tidemark.operators.nested import array_length, explode_records, flatten_structs
 from tidemark.sources.schemas import (
@@ -158,11 +158,15 @@ def add_features(
     timeline: Timeline,
     value: str = "quote_USD_price",
     share: str | None = "quote_USD_market_cap_dominance",
+    change_of: str | None = None,
 ) -> DataFrame:
-    """The gold columns for one window over a key's history."""
+    """The gold columns for one window over a key's history.
+
+    ``change_of`` names the column to take percent changes of, if not ``value`` itself.
+    """
     price, masked = F.col(value), timeline.masked
     columns = {
-        "price_delta_pct": masked(series.pct_change(price, w)),
+        "price_delta_pct": masked(series.pct_change(F.col(change_of or value), w)),
         "minutes_since_last": masked(series.minutes_since_last(F.col(timeline.time), w)),
         "price_sma_3": masked(series.rolling(price, 3, w)),
         "price_sma_7": masked(series.rolling(price, 7, w)),
@@ -182,16 +186,26 @@ def to_gold(
     value: str = "quote_USD_price",
     share: str | None = "quote_USD_market_cap_dominance",
     cuts: CutPoints | None = None,
+    fill: bool = False,
 ) -> DataFrame:
-    """Silver rows with their features, all from one shuffle by key (and part)."""
-    return over_history(
+    """Silver rows with their features, all from one shuffle by key (and part).
+
+    ``fill`` carries values forward over missing ones for percent changes and what is made of
+    them: a change is then measured from the last value there was, however far back.
+    """
+    reads = [value] if share is None else [value, share]
+    filled = "_filled" if fill else None
+    if filled:
+        silver, reads = carried_forward(silver, value, timeline, filled, cuts), [*reads, filled]
+    gold = over_history(
         silver,
-        lambda df, w: add_features(df, w, timeline, value, share),
+        lambda df, w: add_features(df, w, timeline, value, share, filled),
         timeline,
         GOLD_LOOK_BACK,
-        [value] if share is None else [value, share],
+        reads,
         cuts,
     )
+    return gold.drop(filled) if filled else gold
 
 
 def rebased(

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
+import zipfile
 from functools import cache
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -55,3 +58,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_scratch()
     return f"{base.rstrip('/')}/{label}-{uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package's code, where they do not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    target = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._tidemark_shipped = True

@@ -9,22 +9,29 @@ and either way the next stream takes it once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.history import ROWS_PER_PART, Timeline, find_cut_points, key_aggregate
+from tidemark.operators.history import (
+    ROWS_PER_PART, Timeline, find_cut_points, key_aggregate, over_history,
+)
 from tidemark.plans.jobs import Layers, write_bronze, write_silver
-from tidemark.plans.layers import GOLD_LOOK_BACK, to_gold
+from tidemark.plans.layers import GOLD_LOOK_BACK, add_features, to_gold
 from tidemark.sources import files, tables
 from tidemark.sources.landing import stream_payloads, with_place
-from tidemark.sources.schemas import BRONZE, COIN, GOLD, SILVER, STATUS, with_batch
+from tidemark.sources.schemas import BRONZE, COIN, GOLD, SILVER, STATUS
 
-_STATE = with_batch(SILVER)
-_CARRIED, _LAST, _LATE = "_carried", "_last_time", "_late"
+# Buckets of keys in the state of live Gold. A state keeps the number it began with.
+BUCKETS = 256
+# How far before the first late row its predecessors are looked for at first.
+LATE_DAYS = 7
+_CARRIED, _LAST, _LATE, _NEW = "_carried", "_last_time", "_late", "_new"
+_FIRST, _CHANGED, _BUCKET = "_first_late", "_changed", "bucket"
 
 
 def _label(batch: int) -> str:
@@ -103,10 +110,10 @@ def gold_stream(
 ) -> StreamingQuery:
     """Silver to live Gold, adding the features of each new row.
 
-    A key's features need its last few rows only; these are kept between batches, so a
-    batch costs the keys and the new rows, not the history. A row no later than its
-    key's last one changes features already written: it is noted in the late table, and
-    its key's rows are computed anew from Silver and take the place of the old ones.
+    A key's features need its last few rows only; these are kept between batches, in buckets
+    of keys, so a batch costs its own keys and rows, not the history. A row no later than its
+    key's last one changes features already written: it is noted in the late table, and the
+    rows that look back on it are computed anew from Silver and take the place of the old ones.
     """
 
     def write(commits: DataFrame, batch: int) -> None:
@@ -140,22 +147,24 @@ def start_all(
 
 def advance_gold(
     silver: DataFrame, layers: Layers, batch: int, timeline: Timeline, rows_per_part: int,
-    taken: Sequence[str] = (),
+    taken: Sequence[str] = (), buckets: int = BUCKETS,
 ) -> None:
     """One micro-batch of live Gold; nothing if it is complete already.
 
-    Two state slots take turns: a batch reads the one its predecessor wrote and replaces the
-    other, so it can be run again. ``taken`` are the Silver batches that ``silver`` is.
+    The state lies in buckets of keys. A batch reads and writes the buckets of its own keys and
+    notes for all of them which batch wrote them last; what that note and the one before it
+    name stays, so a batch can be run again. ``taken`` are the Silver batches that ``silver`` is.
     """
     spark = silver.sparkSession
     if tables.is_committed(spark, layers.commits("gold"), _label(batch)):
         return
     silver = silver.select(*SILVER.names)
-    for slot in (0, 1):
-        tables.create_layer(spark, layers.state(slot), _STATE, [])
-    carried = tables.read_layer(spark, layers.state((batch + 1) % 2), _STATE)
-    # Batch numbers follow each other; anything else in the slot is from an older run.
-    carried = carried.filter(F.col("batch_id") == _label(batch - 1)).drop("batch_id")
+    before = _state_map(spark, layers, batch - 1)
+    bucket = F.pmod(F.xxhash64(timeline.key), F.lit(buckets)).cast("int").alias(_BUCKET)
+    keyed = silver.filter(F.col(timeline.key).isNotNull())
+    # At most as many numbers as there are buckets.
+    touched = sorted(row[0] for row in keyed.select(bucket).distinct().collect())
+    carried = _carried_rows(spark, layers, {b: before[b] for b in touched if b in before})
     history = silver.withColumn(_CARRIED, F.lit(False)).unionByName(
         carried.withColumn(_CARRIED, F.lit(True))
     )
@@ -173,37 +182,103 @@ def advance_gold(
         order = [timeline.key, *timeline.order]
         late = marked.filter(_LATE).drop(_LATE, _CARRIED)
         some_late = not late.isEmpty()
-        history, anew = marked.filter(~F.col(_LATE)).drop(_LATE), None
+        # Carried rows are the newest of their keys, so rows after them find all they look back on.
+        gold = to_gold(marked, timeline, cuts=cuts)
+        new = ~F.col(_CARRIED) & ~F.col(_LATE) if taken else ~F.col(_CARRIED)
+        gold = gold.filter(new).select(*GOLD.names)
         if some_late:
             tables.write_batch(late, layers.late, _label(batch))
         if some_late and taken:
-            # All rows of keys with late rows come from Silver, as far as it has been taken.
-            keys = late.select(timeline.key).distinct()
-            done = tables.read_commits(spark, layers.commits("gold"))
-            now = spark.createDataFrame([(b,) for b in taken], "batch_id STRING")
-            done = done.select(F.explode("took").alias("batch_id")).unionByName(now)
-            stored = layers.read_silver_batches(spark)
-            anew = (
-                stored.join(done, "batch_id", "left_semi")
-                .join(keys, timeline.key, "left_semi")
-                .select(*SILVER.names)
-            )
-            history = history.join(keys, timeline.key, "left_anti")
-            keys.write.mode("overwrite").parquet(f"{layers.folded}/batch_id={_label(batch)}")
-        gold = to_gold(history, timeline, cuts=cuts).filter(~F.col(_CARRIED)).select(*GOLD.names)
-        state = _newest(history.drop(_CARRIED), timeline)
-        if anew is not None:
-            again = to_gold(anew, timeline, cuts=find_cut_points(anew, timeline, rows_per_part))
+            again = _changed_by_late(late, layers, timeline, rows_per_part, taken)
             gold = gold.unionByName(again.select(*GOLD.names))
-            state = state.unionByName(_newest(anew, timeline))
+            earlier = again.filter(~F.col(_LATE)).select(*order)
+            earlier.write.mode("overwrite").parquet(f"{layers.folded}/batch_id={_label(batch)}")
         tables.write_batch(gold, layers.live_gold, _label(batch), order)
-        state = state.select(*SILVER.names).withColumn("batch_id", F.lit(_label(batch)))
-        tables.overwrite(state, layers.state(batch % 2), by_date=False)
+        state = _newest(marked.drop(_CARRIED, _LATE), timeline).select(*SILVER.names, bucket)
+        state.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(
+            f"{layers.live_state}/batch_id={_label(batch)}"
+        )
+        now = before | {b: _label(batch) for b in touched}
+        files.write_text(spark, _map_path(layers, batch), json.dumps(now))
         tables.commit(spark, layers.commits("gold"), _label(batch), taken)
+        _drop_state(spark, layers, batch, (before, now))
     finally:
         marked.unpersist()
 
 
+def _map_path(layers: Layers, batch: int) -> str:
+    return f"{layers.live_state}/map-{max(batch, 0):012d}.json"
+
+
+def _state_map(spark: SparkSession, layers: Layers, batch: int) -> dict[int, str]:
+    """Which batch wrote each bucket last, as of ``batch``."""
+    text = files.read_text(spark, _map_path(layers, batch)) if batch >= 0 else None
+    return {int(bucket): label for bucket, label in json.loads(text).items()} if text else {}
+
+
+def _carried_rows(spark: SparkSession, layers: Layers, held: dict[int, str]) -> DataFrame:
+    base = layers.live_state
+    paths = [f"{base}/batch_id={label}/{_BUCKET}={b}" for b, label in sorted(held.items())]
+    if not paths:
+        return spark.createDataFrame([], SILVER)
+    return spark.read.schema(SILVER).parquet(*paths)
+
+
+def _drop_state(
+    spark: SparkSession, layers: Layers, batch: int, kept: tuple[dict[int, str], ...]
+) -> None:
+    """Deletes the buckets that neither this batch's note nor the one before it names."""
+    held = {(label, b) for note in kept for b, label in note.items()}
+    for b, label in _state_map(spark, layers, batch - 2).items():
+        if (label, b) not in held:
+            files.delete(spark, f"{layers.live_state}/batch_id={label}/{_BUCKET}={b}")
+    if batch >= 2:
+        files.delete(spark, _map_path(layers, batch - 2))
+
+
+def _changed_by_late(
+    late: DataFrame, layers: Layers, timeline: Timeline, rows_per_part: int, taken: Sequence[str]
+) -> DataFrame:
+    """The late rows and the rows that look back on them, with their features.
+
+    Only the dates from ``LATE_DAYS`` before the first late row are read, unless some key has
+    fewer rows there than features look back on; then all dates are. Rows of this batch that are
+    not late have their features already.
+    """
+    spark = late.sparkSession
+    done = tables.read_commits(spark, layers.commits("gold"))
+    now = spark.createDataFrame([(b,) for b in taken], "batch_id STRING")
+    done = done.select(F.explode("took").alias("batch_id")).unionByName(now)
+    keys = late.groupBy(timeline.key).agg(F.min(timeline.time).alias(_FIRST))
+    # One row per key of this batch that has late rows.
+    stored = (
+        layers.read_silver_batches(spark)
+        .join(F.broadcast(done), "batch_id", "left_semi")
+        .join(keys, timeline.key)
+    )
+    day = late.agg(F.min(F.to_date(timeline.time))).first()[0]
+    recent = stored.filter(F.col(tables.DATE) >= F.lit(day) - F.expr(f"INTERVAL {LATE_DAYS} DAYS"))
+    before = F.count_if(F.col(timeline.time) < F.col(_FIRST)).alias("n")
+    short = recent.groupBy(timeline.key).agg(before).filter(F.col("n") < GOLD_LOOK_BACK)
+    rows = stored if not short.isEmpty() else recent
+    marks = late.select(timeline.key, *timeline.order, F.lit(True).alias(_LATE))
+    new = F.col("batch_id").isin(*taken)
+    rows = (
+        rows.join(marks, [timeline.key, *timeline.order], "left")
+        .withColumns({_LATE: F.coalesce(_LATE, F.lit(False)), _NEW: new})
+        .drop(_FIRST, "batch_id")
+    )
+    cuts = find_cut_points(rows, timeline, rows_per_part)
+
+    def near(df: DataFrame, w: WindowSpec) -> DataFrame:
+        behind = F.max(_LATE).over(w.rowsBetween(-GOLD_LOOK_BACK, 0))
+        return add_features(df, w, timeline).withColumn(_CHANGED, behind)
+
+    reads = ["quote_USD_price", "quote_USD_market_cap_dominance", _LATE]
+    featured = over_history(rows, near, timeline, GOLD_LOOK_BACK, reads, cuts)
+    return featured.filter(F.col(_CHANGED) & (F.col(_LATE) | ~F.col(_NEW)))
+
+
 def _newest(history: DataFrame, timeline: Timeline) -> DataFrame:
     """The rows of each key that later features will read, and one more."""
     latest_first = Window.partitionBy(timeline.key).orderBy(
@@ -220,16 +295,18 @@ def _newest(history: DataFrame, timeline: Timeline) -> DataFrame:
 def read_live_gold(
     spark: SparkSession, layers: Layers, timeline: Timeline = Timeline()
 ) -> DataFrame:
-    """Live Gold as of its complete batches; of a key computed anew, the rows since then."""
+    """Live Gold as of its complete batches; of a row that late ones changed, its newest form."""
     tables.create_batches(spark, layers.live_gold, GOLD)
-    complete = tables.read_commits(spark, layers.commits("gold")).select("batch_id")
+    complete = F.broadcast(tables.read_commits(spark, layers.commits("gold")).select("batch_id"))
     rows = tables.read_batches(spark, layers.live_gold, GOLD).join(complete, "batch_id", "left_semi")
-    key = T.StructType([SILVER[timeline.key], T.StructField("batch_id", T.StringType())])
-    files.make_folder(spark, layers.folded)
-    anew = tables.read_layer(spark, layers.folded, key).join(complete, "batch_id", "left_semi")
-    since = anew.groupBy(timeline.key).agg(F.max("batch_id").alias("_since"))
+    if not files.names(spark, layers.folded):
+        return rows.select(*GOLD.names)
+    at = [timeline.key, *timeline.order]
+    schema = T.StructType([*[SILVER[c] for c in at], T.StructField("batch_id", T.StringType())])
+    again = tables.read_layer(spark, layers.folded, schema).join(complete, "batch_id", "left_semi")
+    since = again.groupBy(*at).agg(F.max("batch_id").alias("_since"))
     valid = F.col("_since").isNull() | (F.col("batch_id") >= F.col("_since"))
-    return rows.join(since, timeline.key, "left").filter(valid).select(*GOLD.names)
+    return rows.join(since, at, "left").filter(valid).select(*GOLD.names)
 
 
 def read_late(spark: SparkSession, layers: Layers) -> DataFrame:
