@@ -16,7 +16,9 @@ from tidemark.plans.jobs import Layers
 from tidemark.plans.layers import clean, silver_increment, to_audit, to_bronze, to_silver
 from tidemark.sources import files, tables
 from tidemark.sources.landing import read_payloads
-from tidemark.sources.schemas import AUDIT, BRONZE, COIN, GOLD, GOLD_FEATURES, ORIGIN, SILVER
+from tidemark.sources.schemas import (
+    AUDIT, BRONZE, COIN, GOLD, GOLD_FEATURES, ORIGIN, SILVER, further_fields,
+)
 
 END = "landing/listings"
 
@@ -288,14 +290,14 @@ def test_compaction_keeps_every_row_and_its_batch(spark, landing, layers):
         bronze = tables.read_some(spark, layers.bronze, BRONZE, [name])
         jobs.write_silver(bronze, layers, name)
         if name != "one":
-            before = sorted(layers.read_silver_batches(spark).collect(), key=str)
+            before = sorted(layers.read_batches(spark, "silver", SILVER).collect(), key=str)
             jobs.compact_silver(spark, layers)
-            after = layers.read_silver_batches(spark)
+            after = layers.read_batches(spark, "silver", SILVER)
             assert sorted(after.select(*before[0].__fields__).collect(), key=str) == before
     # The folders merged first are gone, those merged last stay for readers that have begun.
     assert folders(layers) == ["batch_id=three"]
     assert layers.read_silver(spark).count() == 6
-    some = layers.read_silver_batches(spark, ["one", "three", "none"])
+    some = layers.read_batches(spark, "silver", SILVER, ["one", "three", "none"])
     assert {r["batch_id"]: r["count"] for r in some.groupBy("batch_id").count().collect()} \
         == {"one": 2, "three": 2}
     jobs.compact_silver(spark, layers)
@@ -311,15 +313,12 @@ def test_compaction_keeps_every_row_and_its_batch(spark, landing, layers):
 def test_a_failed_compaction_leaves_silver_as_it_was(spark, landing, layers, monkeypatch):
     put(landing, "a.json", payload(14, coin("BTC", 100.0), coin("USDT", 1.0)))
     cycle(spark, landing, layers, "one")
-    write = files.write_text
 
     def lost(spark, path, text):
-        if path.endswith("_current"):
-            raise OSError("driver lost")
-        write(spark, path, text)
+        raise OSError("driver lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(files, "write_text", lost)
+        patch.setattr(files, "write_newest", lost)
         with pytest.raises(OSError, match="driver lost"):
             jobs.compact_silver(spark, layers)
     assert layers.read_silver(spark).count() == 2
@@ -328,6 +327,132 @@ def test_a_failed_compaction_leaves_silver_as_it_was(spark, landing, layers, mon
     assert folders(layers) == [] and layers.read_silver(spark).count() == 2
 
 
+class Lost(Exception):
+    pass
+
+
+def losing(monkeypatch, after):
+    """The driver is lost instead of its ``after``-th change to the files."""
+    left = [after]
+
+    def guard(do):
+        def run(*args, **settings):
+            left[0] -= 1
+            if left[0] < 0:
+                raise Lost
+            return do(*args, **settings)
+        return run
+
+    for name in ("rename", "delete"):
+        monkeypatch.setattr(files, name, guard(getattr(files, name)))
+    return left
+
+
+def prices(layers, spark, layer):
+    found = layers.read(spark, layer).select("symbol", "collected_at", "quote_USD_price")
+    return sorted(found.collect(), key=str)
+
+
+def test_no_loss_of_the_driver_loses_a_row(spark, landing, layers, monkeypatch):
+    """Lost between any two file operations of a rebuild, a compaction or a batch written again:
+    readers see all rows, and running the job again completes it."""
+    for hour, name in ((4, "one"), (8, "two"), (12, "three")):
+        put(landing, f"{name}.json", payload(hour, coin("BTC", 100.0 + hour), coin("ETH", 9.0)))
+        jobs.write_bronze(read_payloads(spark, str(landing / f"{name}.json")), layers, name, END)
+        bronze = layers.read_batches(spark, "bronze", BRONZE, [name])
+        jobs.write_silver(bronze, layers, name)
+        if name == "two":
+            jobs.compact(spark, layers)
+    jobs.rebuild_gold(spark, layers)
+    silver, gold = prices(layers, spark, "silver"), prices(layers, spark, "gold")
+    assert len(silver) == len(gold) == 6
+    for job in (
+        lambda: jobs.rebuild_gold(spark, layers),
+        lambda: jobs.write_silver(bronze, layers, "three"),
+        lambda: jobs.compact(spark, layers),
+    ):
+        for after in range(40):
+            with monkeypatch.context() as patch:
+                left = losing(patch, after)
+                try:
+                    job()
+                except Lost:
+                    pass
+            assert prices(layers, spark, "silver") == silver
+            assert prices(layers, spark, "gold") == gold
+            if left[0] >= 0:
+                break
+        else:
+            raise AssertionError("the job never got through")
+    jobs.rebuild_gold(spark, layers)
+    assert prices(layers, spark, "silver") == silver and prices(layers, spark, "gold") == gold
+
+
+def test_compaction_writes_a_row_again_a_few_times_only(spark, layers):
+    schema = BRONZE
+    for n in range(12):
+        rows = spark.createDataFrame([(f"K{n}",)], "symbol STRING").transform(
+            lambda df: tables.conform(df, schema))
+        tables.write_batch(rows, layers.bronze, f"stream-{n:012d}")
+        tables.commit(spark, layers.commits("bronze"), f"stream-{n:012d}")
+        jobs.compact(spark, layers, "bronze")
+    found, held = tables.runs(spark, layers.base("bronze"))
+    assert held.upto == 11 and not held.names
+    assert sum(r.rows for r in found) == 12 and len(found) <= 4
+    assert [r["symbol"] for r in layers.read_bronze(spark).orderBy("symbol").collect()] \
+        == sorted(f"K{n}" for n in range(12))
+    assert "stream-000000000003" in held and "stream-000000000012" not in held
+    assert "other" in held.plus(["other"]) and held.plus(["other"]).upto == 11
+
+
+def test_further_fields_reach_gold(spark, landing, layers):
+    first = {**coin("BTC", 100.0), "slug": "bitcoin", "tag": {"id": 7}}
+    put(landing, "a.json", payload(14, first, coin("ETH", 1.0)))
+    wide = T.StructType([*COIN.fields, *T.StructType.fromDDL(
+        "slug STRING, tag STRUCT<id: BIGINT>").fields])
+    more = further_fields(wide)
+    assert more.names == ["slug", "tag_id"]
+    jobs.run_cycle(spark, str(landing), layers, "one", END, coin=wide)
+    for df in (layers.read_silver(spark, more), layers.read_gold(spark, more)):
+        got = {r["symbol"]: (r["slug"], r["tag_id"]) for r in df.collect()}
+        assert got == {"BTC": ("bitcoin", 7), "ETH": (None, None)}
+
+
+def test_the_text_of_a_malformed_payload_is_kept(spark, landing, layers):
+    put(landing, "a.json", payload(14, coin("BTC", 1.0)))
+    put(landing, "b.json", '{"data": [{"symbol": "E')
+    cycle(spark, landing, layers, "one")
+    kept = {r["malformed"]: r["raw_payload"] for r in layers.read_audit(spark).collect()}
+    assert kept == {False: None, True: '{"data": [{"symbol": "E'}
+
+
+def test_the_overview_is_merged_from_the_batches_summaries(spark, landing, layers):
+    assert jobs.overview(spark, layers).first()["rows"] == 0
+    for hour in (3, 7):
+        put(landing, f"{hour}.json", payload(hour, coin("BTC", 1.0), coin(f"C{hour}", 1.0)))
+        cycle(spark, landing, layers, f"b{hour}")
+    got = jobs.overview(spark, layers)
+    want = reports.data_overview(layers.read_silver(spark)).first()
+    assert all(got.first()[c] == want[c] for c in want.__fields__)
+    assert got.first()["rows"] == 4
+    assert got.inputFiles() and all("/silver_summary/" in f for f in got.inputFiles())
+
+
+def test_live_gold_can_be_compacted(spark, landing, layers):
+    from tidemark.streaming import jobs as streams
+    for hour in (2, 4, 3, 9):
+        put(landing, f"{hour}.json", payload(hour, coin("BTC", 10.0 + hour)))
+        streams.bronze_stream(spark, str(landing), layers, END).awaitTermination()
+        streams.silver_stream(spark, layers).awaitTermination()
+        streams.gold_stream(spark, layers).awaitTermination()
+        jobs.compact(spark, layers, "live_gold")
+    jobs.rebuild_gold(spark, layers)
+    live = streams.read_live_gold(spark, layers).select(*GOLD.names).collect()
+    assert sorted(live, key=str) == sorted(
+        layers.read_gold(spark).select(*GOLD.names).collect(), key=str)
+    assert str(streams.latest_date(spark, layers)) == "2026-05-22"
+
+
 def test_batch_ids_are_names(spark, landing, layers):
     put(landing, "a.json", payload(14, coin("BTC", 100.0)))
     for bad in ("a/b", "a=b", "a:b", "", "..", "a b", "50%"):

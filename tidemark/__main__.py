@@ -11,17 +11,25 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import dedup, quality, reports
+from tidemark.operators import dedup, nested, quality, reports
+from tidemark.operators.history import Timeline, find_cut_points
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.plans.layers import rebased
 from tidemark.session import AT_SCALE, apply_semantics, shuffle_partitions
-from tidemark.sources.schemas import COIN, GOLD, SILVER_KEY, STATUS
+from tidemark.sources.schemas import COIN, GOLD, SILVER_KEY, STATUS, further_fields
 from tidemark.sources.tables import export_csv
-from tidemark.streaming.jobs import latest_gold, start_all
+from tidemark.streaming.jobs import latest_date, latest_gold, start_all
 
 def _latest(report):
-    return lambda spark, layers, args: report(latest_gold(spark, layers), date="snapshot_date")
+    return lambda spark, layers, args: report(
+        latest_gold(spark, layers), date="snapshot_date", on=latest_date(spark, layers))
+
+
+def _rebased(spark, layers, args):
+    silver = layers.read_silver(spark)
+    return rebased(silver, cuts=find_cut_points(silver, Timeline())).select(
+        "symbol", "collected_at", "rebased")
 
 
 def _of_gold(report):
@@ -41,8 +49,10 @@ REPORTS = {
     "overview": _of_gold(reports.data_overview),
     "times": _of_gold(reports.snapshot_times),
     "history": _history,
-    "rebased": lambda spark, layers, args: rebased(layers.read_silver(spark)).select(
-        "symbol", "collected_at", "rebased"),
+    "rebased": _rebased,
+    "summary": lambda spark, layers, args: jobs.overview(spark, layers),
+    "undeclared": lambda spark, layers, args: nested.undeclared_fields(
+        layers.read_bronze(spark), "raw_json", COIN.names),
     "profile": lambda spark, layers, args: reports.table_profile(layers.read(spark, args.layer)),
     "nulls": lambda spark, layers, args: quality.null_profile(layers.read(spark, args.layer)),
     "new-columns": lambda spark, layers, args: reports.new_columns(
@@ -78,8 +88,12 @@ def arguments() -> argparse.ArgumentParser:
         taker.add_argument("--max-rank", type=int, help="fail greater ranks; no bound if absent")
         taker.add_argument("--more-coin", help="further listing fields, as 'name TYPE, ...'")
         taker.add_argument("--more-status", help="further status fields, as 'name TYPE, ...'")
-    command("rebuild", "Gold from all of Silver")
-    command("compact", "merge the batches of Silver into one table by date")
+    rebuild = command("rebuild", "Gold from all of Silver")
+    rebuild.add_argument("--more-coin", help="further listing fields Silver was written with")
+    compact = command("compact", "merge the batches of a layer into tables by date")
+    compact.add_argument("--layer", choices=["bronze", "audit", "silver", "live_gold"],
+                         default="silver")
+    compact.add_argument("--more-coin", help="further listing fields the layer was written with")
     load = command("import", "listings kept as CSV into Bronze and Silver")
     load.add_argument("--batch-id", required=True)
     load.add_argument("--csv", required=True, action="append", help="files of one layout each")
@@ -128,9 +142,10 @@ def main() -> None:
         )
         spark.streams.awaitAnyTermination()
     elif args.command == "rebuild":
-        jobs.rebuild_gold(spark, layers)
+        jobs.rebuild_gold(spark, layers, more=further_fields(_wider(COIN, args.more_coin)))
     elif args.command == "compact":
-        jobs.compact_silver(spark, layers)
+        more = further_fields(_wider(COIN, args.more_coin))
+        jobs.compact(spark, layers, args.layer, more)
     elif args.command == "import":
         jobs.import_bronze(spark, args.csv, layers, args.batch_id)
         bronze = layers.read_bronze(spark).filter(F.col("batch_id") == args.batch_id)

@@ -408,4 +408,39 @@ SQL |= indicator_oracles.SQL | {
             round(volatility_3, 6) as volatility_3, dominance_delta, round(rebased, 6) as rebased
         from base""",
     "stream_keep_first": "select * from events",
+    "payload_schema": f"""with {_LISTINGS}
+        select 'slug' as field, 'STRING' as dtype, count(*) as present, count(*) as rows
+        from listings
+        union all select 'num_market_pairs', 'BIGINT', count(*), count(*) from listings""",
+    "gold_wider": f"""{_GOLD_CTES}
+        select symbol, collected_at, replace(name, ' ', '-') as slug,
+            circulating_supply::bigint as num_market_pairs,
+            round(price_sma_7, 6) as price_sma_7, dominance_delta
+        from featured""",
+    "malformed_payloads": f"""with {_LISTINGS}
+        select false as malformed, null as raw_payload, count(*) as payloads
+        from (select distinct day, page from listings)
+        union all select true, '{{"status": {{"elapsed": ' || n_events
+            || '}}, "data": [{{"symbol": "K' || user_id as t, count(*) from daily group by t""",
+    "merged_overview": f"""with {_SILVER_CTES}
+        select count(*) as rows, count(distinct symbol) as keys,
+            count(distinct collected_at) as snapshots, min(collected_at) as first_time,
+            max(collected_at) as last_time,
+            (epoch_us(max(collected_at)) - epoch_us(min(collected_at))) // 60000000 as span_minutes
+        from silver""",
+    "key_clusters": """select count(distinct user_id) as keys, 4 as clusters, 0 as misassigned,
+        true as cost_agrees from events""",
+    "trend_check": f"""{_ON_EVENTS}, known as (
+            select ts, price_delta_pct, lag(price_delta_pct) over w as c,
+                lag(volatility_3) over w as v, lag(value / nullif(price_sma_7, 0)) over w as m
+            from featured window w as (partition by user_id order by ts, event_id)
+        ), rows as (
+            select epoch_us(ts) as t from known
+            where price_delta_pct is not null and c is not null and v is not null
+                and m is not null
+        ), border as (
+            select min(t) + ((max(t) - min(t)) * 0.7::double)::bigint as b from rows)
+        select count(*) filter (where t <= b) as train_rows,
+            count(*) filter (where t > b) as test_rows, 0 as leaks, true as beats_majority
+        from rows, border""",
 }

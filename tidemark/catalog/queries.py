@@ -391,8 +391,7 @@ def ranks_beyond_limit(spark, sf_dir):
     """A deep slice: ranks 1001 to 3000 of each return flag by price."""
     ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", *ties)
-    order = [F.col("l_extendedprice").desc_nulls_last(), *[F.col(c).asc() for c in ties]]
-    top = reports.top_per_snapshot(lines, "l_returnflag", order, start=1001, limit=2000)
+    top = reports.deep_slice(lines, "l_returnflag", "l_extendedprice", ties, start=1001, limit=2000)
     return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -838,4 +837,4 @@ def stream_dedup(spark, sf_dir):
 
 
 # Queries of their own modules, which register themselves.
-from tidemark.catalog import indicators, live  # noqa: E402, F401
+from tidemark.catalog import indicators, live, models, payloads  # noqa: E402, F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,3 +73,25 @@ def arrays_to_json(df: DataFrame) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def undeclared_fields(df: DataFrame, text: str, declared: Sequence[str]) -> DataFrame:
+    """(field, dtype, present, rows): top-level fields of JSON objects beyond ``declared``.
+
+    The type is the one that all values of a field fit, by Spark's merging of variant schemas.
+    ``present`` counts the rows that have the field, null or not; ``rows`` all that are objects.
+    Text that is no JSON object counts as none. One pass, and one row per field.
+    """
+    known = set(declared)
+    parsed = df.select(F.try_parse_json(text).alias("v")).filter(
+        F.schema_of_variant("v").startswith("OBJECT")
+    )
+    # Keys are listed as a map's, values typed as variants and merged field by field.
+    fields = parsed.select(
+        F.explode(F.variant_get("v", "$", "map<string, variant>")).alias("field", "value")
+    ).filter(~F.col("field").isin(sorted(known)) if known else F.lit(True))
+    total = parsed.select(F.count("*")).scalar()
+    found = fields.groupBy("field").agg(
+        F.schema_of_variant_agg("value").alias("dtype"), F.count("*").alias("present")
+    )
+    return found.withColumn("rows", total)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,6 +94,61 @@ def top_per_snapshot(
     return ranked.filter((F.col(rank) >= start) & (F.col(rank) <= last))
 
 
+_KLL, _STEP = 2048, 1.25
+# Ranks that a sketch may be off by, as a share of all rows, in 99 of 100 cases.
+_KLL_ERROR = 2.446 / _KLL**0.9433
+MAX_THRESHOLDS = 100_000
+
+
+def deep_slice(
+    df: DataFrame, snapshot: str, by: str, ties: Sequence[str] = (), start: int = 1,
+    limit: int = 10, descending: bool = True, rank: str = "rank",
+) -> DataFrame:
+    """Ranks ``start`` to ``start + limit - 1`` of each snapshot by a number and ``ties``.
+
+    A quantile sketch per snapshot gives a threshold that the wanted ranks should lie above. Rows
+    above it are counted; where there are too few, the snapshot's rows all stay. Only what
+    stays is shuffled to be ranked, about the slice and one percent of the rows. The largest
+    100,000 snapshots get a threshold, which bounds what is broadcast. NULLs come last.
+    """
+    last = start + limit - 1
+    value = F.col(by).cast("double") * (1 if descending else -1)
+    narrow = df.select(F.col(snapshot).alias("_of"), value.alias("_value")).filter(
+        "_value IS NOT NULL AND NOT isnan(_value)"
+    )
+    sketched = (
+        narrow.groupBy("_of")
+        .agg(F.count("_value").alias("_n"), F.kll_sketch_agg_double("_value", _KLL).alias("_s"))
+        .filter(F.col("_n") > 2 * last)
+        .orderBy(F.desc("_n"))
+        .limit(MAX_THRESHOLDS)
+    )
+    share = (F.lit(float(last)) / F.col("_n")) + 2 * _KLL_ERROR
+    # A sketch is asked for fixed shares only, so the next larger of these is taken.
+    grid = [_STEP**-i for i in range(1 + int(math.log(1 / _KLL_ERROR, _STEP)))]
+    at = F.floor(-F.ln(share) / math.log(_STEP)).cast("int")
+    quantiles = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(1.0 - g) for g in grid]))
+    floors = sketched.filter(share < 1).select("_of", F.get(quantiles, at).alias("_floor"))
+    floors = (
+        narrow.join(F.broadcast(floors), "_of")
+        .filter("_value >= _floor")
+        .groupBy("_of")
+        .agg(F.first("_floor").alias("_floor"), F.count("*").alias("_n"))
+        .filter(F.col("_n") >= last)
+        .select("_of", "_floor")
+    )
+    above = F.col("_floor").isNull() | F.coalesce(value >= F.col("_floor"), F.lit(False))
+    direction = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    order = [direction, *[F.col(c).asc_nulls_last() for c in ties]]
+    ranked = (
+        df.join(F.broadcast(floors), F.col(snapshot) == F.col("_of"), "left")
+        .filter(above)
+        .drop("_of", "_floor")
+        .withColumn(rank, F.row_number().over(Window.partitionBy(snapshot).orderBy(*order)))
+    )
+    return ranked.filter((F.col(rank) >= start) & (F.col(rank) <= last))
+
+
 def data_overview(
     df: DataFrame, key: str = "symbol", time: str = "collected_at", approximate: bool = False
 ) -> DataFrame:
@@ -110,6 +166,39 @@ def data_overview(
     ).withColumn("span_minutes", F.floor(span / 60e6))
 
 
+# Distinct counts by sketch are exact, but for chance, up to some ten thousand values, and off by
+# 0.1 percent (one standard error) beyond.
+SKETCH = 20
+
+
+def summary(
+    df: DataFrame, key: str = "symbol", time: str = "collected_at"
+) -> DataFrame:
+    """One row that says of some rows what ``merged_overview`` needs: their number, sketches of
+    the distinct keys and times, first and last time."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.hll_sketch_agg(F.col(key).cast("string"), SKETCH).alias("keys"),
+        F.hll_sketch_agg(micros(F.col(time)), SKETCH).alias("snapshots"),
+        F.min(time).alias("first_time"),
+        F.max(time).alias("last_time"),
+    )
+
+
+def merged_overview(summaries: DataFrame) -> DataFrame:
+    """``data_overview`` with the number of rows, from summaries of any parts of a table."""
+    span = micros(F.col("last_time")) - micros(F.col("first_time"))
+    return summaries.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        *[
+            F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c)
+            for c in ("keys", "snapshots")
+        ],
+        F.min("first_time").alias("first_time"),
+        F.max("last_time").alias("last_time"),
+    ).withColumn("span_minutes", F.floor(span / 60e6))
+
+
 def snapshot_times(df: DataFrame, time: str = "collected_at") -> DataFrame:
     return df.select(time).distinct().orderBy(time)
 

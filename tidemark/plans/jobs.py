@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import reports
 from tidemark.operators.history import ROWS_PER_PART, Timeline, find_cut_points
 from tidemark.operators.quality import (
     Check, QualityError, check_report, failing_counters, gate, null_counters, snapshot_checks, split_rows,
@@ -24,7 +25,7 @@ from tidemark.sources import files, tables
 from tidemark.sources.files import checked_name
 from tidemark.sources.landing import read_payloads
 from tidemark.sources.schemas import (
-    AUDIT, BRONZE, COIN, GOLD, SILVER, SILVER_KEY, STATUS, with_batch,
+    AUDIT, BRONZE, COIN, GOLD, SILVER, SILVER_KEY, STATUS, further_fields, with_more,
 )
 
 MODES = ("fail", "quarantine", "report")
@@ -51,11 +52,6 @@ class Layers:
     def silver(self) -> str:
         return self._at("silver")
 
-    @property
-    def silver_base(self) -> str:
-        """The batches of Silver that compaction has merged."""
-        return self._at("silver_base")
-
     @property
     def quarantine(self) -> str:
         return self._at("quarantine")
@@ -95,46 +91,54 @@ class Layers:
     def staging(self, layer: str, batch_id: str) -> str:
         return self._at(f"staging/{layer}/{checked_name(batch_id)}")
 
+    def base(self, layer: str) -> str:
+        """The runs that batches of a layer have been merged into."""
+        return self._at(f"{layer}_base")
+
+    def rows(self, layer: str) -> str:
+        """Notes of the rows of each batch."""
+        return self._at(f"rows/{layer}")
+
     def read_bronze(self, spark: SparkSession, more: T.StructType | None = None) -> DataFrame:
         """``more`` names fields that a wider ``coin`` schema has added."""
-        return tables.read_batches(spark, self.bronze, _with(BRONZE, more))
+        return self.read_batches(spark, "bronze", with_more(BRONZE, more))
 
     def read_audit(self, spark: SparkSession, more: T.StructType | None = None) -> DataFrame:
-        return tables.read_batches(spark, self.audit, _with(AUDIT, more))
+        return self.read_batches(spark, "audit", with_more(AUDIT, more))
 
-    def read_silver(self, spark: SparkSession) -> DataFrame:
-        return self.read_silver_batches(spark).drop("batch_id")
+    def read_silver(self, spark: SparkSession, more: T.StructType | None = None) -> DataFrame:
+        return self.read_batches(spark, "silver", with_more(SILVER, more)).drop("batch_id")
 
-    def read_silver_batches(
-        self, spark: SparkSession, batch_ids: Iterable[str] | None = None
+    def read_batches(
+        self, spark: SparkSession, layer: str, schema: T.StructType,
+        batch_ids: Iterable[str] | None = None,
     ) -> DataFrame:
-        """Silver with the batch of every row, from the compacted base and the batches since.
+        """A layer with the batch of every row, from its runs and the batches since.
 
         ``batch_ids`` names those wanted, if not all; folders of others are not listed.
         """
-        base = tables.current_version(spark, self.silver_base)
-        held = tables.held_batches(spark, base)
+        path, base = self._at(layer), self.base(layer)
+        found, held = tables.runs(spark, base)
         if batch_ids is None:
-            since, wanted = tables.read_batches(spark, self.silver, SILVER), held
-            merged = held and held & tables.batch_ids(spark, self.silver)
+            since = tables.read_batches(spark, path, schema)
+            merged = [b for b in tables.batch_ids(spark, path) if b in held]
             if merged:
                 since = since.filter(~F.col("batch_id").isin(sorted(merged)))
-        else:
-            wanted = held & set(batch_ids)
-            since = tables.read_some(spark, self.silver, SILVER, set(batch_ids) - held)
-        if not wanted:
+            return since.unionByName(tables.read_runs(spark, base, found, schema)) if found else since
+        wanted = sorted(set(batch_ids))
+        old = [b for b in wanted if b in held]
+        since = tables.read_some(spark, path, schema, [b for b in wanted if b not in held])
+        if not old:
             return since
-        rows = tables.read_layer(spark, base, with_batch(SILVER))
-        if wanted != held:
-            rows = rows.filter(F.col("batch_id").isin(sorted(wanted)))
-        return since.unionByName(rows)
+        rows = tables.read_runs(spark, base, found, schema)
+        return since.unionByName(rows.filter(F.col("batch_id").isin(old)))
 
     def read(self, spark: SparkSession, layer: str) -> DataFrame:
         """Any of bronze, audit, silver and gold."""
         return getattr(self, f"read_{layer}")(spark)
 
-    def read_gold(self, spark: SparkSession) -> DataFrame:
-        return tables.read_current(spark, self.gold, GOLD)
+    def read_gold(self, spark: SparkSession, more: T.StructType | None = None) -> DataFrame:
+        return tables.read_current(spark, self.gold, with_more(GOLD, more))
 
     def read_notes(self, spark: SparkSession, table: str) -> DataFrame:
         """What building Silver has noted: checks, counts or nulls, by batch."""
@@ -149,13 +153,11 @@ NOTES = {
     "checks": "`check` STRING, passed BOOLEAN, failing_rows BIGINT",
     "counts": "rows_before BIGINT, set_apart BIGINT, removed BIGINT, rows_after BIGINT",
     "nulls": "`column` STRING, nulls BIGINT, pct DOUBLE",
+    "summary": "rows BIGINT, keys BINARY, snapshots BINARY, first_time TIMESTAMP, "
+    "last_time TIMESTAMP",
 }
 
 
-def _with(schema: T.StructType, more: T.StructType | None) -> T.StructType:
-    return schema if more is None else T.StructType([*schema.fields, *more.fields])
-
-
 def write_bronze(
     payloads: DataFrame,
     layers: Layers,
@@ -170,24 +172,33 @@ def write_bronze(
     ``status`` may be wider than the declared schemas; their further fields become columns.
     """
     spark = payloads.sparkSession
+    _not_held(spark, layers, "bronze", batch_id)
     staging = layers.staging("bronze", batch_id)
     rows = parsed(payloads, coin, status)
     rows.write.mode("overwrite").parquet(staging)
     rows = spark.read.schema(rows.schema).parquet(staging)
-    tables.write_batch(to_bronze(rows), layers.bronze, batch_id)
-    tables.write_batch(to_audit(rows, endpoint), layers.audit, batch_id)
+    for layer, df in (("bronze", to_bronze(rows)), ("audit", to_audit(rows, endpoint))):
+        written = tables.write_batch(df, getattr(layers, layer), batch_id)
+        tables.note_rows(spark, layers.rows(layer), batch_id, written["rows"])
     files.delete(spark, staging)
     tables.commit(spark, layers.commits("bronze"), batch_id)
 
 
+def _not_held(spark: SparkSession, layers: Layers, layer: str, batch_id: str) -> None:
+    if batch_id in tables.runs(spark, layers.base(layer))[1]:
+        raise ValueError(f"batch {batch_id!r} is part of the compacted {layer}")
+
+
 def import_bronze(spark: SparkSession, paths: list[str], layers: Layers, batch_id: str) -> None:
     """Appends listings kept as CSV so far; a path holds files of one column layout.
 
     Rows that were exported from Bronze keep their origin; others come in file order.
     """
+    _not_held(spark, layers, "bronze", batch_id)
     rows = tables.import_csv(spark, paths, BRONZE)
     rows = rows.withColumn(tables.DATE, date_of("collected_at"))
-    tables.write_batch(rows, layers.bronze, batch_id)
+    written = tables.write_batch(rows, layers.bronze, batch_id)
+    tables.note_rows(spark, layers.rows("bronze"), batch_id, written["rows"])
     tables.commit(spark, layers.commits("bronze"), batch_id)
 
 
@@ -214,47 +225,70 @@ def _same_times(stored: DataFrame, seen: dict) -> DataFrame:
     return stored.filter(kept | day.isNull() if seen["without_time"] else kept)
 
 
+def _stored_silver(
+    spark: SparkSession, layers: Layers, batch_id: str, seen: dict, schema: T.StructType
+) -> DataFrame:
+    """Silver's rows of the stretch of time that the new ones span.
+
+    Batches whose notes say that they lie elsewhere are not listed. The batch's own earlier form
+    does not count, since it is replaced.
+    """
+    notes = tables.row_notes(spark, layers.rows("silver")).filter(F.col("batch_id") != batch_id)
+    near = F.col("first").isNull() | F.col("last").isNull()
+    if seen["first"] is not None:
+        low, high = (F.lit(seen[c].date().isoformat()) for c in ("first", "last"))
+        near = near | ((F.col("first") <= high) & (F.col("last") >= low))
+    if seen["without_time"]:
+        near = F.lit(True)
+    # Names of the batches since compaction that share dates with this one.
+    since = [row[0] for row in notes.filter(near).select("batch_id").collect()]
+    found, held = tables.runs(spark, layers.base("silver"))
+    since = [b for b in since if b not in held]
+    rows = tables.read_some(spark, layers.silver, schema, since)
+    rows = rows.unionByName(tables.read_runs(spark, layers.base("silver"), found, schema))
+    return _same_times(rows.filter(F.col("batch_id") != batch_id), seen)
+
+
 def write_silver(
     bronze: DataFrame, layers: Layers, batch_id: str, mode: str = "fail",
-    max_rank: int | None = None,
+    max_rank: int | None = None, more: T.StructType | None = None,
 ) -> None:
     """Appends the batch's clean rows that Silver does not have, and notes what it did.
 
     ``fail`` commits nothing if a row to be added fails a check, ``quarantine`` sets failing
     rows apart first, ``report`` lets them pass. Ranks have no upper bound unless given.
+    ``more`` names further columns of Bronze that Silver keeps.
     The notes count the batch's rows, not the layer's: those that came, were set apart, removed as
     copies, and added; failing rows by check (of the rows that came in quarantine mode, else
-    of those to be added); and NULLs by column of the added rows. A batch that compaction
-    has merged cannot be written again.
+    of those to be added); and NULLs by column of the added rows; the added rows are counted while
+    they are written. A batch that compaction has merged cannot be written again.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    spark = bronze.sparkSession
+    spark, schema = bronze.sparkSession, with_more(SILVER, more)
     checks = snapshot_checks(max_rank)
     rows = clean(bronze)
     tables.create_batches(spark, layers.silver, SILVER)
-    if batch_id in tables.held_batches(spark, tables.current_version(spark, layers.silver_base)):
-        raise ValueError(f"batch {batch_id!r} is part of the compacted Silver")
-    # The batch's own earlier attempt does not count as stored, since it is replaced.
-    stored = layers.read_silver_batches(spark)
+    _not_held(spark, layers, "silver", batch_id)
     seen = _counted(rows, checks)
-    stored = _same_times(stored.filter(F.col("batch_id") != batch_id), seen)
+    stored = _stored_silver(spark, layers, batch_id, seen, schema)
     if mode == "quarantine":
         rows, failing = split_rows(rows, checks)
         tables.write_batch(failing, layers.quarantine, batch_id)
-    rows = silver_increment(rows, stored)
-    staging = layers.staging("silver", batch_id)
-    tables.write_batch(rows, staging, batch_id, SILVER_KEY)
-    added = tables.read_batches(spark, staging, SILVER)
-    kept = added.agg(
-        F.count(F.lit(1)).alias("n"), *failing_counters(checks), *null_counters(SILVER)
-    ).first().asDict()
+    rows = silver_increment(rows, stored, schema)
+    metrics = [
+        F.min(tables.DATE).alias("first"), F.max(tables.DATE).alias("last"),
+        *failing_counters(checks), *null_counters(SILVER),
+    ]
+    kept = tables.stage_batch(rows, layers.silver, batch_id, SILVER_KEY, metrics)
+    kept["n"] = kept["rows"]
+    added = tables.read_staged(spark, layers.silver, batch_id, SILVER)
     report = _noted_checks(spark, checks, seen if mode == "quarantine" else kept, added)
     if mode == "fail":
         try:
             gate(report)
         except QualityError:
-            files.delete(spark, staging)
+            tables.drop_staged(spark, layers.silver, batch_id)
             raise
     _note(report, layers, "checks", batch_id)
     set_apart = seen["any_failing"] if mode == "quarantine" else 0
@@ -265,9 +299,12 @@ def write_silver(
         for i, name in enumerate(SILVER.names) if kept[f"nulls_{i}"]
     ]
     _note(spark.createDataFrame(nulls, NOTES["nulls"]), layers, "nulls", batch_id)
-    name = f"batch_id={batch_id}"
-    files.move(spark, f"{staging}/{name}", f"{layers.silver}/{name}")
-    files.delete(spark, staging)
+    _note_summary(added, layers, batch_id)
+    tables.put_batch(spark, layers.silver, batch_id)
+    first, last = (kept[c] for c in ("first", "last"))
+    unknown = kept[f"nulls_{SILVER.names.index(tables.DATE)}"] > 0
+    span = (None, None) if unknown else (first, last)
+    tables.note_rows(spark, layers.rows("silver"), batch_id, kept["n"], *span)
     tables.commit(spark, layers.commits("silver"), batch_id)
 
 
@@ -286,30 +323,36 @@ def _note(rows: DataFrame, layers: Layers, table: str, batch_id: str) -> None:
     rows.coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def compact_silver(spark: SparkSession, layers: Layers) -> None:
-    """Merges the complete batches of Silver into its base, one table by date.
+def compact(
+    spark: SparkSession, layers: Layers, layer: str = "silver", more: T.StructType | None = None
+) -> None:
+    """Merges the complete batches of bronze, audit, silver or live_gold into runs, tables by date.
 
     Rows and their batches stay what they are; what shrinks is the number of folders to list.
-    The base is written anew beside the old one, and counts from the moment its pointer is
-    switched. Folders of the batches merged now stay for readers that have begun; those of
-    the batches merged before are deleted. Streams may go on meanwhile.
+    Which runs count is switched at once. Streams may go on meanwhile.
     """
-    before = tables.held_batches(spark, tables.current_version(spark, layers.silver_base))
-    done = tables.committed(spark, layers.commits("silver")) | before
-    if done - before:
-        rows = layers.read_silver_batches(spark, done)
-        tables.replace_layer(rows, layers.silver_base, SILVER_KEY, sorted(done))
-    for batch_id in sorted(before & tables.batch_ids(spark, layers.silver)):
-        files.delete(spark, f"{layers.silver}/batch_id={batch_id}")
+    schema, order, commits = {
+        "bronze": (BRONZE, ("symbol",), "bronze"), "audit": (AUDIT, (), "bronze"),
+        "silver": (SILVER, SILVER_KEY, "silver"), "live_gold": (GOLD, SILVER_KEY, "gold"),
+    }[layer]
+    done = tables.committed(spark, layers.commits(commits))
+    tables.merge_batches(
+        spark, getattr(layers, layer), layers.base(layer), with_more(schema, more), done, order
+    )
+
+
+def compact_silver(spark: SparkSession, layers: Layers) -> None:
+    compact(spark, layers, "silver")
 
 
 def rebuild_gold(
-    spark: SparkSession, layers: Layers, rows_per_part: int = ROWS_PER_PART
-) -> None:
-    """Recomputes Gold from all of Silver and replaces it, whole or not at all."""
-    silver = layers.read_silver(spark)
+    spark: SparkSession, layers: Layers, rows_per_part: int = ROWS_PER_PART,
+    more: T.StructType | None = None,
+) -> int:
+    """Recomputes Gold from all of Silver and replaces it, whole or not at all; returns its rows."""
+    silver = layers.read_silver(spark, more)
     cuts = find_cut_points(silver, Timeline(), rows_per_part)
-    tables.replace_layer(to_gold(silver, cuts=cuts), layers.gold, order=SILVER_KEY)
+    return tables.replace_layer(to_gold(silver, cuts=cuts), layers.gold, order=SILVER_KEY)
 
 
 def run_cycle(
@@ -329,30 +372,42 @@ def run_cycle(
     Returns (layer, new_rows, total_rows, snapshots). Any failure propagates; layers
     that were written before it stay, and running the same batch again completes it.
     """
+    more = further_fields(coin)
     payloads = read_payloads(spark, landing, multi_line)
     write_bronze(payloads, layers, batch_id, endpoint, coin, status)
-    bronze = tables.read_some(spark, layers.bronze, BRONZE, [batch_id])
-    write_silver(bronze, layers, batch_id, mode, max_rank)
-    rebuild_gold(spark, layers)
+    bronze = layers.read_batches(spark, "bronze", with_more(BRONZE, more), [batch_id])
+    write_silver(bronze, layers, batch_id, mode, max_rank, more)
+    rebuild_gold(spark, layers, more=more)
     return cycle_summary(spark, layers, batch_id)
 
 
 def cycle_summary(spark: SparkSession, layers: Layers, batch_id: str) -> DataFrame:
-    """Row counts come from file footers, snapshots from the audit table of one row per
-    payload. Gold is rebuilt whole, so all its rows are new."""
-    stored = {
-        "bronze": layers.read_bronze(spark),
-        "silver": layers.read_silver_batches(spark),
-        "gold": layers.read_gold(spark).withColumn("batch_id", F.lit(batch_id)),
-    }
-    result = None
-    for layer, df in stored.items():
-        row = df.agg(
-            F.lit(layer).alias("layer"),
-            F.count_if(F.col("batch_id") == batch_id).alias("new_rows"),
-            F.count("*").alias("total_rows"),
-        )
-        result = row if result is None else result.unionByName(row)
+    """Row counts as noted while the batches were written and Gold was rebuilt, snapshots from the
+    audit table of one row per payload. Gold is rebuilt whole, so all its rows are new."""
+    counted = []
+    for layer in ("bronze", "silver"):
+        notes = tables.row_notes(spark, layers.rows(layer))
+        new = F.sum(F.when(F.col("batch_id") == batch_id, F.col("rows")))
+        row = notes.agg(new.alias("new"), F.sum("rows").alias("total")).first()
+        counted.append((layer, row["new"] or 0, row["total"] or 0))
+    rows = tables.current_rows(spark, layers.gold)
+    counted.append(("gold", rows, rows))
     times = layers.read_audit(spark).filter("coins_returned > 0").select("collected_at")
     snapshots = times.agg(F.count_distinct("collected_at")).scalar()
+    result = spark.createDataFrame(counted, "layer STRING, new_rows BIGINT, total_rows BIGINT")
     return result.withColumn("snapshots", snapshots)
+
+
+def _note_summary(added: DataFrame, layers: Layers, batch_id: str) -> None:
+    """A summary of the batch that can be merged with those of others."""
+    _note(reports.summary(added), layers, "summary", batch_id)
+
+
+def overview(spark: SparkSession, layers: Layers) -> DataFrame:
+    """The overview of Silver from its batches' summaries, without a scan of its rows."""
+    done = spark.createDataFrame(
+        [(b,) for b in sorted(tables.committed(spark, layers.commits("silver")))], "batch_id STRING"
+    )
+    files.make_folder(spark, layers.notes("summary"))
+    notes = layers.read_notes(spark, "summary").join(F.broadcast(done), "batch_id", "left_semi")
+    return reports.merged_overview(notes)

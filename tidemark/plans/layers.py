@@ -16,6 +16,7 @@ from tidemark.operators.history import (
     CutPoints, Timeline, carried_forward, first_value, key_aggregate, over_history,
 )
 from tidemark.operators.nested import array_length, explode_records, flatten_structs
+from tidemark.sources.landing import RAW
 from tidemark.sources.schemas import (
     AUDIT, BRONZE, COIN, ORIGIN, SILVER, SILVER_KEY, STATUS, TIME_COLUMNS,
 )
@@ -102,6 +103,8 @@ def to_audit(payloads: DataFrame, endpoint: str, status: T.StructType = STATUS)
     typed = parsed(payloads, status=status)
     if "raw_status" not in typed.columns:
         typed = typed.withColumn("raw_status", F.lit(None).cast("string"))
+    if RAW not in typed.columns:
+        typed = typed.withColumn(RAW, F.lit(None).cast("string"))
     rows = typed.select(
         "status.*",
         "raw_status",
@@ -110,6 +113,7 @@ def to_audit(payloads: DataFrame, endpoint: str, status: T.StructType = STATUS)
         array_length("data").alias("coins_returned"),
         "source_file",
         "malformed",
+        RAW,
         date_of("collected_at").alias("snapshot_date"),
     )
     flat = flatten_structs(rows)
@@ -142,14 +146,16 @@ def clean(bronze: DataFrame) -> DataFrame:
 ARRIVAL = ORIGIN.names
 
 
-def to_silver(bronze: DataFrame) -> DataFrame:
+def to_silver(bronze: DataFrame, schema: T.StructType = SILVER) -> DataFrame:
     """Clean rows, the first arrival of each (symbol, collected_at)."""
-    return conform(keep_first(clean(bronze), SILVER_KEY, ARRIVAL), SILVER)
+    return conform(keep_first(clean(bronze), SILVER_KEY, ARRIVAL), schema)
 
 
-def silver_increment(cleaned: DataFrame, stored: DataFrame) -> DataFrame:
+def silver_increment(
+    cleaned: DataFrame, stored: DataFrame, schema: T.StructType = SILVER
+) -> DataFrame:
     """First arrivals among clean rows whose key ``stored`` does not hold."""
-    return conform(keep_first_new(cleaned, stored, SILVER_KEY, ARRIVAL), SILVER)
+    return conform(keep_first_new(cleaned, stored, SILVER_KEY, ARRIVAL), schema)
 
 
 def add_features(

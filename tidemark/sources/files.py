@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -42,27 +44,57 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Renames a file or folder in place of ``target``, which goes first."""
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file or folder to a name that is not taken yet."""
     fs, at = _open(spark, target)
-    if fs.exists(at):
-        fs.delete(at, True)
     fs.mkdirs(at.getParent())
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(source), at):
+    if fs.exists(at) or not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(source), at):
         raise OSError(f"cannot rename {source} to {target}")
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, complete as soon as it can be seen under its name."""
+    """A small file, complete as soon as it can be seen under its name.
+
+    A file of that name goes first, so whoever needs one at all times writes numbered names
+    (``write_newest``).
+    """
     folder, name = path.rsplit("/", 1)
-    hidden = f"{folder}/.{name}.tmp"
+    hidden = f"{folder}/.{name}.{uuid4().hex[:8]}.tmp"
     fs, at = _open(spark, hidden)
     stream = fs.create(at, True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    move(spark, hidden, path)
+    if exists(spark, path):
+        delete(spark, path)
+    rename(spark, hidden, path)
+
+
+def _numbered(spark: SparkSession, path: str) -> list[str]:
+    folder, name = path.rsplit("/", 1)
+    return [n for n in names(spark, folder) if re.fullmatch(re.escape(name) + r"-\d{20}", n)]
+
+
+def write_newest(spark: SparkSession, path: str, text: str, keep: int = 2) -> list[str]:
+    """A new form of a small text; the newest one counts from the moment it can be seen.
+
+    No name is ever written twice, so at no moment is there none. Forms older than the ``keep``
+    newest go; the texts of those that stay are returned, the newest last.
+    """
+    folder = path.rsplit("/", 1)[0]
+    before = _numbered(spark, path)
+    number = max(time.time_ns(), int(before[-1][-20:]) + 1 if before else 0)
+    write_text(spark, f"{path}-{number:020d}", text)
+    stay = _numbered(spark, path)
+    for name in stay[:-keep]:
+        delete(spark, f"{folder}/{name}")
+    return [read_text(spark, f"{folder}/{n}") or "" for n in stay[-keep:]]
+
+
+def read_newest(spark: SparkSession, path: str) -> str | None:
+    found = _numbered(spark, path)
+    return read_text(spark, f"{path.rsplit('/', 1)[0]}/{found[-1]}") if found else None
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

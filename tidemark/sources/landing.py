@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 PLACE = "payload_place"
 _CORRUPT = "_corrupt_record"
+# The text of a payload that the reader could not parse.
+RAW = "raw_payload"
 
 
 def payload_schema(
@@ -53,6 +55,7 @@ def _payloads(raw: DataFrame) -> DataFrame:
         F.coalesce("collected_at", arrived).alias("collected_at"),
         *[c.alias(name) for name, c in origin.items()],
         F.col(_CORRUPT).isNotNull().alias("malformed"),
+        F.col(_CORRUPT).alias(RAW),
     )
 
 

@@ -50,7 +50,8 @@ ORIGIN = _struct(
     listing_position=_INT,
 )
 
-# ``raw_json`` and ``raw_status`` hold all fields as they came, also those not declared here.
+# ``raw_json`` and ``raw_status`` hold all fields as they came, also those not declared here, and
+# ``raw_payload`` a payload that could not be parsed.
 BRONZE = T.StructType([
     *_struct(**_listing(_TEXT), raw_json=_TEXT).fields, *ORIGIN.fields,
     T.StructField("snapshot_date", _DATE),
@@ -59,7 +60,7 @@ BRONZE = T.StructType([
 AUDIT = _struct(
     credit_count=_INT, total_count=_LONG, elapsed=_INT,
     raw_status=_TEXT, collected_at=_TEXT, endpoint=_TEXT, coins_returned=_INT,
-    source_file=_TEXT, malformed=_FLAG, snapshot_date=_DATE,
+    source_file=_TEXT, malformed=_FLAG, raw_payload=_TEXT, snapshot_date=_DATE,
 )
 
 SILVER = _struct(
@@ -85,6 +86,25 @@ GOLD = T.StructType(
 SILVER_KEY = ["symbol", "collected_at"]
 
 
+def with_more(schema: T.StructType, more: T.StructType | None) -> T.StructType:
+    """The schema with further columns."""
+    return schema if more is None else T.StructType([*schema.fields, *more.fields])
+
+
+def further_fields(coin: T.StructType) -> T.StructType:
+    """The columns that a wider ``coin`` schema adds to the layers, flat."""
+    def flat(fields: T.StructType, prefix: str) -> list[T.StructField]:
+        out = []
+        for f in fields.fields:
+            if isinstance(f.dataType, T.StructType):
+                out += flat(f.dataType, f"{prefix}{f.name}_")
+            else:
+                out.append(T.StructField(f"{prefix}{f.name}", f.dataType))
+        return out
+
+    return T.StructType([f for f in flat(coin, "") if f.name not in BRONZE.names])
+
+
 def with_batch(schema: T.StructType) -> T.StructType:
     """The schema as stored: each batch has its own directory, with one per date below.
 

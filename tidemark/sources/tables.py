@@ -1,23 +1,29 @@
 """Stored layers as Parquet, and CSV exchange by column name.
 
-Append-only layers hold one directory per batch, partitioned by date below it. Writing
-a batch replaces only its own directory, so a batch that is run again, after a lost
-driver for example, leaves the same rows as one that ran once. A batch that is complete has a
-record in a folder of commits, by which streams hand it on, once.
-
-A layer that is rebuilt whole gets a new version next to the old one; a small file says which
-one counts. Readers thus see the old rows or the new ones, never a part.
+Append-only layers hold one directory per batch, partitioned by date below it. A batch is
+written aside and renamed; one that is run again gets a directory of its own beside the old one,
+and counts in its place once it is marked as done. A batch that is complete has a record in a
+folder of commits, by which streams hand it on, once. Batches can be merged into runs, tables
+by date over many batches.
+
+What is replaced whole gets a new version next to the old one. Which one counts, or which runs
+do, is in small files of rising number, of which the newest complete one is read. No name is
+written twice and nothing is deleted before what replaces it can be seen, so readers see the old
+rows or the new ones wherever a driver is lost.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,19 +82,44 @@ def read_layer(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+_STAGED, _DONE, _AGAIN = "_staged", "_done", "~"
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[dict[str, str], list[str]]:
+    """The newest complete folder of each batch, and the folders that do not count."""
+    present = [n.split("=", 1)[1] for n in files.names(spark, path) if n.startswith("batch_id=")]
+    done, newest = set(files.names(spark, f"{path}/{_DONE}")), {}
+    for name in sorted(n for n in present if n in done):
+        newest[name.split(_AGAIN)[0]] = name
+    return newest, sorted(set(present) - set(newest.values()))
+
+
+def _plain_id(rows: DataFrame, found: Iterable[str]) -> DataFrame:
+    if not any(_AGAIN in name for name in found):
+        return rows
+    plain = F.regexp_replace("batch_id", f"{_AGAIN}.*", "")
+    return rows.withColumn("batch_id", plain)
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return read_layer(spark, path, with_batch(schema))
+    rows = read_layer(spark, path, with_batch(schema))
+    newest, others = _folders(spark, path)
+    if others:
+        rows = rows.filter(~F.col("batch_id").isin(others))
+    return _plain_id(rows, newest.values())
 
 
 def read_some(
-    spark: SparkSession, path: str, schema: T.StructType, batch_ids: Sequence[str]
+    spark: SparkSession, path: str, schema: T.StructType, batch_ids: Iterable[str]
 ) -> DataFrame:
     """The rows of these batches; no other directory is listed."""
-    found = [f"{path}/batch_id={files.checked_name(b)}" for b in sorted(set(batch_ids))]
-    found = [f for f in found if files.exists(spark, f)]
+    wanted = sorted({files.checked_name(b) for b in batch_ids})
+    newest = _folders(spark, path)[0] if wanted else {}
+    found = [newest[b] for b in wanted if b in newest]
     if not found:
         return spark.createDataFrame([], with_batch(schema))
-    return spark.read.schema(with_batch(schema)).option("basePath", path).parquet(*found)
+    reader = spark.read.schema(with_batch(schema)).option("basePath", path)
+    return _plain_id(reader.parquet(*[f"{path}/batch_id={f}" for f in found]), found)
 
 
 def commit(spark: SparkSession, folder: str, batch_id: str, took: Sequence[str] = ()) -> None:
@@ -121,7 +152,7 @@ def stream_commits(spark: SparkSession, folder: str, per_trigger: int | None) ->
 
 
 def _by_date(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    # Without this every task would write a file for every date it holds. AQE sizes the
+    # Without rebalancing every task would write a file for every date it holds. AQE sizes the
     # write tasks: it merges small dates and splits a date that is too big for one.
     rows = df.hint("rebalance", DATE)
     # Writing by date sorts by date anyway; the rest of the order lets a filter on the key
@@ -133,51 +164,210 @@ def append(df: DataFrame, path: str, partitions: Sequence[str] = (DATE,)) -> Non
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: str, order: Sequence[str] = ()) -> None:
-    """Writes or replaces one batch of an append-only layer, its files sorted by ``order``."""
-    target = f"{path}/batch_id={files.checked_name(batch_id)}"
-    _by_date(df, order).write.mode("overwrite").partitionBy(DATE).parquet(target)
+def write_batch(
+    df: DataFrame, path: str, batch_id: str, order: Sequence[str] = (),
+    metrics: Sequence[Column] = (),
+) -> dict:
+    """Writes or replaces one batch of an append-only layer, its files sorted by ``order``.
 
+    Returns its ``rows`` and other aggregates, which are counted while it is written.
+    """
+    counted = stage_batch(df, path, batch_id, order, metrics)
+    put_batch(df.sparkSession, path, batch_id)
+    return counted
 
-_CURRENT, _HOLDS = "_current", "_batches.json"
 
+def stage_batch(
+    df: DataFrame, path: str, batch_id: str, order: Sequence[str] = (),
+    metrics: Sequence[Column] = (),
+) -> dict:
+    """Writes a batch aside, where readers do not see it yet."""
+    target = f"{path}/{_STAGED}/batch_id={files.checked_name(batch_id)}"
+    return _written(df, target, order, metrics)
 
-def replace_layer(
-    df: DataFrame, path: str, order: Sequence[str] = (), holds: Sequence[str] = ()
-) -> None:
-    """Replaces a whole layer by a new version; ``df`` may read the old one.
+
+def _written(df: DataFrame, target: str, order: Sequence[str], metrics: Sequence[Column]) -> dict:
+    # Counted in the tasks that write, of which each counts once.
+    seen = Observation()
+    rows = df.hint("rebalance", DATE).observe(seen, F.count(F.lit(1)).alias("rows"), *metrics)
+    rows = rows.sortWithinPartitions(DATE, *order) if order else rows
+    rows.write.mode("overwrite").partitionBy(DATE).parquet(target)
+    return seen.get
+
+
+def read_staged(spark: SparkSession, path: str, batch_id: str, schema: T.StructType) -> DataFrame:
+    return read_layer(spark, f"{path}/{_STAGED}/batch_id={batch_id}", schema)
+
+
+def drop_staged(spark: SparkSession, path: str, batch_id: str) -> None:
+    files.delete(spark, f"{path}/{_STAGED}/batch_id={batch_id}")
+
+
+def put_batch(spark: SparkSession, path: str, batch_id: str) -> None:
+    """Lets a batch that was written aside count, in place of its older form if it has one."""
+    staged = f"{path}/{_STAGED}/batch_id={batch_id}"
+    present = {n.split("=", 1)[1] for n in files.names(spark, path) if n.startswith("batch_id=")}
+    older = sorted(n for n in present if n.split(_AGAIN)[0] == batch_id)
+    name = f"{batch_id}{_AGAIN}{time.time_ns():020d}" if older else batch_id
+    files.rename(spark, staged, f"{path}/batch_id={name}")
+    files.write_text(spark, f"{path}/{_DONE}/{name}", "")
+    for other in older:
+        files.delete(spark, f"{path}/{_DONE}/{other}")
+        files.delete(spark, f"{path}/batch_id={other}")
+
+
+def drop_batch(spark: SparkSession, path: str, batch_id: str) -> None:
+    for name in files.names(spark, path):
+        if name.startswith("batch_id=") and name[9:].split(_AGAIN)[0] == batch_id:
+            files.delete(spark, f"{path}/{_DONE}/{name[9:]}")
+            files.delete(spark, f"{path}/{name}")
+
+
+_CURRENT, _LABEL = "_current", re.compile(r"stream-(\d{12})")
+
+
+def replace_layer(df: DataFrame, path: str, order: Sequence[str] = ()) -> int:
+    """Replaces a whole layer by a new version and returns its rows; ``df`` may read the old one.
 
     The version before it stays for readers that have begun; older ones are deleted.
-    ``holds`` names the batches that the version is made of.
     """
     spark = df.sparkSession
     version = f"v-{time.time_ns():020d}-{uuid4().hex[:8]}"
-    _by_date(df, order).write.partitionBy(DATE).parquet(f"{path}/{version}")
-    if holds:
-        files.write_text(spark, f"{path}/{version}/{_HOLDS}", json.dumps(sorted(holds)))
-    before = files.read_text(spark, f"{path}/{_CURRENT}")
-    files.write_text(spark, f"{path}/{_CURRENT}", version)
+    rows = _written(df, f"{path}/{version}", order, ())["rows"]
+    note = json.dumps({"version": version, "rows": rows})
+    stay = {json.loads(t)["version"] for t in files.write_newest(spark, f"{path}/{_CURRENT}", note)}
     for name in files.names(spark, path):
-        if name.startswith("v-") and name not in (version, before):
+        # A later version may be in the making.
+        if name.startswith("v-") and name not in stay and name < version:
             files.delete(spark, f"{path}/{name}")
+    return rows
+
+
+def _current(spark: SparkSession, path: str) -> dict:
+    text = files.read_newest(spark, f"{path}/{_CURRENT}")
+    return json.loads(text) if text else {}
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
     """Folder of the version that counts, or None if the layer was never written."""
-    version = files.read_text(spark, f"{path}/{_CURRENT}")
-    return None if version is None else f"{path}/{version}"
+    now = _current(spark, path)
+    return f"{path}/{now['version']}" if now else None
+
 
+def current_rows(spark: SparkSession, path: str) -> int:
+    return _current(spark, path).get("rows", 0)
 
-def held_batches(spark: SparkSession, version: str | None) -> set[str]:
-    """The batches that a version of a layer is made of; one short name each."""
-    text = None if version is None else files.read_text(spark, f"{version}/{_HOLDS}")
-    return set(json.loads(text)) if text else set()
+
+@dataclass(frozen=True)
+class Held:
+    """Batches that are merged: all of a stream up to a number, and others by name."""
+
+    upto: int = -1
+    names: frozenset[str] = frozenset()
+
+    def __contains__(self, batch_id: str) -> bool:
+        found = _LABEL.fullmatch(batch_id)
+        return batch_id in self.names or bool(found and int(found[1]) <= self.upto)
+
+    def __bool__(self) -> bool:
+        return self.upto >= 0 or bool(self.names)
+
+    def plus(self, batch_ids: Iterable[str]) -> Held:
+        """With more batches; numbers that follow on raise the mark instead of adding names."""
+        names = set(self.names) | {b for b in batch_ids if b not in self}
+        upto = self.upto
+        while f"stream-{upto + 1:012d}" in names:
+            upto += 1
+            names.discard(f"stream-{upto:012d}")
+        return Held(upto, frozenset(names))
+
+
+@dataclass(frozen=True)
+class Run:
+    """A table by date that is made of many batches."""
+
+    folder: str
+    rows: int
+
+
+def runs(spark: SparkSession, path: str) -> tuple[list[Run], Held]:
+    """The runs of a layer, oldest and largest first, and the batches they are made of."""
+    now = _current(spark, path)
+    held = Held(now.get("upto", -1), frozenset(now.get("names", ())))
+    return [Run(r["folder"], r["rows"]) for r in now.get("runs", ())], held
+
+
+def read_runs(spark: SparkSession, path: str, found: Sequence[Run], schema: T.StructType) -> DataFrame:
+    tables = [read_layer(spark, f"{path}/{r.folder}", with_batch(schema)) for r in found]
+    return reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame(
+        [], with_batch(schema))
+
+
+# A run is written again with a new one only if that is at least this part of its size.
+_GROWTH = 4
+
+
+def merge_batches(
+    spark: SparkSession, path: str, base: str, schema: T.StructType, done: Iterable[str],
+    order: Sequence[str] = (),
+) -> None:
+    """Merges batches that are complete into runs below ``base``.
+
+    New batches become a run, together with the runs before it that are not much larger, so a
+    row is written again a few times in all, not at every merge. Rows keep their batches. The
+    folders of batches merged now stay for readers that have begun; those of batches merged
+    before are deleted.
+    """
+    now, held = runs(spark, base)
+    fresh = sorted({b for b in done if b not in held} & batch_ids(spark, path))
+    if fresh:
+        rows = read_some(spark, path, schema, fresh)
+        size, merged, kept = rows.count(), [], list(now)
+        while kept and kept[-1].rows <= _GROWTH * size:
+            merged.append(kept.pop())
+            size += merged[-1].rows
+        both = rows.unionByName(read_runs(spark, base, merged, schema))
+        folder = f"r-{time.time_ns():020d}-{uuid4().hex[:8]}"
+        _written(both, f"{base}/{folder}", order, ())
+        every, after = [*kept, Run(folder, size)], held.plus(fresh)
+        note = {
+            "runs": [{"folder": r.folder, "rows": r.rows} for r in every],
+            "upto": after.upto, "names": sorted(after.names),
+        }
+        texts = files.write_newest(spark, f"{base}/{_CURRENT}", json.dumps(note))
+        stay = {r["folder"] for text in texts for r in json.loads(text)["runs"]}
+        for name in files.names(spark, base):
+            if name.startswith("r-") and name not in stay and name < folder:
+                files.delete(spark, f"{base}/{name}")
+    for batch_id in sorted(b for b in batch_ids(spark, path) if b in held):
+        drop_batch(spark, path, batch_id)
 
 
 def batch_ids(spark: SparkSession, path: str) -> set[str]:
     """Batches that have a folder of their own, from one listing."""
-    found = [n.split("=", 1) for n in files.names(spark, path)]
-    return {n[1] for n in found if n[0] == "batch_id" and len(n) == 2}
+    return set(_folders(spark, path)[0])
+
+
+_COUNTED = "batch_id STRING, rows BIGINT, first STRING, last STRING, number BIGINT"
+
+
+def note_rows(
+    spark: SparkSession, folder: str, batch_id: str, rows: int, first: date | None = None,
+    last: date | None = None,
+) -> None:
+    """Notes how many rows a batch has, and the dates they span."""
+    span = {k: v and v.isoformat() for k, v in {"first": first, "last": last}.items()}
+    note = {"batch_id": batch_id, "rows": rows, **span, "number": time.time_ns()}
+    files.write_newest(spark, f"{folder}/{files.checked_name(batch_id)}", json.dumps(note) + "\n")
+
+
+def row_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest note of every batch."""
+    files.make_folder(spark, folder)
+    newest = F.max_by(F.struct("rows", "first", "last"), "number").alias("n")
+    return spark.read.schema(_COUNTED).json(folder).groupBy("batch_id").agg(newest).select(
+        "batch_id", "n.*"
+    )
 
 
 def committed(spark: SparkSession, folder: str) -> set[str]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def advance_silver(
     """One micro-batch of Silver; nothing if it is complete already."""
     if tables.is_committed(spark, layers.commits("silver"), _label(batch)):
         return
-    bronze = tables.read_some(spark, layers.bronze, BRONZE, taken)
+    bronze = layers.read_batches(spark, "bronze", BRONZE, taken)
     write_silver(bronze, layers, _label(batch), mode, max_rank)
 
 
@@ -118,7 +119,7 @@ def gold_stream(
 
     def write(commits: DataFrame, batch: int) -> None:
         taken = _taken(commits)
-        silver = layers.read_silver_batches(spark, taken).drop("batch_id")
+        silver = layers.read_batches(spark, "silver", SILVER, taken).drop("batch_id")
         advance_gold(silver, layers, batch, timeline, rows_per_part, taken)
 
     commits = tables.stream_commits(spark, layers.commits("silver"), batches_per_trigger)
@@ -193,7 +194,9 @@ def advance_gold(
             gold = gold.unionByName(again.select(*GOLD.names))
             earlier = again.filter(~F.col(_LATE)).select(*order)
             earlier.write.mode("overwrite").parquet(f"{layers.folded}/batch_id={_label(batch)}")
-        tables.write_batch(gold, layers.live_gold, _label(batch), order)
+        span = [F.min(tables.DATE).alias("first"), F.max(tables.DATE).alias("last")]
+        written = tables.write_batch(gold, layers.live_gold, _label(batch), order, span)
+        tables.note_rows(spark, layers.rows("live_gold"), _label(batch), **written)
         state = _newest(marked.drop(_CARRIED, _LATE), timeline).select(*SILVER.names, bucket)
         state.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(
             f"{layers.live_state}/batch_id={_label(batch)}"
@@ -252,7 +255,7 @@ def _changed_by_late(
     keys = late.groupBy(timeline.key).agg(F.min(timeline.time).alias(_FIRST))
     # One row per key of this batch that has late rows.
     stored = (
-        layers.read_silver_batches(spark)
+        layers.read_batches(spark, "silver", SILVER)
         .join(F.broadcast(done), "batch_id", "left_semi")
         .join(keys, timeline.key)
     )
@@ -298,7 +301,7 @@ def read_live_gold(
     """Live Gold as of its complete batches; of a row that late ones changed, its newest form."""
     tables.create_batches(spark, layers.live_gold, GOLD)
     complete = F.broadcast(tables.read_commits(spark, layers.commits("gold")).select("batch_id"))
-    rows = tables.read_batches(spark, layers.live_gold, GOLD).join(complete, "batch_id", "left_semi")
+    rows = layers.read_batches(spark, "live_gold", GOLD).join(complete, "batch_id", "left_semi")
     if not files.names(spark, layers.folded):
         return rows.select(*GOLD.names)
     at = [timeline.key, *timeline.order]
@@ -314,6 +317,15 @@ def read_late(spark: SparkSession, layers: Layers) -> DataFrame:
     return tables.read_batches(spark, layers.late, SILVER).drop("batch_id")
 
 
+def latest_date(spark: SparkSession, layers: Layers) -> date | None:
+    """The last date of ``latest_gold``, from the notes of its batches or the names of folders."""
+    if files.names(spark, layers.commits("gold")):
+        last = tables.row_notes(spark, layers.rows("live_gold")).agg(F.max("last")).first()[0]
+        return date.fromisoformat(last) if last else None
+    version = tables.current_version(spark, layers.gold)
+    return None if version is None else tables.last_date(spark, version)
+
+
 def latest_gold(spark: SparkSession, layers: Layers) -> DataFrame:
     """Live Gold where the streams have written some, else the Gold that was rebuilt."""
     if files.names(spark, layers.commits("gold")):
