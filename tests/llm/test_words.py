@@ -101,3 +101,19 @@ def test_a_full_memory_starts_anew(encoder, monkeypatch):
     monkeypatch.setattr("tidemark.llm.encoding.KEPT_WORDS", 3)
     for text in ("alpha beta gamma delta epsilon", "zeta eta alpha"):
         assert encoder.encode(column([text]))[0].tolist() == encoder.ids(text)
+
+
+def test_words_that_collide_in_a_polynomial_have_different_hashes():
+    """A Thue-Morse word and its complement, at lengths where a polynomial cannot tell them apart."""
+    import pyarrow as pa
+
+    from tidemark.llm.words import words
+
+    for bits in (10, 11, 12):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+        other = word.translate(str.maketrans("ab", "ba"))
+        column = pa.array([f"{word} {other} {word.upper()}".encode()], pa.large_binary())
+        one, two, three = words(column)[1].tolist()
+        assert len({one, two, three}) == 3
+        lower = words(column, lower=True)[1].tolist()
+        assert lower[0] == lower[2] != lower[1]

@@ -1,12 +1,20 @@
-"""Words of many texts at once, as 64-bit hashes in numpy arrays."""
+"""Words of many texts at once, as 64-bit hashes in numpy arrays.
+
+Words of up to ``LONG`` bytes are hashed by a polynomial over a table of letters. Longer ones can
+be made to collide in that, whatever its base (Thue-Morse words of 1,024 letters and more), so
+they are hashed by BLAKE2b.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 from tidemark.llm.rows import layout
 
+LONG = 200
 _CHUNK = 1 << 20
 _PRIME = 0x9E3779B97F4A7C55
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +87,12 @@ def hashes(
         np.cumsum(letters[values[base : base + size]] * up[:size], out=total[1:])
         out[i:j] = (total[end[i:j] - base] - total[begin[i:j] - base]) * down[begin[i:j] - base]
         i = j
-    return mix(out + (end - begin).astype(np.uint64) * _GOLD)
+    out = mix(out + (end - begin).astype(np.uint64) * _GOLD)
+    for i in np.flatnonzero(end - begin > LONG):
+        word = values[begin[i] : end[i]]
+        word = (LOWER[word] if lower else word).tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out
 
 
 def words(
