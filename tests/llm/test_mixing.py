@@ -133,3 +133,25 @@ def test_odd_rows(odd_docs, no_docs):
     assert taken_words(mixed_blocks(no_docs)).count() == 0
     mixed = mixed_documents(odd_docs, mixed_blocks(odd_docs), ["doc_id", "text"])
     assert mixed.agg(F.max(F.length("text"))).first()[0] > 0
+
+
+def test_one_document_in_four_sources_is_four_documents(spark):
+    from tidemark.llm.mixing import mixed_blocks, mixed_documents, taken_words
+
+    rows = [(7, "one two three", "en", s) for s in ("s0", "s1", "s2", None)]
+    rows += [(8, "four five", "en", "s0"), (7, "one two three", "de", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    blocks = mixed_blocks(docs)
+    taken = taken_words(blocks).collect()
+    assert len(taken) == len(rows)
+    assert all(r["taken"] <= 2 * r["size"] for r in taken)
+    drawn = {(r["doc_id"], r["source"]): 0 for r in taken}
+    for r in taken:
+        drawn[r["doc_id"], r["source"]] += r["taken"]
+    mixed = mixed_documents(docs, blocks, ["doc_id", "text", "lang", "source"]).collect()
+    words = {}
+    for r in mixed:
+        words[r["doc_id"], r["source"]] = words.get((r["doc_id"], r["source"]), 0) + len(
+            r["text"].split())
+        assert r["source"] != "s1" or r["lang"] == "de"  # the least of equal rows
+    assert words == {k: n for k, n in drawn.items() if n}

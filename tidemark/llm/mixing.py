@@ -143,10 +143,10 @@ def mixed_blocks(
 ) -> DataFrame:
     """A row per block of every document, with its draws.
 
-    Columns: doc_id, key_a, key_b and copy (together one per row of ``docs``), size,
+    Columns: doc_id, source, key_a, key_b and copy (together one per row of ``docs``), size,
     source_size, target, block, first_word, words, and draws: an array of (pass, shard,
-    place, words), empty for a block that the mix leaves out. Rows that repeat in id and text
-    are numbered by ``copy``. Null and empty texts have one block of no words and no draws; a
+    place, words), empty for a block that the mix leaves out. Rows that repeat in id, text and
+    source are numbered by ``copy``. Null and empty texts have one block of no words and no draws; a
     null source is a source of its own, the last. Words are runs without ASCII white space.
     Reruns give the same draws. Columns other than doc_id, text and source are not read.
     """
@@ -238,7 +238,7 @@ def mixed_blocks(
         F.col("drawn") > 0, F.transform(F.sequence(none, F.col("drawn") - 1), draw)
     ).otherwise(F.array().cast("array<struct<pass:bigint,shard:int,place:bigint,words:bigint>>"))
     return ranked.join(ends, "number").select(
-        "doc_id", "key_a", "key_b", "copy", "size", "source_size", "target", "block",
+        "doc_id", "source", "key_a", "key_b", "copy", "size", "source_size", "target", "block",
         "first_word", "words", draws.alias("draws"),
     )
 
@@ -247,7 +247,9 @@ def taken_words(blocks: DataFrame) -> DataFrame:
     """A row per document: the words that the mix takes of it, repeats counted, and where."""
     words = F.aggregate("draws", F.lit(0).cast("long"), lambda sum_, d: sum_ + d["words"])
     return (
-        blocks.groupBy("doc_id", "key_a", "key_b", "copy", "size", "source_size", "target")
+        blocks.groupBy(
+            "doc_id", "source", "key_a", "key_b", "copy", "size", "source_size", "target"
+        )
         .agg(
             F.sum(words).alias("taken"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("draws.shard")))).alias("shards"),
@@ -260,16 +262,31 @@ def mixed_documents(docs: DataFrame, blocks: DataFrame, columns: Sequence[str])
     """The mix as documents: a row per draw, with ``columns``, shard and place.
 
     A draw of a whole document has its text; of a part, the text from its first to its last
-    word. Column n_chars, if among ``columns``, counts the code points of that text.
+    word. Column n_chars, if among ``columns``, counts the code points of that text. A draw has
+    the row of its own source; of rows that repeat in id, text and source, the least by the
+    other columns, so reruns agree.
     """
     others = [c for c in columns if c not in ("text", "n_chars")]
     draws = blocks.select(
-        "key_a", "key_b", "size", "first_word", F.explode("draws").alias("draw")
-    ).select("key_a", "key_b", "size", "first_word", "draw.shard", "draw.place", "draw.words")
-    read = list(dict.fromkeys([*others, "doc_id", "text"]))
-    pair = docs.select(*read, *identity("doc_id", "text")).dropDuplicates(["key_a", "key_b"])
-    joined = draws.join(pair, ["key_a", "key_b"]).select(
-        *others, "text", "size", "first_word", "words", "shard", "place"
+        "key_a", "key_b", F.col("source").alias("_source"), "size", "first_word",
+        F.explode("draws").alias("draw"),
+    ).select(
+        "key_a", "key_b", "_source", "size", "first_word", "draw.shard", "draw.place", "draw.words"
+    )
+    pair = (
+        docs.select(*identity("doc_id", "text"), F.col("source").alias("_of"), "text",
+                    F.struct(*others).alias("_others"))
+        .groupBy("key_a", "key_b", "_of")
+        .agg(F.min("_others").alias("_others"), F.first("text").alias("text"))
+        .withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b"})
+    )
+    same = (
+        (F.col("key_a") == F.col("_key_a")) & (F.col("key_b") == F.col("_key_b"))
+        & F.col("_source").eqNullSafe(F.col("_of"))
+    )
+    joined = draws.join(pair, same).select(
+        *[F.col("_others")[c].alias(c) for c in others],
+        "text", "size", "first_word", "words", "shard", "place",
     )
     fields = {f.name: f.dataType.simpleString() for f in joined.schema}
 
