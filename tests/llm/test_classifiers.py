@@ -156,3 +156,22 @@ def test_scores_do_not_depend_on_the_partitioning(labelled):
         one = {r["doc_id"]: r["score"] for r in score(docs.repartition(1), labels).collect()}
         two = {r["doc_id"]: r["score"] for r in score(docs.repartition(7), labels).collect()}
         assert one == two
+
+
+def test_scores_learn_pairs_whose_words_tell_nothing_alone(spark):
+    """Toxic if both or neither of two words occur: no word has odds of its own."""
+    rng, rows, labels = random.Random(4), [], []
+    for i in range(4_000):
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        filler = [f"w{rng.randrange(300)}" for _ in range(12)]
+        extra = ["insulting"] * one + ["outgroup"] * other
+        text = filler + extra
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(one == other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    found = toxicity_scores(docs, table).filter("held_out").collect()
+    right = sum(r["predicted"] == truth[r["doc_id"]] for r in found) / len(found)
+    assert len(found) > 600 and right >= 0.95

@@ -142,6 +142,69 @@ def telling_terms(
     return place
 
 
+def paired_terms(
+    sample: DataFrame, place: np.ndarray, candidates: int, most: int, least_docs: int,
+    least_z: float,
+) -> np.ndarray:
+    """``place`` with the buckets that tell classes apart only together with another.
+
+    Candidates are the ``candidates`` most frequent buckets not used yet. For every pair of
+    them the learned rows make a table of neither, one, other and both; the pair counts if its
+    interaction (the log odds of both and neither less those of one and other) lies ``least_z``
+    standard errors from zero. At most ``most`` buckets are added, of the strongest pairs. The
+    sample is bounded, and so is what is counted: a matrix of candidates by candidates.
+    """
+    spare, (zeros, ones) = class_counts(sample)
+    learned = sample.filter("fold <> 1") if spare else sample
+    exploded = learned.select("label", F.explode("terms").alias("term"))
+    frequent = (
+        exploded.groupBy("term").agg(F.count("*").alias("docs"))
+        .filter(F.col("docs") >= least_docs)
+        .orderBy(F.desc("docs"), "term").limit(candidates + int((place >= 0).sum())).toArrow()
+    )
+    term = frequent["term"].to_numpy()
+    term = np.sort(term[place[term] < 0][:candidates])
+    if len(term) < 2:
+        return place
+    number = np.full(1 << BITS, -1, np.int16)
+    number[term] = np.arange(len(term))
+    rows = with_features(learned, number).select("label", "features").toArrow()
+    label = rows["label"].to_numpy().astype(np.int64)
+    data = from_lists(rows["features"])
+    both = np.zeros((2, len(term), len(term)), np.float32)
+    for begin in range(0, data.rows, 2_048):
+        stretch = data.take(np.arange(begin, min(begin + 2_048, data.rows)))
+        held = np.zeros((stretch.rows, len(term)), np.float32)
+        held[stretch.owner, stretch.feature] = 1
+        for c in (0, 1):
+            part = held[label[begin : begin + 2_048] == c]
+            both[c] += part.T @ part
+    odds, error = 0.0, 0.0
+    for sign, cell in ((1, "both"), (1, "neither"), (-1, "one"), (-1, "other")):
+        counts = []
+        for c, total in ((0, zeros), (1, ones)):
+            n = np.diag(both[c])
+            one, other = n[:, None] - both[c], n[None, :] - both[c]
+            counts.append({
+                "both": both[c], "one": one, "other": other,
+                "neither": total - both[c] - one - other,
+            }[cell] + 0.5)
+        odds = odds + sign * (np.log(counts[1]) - np.log(counts[0]))
+        error = error + 1 / counts[0] + 1 / counts[1]
+    z = np.triu(np.round(np.abs(odds) / np.sqrt(error), 6), 1)
+    left, right = np.nonzero(z >= least_z)
+    order = np.lexsort((right, left, -z[left, right]))
+    chosen: dict[int, None] = {}
+    for i in order:
+        chosen |= dict.fromkeys((int(left[i]), int(right[i])))
+        if len(chosen) >= most:
+            break
+    used = np.sort(np.concatenate([np.flatnonzero(place >= 0), term[list(chosen)]]).astype(int))
+    out = np.full(1 << BITS, -1, np.int16)
+    out[used] = np.arange(len(used))
+    return out
+
+
 def with_features(sample: DataFrame, place: np.ndarray) -> DataFrame:
     """``terms`` replaced by the feature numbers of those in use, as ``features``."""
     others = [f for f in sample.schema.fields if f.name != "terms"]

@@ -2,8 +2,9 @@
 
 A text is the set of its terms (words, their stems, and whether they occur often), hashed into
 a fixed number of buckets. Of these the machine uses the ones that tell labelled texts apart
-best; each has a weight and a short vector, and two terms that occur together add the product of their vectors. So an insult may weigh more next
-to a mention of a group, which additive weights cannot express. The model is fitted on a
+best, alone or in pairs; each has a weight and a short vector, and two terms that occur together
+add the product of their vectors. So an insult may weigh more next to a mention of a group, which
+additive weights cannot express, also where neither tells anything by itself. The model is fitted on a
 bounded sample of labelled rows; rows of remainder 1 choose when training ends, scale its log
 odds, and place the score of one half where it errs least. Its size is fixed by parameters, so all texts are scored where they lie, in one pass
 without a shuffle.
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.features import (
-    BITS, FOLDS, Machine, Sparse, class_counts, from_lists, labelled_rows, scaled, sigmoid,
-    telling_terms, terms, trained, with_features,
+    BITS, FOLDS, Machine, Sparse, class_counts, from_lists, labelled_rows, paired_terms, scaled,
+    sigmoid, telling_terms, terms, trained, with_features,
 )
 from tidemark.llm.rows import remainder, ship, slices, texts, written
 
@@ -32,13 +33,17 @@ class Training:
     """At most ``sample`` labelled rows are learned from, ``features`` buckets used.
 
     A bucket is used if ``least_docs`` of them have it and its log odds lie ``least_z``
-    standard errors from zero.
+    standard errors from zero. Of the ``candidates`` most frequent other ones, ``paired`` at most
+    are used as well: those of pairs whose interaction lies ``least_pair_z`` from zero.
     """
 
     sample: int = 20_000
     features: int = 2048
     least_docs: int = 5
     least_z: float = 3.0
+    candidates: int = 1_500
+    paired: int = 256
+    least_pair_z: float = 6.0
     factors: int = 6
     steps: int = 3000
     seed: int = 11
@@ -108,6 +113,10 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, settings: Training) -
             np.full(1 << BITS, -1, np.int16), Machine(bias, np.zeros(1), np.zeros((1, 0)))
         )
     place = telling_terms(once, settings.features, settings.least_docs, settings.least_z)
+    place = paired_terms(
+        once, place, settings.candidates, settings.paired, settings.least_docs,
+        settings.least_pair_z,
+    )
     table = with_features(once, place).orderBy("doc_id").toArrow()
     y = table["label"].to_numpy().astype(np.int64)
     data, size = from_lists(table["features"]), max(1, int(place.max()) + 1)
