@@ -46,8 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of full windows of token ids."""
-    return packed(docs, public_vocabulary(VOCABULARY))
+    """The pieces of full windows of token ids, with the ids."""
+    return packed(docs, public_vocabulary(VOCABULARY), with_ids=True)
 
 
 STAGES = [
