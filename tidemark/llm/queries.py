@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.conversation_sql import REPAIR, TRIE
 from tidemark.llm.cotraining import quality_scores
 from tidemark.llm.encoding import public_vocabulary
 from tidemark.llm.exact import exact_groups
@@ -105,6 +106,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op11_repair": REPAIR,
+    "op13_trie": TRIE,
     "op10_exact_dedup": r"""
         WITH normal AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
