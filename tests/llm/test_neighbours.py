@@ -25,7 +25,7 @@ def brute(rows, k=5, every=50):
             continue
         scores = [
             (-round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 12), j is None, j or 0)
-            for other, j, b in good if other != at
+            for other, j, b in good if other != at and len(b) == len(a)
         ]
         out.setdefault(i, []).append(sorted(scores)[:k])
     return out
@@ -130,3 +130,9 @@ def test_best_of_takes_the_leftmost_of_equal_scores():
     scores = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [-np.inf, 0.0, 0.0, -np.inf, -np.inf]])
     assert best_of(scores, 2).tolist() == [
         [False, True, True, False, False], [False, True, True, False, False]]
+
+
+def test_vectors_of_every_length_are_searched_among_themselves(spark):
+    rows = clusters(400, 12, 3) + [(1_000 + i, v) for i, v in clusters(120, 5, 4)]
+    rows += [(100_000, [1.0, 2.0, 3.0]), (7, [1.0, 0.0])]
+    assert check(spark, rows) >= 0.9

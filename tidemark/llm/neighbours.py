@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -292,15 +293,26 @@ def nearest(
     is the cosine of the original vectors in double precision, ties (to 12 decimals) go to
     the smaller vec_id, null ids last. Rows that repeat are candidates of their own, and a
     query's own row never is. Vectors that are null, empty, zero or hold a null or non-finite
-    component take no part, nor do those of another length than the commonest. With k or
-    fewer candidates all are returned. An empty table gives an empty result.
+    component take no part. Vectors of different lengths have no cosine, so each length has an
+    index of its own, and its queries find rows of their length. With k or fewer candidates all
+    are returned. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = written(usable(vectors.select(vec_id, embedding), vec_id, embedding), "vectors")
-    lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    index = Index(lengths["n"] if lengths else 1, **settings)
-    rows = rows.filter(F.size("vec") == index.dimension)
+    # One number per length that some query has.
+    asked = F.count_if(F.col("vec_id") % every == 0)
+    lengths = rows.groupBy(F.size("vec").alias("n")).agg(asked.alias("asked")).filter("asked > 0")
+    found = [
+        _nearest_of_length(rows.filter(F.size("vec") == n), Index(n, **settings), k, every)
+        for n in sorted(row["n"] for row in lengths.collect())
+    ]
+    if not found:
+        found = [_nearest_of_length(rows, Index(1, **settings), k, every)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_of_length(rows: DataFrame, index: Index, k: int, every: int) -> DataFrame:
     indexed = _indexed(rows, index)
     # At most a row for each region of each table, however many vectors there are.
     sizes = {r["area"]: r["count"] for r in indexed.groupBy("area").count().collect()}
