@@ -182,3 +182,46 @@ def test_profiles_and_new_columns(spark):
     assert [tuple(r) for r in reports.table_profile(before).orderBy("position").collect()] == [
         (0, "x", "int", 1, 2), (1, "y", "string", 1, 2),
     ]
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("poor", [False, True])
+def test_deep_slices_equal_plain_ranks(spark, monkeypatch, descending, poor):
+    """Also where the sketch puts the threshold too high, with ties, nulls, NaN and small groups."""
+    if poor:
+        monkeypatch.setattr(reports, "_KLL_ERROR", 1e-6)
+        monkeypatch.setattr(reports, "_KLL", 8)
+    number = F.pmod(F.hash("id"), F.lit(5_000)).cast("double")
+    odd = F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 101 == 0, float("nan"))
+    df = spark.range(30_000).select(
+        F.when(F.col("id") < 40, F.lit(9)).otherwise(F.col("id") % 3).alias("k"),
+        odd.otherwise(number).alias("v"), "id",
+    ).repartition(6)
+    order = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_last()
+    want = reports.top_per_snapshot(df, "k", [order, F.col("id").asc()], 201, 400)
+    got = reports.deep_slice(df, "k", "v", ["id"], 201, 400, descending)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_undeclared_fields_are_listed_with_their_types(spark):
+    texts = ['{"a": 1, "b": "x", "c": null}', '{"a": 2, "d": [1]}', '{"b": "y"}', "[1]", "bad", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = {tuple(r) for r in nested.undeclared_fields(df, "t", ["d"]).collect()}
+    assert found == {("a", "BIGINT", 2, 3), ("b", "STRING", 2, 3), ("c", "VOID", 1, 3)}
+    assert nested.undeclared_fields(df.filter("false"), "t", []).count() == 0
+
+
+def test_summaries_of_parts_merge_to_the_overview(spark):
+    df = spark.range(5_000).select(
+        (F.col("id") % 700).alias("k"), F.timestamp_seconds(F.col("id") % 900 * 60).alias("t"))
+    parts = [df.filter(F.pmod(F.hash("k", "t"), F.lit(3)) == i) for i in range(3)]
+    notes = reports.summary(parts[0], "k", "t")
+    for part in parts[1:]:
+        notes = notes.unionByName(reports.summary(part, "k", "t"))
+    got, want = reports.merged_overview(notes).first(), reports.data_overview(df, "k", "t").first()
+    assert got["rows"] == 5_000 and all(got[c] == want[c] for c in want.__fields__)
+    # The stated error: 0.1 percent is one standard error at any number of values.
+    many = spark.range(400_000).select(F.col("id").alias("k"), F.timestamp_seconds("id").alias("t"))
+    keys = reports.merged_overview(reports.summary(many, "k", "t")).first()["keys"]
+    assert abs(keys / 400_000 - 1) < 0.004

@@ -106,10 +106,10 @@ def deep_slice(
 ) -> DataFrame:
     """Ranks ``start`` to ``start + limit - 1`` of each snapshot by a number and ``ties``.
 
-    A quantile sketch per snapshot gives a threshold that the wanted ranks should lie above. Rows
-    above it are counted; where there are too few, the snapshot's rows all stay. Only what
-    stays is shuffled to be ranked, about the slice and one percent of the rows. The largest
-    100,000 snapshots get a threshold, which bounds what is broadcast. NULLs come last.
+    A quantile sketch per snapshot gives a threshold that the wanted ranks should lie above. Only
+    rows above it are shuffled to be ranked, about the slice and one percent of the rows; where
+    these are too few, the ranks go on below. The largest 100,000 snapshots get a threshold, which
+    bounds what is broadcast. NULLs come last.
     """
     last = start + limit - 1
     value = F.col(by).cast("double") * (1 if descending else -1)
@@ -128,25 +128,34 @@ def deep_slice(
     grid = [_STEP**-i for i in range(1 + int(math.log(1 / _KLL_ERROR, _STEP)))]
     at = F.floor(-F.ln(share) / math.log(_STEP)).cast("int")
     quantiles = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(1.0 - g) for g in grid]))
-    floors = sketched.filter(share < 1).select("_of", F.get(quantiles, at).alias("_floor"))
-    floors = (
-        narrow.join(F.broadcast(floors), "_of")
-        .filter("_value >= _floor")
-        .groupBy("_of")
-        .agg(F.first("_floor").alias("_floor"), F.count("*").alias("_n"))
-        .filter(F.col("_n") >= last)
-        .select("_of", "_floor")
+    floors = F.broadcast(
+        sketched.filter(share < 1).select("_of", F.get(quantiles, at).alias("_floor"))
     )
-    above = F.col("_floor").isNull() | F.coalesce(value >= F.col("_floor"), F.lit(False))
+    # NaN sorts above all numbers: first in descending order, behind them in ascending order.
+    over = F.coalesce(value >= F.col("_floor"), F.lit(False))
+    over = over if descending else over & ~F.isnan(value)
     direction = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
     order = [direction, *[F.col(c).asc_nulls_last() for c in ties]]
+    number = F.row_number().over(Window.partitionBy(snapshot).orderBy(*order))
+    columns = [*df.columns, rank]
+    here = F.col(snapshot) == F.col("_of")
     ranked = (
-        df.join(F.broadcast(floors), F.col(snapshot) == F.col("_of"), "left")
-        .filter(above)
-        .drop("_of", "_floor")
-        .withColumn(rank, F.row_number().over(Window.partitionBy(snapshot).orderBy(*order)))
+        df.join(floors, here, "left")
+        .filter(F.col("_floor").isNull() | over)
+        .withColumn(rank, number)
     )
-    return ranked.filter((F.col(rank) >= start) & (F.col(rank) <= last))
+    # Where a sketch was too far off, the ranks go on below its threshold; mostly there are none.
+    short = (
+        ranked.filter("_floor IS NOT NULL")
+        .groupBy("_of", "_floor")
+        .agg(F.max(rank).alias("_found"))
+        .filter(F.col("_found") < last)
+    )
+    below = df.join(F.broadcast(short), here).filter(~over).withColumn(
+        rank, number + F.col("_found")
+    )
+    both = ranked.select(*columns).unionByName(below.select(*columns))
+    return both.filter((F.col(rank) >= start) & (F.col(rank) <= last))
 
 
 def data_overview(
