@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.derived import ENDPOINT, daily, day_thirds, land, table
 from tidemark.catalog.registry import query, r6
-from tidemark.operators import dedup
 from tidemark.plans.jobs import Layers
 from tidemark.session import scratch_path
 from tidemark.sources.schemas import GOLD_FEATURES
@@ -50,11 +49,9 @@ def stream_keep_first(spark, sf_dir):
     after.write.mode("append").parquet(landing)
     stream = spark.readStream.schema(after.schema).parquet(landing)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    kept = dedup.first_arrivals(stream, ["user_id", "ts", "event_id"], ["copy"], "ts", "1 hour")
-    (
-        kept.drop("copy").writeStream.format("parquet")
-        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-        .trigger(availableNow=True).start(out).awaitTermination()
-    )
-    stored = spark.read.parquet(out)
+    streams.distinct_stream(
+        stream, out, scratch_path(spark, "checkpoint"), ["user_id", "ts", "event_id"], ["copy"],
+        "ts", "1 hour",
+    ).awaitTermination()
+    stored = spark.read.parquet(out).drop("copy")
     return stored.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*events.columns)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.dedup import first_arrivals
 from tidemark.operators.history import (
     ROWS_PER_PART, Timeline, find_cut_points, key_aggregate, over_history,
 )
@@ -126,6 +127,20 @@ def gold_stream(
     return _start(commits, write, layers.checkpoint("gold"), every)
 
 
+def distinct_stream(
+    rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str],
+    time: str, lateness: str, every: str | None = None,
+) -> StreamingQuery:
+    """The first arrivals of a stream as Parquet files below ``path``, each key once.
+
+    See ``dedup.first_arrivals``; the file sink writes every micro-batch once, retried or not.
+    """
+    kept = first_arrivals(rows, keys, order, time, lateness)
+    query = kept.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return query.trigger(**trigger).start(path)
+
+
 def start_all(
     spark: SparkSession,
     landing: str,
