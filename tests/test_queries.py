@@ -1,6 +1,8 @@
 """Every registered query against its SQL, run by DuckDB over the same files."""
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -49,5 +51,14 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert want
 
 
+def test_the_contract_can_be_imported_before_there_is_a_session():
+    root = Path(contract.__file__).parent
+    done = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"],
+        cwd=root, capture_output=True, text=True, timeout=120,
+    )
+    assert done.returncode == 0 and int(done.stdout) >= len(REGISTRY), done.stderr
+
+
 def test_entry_has_rows(spark):
     assert contract.entry(spark).limit(1).count() == 1

@@ -14,7 +14,9 @@ from tidemark.session import scratch_path
 from tidemark.sources.landing import read_payloads
 from tidemark.sources.schemas import COIN
 
-_MORE = T.StructType.fromDDL("slug STRING, num_market_pairs BIGINT")
+_MORE = T.StructType([
+    T.StructField("slug", T.StringType()), T.StructField("num_market_pairs", T.LongType()),
+])
 
 
 def _landed(spark, sf_dir):
