@@ -1,11 +1,15 @@
 from collections import Counter
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_minhash import bag, similarity
 from tests.llm.test_mixing import brute_targets
+from tidemark.llm.encoding import public_vocabulary
 from tidemark.llm.mixing import mixed_blocks, mixed_documents
+from tidemark.llm.queries import VOCABULARY
 
 FOLDER = "/root/testdata/sf0.01"
 WHITE = {ord(c): None for c in " \t\n\r\x0b\x0c"}
@@ -111,3 +115,21 @@ def test_the_mix_lies_in_the_order_of_its_decision(spark, stages):
     twice = sum(n > 1 for n in draws.values())
     near = sum(a[0] == b[0] for a, b in zip(got, got[1:]))
     assert twice > 100 > 20 * near
+
+
+def test_every_sequence_can_be_rebuilt_from_the_packed_ids(stages):
+    vocabulary = Tokenizer.from_file(public_vocabulary(VOCABULARY))
+    pieces = sorted(stages[5].collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    found, now, place = Counter(), [], (0, 0)
+    for p in pieces:
+        ids = np.frombuffer(p["ids"], "<u4").tolist()
+        sequence, offset = place
+        assert (p["sequence_id"], p["offset"]) in (place, (sequence + 1, 0))
+        assert len(ids) == p["length"]
+        now = ids if p["start"] == 0 else now + ids
+        if len(now) == p["doc_tokens"]:
+            found[tuple(now)] += 1
+        place = (p["sequence_id"], p["offset"] + p["length"])
+    texts = [r["text"] for r in stages[4].select("text").collect()]
+    encoded = vocabulary.encode_batch(texts, add_special_tokens=False)
+    assert found == Counter((*e.ids, 1) for e in encoded)
