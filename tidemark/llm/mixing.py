@@ -267,24 +267,18 @@ def mixed_documents(docs: DataFrame, blocks: DataFrame, columns: Sequence[str])
     other columns, so reruns agree.
     """
     others = [c for c in columns if c not in ("text", "n_chars")]
+    # Rows are grouped and joined on the same plain columns, so a text is shuffled once.
+    keys = ["key_a", "key_b", "key_s"]
+    source = F.xxhash64(F.col("source").isNull(), F.col("source")).alias("key_s")
     draws = blocks.select(
-        "key_a", "key_b", F.col("source").alias("_source"), "size", "first_word",
-        F.explode("draws").alias("draw"),
-    ).select(
-        "key_a", "key_b", "_source", "size", "first_word", "draw.shard", "draw.place", "draw.words"
-    )
+        "key_a", "key_b", source, "size", "first_word", F.explode("draws").alias("draw")
+    ).select(*keys, "size", "first_word", "draw.shard", "draw.place", "draw.words")
     pair = (
-        docs.select(*identity("doc_id", "text"), F.col("source").alias("_of"), "text",
-                    F.struct(*others).alias("_others"))
-        .groupBy("key_a", "key_b", "_of")
+        docs.select(*identity("doc_id", "text"), source, "text", F.struct(*others).alias("_others"))
+        .groupBy(*keys)
         .agg(F.min("_others").alias("_others"), F.first("text").alias("text"))
-        .withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b"})
-    )
-    same = (
-        (F.col("key_a") == F.col("_key_a")) & (F.col("key_b") == F.col("_key_b"))
-        & F.col("_source").eqNullSafe(F.col("_of"))
     )
-    joined = draws.join(pair, same).select(
+    joined = draws.join(pair, keys).select(
         *[F.col("_others")[c].alias(c) for c in others],
         "text", "size", "first_word", "words", "shard", "place",
     )
