@@ -19,6 +19,8 @@ from tidemark.session import scratch_path
 
 PROFILE = ("log_return_mean", "log_return_spread", "volatility_mean", "price_spread")
 _SEED = 7
+# Spark's cost of a fit is that of the centres before their last move, so they have to rest.
+_MOST_MOVES = 1_000
 
 
 def key_profiles(
@@ -47,7 +49,8 @@ def cluster_keys(
     model = Pipeline(stages=[
         VectorAssembler(inputCols=list(columns), outputCol="_features"),
         StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True),
-        KMeans(featuresCol="_scaled", predictionCol="cluster", k=k, seed=_SEED),
+        KMeans(featuresCol="_scaled", predictionCol="cluster", k=k, seed=_SEED,
+               maxIter=_MOST_MOVES),
     ]).fit(profiles)
     found = _stored(model, profiles).transform(profiles).withColumn("scaled", vector_to_array("_scaled"))
     return model, found.drop("_features", "_scaled")
