@@ -561,3 +561,16 @@ def test_latest_reports_prune_to_the_last_date(spark, landing, layers):
     scan = next(x for x in plan.splitlines() if "FileScan" in x and "dominance" in x)
     assert "Subquery" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "quote_USD_price" not in scan.split("ReadSchema")[1]
+
+
+def test_many_malformed_payloads_of_one_date_are_not_one_task(spark, landing, layers):
+    """One file, and so one task, has them all; as audit rows they are some 30 times larger."""
+    lines = spark.range(0, 300_000, 1, 1).selectExpr("concat('{\"status\": ', sha2(string(id), 256)) AS value")
+    lines.write.mode("append").text(str(landing))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    jobs.write_bronze(read_payloads(spark, str(landing), multi_line=False), layers, "b1", "origin")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    audit = layers.read_audit(spark)
+    written = audit.groupBy(F.input_file_name()).count().select("count").collect()
+    assert sum(r["count"] for r in written) == 300_000 and audit.filter("malformed").count() == 300_000
+    assert max(r["count"] for r in written) <= 200_000

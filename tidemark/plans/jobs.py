@@ -178,7 +178,9 @@ def write_bronze(
     rows.write.mode("overwrite").parquet(staging)
     rows = spark.read.schema(rows.schema).parquet(staging)
     for layer, df in (("bronze", to_bronze(rows)), ("audit", to_audit(rows, endpoint))):
-        written = tables.write_batch(df, getattr(layers, layer), batch_id)
+        # Audit rows repeat their file's name and time, and many may share one date.
+        written = tables.write_batch(
+            df, getattr(layers, layer), batch_id, dense=layer == "audit")
         tables.note_rows(spark, layers.rows(layer), batch_id, written["rows"])
     files.delete(spark, staging)
     tables.commit(spark, layers.commits("bronze"), batch_id)

@@ -166,32 +166,54 @@ def append(df: DataFrame, path: str, partitions: Sequence[str] = (DATE,)) -> Non
 
 def write_batch(
     df: DataFrame, path: str, batch_id: str, order: Sequence[str] = (),
-    metrics: Sequence[Column] = (),
+    metrics: Sequence[Column] = (), dense: bool = False,
 ) -> dict:
     """Writes or replaces one batch of an append-only layer, its files sorted by ``order``.
 
-    Returns its ``rows`` and other aggregates, which are counted while it is written.
+    Returns its ``rows`` and other aggregates, which are counted while it is written. Rows that
+    repeat long texts, and so are far larger in memory than shuffled, are ``dense``.
     """
-    counted = stage_batch(df, path, batch_id, order, metrics)
+    counted = stage_batch(df, path, batch_id, order, metrics, dense)
     put_batch(df.sparkSession, path, batch_id)
     return counted
 
 
 def stage_batch(
     df: DataFrame, path: str, batch_id: str, order: Sequence[str] = (),
-    metrics: Sequence[Column] = (),
+    metrics: Sequence[Column] = (), dense: bool = False,
 ) -> dict:
     """Writes a batch aside, where readers do not see it yet."""
     target = f"{path}/{_STAGED}/batch_id={files.checked_name(batch_id)}"
-    return _written(df, target, order, metrics)
+    return _written(df, target, order, metrics, dense)
 
 
-def _written(df: DataFrame, target: str, order: Sequence[str], metrics: Sequence[Column]) -> dict:
+# How many rows of a task and a date go on together, and what a task takes of them as shuffled.
+_DENSE_ROWS, _DENSE_BYTES = 100_000, 8 << 20
+_STRETCH, _ADVISORY = "_stretch", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def _written(
+    df: DataFrame, target: str, order: Sequence[str], metrics: Sequence[Column],
+    dense: bool = False,
+) -> dict:
     # Counted in the tasks that write, of which each counts once.
-    seen = Observation()
-    rows = df.hint("rebalance", DATE).observe(seen, F.count(F.lit(1)).alias("rows"), *metrics)
+    seen, conf = Observation(), df.sparkSession.conf
+    advised = conf.get(_ADVISORY)
+    if dense:
+        # AQE cannot split what one task sends of one date.
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        rows = df.withColumn(_STRETCH, F.floor(row / _DENSE_ROWS))
+        rows = rows.hint("rebalance", DATE, _STRETCH).drop(_STRETCH)
+        conf.set(_ADVISORY, _DENSE_BYTES)
+    else:
+        rows = df.hint("rebalance", DATE)
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics)
     rows = rows.sortWithinPartitions(DATE, *order) if order else rows
-    rows.write.mode("overwrite").partitionBy(DATE).parquet(target)
+    try:
+        rows.write.mode("overwrite").partitionBy(DATE).parquet(target)
+    finally:
+        if dense:
+            conf.set(_ADVISORY, advised)
     return seen.get
 
 
