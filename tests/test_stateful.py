@@ -149,3 +149,52 @@ def test_state_is_bounded_by_the_lateness():
         list(made.handleInputRows(("BTC",), [tuple(row)], None))
         rows.append(len(made.recent.value))
     assert max(rows) == 9  # those within two hours, and six before them
+
+
+def test_a_key_costs_three_calls_of_its_state_and_three_columns():
+    """A call is a message to another process, and so is every column of a row and of a batch."""
+    calls = []
+
+    class Store:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def put(self, value):
+            calls.append("put")
+            self.value = value
+
+        update = put
+
+    class Handle:
+        def getListState(self, *_):
+            return Store()
+
+        getValueState = getListState
+
+    made = stateful._Features(SILVER, Timeline(), "quote_USD_price", None, None, 9 * HOUR)
+    made.init(Handle())
+    at = SILVER.names.index("collected_at")
+    for n in range(4):
+        row = [None] * len(SILVER.names)
+        row[at], row[SILVER.names.index("quote_USD_price")] = n * HOUR * 1000, 1.0 + n
+        calls.clear()
+        (out,) = made.handleInputRows(("BTC",), [tuple(row)], None)
+        assert len(calls) <= 3 and len(out) == 3
+    assert out[1][0] == pytest.approx(100 / 3) and out[1][-1] == 400.0 and out[2] is False
+
+
+def test_rows_pass_the_state_unchanged(spark, landing, layers):
+    """Texts that need escapes, numbers that need all digits, and infinite ones."""
+    odd = coin("A\"\\\u00e9\n", 0.1 + 0.2)
+    odd["name"], odd["circulating_supply"] = "", 1e-310
+    put(landing, "0.json", payload(0, odd, coin("B", 1.7976931348623157e308)))
+    catch_up(spark, landing, layers)
+    live = stateful.read_stateful_gold(spark, layers).select(*SILVER.names)
+    assert sorted(live.collect()) == sorted(layers.read_silver(spark).select(*SILVER.names).collect())

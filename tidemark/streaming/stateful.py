@@ -7,6 +7,9 @@ most six rows behind it; these leave the operator again, and readers take the ne
 row that comes later than ``lateness`` cannot be placed any more and leaves it marked, without
 features; rebuilding Gold takes it in.
 
+The operator gets what it reads of a row and the row as one text, and gives that text with what it
+has made: each column that passes a Python process costs time, for every row in and every key out.
+
 Lateness is counted per key, against its own newest row, when rows come. Timers would need a
 watermark, and Spark drops rows behind that before the operator sees them; on the clock they keep
 a stream that takes what is there and stops from ever stopping.
@@ -30,6 +33,7 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 REBASED, TOO_LATE = "rebased", "too_late"
+_WHOLE, _MADE = "_whole", "_made"
 LIVE = T.StructType([
     *SILVER.fields, *[T.StructField(c, T.DoubleType()) for c in (*GOLD_FEATURES, REBASED)],
     T.StructField(TOO_LATE, T.BooleanType()),
@@ -92,6 +96,8 @@ def features(rows: list, at: int, time: int, value: int, share: int | None) -> l
 
 
 class _Features(StatefulProcessor):
+    """Gives the last column of each row, which stands for the row, and what was made for it."""
+
     def __init__(
         self, schema: T.StructType, timeline: Timeline, value: str, share: str | None,
         flag: str | None, lateness_ms: int,
@@ -103,7 +109,7 @@ class _Features(StatefulProcessor):
         self.share = None if share is None else names.index(share)
         self.flag = None if flag is None else names.index(flag)
         self.lateness = lateness_ms
-        self.out = Row(*names, *GOLD_FEATURES, REBASED, TOO_LATE)
+        self.out = Row(_WHOLE, _MADE, TOO_LATE)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -123,8 +129,10 @@ class _Features(StatefulProcessor):
         return sum(1 for r in rows if r[self.time] is not None and r[self.time] < first)
 
     def handleInputRows(self, key, rows, timerValues):
-        cut, based, base = self.known.get() if self.known.exists() else (False, False, None)
-        held = {self._place(r): tuple(r) for r in self.recent.get()}
+        # Every call of a state is a message to another process and back.
+        stored = tuple(self.known.get() or ())
+        cut, based, base = stored or (False, False, None)
+        held = {self._place(r): tuple(r) for r in self.recent.get()} if stored else {}
         oldest = min(held) if held else None
         fresh, late = set(), []
         for row in rows:
@@ -161,13 +169,15 @@ class _Features(StatefulProcessor):
             known = based and not flagged and row[self.value] is not None and base
             value = row[self.value] / base * 100 if known else None
             made = features(history, i, self.time, self.value, self.share)
-            yield self.out(*row, *made, value, False)
+            yield self.out(row[-1], [*made, value], False)
         for row in late:
-            yield self.out(*row, *[None] * (len(GOLD_FEATURES) + 1), True)
+            yield self.out(row[-1], None, True)
         drop = max(0, self._horizon(history) - GOLD_LOOK_BACK)
         if history:
             self.recent.put(history[drop:])
-        self.known.update((bool(cut or drop), bool(based), base))
+        known = (bool(cut or drop), bool(based), base)
+        if known != stored:
+            self.known.update(known)
 
     def close(self) -> None:
         pass
@@ -191,13 +201,19 @@ def with_live_features(
     plain = _encoded(silver)
     extra = [T.StructField(c, T.DoubleType()) for c in (*GOLD_FEATURES, REBASED)]
     extra.append(T.StructField(TOO_LATE, T.BooleanType()))
-    out = T.StructType([*plain.schema.fields, *extra])
+    reads = dict.fromkeys(c for c in (timeline.key, *timeline.order, value, share, flag) if c)
+    packed = plain.select(*reads, F.to_json(F.struct("*")).alias(_WHOLE))
     keyed = (
-        plain.filter(F.col(timeline.key).isNotNull())
+        packed.filter(F.col(timeline.key).isNotNull())
         .groupBy(timeline.key)
         .transformWithState(
-            _Features(plain.schema, timeline, value, share, flag, lateness_ms),
-            out, "Update", "None",
+            _Features(packed.schema, timeline, value, share, flag, lateness_ms),
+            f"{_WHOLE} string, {_MADE} array<double>, {TOO_LATE} boolean", "Update", "None",
+        )
+        .withColumn(_WHOLE, F.from_json(_WHOLE, plain.schema))
+        .select(
+            f"{_WHOLE}.*", *[F.get(_MADE, F.lit(i)).alias(f.name) for i, f in enumerate(extra[:-1])],
+            TOO_LATE,
         )
     )
     nothing = [F.lit(None).cast("double").alias(f.name) for f in extra[:-1]]
