@@ -11,7 +11,7 @@ from tidemark.plans import jobs
 from tidemark.plans.jobs import Layers
 from tidemark.sources import files
 from tidemark.sources.landing import read_payloads
-from tidemark.sources.schemas import GOLD, SILVER
+from tidemark.sources.schemas import GOLD, SILVER, with_batch
 from tidemark.streaming import jobs as streams
 
 
@@ -301,3 +301,13 @@ def test_polling_streams_pick_up_what_lands(spark, landing, layers):
     assert sorted(r["symbol"] for r in live.collect()) == ["BTC", "BTC", "ETH"]
     change = live.filter("price_delta_pct IS NOT NULL").collect()
     assert [(r["symbol"], r["minutes_since_last"]) for r in change] == [("BTC", 60.0)]
+
+
+def test_tables_without_rows_cost_no_tasks(spark, layers, capsys):
+    """Those of the first batch, which would start Python workers for nothing."""
+    silver = layers.read_batches(spark, "silver", SILVER, [])
+    both = silver.unionByName(spark.range(3).select("*"), allowMissingColumns=True)
+    both.explain()
+    plan = capsys.readouterr().out
+    assert "ExistingRDD" not in plan and "Union" not in plan and "Range" in plan
+    assert both.count() == 3 and silver.schema.names == with_batch(SILVER).names

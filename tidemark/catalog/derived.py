@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.history import Timeline
+from tidemark.session import scratch_path
 
 PAGE = 100
 ENDPOINT = "landing/listings"
@@ -33,6 +34,13 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``daily`` as a table, for queries that take it stretch by stretch."""
+    path = scratch_path(spark, "daily")
+    daily(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def symbol_of(user: Column) -> Column:
     return (
         F.when(user == 1, "USDT").when(user == 2, "USDC").when(user == 3, "DAI")

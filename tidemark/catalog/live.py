@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.derived import ENDPOINT, daily, day_thirds, land, table
+from tidemark.catalog.derived import ENDPOINT, day_thirds, land, stored_daily, table
 from tidemark.catalog.registry import query, r6
 from tidemark.plans.jobs import Layers
 from tidemark.session import scratch_path
@@ -17,7 +17,7 @@ from tidemark.streaming import stateful
 def stream_gold_stateful(spark, sf_dir):
     """Gold with rebased values from per-key state, the middle days coming last."""
     landing, layers = scratch_path(spark, "landing"), Layers(scratch_path(spark, "layers"))
-    first, middle, last = day_thirds(daily(spark, sf_dir))
+    first, middle, last = day_thirds(stored_daily(spark, sf_dir))
     for stretch in (first, last, middle):
         land(stretch, landing)
         streams.bronze_stream(spark, landing, layers, ENDPOINT, multi_line=False).awaitTermination()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.catalog.derived import (
-    DAILY, ENDPOINT, EVENTS, daily, day_thirds, land, land_copies, table,
+    DAILY, ENDPOINT, EVENTS, daily, day_thirds, land, land_copies, stored_daily, table,
 )
 from tidemark.catalog.registry import REGISTRY, query
 from tidemark.catalog.registry import r6 as _r6
@@ -727,9 +727,7 @@ def csv_export(spark, sf_dir):
 def _streamed(spark: SparkSession, sf_dir: str, last: str, replay: bool) -> Layers:
     """Lands the days in three stretches and lets the streams catch up after each."""
     landing, layers = scratch_path(spark, "landing"), Layers(scratch_path(spark, "layers"))
-    snapshots = scratch_path(spark, "daily")
-    daily(spark, sf_dir).write.parquet(snapshots)
-    stretches = day_thirds(spark.read.parquet(snapshots))
+    stretches = day_thirds(stored_daily(spark, sf_dir))
     for i, stretch in enumerate(stretches):
         land(stretch, landing)
         if replay and i == 1:
@@ -780,7 +778,7 @@ def stream_retry(spark, sf_dir):
 def stream_late(spark, sf_dir):
     """Live Gold where the middle days come last."""
     landing, layers = scratch_path(spark, "landing"), Layers(scratch_path(spark, "layers"))
-    first, middle, last = day_thirds(daily(spark, sf_dir))
+    first, middle, last = day_thirds(stored_daily(spark, sf_dir))
     for stretch in (first, last, middle):
         land(stretch, landing)
         _caught_up(spark, landing, layers)

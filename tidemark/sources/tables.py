@@ -66,12 +66,17 @@ def conform(df: DataFrame, schema: T.StructType, lenient: bool = False) -> DataF
     return df.select(*columns)
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table that Spark plans away, where one made of Python rows costs its tasks."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return spark.range(1).filter(F.lit(False)).select(*columns)
+
+
 def create_layer(
     spark: SparkSession, path: str, schema: T.StructType, by: Sequence[str]
 ) -> None:
     """An empty table at ``path``, unless there is one."""
-    empty = spark.createDataFrame([], schema)
-    empty.write.mode("ignore").partitionBy(*by).parquet(path)
+    no_rows(spark, schema).write.mode("ignore").partitionBy(*by).parquet(path)
 
 
 def create_batches(spark: SparkSession, path: str, schema: T.StructType) -> None:
@@ -117,7 +122,7 @@ def read_some(
     newest = _folders(spark, path)[0] if wanted else {}
     found = [newest[b] for b in wanted if b in newest]
     if not found:
-        return spark.createDataFrame([], with_batch(schema))
+        return no_rows(spark, with_batch(schema))
     reader = spark.read.schema(with_batch(schema)).option("basePath", path)
     return _plain_id(reader.parquet(*[f"{path}/batch_id={f}" for f in found]), found)
 
@@ -321,8 +326,7 @@ def runs(spark: SparkSession, path: str) -> tuple[list[Run], Held]:
 
 def read_runs(spark: SparkSession, path: str, found: Sequence[Run], schema: T.StructType) -> DataFrame:
     tables = [read_layer(spark, f"{path}/{r.folder}", with_batch(schema)) for r in found]
-    return reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame(
-        [], with_batch(schema))
+    return reduce(DataFrame.unionByName, tables) if tables else no_rows(spark, with_batch(schema))
 
 
 # A run is written again with a new one only if that is at least this part of its size.
@@ -399,8 +403,7 @@ def committed(spark: SparkSession, folder: str) -> set[str]:
 
 def read_current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     version = current_version(spark, path)
-    return spark.createDataFrame([], schema) if version is None else read_layer(
-        spark, version, schema)
+    return no_rows(spark, schema) if version is None else read_layer(spark, version, schema)
 
 
 def last_date(spark: SparkSession, folder: str) -> date | None:

@@ -197,11 +197,14 @@ def advance_gold(
     try:
         order = [timeline.key, *timeline.order]
         late = marked.filter(_LATE).drop(_LATE, _CARRIED)
-        some_late = not late.isEmpty()
-        # Carried rows are the newest of their keys, so rows after them find all they look back on.
-        gold = to_gold(marked, timeline, cuts=cuts)
         new = ~F.col(_CARRIED) & ~F.col(_LATE) if taken else ~F.col(_CARRIED)
-        gold = gold.filter(new).select(*GOLD.names)
+        some_late, some_new = marked.agg(
+            F.coalesce(F.bool_or(_LATE), F.lit(False)), F.coalesce(F.bool_or(new), F.lit(False))
+        ).first()
+        # Carried rows are the newest of their keys, so rows after them find all they look back on.
+        gold = to_gold(marked, timeline, cuts=cuts).filter(new).select(*GOLD.names)
+        if not some_new:
+            gold = tables.no_rows(spark, GOLD)
         if some_late:
             tables.write_batch(late, layers.late, _label(batch))
         if some_late and taken:
@@ -238,7 +241,7 @@ def _carried_rows(spark: SparkSession, layers: Layers, held: dict[int, str]) ->
     base = layers.live_state
     paths = [f"{base}/batch_id={label}/{_BUCKET}={b}" for b, label in sorted(held.items())]
     if not paths:
-        return spark.createDataFrame([], SILVER)
+        return tables.no_rows(spark, SILVER)
     return spark.read.schema(SILVER).parquet(*paths)
 
 
