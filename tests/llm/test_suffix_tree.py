@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,8 @@ import pytest
 from tests.llm.conftest import odd, prose
 from tidemark.llm import suffix_tree
 from tidemark.llm.rows import texts, written
+from tidemark.llm.words import mix, unmix
+from tidemark.session import scratch_path
 from tidemark.llm.suffix_tree import END, Settings, grown, scored, tokens
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, key_a long, "
@@ -156,3 +159,46 @@ def test_the_tree_grows_with_the_input(spark):
               if r["held_out"] and r["doc_id"] < 1000]
     # Of ten thousand words, those two in three that follow from the last are nearly certain.
     assert min(gained) > 2
+
+
+def test_jobs_leave_no_table_of_sequences_and_no_setting(spark, sayings):
+    """What has served is deleted before texts meet values, which takes the most disk."""
+    names = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",
+             "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    scored(sayings).collect()
+    base = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    assert not list(base.glob("sequences-*")) and list(base.glob("scored-rows-*"))
+    assert [spark.conf.get(name) for name in names] == before
+
+
+def test_numbers_mix_back():
+    x = np.random.default_rng(2).integers(0, 1 << 64, 10_000, np.uint64, endpoint=False)
+    assert (unmix(mix(x)) == x).all()
+
+
+def test_flushes_and_parts_change_no_row(spark, sayings, monkeypatch):
+    """Tasks that send what they have after every slice, and parts that hold a key or two."""
+    def run():
+        rows = scored(sayings, settings=Settings(2, common_share=1e-3)).collect()
+        return sorted((r["doc_id"], r["n_known"], round(r["score"], 6)) for r in rows)
+
+    want = run()
+    monkeypatch.setattr(suffix_tree, "_PARTS", 3)
+    monkeypatch.setattr(suffix_tree, "_ROWS", 2)
+    assert run() == want
+
+
+def test_blocks_keep_keys_and_columns():
+    key = np.sort(mix(np.arange(1, 5001, dtype=np.uint64)))
+    n = np.arange(5000)
+    found = []
+    for block in suffix_tree._dealt({"key": key, "n": n}, origin=7):
+        cells = suffix_tree._cells(block, "high", "low", "n")
+        for begin, end in suffix_tree._runs(block, "part", "origin"):
+            keys = suffix_tree._key(cells, begin, end)
+            assert (keys >> np.uint64(64 - suffix_tree._PARTS) == block["part"][begin].as_py()).all()
+            found += zip(keys.tolist(), suffix_tree._cut(cells["n"], begin, end, np.int64).tolist(),
+                         strict=True)
+    assert found == list(zip(key.tolist(), n.tolist(), strict=True))
+    assert not list(suffix_tree._dealt({"key": key[:0], "n": n[:0]}))

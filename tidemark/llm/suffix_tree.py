@@ -19,20 +19,24 @@ of 2**``_BITS`` bits at most that leave out most keys that no table has; they ch
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import remainder, ship, slices, texts, written
-from tidemark.llm.words import mix, words
+from tidemark.llm.rows import layout, passing, remainder, ship, slices, texts, written
+from tidemark.llm.words import mix, unmix, words
 
 #: Hash of the end of a text, as a token.
 END = mix(np.array([0xE0D], np.uint64))[0]
 _ADD = 0.1
-_PENDING = 1_500_000
+_PENDING = 1_000_000
+#: Parts that keys are dealt to, as a power of two, and rows that pass at once.
+_PARTS = 12
+_ROWS = 1024
 #: Largest size of a bit set, as a power of two; keys of states differ from those of sequences.
 _BITS = 27
 _STATE = 0x5851F42D4C957F2D
@@ -78,8 +82,13 @@ def find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of ``wanted`` in a sorted array, -1 where missing."""
     if not len(sorted_):
         return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
-    return np.where(sorted_[at] == wanted, at, -1)
+    # In order, searches of a large array find the same few pages of it.
+    order = np.argsort(wanted)
+    ordered = wanted[order]
+    place = np.minimum(np.searchsorted(sorted_, ordered), len(sorted_) - 1)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.where(sorted_[place] == ordered, place, -1)
+    return at
 
 
 def tokens(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,39 +113,143 @@ def context_keys(text: np.ndarray, symbol: np.ndarray, depth: int, width: int) -
     return key
 
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    distinct, which = np.unique(keys, return_inverse=True)
-    counts = np.bincount(which, np.concatenate([n for _, n in parts]), len(distinct))
-    return distinct, counts.astype(np.int64)
+def _merged(
+    key: np.ndarray, n: np.ndarray, *others: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Distinct keys in ascending order, their sums of n, and what stands with them."""
+    if not len(key):
+        return (key, n, *others)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return (key[first], np.add.reduceat(n[order], first), *(c[order[first]] for c in others))
 
 
-def _counts(docs: DataFrame, keys_of) -> DataFrame:
-    """key and n: how often ``keys_of(column)`` gives each key, over all rows."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        pending = 0
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
-        def out() -> pa.RecordBatch:
-            keys, n = _counted(parts)
-            parts.clear()
-            return pa.RecordBatch.from_pydict({"key": pa.array(keys), "n": pa.array(n)})
 
+def _dealt(columns: dict[str, np.ndarray], **constant) -> Iterator[pa.RecordBatch]:
+    """Rows of a part number and the bytes of each column's values there.
+
+    Column ``key`` has ascending numbers of 64 bits, whose leading bits are the part. Its
+    bytes are sent apart: the leading ones, being in order, hardly take room.
+    """
+    key = columns["key"]
+    part = (key >> np.uint64(64 - _PARTS)).astype(np.int32)
+    columns = {"high": (key >> np.uint64(48)).astype(np.uint16),
+               "low": key.view(np.uint8).reshape(-1, 8)[:, :6], **columns}
+    del columns["key"]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    for begin in range(0, len(first), _ROWS):
+        cuts = np.append(first, len(part))[begin : begin + _ROWS + 1]
+        cells = {"part": pa.array(part[cuts[:-1]])}
+        for name, column in columns.items():
+            width = column.itemsize * (column.size // max(len(column), 1))
+            offsets = ((cuts - cuts[0]) * width).astype(np.int32)
+            data = pa.py_buffer(np.ascontiguousarray(column[cuts[0] : cuts[-1]]))
+            buffers = [None, pa.py_buffer(offsets), data]
+            cells[name] = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, buffers)
+        for name, value in constant.items():
+            cells[name] = pa.array([value] * (len(cuts) - 1), pa.int64())
+        yield pa.RecordBatch.from_pydict(cells)
+
+
+def _runs(batch: pa.RecordBatch, *by: str) -> Iterator[tuple[int, int]]:
+    """First row and end of each run of rows that are equal in the columns ``by``."""
+    new = np.zeros(batch.num_rows + 1, bool)
+    new[[0, -1]] = True
+    for name in by:
+        column = batch.column(name).fill_null(0).to_numpy()
+        new[1:-1] |= column[1:] != column[:-1]
+    cuts = np.flatnonzero(new).tolist()
+    return zip(cuts, cuts[1:])
+
+
+def _cells(batch: pa.RecordBatch, *names: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The bytes of columns, and where each row's begin."""
+    return {name: layout(batch.column(name).cast(pa.large_binary())) for name in names}
+
+
+def _cut(cells: tuple[np.ndarray, np.ndarray], begin: int, end: int, kind) -> np.ndarray:
+    """The values that rows ``begin`` to ``end`` hold as bytes."""
+    data, offsets = cells
+    return data[offsets[begin] : offsets[end]].view(kind)
+
+
+def _key(cells: dict[str, tuple[np.ndarray, np.ndarray]], begin: int, end: int) -> np.ndarray:
+    """The keys of rows ``begin`` to ``end``."""
+    high = _cut(cells["high"], begin, end, np.uint16)
+    key = np.zeros((len(high), 8), np.uint8)
+    key[:, :6] = _cut(cells["low"], begin, end, np.uint8).reshape(-1, 6)
+    return key.view(np.uint64)[:, 0] | high.astype(np.uint64) << np.uint64(48)
+
+
+def _summed(docs: DataFrame, rows_of, others: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """key, ``others`` and n: the rows that ``rows_of(batch)`` gives, summed by key.
+
+    ``rows_of`` gives key, n and ``others`` as arrays of 64 bits. Keys with a sum under
+    ``least`` are left out. Rows travel as blocks of arrays, dealt by key.
+    """
+    names = ("key", "n", *others)
+    kinds = (np.int64, *(np.uint64 for _ in others))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        pending = 0
         for batch in slices(batches, "text"):
-            keys, n = np.unique(keys_of(texts(batch.column("text"))), return_counts=True)
-            parts.append((keys, n))
-            pending += len(keys)
+            key, *rest = rows_of(batch)
+            parts.append(_merged(mix(key), *rest))
+            pending += len(parts[-1][0])
             if pending > _PENDING:
-                parts[:] = [_counted(parts)]
+                parts[:] = [_merged(*_joined(parts))]
                 pending = len(parts[0][0])
                 if pending > _PENDING // 2:
-                    yield out()
+                    yield from _dealt(dict(zip(names, parts.pop(), strict=True)))
                     pending = 0
         if parts:
+            yield from _dealt(dict(zip(names, _merged(*_joined(parts)), strict=True)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blocks = -1, []
+
+        def out() -> pa.RecordBatch:
+            key, *rest = _merged(*_joined(blocks))
+            blocks.clear()
+            often = rest[0] >= least
+            found = unmix(key), *rest
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c[often].view(np.int64)) for c in found], list(names)
+            )
+
+        for batch in batches:
+            cells = _cells(batch, "high", "low", *names[1:])
+            for begin, end in _runs(batch, "part"):
+                part = batch.column("part")[begin].as_py()
+                if blocks and part != at:
+                    yield out()
+                at = part
+                blocks.append((_key(cells, begin, end), *(
+                    _cut(cells[name], begin, end, kind)
+                    for name, kind in zip(names[1:], kinds, strict=True)
+                )))
+        if blocks:
             yield out()
 
-    counted = docs.select("text").mapInArrow(count, "key long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
+    sent = docs.select("text").mapInArrow(
+        send, "part int, high binary, low binary, " + ", ".join(f"{c} binary" for c in names[1:])
+    )
+    dealt = sent.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, ", ".join(f"{name} long" for name in names))
+
+
+def _counts(docs: DataFrame, keys_of) -> DataFrame:
+    """key and n: how often ``keys_of(column)`` gives each key, over all rows."""
+    def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys = keys_of(texts(batch.column("text"))).view(np.uint64)
+        return keys, np.ones(len(keys), np.int64)
+
+    return _summed(docs, rows_of)
 
 
 def _gains(
@@ -396,50 +509,31 @@ def _repeated(
 
     ``state`` is the sequence without its last word, ``parent`` without its first.
     """
-    names = ("key", "state", "parent")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        pending = 0
-
-        def merged() -> tuple[np.ndarray, ...]:
-            key, state, parent, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-            key, first, which = np.unique(key, return_index=True, return_inverse=True)
-            return key, state[first], parent[first], np.bincount(which, n, len(key)).astype(np.int64)
-
-        def out(columns) -> pa.RecordBatch:
-            keys = [pa.array(c.view(np.int64)) for c in columns]
-            return pa.RecordBatch.from_arrays(keys, [*names, "n"])
-
-        for batch in slices(batches, "text"):
-            found, used = _followed(batch, depth, allowed, repeated)
-            key, first, n = np.unique(found[depth][used], return_index=True, return_counts=True)
-            parts.append((key, _before(found, depth)[used][first], found[depth - 1][used][first], n))
-            pending += len(key)
-            if pending > _PENDING:
-                parts[:] = [merged()]
-                pending = len(parts[0][0])
-                if pending > _PENDING // 2:
-                    yield out(parts.pop())
-                    pending = 0
-        if parts:
-            yield out(merged())
+    def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        found, used = _followed(batch, depth, allowed, repeated)
+        key = found[depth][used]
+        return (
+            key, np.ones(len(key), np.int64), _before(found, depth)[used], found[depth - 1][used]
+        )
 
-    counted = training.select("text").mapInArrow(count, "key long, state long, parent long, n long")
-    return counted.groupBy("key").agg(
-        F.first("state").alias("state"), F.first("parent").alias("parent"), F.sum("n").alias("n")
-    ).filter(F.col("n") >= least)
+    return _summed(training, rows_of, ("state", "parent"), least)
 
 
-def _freed(df: DataFrame, label: str) -> DataFrame:
-    """``written``, and the files of its shuffles deleted once it is."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
+@contextmanager
+def _lean(spark: SparkSession) -> Iterator[None]:
+    """Jobs delete the files of their shuffles once they end, and tasks hold few rows at once."""
+    wanted = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(_ROWS),
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
-        return written(df, label)
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def tree_values(
@@ -461,50 +555,48 @@ def tree_values(
         if s.least_pair > 1:
             bits = _candidates(training, depth, list(allowed), list(repeated))
             repeated.append(spark.sparkContext.broadcast(bits))
-        found = _freed(
+        sequences_ = (
             _repeated(training, depth, list(allowed), list(repeated), min(2, s.least_pair))
-            .join(shorter.select(F.col("key").alias("parent"), "p"), "parent").drop("parent"),
-            f"sequences-{depth}",
-        )
-        n = F.col("n")
-        known = found.groupBy("state").agg(
-            F.sum(F.when(n > 1, n).otherwise(0)).alias("repeats"),
-            F.sum((n > 1).cast("long")).alias("repeated"),
-            F.sum(F.when(n >= s.least_pair, n).otherwise(0)).alias("kept"),
-        ).join(often.select(F.col("key").alias("state"), F.col("n").alias("total")), "state")
-        # What does not repeat occurs once each.
-        once = F.col("total") - F.col("repeats")
-        known = known.withColumn("kinds", F.col("repeated") + once)
-        each = found.join(known, "state")
-        rest = F.col("total") - 1 + F.col("kinds")
-        without = (n - 1 + F.col("kinds") * F.col("p")) / rest
-        # Left out, a word that occurs once has kinds * p / rest, whatever its p.
-        single = F.log(F.col("kinds") / rest)
-        better = (
-            each.filter(n > 1)
-            .withColumn("more", n * (F.log(without) - F.log("p")))
-            .groupBy("state").agg(F.sum("more").alias("more"))
-        )
-        states = _freed(
-            known.join(better, "state")
-            .withColumn("gain", F.col("more") + F.when(once > 0, once * single).otherwise(0.0))
-            .filter(F.col("gain") > F.greatest(F.lit(s.least_gain), s.min_gain * F.col("total")))
-            .select(
-                "state", "total", (F.col("total") + F.col("kinds")).alias("all"),
-                ((F.col("total") - F.col("kept") + F.col("kinds"))
-                 / (F.col("total") + F.col("kinds"))).alias("backoff"),
-            ),
-            f"states-{depth}",
+            .join(shorter.select(F.col("key").alias("parent"), "p"), "parent").drop("parent")
         )
-        suffix = F.coalesce("backoff", F.lit(1.0)) * F.col("p")
-        here = F.col("backoff").isNotNull() & (n >= s.least_pair)
-        after = suffix + F.when(here, n / F.col("all")).otherwise(0.0)
-        shorter = _freed(
-            found.join(states, "state", "left").select(
+        with passing(sequences_, f"sequences-{depth}") as found:
+            n = F.col("n")
+            known = found.groupBy("state").agg(
+                F.sum(F.when(n > 1, n).otherwise(0)).alias("repeats"),
+                F.sum((n > 1).cast("long")).alias("repeated"),
+                F.sum(F.when(n >= s.least_pair, n).otherwise(0)).alias("kept"),
+            ).join(often.select(F.col("key").alias("state"), F.col("n").alias("total")), "state")
+            # What does not repeat occurs once each.
+            once = F.col("total") - F.col("repeats")
+            known = known.withColumn("kinds", F.col("repeated") + once)
+            each = found.join(known, "state")
+            rest = F.col("total") - 1 + F.col("kinds")
+            without = (n - 1 + F.col("kinds") * F.col("p")) / rest
+            # Left out, a word that occurs once has kinds * p / rest, whatever its p.
+            single = F.log(F.col("kinds") / rest)
+            states = written(
+                each.filter(n > 1)
+                .withColumn("more", n * (F.log(without) - F.log("p")))
+                .groupBy("state", "total", "kinds", "kept", "repeats")
+                .agg(F.sum("more").alias("more"))
+                .withColumn("gain", F.col("more") + F.when(once > 0, once * single).otherwise(0.0))
+                .filter(F.col("gain") > F.greatest(F.lit(s.least_gain), s.min_gain * F.col("total")))
+                .select(
+                    "state", "total", (F.col("total") + F.col("kinds")).alias("all"),
+                    ((F.col("total") - F.col("kept") + F.col("kinds"))
+                     / (F.col("total") + F.col("kinds"))).alias("backoff"),
+                ),
+                f"states-{depth}",
+            )
+            suffix = F.coalesce("backoff", F.lit(1.0)) * F.col("p")
+            here = F.col("backoff").isNotNull() & (n >= s.least_pair)
+            after = suffix + F.when(here, n / F.col("all")).otherwise(0.0)
+            nexts = found.join(states, "state", "left").select(
                 "key", "n", after.alias("p"), F.when(here, F.log10(after / suffix)).alias("value")
-            ),
-            f"next-{depth}",
-        )
+            )
+            if depth == s.depth:
+                nexts = nexts.filter("value IS NOT NULL").drop("p")
+            shorter = written(nexts, f"next-{depth}")
         out.append(states.select(
             F.col("state").bitwiseXOR(F.lit(_STATE)).alias("key"), F.col("total").alias("n"),
             F.log10("backoff").alias("value"),
@@ -518,6 +610,34 @@ def tree_values(
     return values
 
 
+#: Kinds of rows where texts meet values, in the order in which a part has them.
+WORD, GAIN, ASKED, TEXT = range(4)
+_SUMS = ("row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
+         "gain double")
+_BLOCKS = ("part int, kind int, high binary, low binary, value binary, row binary, "
+           "stretch binary, times binary, origin long, " + _SUMS)
+
+
+def _filled(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    """The batch with all columns of ``_BLOCKS``, null where it has none."""
+    return _with(batch.append_column("kind", pa.array(np.full(batch.num_rows, kind, np.int32))), _BLOCKS)
+
+
+def _sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return _with(batch, _SUMS)
+
+
+def _with(batch: pa.RecordBatch, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(),
+             "boolean": pa.bool_()}
+    cells = {}
+    for column in schema.split(", "):
+        name, kind = column.split()
+        there = name in batch.schema.names
+        cells[name] = batch.column(name) if there else pa.nulls(batch.num_rows, kinds[kind])
+    return pa.RecordBatch.from_pydict(cells)
+
+
 def scored(
     docs: DataFrame, folds: int = 10, settings: Settings | None = None
 ) -> DataFrame:
@@ -534,6 +654,12 @@ def scored(
     s = settings or Settings()
     spark = docs.sparkSession
     ship(spark)
+    with _lean(spark):
+        return _scored(docs, folds, s)
+
+
+def _scored(docs: DataFrame, folds: int, s: Settings) -> DataFrame:
+    spark = docs.sparkSession
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
@@ -552,20 +678,47 @@ def scored(
     rarer = values.filter(F.col("n") < least)
     by_key = np.argsort(frequent["key"].view(np.uint64))
     common = _arrays(counts.filter(F.col("n") >= least))
-    order = np.argsort(common["key"])
+    order = np.argsort(common["key"].view(np.uint64))
     model = spark.sparkContext.broadcast(
-        (common["key"][order], np.log10(common["n"][order] + _ADD),
+        (common["key"].view(np.uint64)[order], np.log10(common["n"][order] + _ADD),
          frequent["key"].view(np.uint64)[by_key], frequent["value"][by_key], _bit_set(rarer))
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is known of each text, and blocks of the keys that have to be looked up."""
         known, value, keys, gains, rarer_bits = model.value
+        asked: list[tuple[np.ndarray, ...]] = []
+        pending, origin = 0, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, row = _joined(asked)
+            asked.clear()
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            # Rows of a key ascend, so what a text has of it stands together.
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            place = (row[first] - origin).astype(np.uint32)
+            columns = {"key": key[first], "row": place.astype(np.uint16),
+                       "stretch": (place >> np.uint32(16)).astype(np.uint16),
+                       "times": np.diff(np.append(first, len(key))).astype(np.uint32)}
+            for block in _dealt(columns, origin=origin):
+                yield _filled(block, ASKED)
+
         for batch in slices(batches, "text"):
             rows = batch.num_rows
+            row_id = batch.column("row_id").to_numpy()
             text, word = tokens(texts(batch.column("text")))
             found = sequences(text, word, s.depth)
             gain = np.zeros(rows)
-            owners, asked = [], []
+            if not asked:
+                origin = int(row_id[0])
+
+            def ask(key, text, row_id=row_id):
+                asked.append((mix(key), row_id[text]))
+                return len(key)
+
             for depth in range(1, s.depth + 1):
                 there = np.flatnonzero(found[depth] != 0)
                 for key in (_before(found, depth) ^ np.uint64(_STATE), found[depth]):
@@ -573,82 +726,153 @@ def scored(
                     met = at >= 0
                     gain += np.bincount(text[there[met]], gains[at[met]], rows)
                     maybe = ~met & _in(rarer_bits, key[there])
-                    owners.append(text[there[maybe]])
-                    asked.append(key[there[maybe]].view(np.int64))
+                    pending += ask(key[there[maybe]], text[there[maybe]])
                     # Next words have values only in states that are in the tree.
                     there = there[met | maybe]
-            at = find(known, word.view(np.int64))
+            at = find(known, word)
             met = at >= 0
             base = np.bincount(text[met], value[at[met]], rows)
-            rare_text = np.concatenate([text[~met], *owners])
-            rare = np.concatenate([word[~met].view(np.int64), *asked])
-            order = np.lexsort((rare, rare_text))
-            rare_text, rare = rare_text[order], rare[order]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare_text[1:] != rare_text[:-1]) | (rare[1:] != rare[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(rare)))
-            ends = np.cumsum(np.bincount(rare_text[first], minlength=rows))
-            cuts = pa.array(np.insert(ends, 0, 0).astype(np.int32))
-            yield pa.RecordBatch.from_pydict({
+            pending += ask(word[~met], text[~met])
+            yield _filled(pa.RecordBatch.from_pydict({
+                "part": pa.array((row_id % (1 << _PARTS)).astype(np.int32)),
                 "row_id": batch.column("row_id"),
                 "doc_id": batch.column("doc_id"),
                 "held_out": batch.column("held_out"),
                 "n_tokens": pa.array(np.bincount(text, minlength=rows)),
-                "n_common": pa.array(np.bincount(text[met], minlength=rows)),
-                "common_sum": pa.array(base.astype(np.float64)),
+                "n_known": pa.array(np.bincount(text[met], minlength=rows)),
+                "base": pa.array(base.astype(np.float64)),
                 "gain": pa.array(gain.astype(np.float64)),
-                "rare": pa.ListArray.from_arrays(cuts, pa.array(rare[first])),
-                "times": pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
-            })
+            }), TEXT)
+            if pending > _PENDING:
+                yield from out()
+                pending = 0
+        if asked:
+            yield from out()
+
+    def give(kind: int):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: list[tuple[np.ndarray, ...]] = []
+            pending = 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                key, value = _joined(parts)
+                parts.clear()
+                order = np.argsort(key)
+                for block in _dealt({"key": key[order], "value": value[order]}):
+                    yield _filled(block, kind)
+
+            for batch in batches:
+                key, value = (batch.column(c).to_numpy() for c in ("key", "value"))
+                parts.append((mix(key.view(np.uint64)), value))
+                pending += batch.num_rows
+                if pending > _PENDING:
+                    yield from out()
+                    pending = 0
+            if parts:
+                yield from out()
 
-    rows = written(
-        named.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(
-            score,
-            "row_id long, doc_id long, held_out boolean, n_tokens long, n_common long, "
-            "common_sum double, gain double, rare array<long>, times array<int>",
-        ),
-        "scored-rows",
-    )
-    pair = F.explode(F.arrays_zip("rare", "times"))
-    rare = rows.select("row_id", pair.alias("pair")).select(
-        "row_id", F.col("pair.rare").alias("key"), F.col("pair.times").alias("times")
+        return send
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What texts have of the keys that are known; the rows of texts as they are."""
+        at, pending = -1, 0
+        given: dict[int, list[tuple[np.ndarray, ...]]] = {WORD: [], GAIN: []}
+        asked: list[tuple[np.ndarray, ...]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def answer() -> int:
+            """Looks up what was asked in one part."""
+            met_in_all = 0
+            key, row, times = _joined(asked) if asked else (np.zeros(0, np.uint64),) * 3
+            for kind, blocks in given.items():
+                if blocks and len(key):
+                    keys, value = _joined(blocks)
+                    order = np.argsort(keys)
+                    place = find(keys[order], key)
+                    met = np.flatnonzero(place >= 0)
+                    n, x = times[met].astype(np.float64), value[order][place[met]]
+                    zero = np.zeros(len(met))
+                    parts.append((row[met], n, n * x, zero) if kind == WORD
+                                 else (row[met], zero, zero, n * x))
+                    met_in_all += len(met)
+                blocks.clear()
+            asked.clear()
+            return met_in_all
+
+        def merged() -> tuple[np.ndarray, ...]:
+            row, *sums = _joined(parts)
+            row, which = np.unique(row, return_inverse=True)
+            return (row, *(np.bincount(which, x, len(row)) for x in sums))
+
+        def out() -> pa.RecordBatch:
+            row, known, base, gain = parts.pop()
+            return _sums(pa.RecordBatch.from_pydict({
+                "row_id": pa.array(row), "n_known": pa.array(known.astype(np.int64)),
+                "base": pa.array(base), "gain": pa.array(gain),
+            }))
+
+        for batch in batches:
+            part, kind, origin = (
+                batch.column(c).fill_null(0).to_numpy() for c in ("part", "kind", "origin")
+            )
+            cells = _cells(batch, "high", "low", "value", "row", "stretch", "times")
+            for begin, end in _runs(batch, "part", "kind"):
+                if part[begin] != at:
+                    pending += answer()
+                    at = part[begin]
+                if pending > _PENDING:
+                    parts[:] = [merged()]
+                    pending = len(parts[0][0])
+                    if pending > _PENDING // 2:
+                        yield out()
+                        pending = 0
+                key = _key(cells, begin, end)
+                if kind[begin] == ASKED:
+                    sizes = np.diff(cells["row"][1][begin : end + 1]) // 2
+                    row = _cut(cells["stretch"], begin, end, np.uint16).astype(np.int64) << 16
+                    row += _cut(cells["row"], begin, end, np.uint16)
+                    asked.append((key, np.repeat(origin[begin:end], sizes) + row,
+                                  _cut(cells["times"], begin, end, np.uint32)))
+                elif kind[begin] != TEXT:
+                    given[kind[begin]].append((key, _cut(cells["value"], begin, end, np.float64)))
+            yield _sums(batch.filter(pa.array(kind == TEXT)))
+        answer()
+        if parts:
+            parts[:] = [merged()]
+            yield out()
+
+    told = named.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(score, _BLOCKS)
+    rare_words = counts.filter(F.col("n") < least).select(
+        "key", F.log10(F.col("n") + _ADD).alias("value")
     )
-    looked_up = counts.filter(F.col("n") < least).select(
-        "key", F.lit(1).cast("long").alias("is_word"), F.log10(F.col("n") + _ADD).alias("base"),
-        F.lit(0.0).alias("value"),
-    ).unionByName(rarer.select(
-        "key", F.lit(0).cast("long").alias("is_word"), F.lit(0.0).alias("base"), "value"
-    ))
-    found = _freed(
-        rare.join(looked_up, "key")
+    for table, kind in ((rare_words, WORD), (rarer.select("key", "value"), GAIN)):
+        told = told.unionByName(table.mapInArrow(give(kind), _BLOCKS))
+    sums = (
+        told.repartition("part").sortWithinPartitions("part", "kind")
+        .mapInArrow(look_up, _SUMS)
         .groupBy("row_id")
         .agg(
-            F.sum(F.col("times") * F.col("is_word")).alias("n_rare"),
-            F.sum(F.col("times") * F.col("base")).alias("rare_sum"),
-            F.sum(F.col("times") * F.col("value")).alias("rare_gain"),
-        ),
-        "rare-values",
+            F.max("doc_id").alias("doc_id"),
+            F.max("held_out").alias("held_out"),
+            F.max("n_tokens").alias("n_tokens"),
+            *(F.sum(c).alias(c) for c in ("n_known", "base", "gain")),
+        )
     )
-    zero = F.lit(0).cast("long")
-    known = F.col("n_common") + F.coalesce("n_rare", zero)
     norm = float(np.log10(total + _ADD * (kinds + 1)))
     base = (
-        F.col("common_sum")
-        + F.coalesce("rare_sum", F.lit(0.0))
-        + (F.col("n_tokens") - known) * float(np.log10(_ADD))
+        F.col("base")
+        + (F.col("n_tokens") - F.col("n_known")) * float(np.log10(_ADD))
         - F.col("n_tokens") * norm
     )
-    return (
-        rows.drop("rare", "times")
-        .join(found, "row_id", "left")
-        .select(
+    return written(
+        sums.select(
             "doc_id",
             "held_out",
             "n_tokens",
-            known.alias("n_known"),
+            "n_known",
             F.lit(int(total)).cast("long").alias("train_tokens"),
             base.alias("base_score"),
-            (base + F.col("gain") + F.coalesce("rare_gain", F.lit(0.0))).alias("score"),
-        )
+            (base + F.col("gain")).alias("score"),
+        ),
+        "scored-rows",
     )

@@ -41,6 +41,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The numbers whose ``mix`` is ``x``."""
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        x = x ^ (x >> np.uint64(shift)) ^ (x >> np.uint64(2 * shift))
+        x = x * np.uint64(pow(factor, -1, 1 << 64))
+    return x
+
+
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
