@@ -169,6 +169,7 @@ def test_jobs_leave_no_table_of_sequences_and_no_setting(spark, sayings):
     scored(sayings).collect()
     base = Path(scratch_path(spark, "x").removeprefix("file:")).parent
     assert not list(base.glob("sequences-*")) and list(base.glob("scored-rows-*"))
+    assert not list(base.glob("next-*")) and list(base.glob("values-*"))
     assert [spark.conf.get(name) for name in names] == before
 
 
@@ -202,3 +203,10 @@ def test_blocks_keep_keys_and_columns():
                          strict=True)
     assert found == list(zip(key.tolist(), n.tolist(), strict=True))
     assert not list(suffix_tree._dealt({"key": key[:0], "n": n[:0]}))
+
+
+def test_sums_of_equal_rows_stay_apart(spark, sayings):
+    """Rows that repeat are summed apart, whichever blocks their sums are in."""
+    rows = scored(sayings.union(sayings), settings=Settings(2, common_share=1e-3)).collect()
+    once = {r["doc_id"]: r["n_known"] for r in scored(sayings).collect()}
+    assert len(rows) == 2 * len(once) and all(r["n_known"] == once[r["doc_id"]] for r in rows)

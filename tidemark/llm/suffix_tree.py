@@ -19,7 +19,7 @@ of 2**``_BITS`` bits at most that leave out most keys that no table has; they ch
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -129,6 +129,10 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
+def _part(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - _PARTS)).astype(np.int32)
+
+
 def _dealt(columns: dict[str, np.ndarray], **constant) -> Iterator[pa.RecordBatch]:
     """Rows of a part number and the bytes of each column's values there.
 
@@ -136,7 +140,7 @@ def _dealt(columns: dict[str, np.ndarray], **constant) -> Iterator[pa.RecordBatc
     bytes are sent apart: the leading ones, being in order, hardly take room.
     """
     key = columns["key"]
-    part = (key >> np.uint64(64 - _PARTS)).astype(np.int32)
+    part = _part(key)
     columns = {"high": (key >> np.uint64(48)).astype(np.uint16),
                "low": key.view(np.uint8).reshape(-1, 8)[:, :6], **columns}
     del columns["key"]
@@ -547,7 +551,7 @@ def tree_values(
     spark = training.sparkSession
     norm = total + _ADD * (kinds + 1)
     shorter = counts.select("key", "n", ((F.col("n") + _ADD) / norm).alias("p"))
-    allowed, repeated, out = [], [], []
+    allowed, repeated, out, stack = [], [], [], ExitStack()
     for depth in range(1, s.depth + 1):
         # A sequence occurs as often as a token follows it: its count is the state's total.
         often = shorter.filter(F.col("n") >= s.least_state)
@@ -594,14 +598,16 @@ def tree_values(
             nexts = found.join(states, "state", "left").select(
                 "key", "n", after.alias("p"), F.when(here, F.log10(after / suffix)).alias("value")
             )
-            if depth == s.depth:
-                nexts = nexts.filter("value IS NOT NULL").drop("p")
-            shorter = written(nexts, f"next-{depth}")
+            # Probabilities serve the next depth only, values all texts.
+            last = depth == s.depth
+            shorter = None if last else stack.enter_context(passing(nexts, f"next-{depth}"))
+            valued = (nexts if last else shorter).filter("value IS NOT NULL")
+            out.append(written(valued.select("key", "n", "value"), f"values-{depth}"))
         out.append(states.select(
             F.col("state").bitwiseXOR(F.lit(_STATE)).alias("key"), F.col("total").alias("n"),
             F.log10("backoff").alias("value"),
         ))
-        out.append(shorter.filter("value IS NOT NULL").select("key", "n", "value"))
+    stack.close()
     for bits in (*allowed, *repeated):
         bits.destroy()
     values = out[0]
@@ -612,10 +618,13 @@ def tree_values(
 
 #: Kinds of rows where texts meet values, in the order in which a part has them.
 WORD, GAIN, ASKED, TEXT = range(4)
-_SUMS = ("row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
+_TEXT = ("row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
          "gain double")
 _BLOCKS = ("part int, kind int, high binary, low binary, value binary, row binary, "
-           "stretch binary, times binary, origin long, " + _SUMS)
+           "stretch binary, times binary, origin long, " + _TEXT)
+_TOLD = ("part int, high binary, low binary, known binary, more_base binary, more_gain binary, "
+         + _TEXT)
+_ADDED = ["doc_id", "held_out", "n_tokens", "n_known", "base", "gain"]
 
 
 def _filled(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
@@ -623,10 +632,6 @@ def _filled(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
     return _with(batch.append_column("kind", pa.array(np.full(batch.num_rows, kind, np.int32))), _BLOCKS)
 
 
-def _sums(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return _with(batch, _SUMS)
-
-
 def _with(batch: pa.RecordBatch, schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(),
              "boolean": pa.bool_()}
@@ -734,7 +739,7 @@ def _scored(docs: DataFrame, folds: int, s: Settings) -> DataFrame:
             base = np.bincount(text[met], value[at[met]], rows)
             pending += ask(word[~met], text[~met])
             yield _filled(pa.RecordBatch.from_pydict({
-                "part": pa.array((row_id % (1 << _PARTS)).astype(np.int32)),
+                "part": pa.array(_part(mix(row_id.view(np.uint64)))),
                 "row_id": batch.column("row_id"),
                 "doc_id": batch.column("doc_id"),
                 "held_out": batch.column("held_out"),
@@ -804,12 +809,13 @@ def _scored(docs: DataFrame, folds: int, s: Settings) -> DataFrame:
             row, which = np.unique(row, return_inverse=True)
             return (row, *(np.bincount(which, x, len(row)) for x in sums))
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             row, known, base, gain = parts.pop()
-            return _sums(pa.RecordBatch.from_pydict({
-                "row_id": pa.array(row), "n_known": pa.array(known.astype(np.int64)),
-                "base": pa.array(base), "gain": pa.array(gain),
-            }))
+            key = mix(row.view(np.uint64))
+            order = np.argsort(key)
+            columns = {"key": key, "known": known.astype(np.uint32), "more_base": base, "more_gain": gain}
+            for block in _dealt({name: c[order] for name, c in columns.items()}):
+                yield _with(block, _TOLD)
 
         for batch in batches:
             part, kind, origin = (
@@ -824,7 +830,7 @@ def _scored(docs: DataFrame, folds: int, s: Settings) -> DataFrame:
                     parts[:] = [merged()]
                     pending = len(parts[0][0])
                     if pending > _PENDING // 2:
-                        yield out()
+                        yield from out()
                         pending = 0
                 key = _key(cells, begin, end)
                 if kind[begin] == ASKED:
@@ -835,11 +841,53 @@ def _scored(docs: DataFrame, folds: int, s: Settings) -> DataFrame:
                                   _cut(cells["times"], begin, end, np.uint32)))
                 elif kind[begin] != TEXT:
                     given[kind[begin]].append((key, _cut(cells["value"], begin, end, np.float64)))
-            yield _sums(batch.filter(pa.array(kind == TEXT)))
+            yield _with(batch.filter(pa.array(kind == TEXT)), _TOLD)
         answer()
         if parts:
             parts[:] = [merged()]
-            yield out()
+            yield from out()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of texts, with what was found for them added."""
+        at = -1
+        rows: list[pa.RecordBatch] = []
+        blocks: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rows).combine_chunks()
+            columns = {c: table[c].to_numpy().copy() for c in ("n_known", "base", "gain")}
+            if blocks:
+                key, *sums = _joined(blocks)
+                key, which = np.unique(key, return_inverse=True)
+                place = find(key, mix(table["row_id"].to_numpy().view(np.uint64)))
+                met = place >= 0
+                for (name, column), x in zip(columns.items(), sums, strict=True):
+                    more = np.bincount(which, x, len(key))[place[met]]
+                    column[met] += more.astype(column.dtype)
+            rows.clear()
+            blocks.clear()
+            for name, column in columns.items():
+                table = table.set_column(table.schema.get_field_index(name), name, pa.array(column))
+            yield from table.select(_ADDED).to_batches()
+
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            whole = batch.column("row_id").is_valid()
+            cells = _cells(batch, "high", "low", "known", "more_base", "more_gain")
+            for begin, end in _runs(batch, "part"):
+                if rows and part[begin] != at:
+                    yield from out()
+                at = part[begin]
+                rows.append(batch.slice(begin, end - begin).filter(whole.slice(begin, end - begin)))
+                key = _key(cells, begin, end)
+                if len(key):
+                    blocks.append((
+                        key, _cut(cells["known"], begin, end, np.uint32),
+                        _cut(cells["more_base"], begin, end, np.float64),
+                        _cut(cells["more_gain"], begin, end, np.float64),
+                    ))
+        if rows:
+            yield from out()
 
     told = named.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(score, _BLOCKS)
     rare_words = counts.filter(F.col("n") < least).select(
@@ -849,14 +897,9 @@ def _scored(docs: DataFrame, folds: int, s: Settings) -> DataFrame:
         told = told.unionByName(table.mapInArrow(give(kind), _BLOCKS))
     sums = (
         told.repartition("part").sortWithinPartitions("part", "kind")
-        .mapInArrow(look_up, _SUMS)
-        .groupBy("row_id")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.max("n_tokens").alias("n_tokens"),
-            *(F.sum(c).alias(c) for c in ("n_known", "base", "gain")),
-        )
+        .mapInArrow(look_up, _TOLD)
+        .repartition("part").sortWithinPartitions("part")
+        .mapInArrow(add_up, ", ".join(c for c in _TEXT.split(", ") if c.split()[0] in _ADDED))
     )
     norm = float(np.log10(total + _ADD * (kinds + 1)))
     base = (
